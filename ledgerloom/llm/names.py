@@ -38,7 +38,7 @@ TRADES = (
 ).split()
 SHORT_TRADES = {"kk": "krankenkasse", "kita": "kindertagesstaette", "kb": "kantonalbank", "pk": "pensionskasse"}
 # Legal forms and titles.
-LEGAL = {"ag", "sa", "gmbh", "sarl", "genossenschaft", "gen", "co", "cie", "und", "et", "u", "aktiengesellschaft", "verein", "kg", "ltd", "inc", "srl", "spa", "llc", "kollektivgesellschaft", "einzelfirma"}
+LEGAL = {"ag", "sa", "gmbh", "sarl", "genossenschaft", "gen", "co", "cie", "aktiengesellschaft", "verein", "kg", "ltd", "inc", "srl", "spa", "llc", "kollektivgesellschaft", "einzelfirma"}
 TITLES = {"dr", "med", "dent", "vet", "phil", "lic", "iur", "oec", "prof", "dipl", "ing", "rer", "pol", "pharm", "nat", "mag", "msc", "bsc", "mba", "eth", "fmh", "herr", "frau", "hr", "fr", "herrn", "mme", "madame", "monsieur", "signor", "signora", "sig", "familie"}
 #: Endings of Swiss place names; such a word after a name is a place.
 _SURE_PLACE = re.compile(r"(ikon|wil|bueel|dorf|hofen|lingen|matt|stetten)$")
@@ -57,6 +57,7 @@ NICKNAMES = {
     "noemi": "noemie", "gianluca": "gianluca", "luca": "gianluca", "annesophie": "annesophie", "anneso": "annesophie", "gene": "genevieve", "ginette": "genevieve", "viviane": "vivienne", "silvano": "silvan", "sepp": "josef", "seppi": "josef", "bethli": "elisabeth",
 }
 _FORMS = (
+    (re.compile(r"(?:&|\b(?:u|und|et)\b\.?) ?(?:co|cie)\b\.?"), " co "),
     (re.compile(r"\bg\. ?m\. ?b\. ?h\b\.?"), " gmbh "),
     (re.compile(r"(?<![a-z])a\. ?g\b\.?"), " ag "),
     (re.compile(r"(?<![a-z])s\. ?a\b\.?"), " sa "),
@@ -249,13 +250,13 @@ def parse(text: str | None) -> Name:
                 word, dotted = raw.rstrip("."), raw.endswith(".")
                 if word in TITLES and (dotted or len(word) > 2):
                     titled = True
-                elif word in LEGAL or word == "&" or (len(word) > 7 and _legal_long.near(word) and not trade_of(word, False)):
-                    legal = legal or word not in {"und", "et", "u"}
+                elif word in LEGAL or (len(word) > 7 and _legal_long.near(word) and not trade_of(word, False)):
+                    legal = True
                 elif not trade and (got := trade_of(word, dotted)):
                     trade = got[0]
                 elif n and _SURE_PLACE.search(word):
                     continue
-                elif word.isdigit():
+                elif word.isdigit() or word in {"&", "und", "et"}:
                     continue
                 else:
                     words.append((word, dotted))
