@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.lookalikes import repaired
-from ledgerloom.session import table
+from ledgerloom.llm.pii import accepted, gazetteer, text_candidates, word_candidates
+from ledgerloom.session import cut, table
 
 _FIELDS = (("tagged_words", "text", "word_id"), ("field_rows", "wert_raw", "row_id"), ("position_store", "amount", "id"))
 
@@ -29,5 +30,29 @@ def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(_printed(spark, sf_dir)).select("tabelle", "schluessel", "konsistent")
 
 
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    family = table(spark, sf_dir, "family")
+    held = spark.sparkContext.broadcast((gazetteer(family, "first_name"), gazetteer(family, "last_name")))
+    words = word_candidates(
+        table(spark, sf_dir, "tagged_words"),
+        "tagged_words",
+        held,
+        key="word_id",
+        document="dokument_id",
+        reading="eingelesen_am",
+        order="tag_id",
+        page="page",
+        top="top",
+        text="text",
+    )
+    snippets = text_candidates(table(spark, sf_dir, "field_rows"), "field_rows", "row_id", "snippet", held)
+    return cut(words.unionByName(snippets))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that are or belong to personal data, and the kinds that occur in each snippet."""
+    return accepted(_personal(spark, sf_dir)).select("tabelle", "schluessel", "art").distinct()
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_texts": p1_texts}
+    return {"p3_found": p3_found, "p1_found": p1_found, "p1_texts": p1_texts}
