@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import corpus_queries, field_queries, issuer_queries
+from ledgerloom.llm import corpus_queries, field_queries, issuer_queries, review_queries
 
-MODULES = (corpus_queries, field_queries, issuer_queries)
+MODULES = (corpus_queries, field_queries, issuer_queries, review_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
