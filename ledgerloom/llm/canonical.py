@@ -123,9 +123,11 @@ def matched(
 
     Null values are kept with -1; blank ones have none. The reference is read by the driver in blocks of
     ``BLOCK`` entries, which bounds what each worker holds; the rows are never shuffled, so a value that a third
-    of them share makes no hot task. Other columns pass through untouched.
+    of them share makes no hot task. Other columns pass through
+    untouched, but one called like ``out`` is replaced.
     """
     spark = rows.sparkSession
+    rows = rows.drop(out) if out != value else rows
     entries = reference.select(F.col(ref_id).cast("bigint").alias("r"), *[F.col(c).cast("string").alias(f"n{i}") for i, c in enumerate(ref_names)]).where("r is not null")
     if entries.count() > BLOCK:
         raise ValueError(f"more than {BLOCK} reference entries; split the list and union the results")

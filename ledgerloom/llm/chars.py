@@ -53,3 +53,11 @@ def folded(text: str) -> str:
     t = bare(text).casefold().translate(_FOLD_LOOKS)
     t = unicodedata.normalize("NFKD", t)
     return "".join(c for c in t if not unicodedata.combining(c))
+
+
+def free_name(base: str, taken: list[str]) -> str:
+    """``base``, with underscores before it until no column of ``taken`` is called so, whatever its case."""
+    used = {t.lower() for t in taken}
+    while base.lower() in used:
+        base = "_" + base
+    return base

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.lookalikes import repaired
-from ledgerloom.llm.pii import accepted, gazetteer, text_candidates, word_candidates
+from ledgerloom.llm.pii import PLACEHOLDERS, accepted, gazetteer, redacted, text_candidates, word_candidates
 from ledgerloom.session import cut, table
 
 _FIELDS = (("tagged_words", "text", "word_id"), ("field_rows", "wert_raw", "row_id"), ("position_store", "amount", "id"))
@@ -54,5 +54,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accepted(_personal(spark, sf_dir)).select("tabelle", "schluessel", "art").distinct()
 
 
+def p3_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and snippets with personal data replaced by typed placeholders; each word stands for itself."""
+    found = cut(accepted(_personal(spark, sf_dir)))
+    snippets = redacted(table(spark, sf_dir, "field_rows"), found, "field_rows", "row_id", "snippet")
+    kinds = F.create_map(*[F.lit(x) for pair in PLACEHOLDERS.items() for x in pair])
+    words = found.where("tabelle = 'tagged_words'").groupBy("schluessel").agg(F.min("art").alias("art"))
+    parts = snippets.select(F.lit("field_rows").alias("tabelle"), "schluessel", "redigiert")
+    return parts.unionByName(words.select(F.lit("tagged_words").alias("tabelle"), "schluessel", kinds[F.col("art")].alias("redigiert")))
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p1_found": p1_found, "p1_texts": p1_texts}
+    return {"p3_found": p3_found, "p3_texts": p3_texts, "p1_found": p1_found, "p1_texts": p1_texts}

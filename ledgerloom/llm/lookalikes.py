@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.chars import APOSTROPHES, BLANKS, INVISIBLE, LOOKALIKES
+from ledgerloom.llm.chars import APOSTROPHES, BLANKS, INVISIBLE, LOOKALIKES, free_name
 
 #: A character that may have to change; ordinary letters and signs with a look of their own are outside.
 SUSPICIOUS = (
@@ -114,22 +114,6 @@ def asked_words(consistent: str) -> list[str]:
     return [word, word[1:]] if len(word) > 5 else [word]
 
 
-def _first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        plain = [plain_form(t) for t in batch["_text"]]
-        yield batch.assign(_plain=plain, _runs=[[w for _, c in doubtful_runs(p) for w in asked_words(c)] for p in plain])
-
-
-def _second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for plain, known in zip(batch["_plain"], batch["known"]):
-            ok = set(known)
-            swap = {r: c for r, c in doubtful_runs(plain) if not ok.isdisjoint(asked_words(c))}
-            out.append(_LETTERS.sub(lambda m, swap=swap: swap.get(m[0], m[0]), plain))
-        yield pd.DataFrame({"_plain": batch["_plain"], "_fixed": out})
-
-
 def words(text: Column) -> Column:
     """The runs of letters of a text, without case."""
     return F.split(F.lower(text), "[^\\p{L}]+")
@@ -140,20 +124,38 @@ def repaired(rows: DataFrame, text_col: str = "text", out: str = "konsistent") -
 
     The corpus vocabulary is that of ``rows`` themselves: every run of letters in texts free of suspicious
     characters. Null and empty texts have nothing to repair; repeated rows are each returned; a text that only
-    has more ordinary blanks is no difference; very long texts are handled whole. Columns pass through untouched.
+    has more ordinary blanks is no difference; very long texts are handled whole. Columns pass through
+    untouched, but one called like ``out`` is replaced.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    rows = rows.drop(out) if out in rows.columns and out != text_col else rows
+    c_text, c_plain, c_runs, c_fixed, c_word = (free_name(n, [*rows.columns, out]) for n in ("_text", "_plain", "_runs", "_fixed", "_word"))
     text = F.col(text_col).cast("string")
-    first = rows.withColumn("_text", text).where(F.col("_text").rlike(SUSPICIOUS)).mapInPandas(
-        _first, f"{schema}, _text string, _plain string, _runs array<string>"
-    )
+
+    def first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            plain = [plain_form(t) for t in batch[c_text]]
+            runs = [[w for _, c in doubtful_runs(p) for w in asked_words(c)] for p in plain]
+            yield batch.assign(**{c_plain: plain, c_runs: runs})
+
+    def second_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fixed = []
+            for plain, known in zip(batch[c_plain], batch["known"]):
+                ok = set(known)
+                swap = {r: c for r, c in doubtful_runs(plain) if not ok.isdisjoint(asked_words(c))}
+                fixed.append(_LETTERS.sub(lambda m, swap=swap: swap.get(m[0], m[0]), plain))
+            yield pd.DataFrame({c_plain: batch[c_plain], c_fixed: fixed})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    suspicious = rows.withColumn(c_text, text).where(F.col(c_text).rlike(SUSPICIOUS))
+    first = suspicious.mapInPandas(first_pass, f"{schema}, {c_text} string, {c_plain} string, {c_runs} array<string>")
     clean = rows.select(text.alias("t")).where(~F.col("t").rlike(SUSPICIOUS))
-    vocabulary = clean.select(F.explode(words(F.col("t"))).alias("word")).distinct()
-    doubtful = first.where(F.size("_runs") > 0)
-    asked = doubtful.select("_plain", F.explode("_runs").alias("word")).distinct()
-    known = asked.join(vocabulary, "word", "left_semi").groupBy("_plain").agg(F.collect_set("word").alias("known"))
-    fixed = known.mapInPandas(_second, "_plain string, _fixed string")
-    mended = doubtful.join(fixed, "_plain", "left").withColumn(out, F.coalesce("_fixed", "_plain"))
-    plain = first.where(F.size("_runs") == 0).withColumn(out, F.col("_plain"))
-    both = plain.select(*rows.columns, "_text", out).unionByName(mended.select(*rows.columns, "_text", out))
-    return both.where(F.col(out) != F.col("_text")).drop("_text")
+    vocabulary = clean.select(F.explode(words(F.col("t"))).alias(c_word)).distinct()
+    doubtful = first.where(F.size(c_runs) > 0)
+    asked = doubtful.select(c_plain, F.explode(c_runs).alias(c_word)).distinct()
+    known = asked.join(vocabulary, c_word, "left_semi").groupBy(c_plain).agg(F.collect_set(c_word).alias("known"))
+    fixed = known.mapInPandas(second_pass, f"{c_plain} string, {c_fixed} string")
+    mended = doubtful.join(fixed, c_plain, "left").withColumn(out, F.coalesce(c_fixed, c_plain))
+    plain = first.where(F.size(c_runs) == 0).withColumn(out, F.col(c_plain))
+    both = plain.select(*rows.columns, c_text, out).unionByName(mended.select(*rows.columns, c_text, out))
+    return both.where(F.col(out) != F.col(c_text)).drop(c_text)

@@ -54,6 +54,7 @@ AREA_CODES = set("021 022 024 026 027 031 032 033 034 041 043 044 052 055 056 05
 _SUSPICIOUS = re.compile(SUSPICIOUS)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"\S+")
+_BLANKS = re.compile(r" {2,}")
 
 _MAIL = re.compile(
     r"(?P<local>[\w.+%-]+)(?:(?P<at> ?@ ?)|(?P<written> ?[\[(] ?at ?[\])] ?))(?P<domain>[\w-]+(?:(?:\.| ?[\[(] ?(?:dot|punkt) ?[\])] ?)[\w-]+)*(?:\.| ?[\[(] ?(?:dot|punkt) ?[\])] ?)[^\W\d_]{2,})",
@@ -86,7 +87,12 @@ _ADDRESS_LABEL = re.compile(r"(?:adresse|wohnhaft|liegenschaft|domizil|wohnort|a
 
 
 def cleaned(text: str) -> str:
-    """The plain form of a text, mixed-script words in Latin letters; of the same words."""
+    """The plain form of a text, mixed-script words in Latin letters, single blanks; of the same words."""
+    t = _plain_text(text)
+    return _BLANKS.sub(" ", t) if "  " in t else t
+
+
+def _plain_text(text: str) -> str:
     if text.isascii() or not _SUSPICIOUS.search(text):
         return text
     t = plain_form(text)
@@ -107,7 +113,7 @@ def _iban_ok(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
-GIVEN, SURNAME, ENDING, LABEL, TITLE, INITIAL, SHAPE, COMPANY, STOP, BREAK, BEFORE = (1 << i for i in range(11))
+GIVEN, SURNAME, ENDING, LABEL, TITLE, INITIAL, SHAPE, COMPANY, STOP, BREAK, FOREIGN = (1 << i for i in range(11))
 
 
 class Scanner:
@@ -133,6 +139,8 @@ class Scanner:
         f = BREAK if raw[-1:] in ",;:)" else 0
         if not word:
             return STOP
+        if not low.isascii():
+            return f | STOP | FOREIGN
         parts = low.split(".") if dotted or "." in word else [low]
         if all(p in TITLES or p in SALUTATIONS for p in parts) and (dotted or len(low) > 2) and low not in SALUTATIONS - TITLES:
             return f | TITLE
@@ -257,21 +265,18 @@ class Scanner:
     def _names(self, text: str, out: list, taken: list[tuple[int, int]]) -> None:
         token = self.token
         for line_start, line in _lines(text):
-            raws = line.split(" ")
-            flags = [token(r) if r else STOP for r in raws]
+            found = [(m[0], line_start + m.start()) for m in _TOKEN.finditer(line)]
+            raws, starts = [r for r, _ in found], [at for _, at in found]
+            flags = [token(r) for r in raws]
             any_of = 0
             for f in flags:
                 any_of |= f
             if not any_of & (GIVEN | SURNAME | TITLE | LABEL | INITIAL):
                 continue
-            starts, at = [], line_start
-            for r in raws:
-                starts.append(at)
-                at += len(r) + 1
             for a, b in taken:
-                for i, at in enumerate(starts):
-                    if at < b and a < at + len(raws[i]):
-                        flags[i] = STOP
+                for x, at in enumerate(starts):
+                    if at < b and a < at + len(raws[x]):
+                        flags[x] = STOP
             n, i = len(raws), 0
             while i < n:
                 f = flags[i]
@@ -294,8 +299,8 @@ class Scanner:
             all_of |= f
         k = i - 1
         title = False
-        while k >= 0 and flags[k] & TITLE:
-            title = True
+        while k >= 0 and flags[k] & (TITLE | FOREIGN):
+            title = title or bool(flags[k] & TITLE)
             k -= 1
         label = k >= 0 and bool(flags[k] & LABEL)
         if k >= 1 and not label and fold_name(raws[k]) == "und" and any("@" in r or "at]" in r or "(at" in r for r in raws[:k]):
@@ -437,3 +442,31 @@ def decisions(candidates: DataFrame) -> DataFrame:
 def accepted(candidates: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The candidates that the trained classifier takes for personal data."""
     return candidates.join(F.broadcast(decisions(candidates)), ["art", "votes"]).where(F.col("p") >= threshold)
+
+
+def redacted(rows: DataFrame, found: DataFrame, name: str, key: str, text: str, out: str = "redigiert") -> DataFrame:
+    """The rows of table ``name`` of which ``text`` holds personal data, with placeholders in its place in ``out``.
+
+    ``found`` are accepted candidates with offsets in the cleaned text; overlapping spans become one placeholder,
+    that of the longer span. Rows without personal data are left out: their text stays as it is.
+    """
+    spans = found.where(F.col("tabelle") == name).groupBy("schluessel").agg(F.collect_set(F.struct("start", "end", "art")).alias("_spans"))
+    joined = rows.select(F.col(key).cast("string").alias("schluessel"), F.col(text).cast("string").alias("_text")).join(spans, "schluessel")
+
+    def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [replaced(cleaned(t or ""), [(s["start"], s["end"], s["art"]) for s in spans]) for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["schluessel", out])
+
+    return joined.mapInArrow(put, f"schluessel string, `{out}` string")
+
+
+def replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with a typed placeholder for each span; the rest is unchanged."""
+    out, at = [], 0
+    for start, end, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if start < at:
+            continue
+        out += [text[at:start], PLACEHOLDERS[kind]]
+        at = end
+    return "".join(out) + text[at:]
