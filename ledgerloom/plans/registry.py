@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import copies
+from ledgerloom.plans import copies, scalars
 
 MODULES = (copies,)
+CATALOGS = (scalars.catalog,)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +17,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for m in MODULES for name, f in m.queries().items()}
+    return {name: f for m in MODULES for name, f in m.queries().items()} | {name: f for c in CATALOGS for name, f in c.runs.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES if hasattr(m, "oracle_sql") for name, sql in m.oracle_sql().items()}
+    return {name: sql for m in MODULES for name, sql in m.oracle_sql().items()} | {name: sql for c in CATALOGS for name, sql in c.sql.items()}
