@@ -48,9 +48,9 @@ def paired(left: DataFrame, right: DataFrame, group: Sequence[str], mark: str, l
     Both steps are equi-joins, the second one on (group, running number): no group is multiplied by itself.
     """
     once = lambda df, k: df.where(F.col(mark).isNotNull() & (F.col(mark) != "")).groupBy(*group, mark).agg(F.min(k).alias(k), F.count("*").alias("n")).where("n = 1").drop("n")
-    marked = once(left, left_key).join(once(right, right_key), [*group, mark]).select(*group, left_key, right_key, F.lit("mark").alias("by"))
+    marked = once(left, left_key).join(once(right, right_key), [*group, mark]).select(*group, left_key, right_key, F.lit("mark").alias("art"))
     rest = lambda df, k: df.join(marked.select(k), k, "left_anti").select(*group, k, F.row_number().over(W.partitionBy(*group).orderBy(k)).alias("n"))
-    zipped = rest(left, left_key).join(rest(right, right_key), [*group, "n"]).select(*group, left_key, right_key, F.lit("position").alias("by"))
+    zipped = rest(left, left_key).join(rest(right, right_key), [*group, "n"]).select(*group, left_key, right_key, F.lit("position").alias("art"))
     return marked.unionByName(zipped)
 
 

@@ -98,10 +98,10 @@ def windows(words: DataFrame, doc: Sequence[str], order: str, *, most: int, text
     Built with window functions over (doc, order), so a document is never collected into one value.
     """
     w = W.partitionBy(*doc).orderBy(order)
-    leads = [F.col(text)] + [F.lead(text, i).over(w) for i in range(1, most)]
-    runs = F.array(*[F.struct(F.lit(n).alias("size"), F.when(leads[n - 1].isNotNull(), F.concat_ws(" ", *leads[:n])).alias("window")) for n in range(1, most + 1)])
-    spread = words.select(*doc, F.col(order).alias("start"), F.inline(runs))
-    return spread.where("window is not null")
+    wide = words.select(*doc, F.col(order).alias("start"), F.col(text).alias("_w0"), *[F.lead(text, i).over(w).alias(f"_w{i}") for i in range(1, most)])
+    names = [f"_w{i}" for i in range(most)]
+    runs = F.array(*[F.struct(F.lit(n).alias("size"), F.when(F.col(names[n - 1]).isNotNull(), F.concat_ws(" ", *names[:n])).alias("window")) for n in range(1, most + 1)])
+    return wide.select(*doc, "start", F.inline(runs)).where("window is not null")
 
 
 def located(values: DataFrame, words: DataFrame, doc: str, order: str, *, value: str, text: str = "text", most: int = 3) -> DataFrame:
