@@ -80,5 +80,6 @@ def missing_pairs(subjects: DataFrame, concepts: DataFrame, covered: DataFrame,
 
 
 def recomputed(capital: Column, rate: Column, days: Column, base: int = 360) -> Column:
-    """Interest on a capital at a yearly rate in per cent over days."""
-    return F.round(capital * rate / 100 * days / base, 2)
+    """Interest on a capital at a yearly rate in per cent over days, in decimals so that half a cent rounds up."""
+    exact = capital.cast("decimal(18,2)") * rate.cast("decimal(8,4)") * days.cast("decimal(6,0)")
+    return F.round(exact / F.lit(100 * base).cast("decimal(8,0)"), 2).cast("double")

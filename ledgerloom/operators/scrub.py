@@ -19,7 +19,12 @@ PATTERNS = {
 
 def scanned(rows: DataFrame, key: Sequence[str], text: str, patterns: dict[str, str] | None = None) -> DataFrame:
     """(key, category, hash8) of every match: the report has a hash, never the match."""
-    found = [F.transform(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)), lambda m, k=k: F.struct(F.lit(k).alias("category"), F.substring(F.sha2(m, 256), 1, 8).alias("hash8"))) for k, p in (patterns or PATTERNS).items()]
+
+    def of(category: str, pattern: str) -> Column:
+        matches = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+        return F.transform(matches, lambda m: F.struct(F.lit(category).alias("category"), F.substring(F.sha2(m, 256), 1, 8).alias("hash8")))
+
+    found = [of(k, p) for k, p in (patterns or PATTERNS).items()]
     return rows.where(F.col(text).isNotNull()).select(*key, F.inline(F.flatten(F.array(*found))))
 
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import boxes, copies, ledger, scalars
+from ledgerloom.plans import boxes, copies, ledger, records, scalars
 
 MODULES = (copies,)
-CATALOGS = (scalars.catalog, boxes.catalog, ledger.catalog)
+CATALOGS = (scalars.catalog, boxes.catalog, ledger.catalog, records.catalog)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
