@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.words import windows
+
 
 def without(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``left`` whose key ``right`` lacks; NULL keys match nothing and stay."""
@@ -94,12 +97,27 @@ def contained(sets: DataFrame, items: DataFrame, owner: Sequence[str], set_key:
 
 
 def phrases(words: DataFrame, dictionary: DataFrame, doc: Sequence[str], order: str, phrase: str, most: int) -> DataFrame:
-    """Occurrences of dictionary phrases of up to ``most`` words, longest first, none overlapping a longer one at its start."""
-    from ledgerloom.operators.words import windows
+    """Occurrences of dictionary phrases of up to ``most`` words: the longest at each word, read from the left, none
+    overlapping one taken before.
 
+    Hits are found by an equi-join; only runs of hits that overlap each other, which are short whatever the length of
+    the document, are read one after the other.
+    """
     runs = windows(words, doc, order, most=most).withColumn("_key", F.lower("window"))
     hits = runs.join(dictionary.select(F.lower(phrase).alias("_key")).distinct(), "_key")
     longest = F.row_number().over(W.partitionBy(*doc, "start").orderBy(F.desc("size")))
-    firsts = hits.withColumn("_n", longest).where("_n = 1")
-    reach = F.max(F.col("start") + F.col("size")).over(W.partitionBy(*doc).orderBy("start").rowsBetween(W.unboundedPreceding, -1))
-    return firsts.withColumn("_reach", reach).where("_reach is null or start >= _reach").select(*doc, "start", "size", "window")
+    firsts = hits.withColumn("_n", longest).where("_n = 1").select(*doc, "start", "size", "window")
+    w = W.partitionBy(*doc).orderBy("start")
+    reach = F.max(F.col("start") + F.col("size")).over(w.rowsBetween(W.unboundedPreceding, -1))
+    opened = firsts.withColumn("_new", F.coalesce((F.col("start") >= reach).cast("int"), F.lit(1)))
+    runs_of = opened.withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, end, keep = pdf.sort_values("start"), None, []
+        for start, size in zip(pdf["start"], pdf["size"]):
+            keep.append(end is None or start >= end)
+            if keep[-1]:
+                end = start + size
+        return pdf[keep].drop(columns="_run")
+
+    return runs_of.groupBy(*doc, "_run").applyInPandas(greedy, firsts.schema)
