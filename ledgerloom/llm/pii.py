@@ -318,7 +318,7 @@ class Scanner:
         out.append((starts[i], end, "name", votes))
 
 
-NICKNAMES_LONG = set(NICKNAMES.values())
+NICKNAMES_LONG = {n for full in NICKNAMES.values() for n in full}
 
 
 def _STOP_STREET(m: re.Match) -> bool:

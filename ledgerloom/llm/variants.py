@@ -16,100 +16,117 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.graph import components
-from ledgerloom.llm.names import Name, align, initials, keys, parse
+from ledgerloom.llm.names import NICKNAMES, Name, align, initials, keys, pair_cost, parse, short_for
 from ledgerloom.session import cut
 
 BLOCK = 256  #: spellings of one group that meet in one block
 
 
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """name -> kind, trade, words (sorted, by blanks), whether it is a weak form that needs a single partner."""
+    """name -> kind, trade, words (of persons sorted), legal form, whether a Sankt stood before it."""
     for batch in batches:
         rows = []
         for text in batch["name"]:
             n = parse(text)
-            words = sorted(n.words) if n.kind == "person" else n.words
-            weak = n.kind == "acronym" or (n.kind == "org" and not n.trade) or (n.kind == "person" and any(len(w) == 1 for w in words))
-            rows.append((text, n.kind or "none", n.trade, " ".join(words), weak))
-        yield pd.DataFrame(rows, columns=["name", "kind", "trade", "words", "weak"])
+            rows.append((text, n.kind or "none", n.trade, " ".join(sorted(n.words) if n.kind == "person" else n.words), n.legal, n.saint))
+        yield pd.DataFrame(rows, columns=["name", "kind", "trade", "words", "legal", "saint"])
 
 
 def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Index entries of a node: strong ones under ``key`` with role 's'; weak ones ('w') and what they look for ('t')."""
+    """Index entries of a node. Role s meets s; n (short given names) and w (weak forms) meet t of the same key."""
     for batch in batches:
         out = []
-        for node, kind, trade, text, weak in zip(batch["node"], batch["kind"], batch["trade"], batch["words"], batch["weak"]):
+        for node, kind, trade, text, legal, saint in zip(*(batch[c] for c in ("node", "kind", "trade", "words", "legal", "saint"))):
             words = text.split(" ")
+            core = "".join(words)
             if kind == "org" and trade:
-                core = "".join(words)
                 forms = keys(core) | (keys(core[:-2]) if core.endswith("er") and len(core) > 6 else set())
-                out += [(f"o|{trade}|{k}", "s", node) for k in forms]
-                out.append((f"c|{core}", "t", node))
-                letters = initials(Name("org", words, trade))
-                out += [(f"a|{letters}", "t", node), (f"a|s{letters}", "t", node)]  # the parts leave out Sankt
+                letters = ("s" if saint else "") + initials(Name("org", words, trade))
+                out += [(f"o|{trade}|{k}", "s", node, legal) for k in forms] + [(f"c|{core}", "t", node, legal), (f"a|{letters}", "t", node, legal)]
             elif kind == "org":
-                out.append((f"c|{''.join(words)}", "w", node))
-                out += [(f"n|{k}", "s", node) for k in keys("".join(words))]
+                out += [(f"n|{k}", "s", node, legal) for k in keys(core)] + [(f"c|{core}", "w", node, legal)]
             elif kind == "acronym":
-                out.append((f"a|{words[0]}", "w", node))
+                out.append((f"a|{core}", "w", node, legal))
             elif kind == "person" and len(words) > 1:
-                for i, w in enumerate(words):
-                    rest = " ".join(words[:i] + words[i + 1 :])
-                    out += [(f"p|{len(words)}|{rest}|{k}", "s", node) for k in (keys(w) if len(w) > 3 else {w})]
-                    if not weak:
-                        long = [x for j, x in enumerate(words) if j != i]
-                        for j, x in enumerate(long):
-                            held = " ".join(sorted([words[i][0], *long[:j], *long[j + 1 :]]))
-                            out += [(f"i|{held}|{k}", "t", node) for k in keys(x)]
-                if weak:
-                    for j, x in enumerate(words):
-                        if len(x) > 3:
-                            held = " ".join(sorted(words[:j] + words[j + 1 :]))
-                            out += [(f"i|{held}|{k}", "w", node) for k in keys(x)]
-        yield pd.DataFrame(out, columns=["key", "role", "node"]).drop_duplicates()
+                out += [(k, r, node, legal) for k, r in _person(words)]
+        yield pd.DataFrame(out, columns=["key", "role", "node", "legal"]).drop_duplicates()
+
+
+def _person(words: list[str]) -> Iterator[tuple[str, str]]:
+    weak = any(len(w) == 1 for w in words)
+    for i, w in enumerate(words):
+        others = words[:i] + words[i + 1 :]
+        for k in keys(w) if len(w) > 3 else {w}:
+            yield f"p|{len(words)}|{' '.join(others)}|{k}", "s"
+        for j, x in enumerate(others):
+            held = others[:j] + others[j + 1 :]
+            marks = keys(x) if len(x) > 3 else set()
+            if weak and len(w) == 1:
+                yield from ((f"i|{' '.join(sorted([w, *held]))}|{k}", "w") for k in marks)
+            elif not weak:
+                yield from ((f"i|{' '.join(sorted([w[0], *held]))}|{k}", "t") for k in marks)
+        if not weak and len(words) == 2:  # w may be a given name, the other word the surname
+            for k in keys(others[0]) if len(others[0]) > 3 else ():
+                yield from ((f"x|{k}|f{w[0]}", "t"), (f"x|{k}|l{w[-1]}", "t"))
+                if len(w) < 8:
+                    firsts = {w[0], *(full[0] for full in NICKNAMES.get(w, ()))}
+                    yield from ((f"x|{k}|f{c}", "n") for c in firsts)
+                    yield f"x|{k}|l{w[-1]}", "n"
 
 
 def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidate pairs of nodes whose words align; a node is kind|trade|words."""
+    """Candidate pairs of nodes (kind|trade|words) whose words align and whose legal forms, where given, agree."""
     for batch in batches:
         keep = []
-        for a, b, role in zip(batch["a"], batch["b"], batch["role"]):
+        for a, b, role, la, lb in zip(*(batch[c] for c in ("a", "b", "role", "legal_a", "legal_b"))):
             ka, ta, wa = a.split("|", 2)
             kb, tb, wb = b.split("|", 2)
-            if role == "w" and "acronym" in (ka, kb):
-                keep.append(True)
-                continue
             x, y = wa.split(" "), wb.split(" ")
-            if ka == "org":
-                x, y = ["".join(x)], ["".join(y)]
-            keep.append((ta == tb or not ta or not tb) and align(x, y) is not None)
+            if "acronym" in (ka, kb):
+                keep.append(role == "w")
+            elif role == "n":
+                keep.append(any(pair_cost(x[i], y[j]) in (0.0, 1.0) and short_for(x[1 - i], y[1 - j]) for i in (0, 1) for j in (0, 1)))
+            elif ka == "org":
+                legal = not la or not lb or not set(la.split(",")).isdisjoint(lb.split(","))
+                keep.append(legal and (ta == tb or not ta or not tb) and align(["".join(x)], ["".join(y)]) is not None)
+            else:
+                keep.append(align(x, y) is not None)
         yield batch[keep]
 
 
+def _joined(groups: DataFrame, pairs: DataFrame, role: str) -> DataFrame:
+    """(node, comp) after groups whose weak forms fit one other group only have joined it."""
+    wish = pairs.where(F.col("role") == role).select(F.col("a").alias("weak"), F.col("b").alias("node")).join(groups, "node")
+    ask = wish.join(groups.select(F.col("node").alias("weak"), F.col("comp").alias("from")), "weak").where("comp <> from")
+    sole = ask.groupBy("from").agg(F.min("comp").alias("to"), F.max("comp").alias("other")).where("to = other").select("from", "to")
+    back = sole.select(F.col("from").alias("to"), F.col("to").alias("from"))
+    sole = sole.join(back.withColumn("_mutual", F.lit(True)), ["from", "to"], "left").where("_mutual is null or from > to")  # of two that ask for each other one stays
+    return groups.join(sole.select(F.col("from").alias("comp"), "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+
+
 def linked(names: DataFrame) -> DataFrame:
     """(name, entity): each distinct non-blank value of column ``name`` with the least part-key of its group.
 
     Null and blank names are left out; a name no other means is a group of its own; repeated rows count once.
     """
     distinct = names.select(F.col("name").cast("string").alias("name")).where("trim(name) <> ''").distinct()
-    named = distinct.mapInPandas(_parts, "name string, kind string, trade string, words string, weak boolean")
-    named = cut(named.withColumn("node", F.when(F.col("kind") == "none", F.concat(F.lit("none||"), "name")).otherwise(F.concat_ws("|", "kind", "trade", "words"))))
-    nodes = named.select("node", "kind", "trade", "words", "weak").distinct()
-    index = cut(nodes.where("kind <> 'none'").mapInPandas(_index, "key string, role string, node string"))
-
-    strong = index.where("role = 's'").select("key", "node")
-    same = strong.select("key", F.col("node").alias("a")).join(strong.select("key", F.col("node").alias("b")), "key").where("a < b")
-    weak = index.where("role = 'w'").select("key", F.col("node").alias("a")).join(index.where("role = 't'").select("key", F.col("node").alias("b")), "key")
-    candidates = same.select("a", "b", F.lit("s").alias("role")).unionByName(weak.select("a", "b", F.lit("w").alias("role"))).distinct()
-    pairs = cut(candidates.mapInPandas(_agree, "a string, b string, role string"))
-
-    groups = components(pairs.where("role = 's'").select("a", "b"))
-    grouped = cut(nodes.select("node").distinct().join(groups, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
-    wish = pairs.where("role = 'w'").select(F.col("a").alias("weak"), F.col("b").alias("node")).join(grouped, "node")
-    ask = wish.join(grouped.select(F.col("node").alias("weak"), F.col("comp").alias("from")), "weak").where("comp <> from")
-    sole = ask.groupBy("from").agg(F.min("comp").alias("to"), F.max("comp").alias("other")).where("to = other")
-    moved = grouped.join(sole.select(F.col("from").alias("comp"), "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("entity"))
-    return named.select("name", "node").join(moved, "node").select("name", "entity")
+    parts = distinct.mapInPandas(_parts, "name string, kind string, trade string, words string, legal string, saint boolean")
+    named = cut(parts.withColumn("node", F.when(F.col("kind") == "none", F.concat(F.lit("none||"), "name")).otherwise(F.concat_ws("|", "kind", "trade", "words"))))
+    forms = F.array_join(F.array_sort(F.collect_set(F.nullif("legal", F.lit("")))), ",")
+    nodes = named.groupBy("node", "kind", "trade", "words").agg(forms.alias("legal"), F.max("saint").alias("saint"))
+    index = cut(nodes.where("kind <> 'none'").mapInPandas(_index, "key string, role string, node string, legal string"))
+
+    side = lambda role, n: index.where(role).select("key", "role", F.col("node").alias(n), F.col("legal").alias(f"legal_{n}"))
+    same = side("role = 's'", "a").join(side("role = 's'", "b").drop("role"), "key").where("a < b")
+    weak = side("role in ('n', 'w')", "a").join(side("role = 't'", "b").drop("role"), "key").where("a <> b")
+    candidates = same.unionByName(weak).drop("key").distinct()
+    pairs = cut(candidates.mapInPandas(_agree, "role string, a string, legal_a string, b string, legal_b string"))
+
+    strong = components(pairs.where("role = 's'").select("a", "b"))
+    groups = nodes.select("node").distinct().join(strong, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    for role in ("n", "w"):
+        groups = cut(_joined(groups, pairs, role))
+    return named.select("name", "node").join(groups.withColumnRenamed("comp", "entity"), "node").select("name", "entity")
 
 
 def name_pairs(groups: DataFrame) -> DataFrame:
