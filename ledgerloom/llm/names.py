@@ -43,77 +43,20 @@ TITLES = {"dr", "med", "dent", "vet", "phil", "lic", "iur", "oec", "prof", "dipl
 #: Endings of Swiss place names; such a word after a name is a place.
 _SURE_PLACE = re.compile(r"(ikon|wil|bueel|dorf|hofen|lingen|matt|stetten)$")
 # Short forms of given names and the names they stand for, folded.
-NICKNAMES = {
-    short: tuple(full.split("|"))
-    for full, shorts in {
-        "alexander": "alex sandro xandi lexi", "andreas": "res andi andy endi resli", "annesophie": "sophie anni anne annso", "antoinette": "toni nettli nette toinette", "benedikt": "beni bene benni dikt",
-        "bernadette": "berni detti dette bernie", "christoph": "chrigu christof stoffel chris chrigel stoeffu", "dorothea|theodora": "thea dora", "dorothea": "doris dorli dorthe", "dragana": "draga gana", "elisabeth": "lisbeth elsbeth betli lisi beth sisi liseli bethli lisa elsa",
-        "etienne": "tienne eti stephan", "flurin": "flu fluri rin", "franziska": "fraenzi franzi ziska fraeni", "friedrich": "fritz fridli friedel fredi fritzli", "genevieve": "gene vieve ginette viv", "gianluca": "luca gian gigi", "giuseppina": "giusi pina peppina beppina", "jakob": "koebi jack joggi jaggi",
-        "johannes": "hannes hans joh haensel hansli", "katharina": "kathrin kathi kaethi trini katja kaetheli rina", "ladina": "dina ladi", "leonhard": "leo lienhard hardy leni", "luis": "lu lui", "magdalena": "magda lena leni madlen", "margrit": "gritli greti margrith margret maegi grit",
-        "matthias": "maetthu mathias hias thias matze maettu", "maximilian": "max maxi mex", "noemie": "noemi mie emi nono", "raffaele": "raffi lele raf", "regula": "regi regeli regle regu", "rosmarie": "roesli rosi rosmari roesi marie", "sebastian": "basti sebi bastian seb", "silvan": "silvi silu silvano",
-        "susanne": "susi sanne susann susanna suse", "theodora": "theo dora", "ulrich": "ueli uli ulli", "ursula": "ursi uschi urseli ursel ursle", "verena": "vreni vre vreneli vere", "yannick": "yann yanni nick", "zeynep": "zeyno zey zeyni", "rudolf": "ruedi rudi", "josef": "sepp seppi", "peter": "pesche peterli", "heinrich": "heiri heini", "walter": "waelti walti",
-        "barbara": "babs baerbel", "margaretha": "gretli grethe", "maria": "mia mizzi", "anna": "aenni anneli", "werner": "werni", "ernst": "aschi", "daniel": "daenu dani", "thomas": "tom toemu", "michael": "michi mike", "markus": "kusi max", "stefan": "steff stefu", "martin": "tinu martl",
-    }.items()
-    for short in shorts.split()
+_SHORT = {
+    "alexander": "alex sandro xandi lexi", "andreas": "res andi andy endi resli", "annesophie": "sophie anni anne annso", "antoinette": "toni nettli nette toinette", "benedikt": "beni bene benni dikt",
+    "bernadette": "berni detti dette bernie", "christoph": "chrigu christof stoffel chris chrigel stoeffu", "dorothea|theodora": "thea dora", "dorothea": "doris dorli dorthe", "dragana": "draga gana", "elisabeth": "lisbeth elsbeth betli lisi beth sisi liseli bethli lisa elsa",
+    "etienne": "tienne eti stephan", "flurin": "flu fluri rin", "franziska": "fraenzi franzi ziska fraeni", "friedrich": "fritz fridli friedel fredi fritzli", "genevieve": "gene vieve ginette viv", "gianluca": "luca gian gigi", "giuseppina": "giusi pina peppina beppina", "jakob": "koebi jack joggi jaggi",
+    "johannes": "hannes hans joh haensel hansli", "katharina": "kathrin kathi kaethi trini katja kaetheli rina", "ladina": "dina ladi", "leonhard": "leo lienhard hardy leni", "luis": "lu lui", "magdalena": "magda lena leni madlen", "margrit": "gritli greti margrith margret maegi grit",
+    "matthias": "maetthu mathias hias thias matze maettu", "maximilian": "max maxi mex", "noemie": "noemi mie emi nono", "raffaele": "raffi lele raf", "regula": "regi regeli regle regu", "rosmarie": "roesli rosi rosmari roesi marie", "sebastian": "basti sebi bastian seb", "silvan": "silvi silu silvano",
+    "susanne": "susi sanne susann susanna suse", "theodora": "theo dora", "ulrich": "ueli uli ulli", "ursula": "ursi uschi urseli ursel ursle", "verena": "vreni vre vreneli vere", "yannick": "yann yanni nick", "zeynep": "zeyno zey zeyni", "rudolf": "ruedi rudi", "josef": "sepp seppi", "peter": "pesche peterli", "heinrich": "heiri heini", "walter": "waelti walti",
+    "barbara": "babs baerbel", "margaretha": "gretli grethe", "maria": "mia mizzi", "anna": "aenni anneli", "werner": "werni", "ernst": "aschi", "daniel": "daenu dani", "thomas": "tom toemu", "michael": "michi mike", "markus": "kusi max", "stefan": "steff stefu", "martin": "tinu martl",
 }
+NICKNAMES: dict[str, set[str]] = {}
+for _full, _shorts in _SHORT.items():
+    for _one in _shorts.split():
+        NICKNAMES.setdefault(_one, set()).update(_full.split("|"))
 
-
-def short_for(short: str, full: str) -> bool:
-    """Whether one given name is a short form of another: by the list, or its beginning, end or stem."""
-    if len(short) >= len(full) + 1 or short == full or len(short) < 2:
-        return False
-    stem = 0
-    while stem < min(len(short), len(full)) and short[stem] == full[stem]:
-        stem += 1
-    return full in NICKNAMES.get(short, ()) or full.startswith(short) or (len(short) > 2 and full.endswith(short)) or (stem > 2 and len(short) < 7 and len(short) < len(full))
-
-
-_UMLAUTS = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l"})
-
-
-def fold_name(text: str) -> str:
-    """Without case and accents, umlauts written out, look-alike letters Latin."""
-    t = text.lower()
-    if not t.isascii():
-        t = unicodedata.normalize("NFC", bare(text).casefold().translate(_FOLD_LOOKS)).translate(_UMLAUTS)
-        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
-    return t
-
-
-def collapse(word: str) -> str:
-    """A folded word with umlauts as one letter: a slip in one is then a single edit too."""
-    return word.replace("ae", "ä").replace("oe", "ö").replace("ue", "ü")
-
-
-# Words for a line of business.
-TRADES = (
-    "treuhand kindertagesstaette maschinenfabrik sparkasse bauunternehmung logistik transporte versicherung immobilien "
-    "hilfswerk privatbank schreinerei weiterbildung malergeschaeft krankenkasse elektrotechnik vorsorge "
-    "genossenschaftsbank apotheke pharma kantonalbank stiftung gartenbau sanitaer werke raiffeisenbank regionalbank "
-    "hypothekarbank baeckerei metzgerei garage druckerei verlag hotel restaurant klinik spital praxis architektur "
-    "ingenieure informatik reisen optik drogerie spenglerei zimmerei bedachungen pensionskasse ausgleichskasse "
-    "kinderkrippe fahrschule sprachschule reinigung gastronomie energie handel"
-).split()
-SHORT_TRADES = {"kk": "krankenkasse", "kita": "kindertagesstaette", "kb": "kantonalbank", "pk": "pensionskasse"}
-# Legal forms and titles.
-LEGAL = {"ag", "sa", "gmbh", "sarl", "genossenschaft", "gen", "co", "cie", "aktiengesellschaft", "verein", "kg", "ltd", "inc", "srl", "spa", "llc", "kollektivgesellschaft", "einzelfirma"}
-TITLES = {"dr", "med", "dent", "vet", "phil", "lic", "iur", "oec", "prof", "dipl", "ing", "rer", "pol", "pharm", "nat", "mag", "msc", "bsc", "mba", "eth", "fmh", "herr", "frau", "hr", "fr", "herrn", "mme", "madame", "monsieur", "signor", "signora", "sig", "familie"}
-#: Endings of Swiss place names; such a word after a name is a place.
-_SURE_PLACE = re.compile(r"(ikon|wil|bueel|dorf|hofen|lingen|matt|stetten)$")
-# Short forms of given names.
-NICKNAMES = {
-    "roesli": "rosmarie", "rosi": "rosmarie", "rosmari": "rosmarie", "roesi": "rosmarie", "res": "andreas", "andi": "andreas", "andy": "andreas", "endi": "andreas",
-    "alex": "alexander", "sandro": "alexander", "xandi": "alexander", "beni": "benedikt", "bene": "benedikt", "benni": "benedikt",
-    "berni": "bernadette", "detti": "bernadette", "bernie": "bernadette", "chrigu": "christoph", "christof": "christoph", "stoffel": "christoph", "chris": "christoph", "chrigel": "christoph",
-    "doris": "dorothea", "dora": "dorothea", "dorli": "dorothea", "thea": "dorothea", "lisbeth": "elisabeth", "elsbeth": "elisabeth", "betli": "elisabeth", "lisi": "elisabeth", "beth": "elisabeth", "sisi": "elisabeth", "liseli": "elisabeth",
-    "fraenzi": "franziska", "franzi": "franziska", "fritz": "friedrich", "fridli": "friedrich", "friedel": "friedrich", "hannes": "johannes", "hans": "johannes", "joh": "johannes", "haensel": "johannes",
-    "koebi": "jakob", "jack": "jakob", "joggi": "jakob", "kathrin": "katharina", "kathi": "katharina", "kaethi": "katharina", "trini": "katharina", "katja": "katharina",
-    "leo": "leonhard", "lienhard": "leonhard", "hardy": "leonhard", "magda": "magdalena", "lena": "magdalena", "leni": "magdalena", "margrith": "margrit", "gritli": "margrit", "greti": "margrit", "margret": "margrit", "maegi": "margrit",
-    "mathias": "matthias", "hias": "matthias", "thias": "matthias", "matze": "matthias", "max": "maximilian", "maxi": "maximilian", "regi": "regula", "regeli": "regula", "regle": "regula", "basti": "sebastian", "sebi": "sebastian", "bastian": "sebastian",
-    "susi": "susanne", "sanne": "susanne", "susann": "susanne", "susanna": "susanne", "theo": "theodora", "dorli2": "theodora", "ueli": "ulrich", "uli": "ulrich", "ruedi": "rudolf", "ursi": "ursula", "uschi": "ursula", "urseli": "ursula", "ursel": "ursula",
-    "vreni": "verena", "vre": "verena", "vreneli": "verena", "toni": "antoinette", "nettli": "antoinette", "giusi": "giuseppina", "pina": "giuseppina", "peppina": "giuseppina", "raffi": "raffaele", "lele": "raffaele", "yann": "yannick", "yanni": "yannick",
-    "noemi": "noemie", "gianluca": "gianluca", "luca": "gianluca", "annesophie": "annesophie", "anneso": "annesophie", "gene": "genevieve", "ginette": "genevieve", "viviane": "vivienne", "silvano": "silvan", "sepp": "josef", "seppi": "josef", "bethli": "elisabeth",
-}
 _FORMS = (
     (re.compile(r"(?:&|\b(?:u|und|et)\b\.?) ?(?:co|cie)\b\.?"), " co "),
     (re.compile(r"\bg\. ?m\. ?b\. ?h\b\.?"), " gmbh "),
@@ -128,8 +71,6 @@ _TOKEN = re.compile(r"[a-z0-9]+(?:['][a-z0-9]+)*\.?|&")
 _POSTCODE = re.compile(r"\b(?:ch|a|d|f|i|fl)?[- ]?\d{4,5}\b")
 
 
-
-
 def distance(a: str, b: str, most: int = 2) -> int:
     """Damerau-Levenshtein distance (adjacent transpositions count one), ``most + 1`` beyond ``most``."""
     if a == b:
@@ -277,15 +218,26 @@ def glued_trade(token: str, dotted: bool = False) -> tuple[str, str, int] | None
 _BY_LENGTH = sorted(TRADES, key=lambda w: (-len(w), w))
 
 
+def short_for(short: str, full: str) -> bool:
+    """Whether one given name is a short form of another: by the list, or its beginning, end or stem."""
+    if len(short) >= len(full) + 1 or short == full or len(short) < 2:
+        return False
+    stem = 0
+    while stem < min(len(short), len(full)) and short[stem] == full[stem]:
+        stem += 1
+    return full in NICKNAMES.get(short, ()) or full.startswith(short) or (len(short) > 2 and full.endswith(short)) or (stem > 2 and len(short) < 7 and len(short) < len(full))
+
+
 @dataclass
 class Name:
-    """The parts of a name: kind is org, person, acronym or ''; legal form and a Sankt before the name, where given."""
+    """The parts of a name: kind is org, person, acronym or ''; legal form, a Sankt before the name and a place, where given."""
 
     kind: str = ""
     words: list[str] = field(default_factory=list)
     trade: str = ""
     legal: str = ""
     saint: bool = False
+    place: str = ""
 
 
 def parse(text: str | None) -> Name:
@@ -298,10 +250,11 @@ def parse(text: str | None) -> Name:
     s, saints = _SAINT.subn(" ", s)
     segments = [p for p in s.split(",") if p.strip()]
     words: list[tuple[str, bool]] = []  # word, whether a dot followed
-    trade, titled, legal = "", False, ""
+    trade, titled, legal, place = "", False, "", ""
     for n, segment in enumerate(segments):
-        if n and _POSTCODE.search(segment):
-            segment = segment[: _POSTCODE.search(segment).start()]
+        if n and (code := _POSTCODE.search(segment)):
+            place = "".join(_TOKEN.findall(segment[code.end() :])[:1]) or place
+            segment = segment[: code.start()]
         else:
             segment = _POSTCODE.sub(" ", segment)
         for part in re.split(r"[ /]+", segment.strip()):
@@ -318,7 +271,7 @@ def parse(text: str | None) -> Name:
                 elif not trade and (got := trade_of(word, dotted)):
                     trade = got[0]
                 elif n and _SURE_PLACE.search(word):
-                    continue
+                    place = word
                 elif word.isdigit() or word in {"&", "und", "et"}:
                     continue
                 else:
@@ -332,7 +285,8 @@ def parse(text: str | None) -> Name:
                     words[i], trade = (got[0], False), got[1]
                     break
         kept = [words[0][0]] + [w for w, _ in words[1:] if not _SURE_PLACE.search(w)]
-        return Name("org", kept, trade, legal, saints > 0)
+        place = place or next((w for w, _ in words[1:] if _SURE_PLACE.search(w)), "")
+        return Name("org", kept, trade, legal, saints > 0, place)
     if len(words) == 1:
         word, dotted = words[0]
         if got := glued_trade(word, dotted):

@@ -23,33 +23,33 @@ BLOCK = 256  #: spellings of one group that meet in one block
 
 
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """name -> kind, trade, words (of persons sorted), legal form, whether a Sankt stood before it."""
+    """name -> kind, trade, words (of persons sorted), marks (legal form, place), whether a Sankt stood before it."""
     for batch in batches:
         rows = []
         for text in batch["name"]:
             n = parse(text)
-            rows.append((text, n.kind or "none", n.trade, " ".join(sorted(n.words) if n.kind == "person" else n.words), n.legal, n.saint))
-        yield pd.DataFrame(rows, columns=["name", "kind", "trade", "words", "legal", "saint"])
+            rows.append((text, n.kind or "none", n.trade, " ".join(sorted(n.words) if n.kind == "person" else n.words), [k + v for k, v in (("l:", n.legal), ("p:", n.place)) if v], n.saint))
+        yield pd.DataFrame(rows, columns=["name", "kind", "trade", "words", "marks", "saint"])
 
 
 def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Index entries of a node. Role s meets s; n (short given names) and w (weak forms) meet t of the same key."""
     for batch in batches:
         out = []
-        for node, kind, trade, text, legal, saint in zip(*(batch[c] for c in ("node", "kind", "trade", "words", "legal", "saint"))):
+        for node, kind, trade, text, marks, saint in zip(*(batch[c] for c in ("node", "kind", "trade", "words", "marks", "saint"))):
             words = text.split(" ")
             core = "".join(words)
             if kind == "org" and trade:
                 forms = keys(core) | (keys(core[:-2]) if core.endswith("er") and len(core) > 6 else set())
                 letters = ("s" if saint else "") + initials(Name("org", words, trade))
-                out += [(f"o|{trade}|{k}", "s", node, legal) for k in forms] + [(f"c|{core}", "t", node, legal), (f"a|{letters}", "t", node, legal)]
+                out += [(f"o|{trade}|{k}", "s", node, marks) for k in forms] + [(f"c|{core}", "t", node, marks), (f"a|{letters}", "t", node, marks)]
             elif kind == "org":
-                out += [(f"n|{k}", "s", node, legal) for k in keys(core)] + [(f"c|{core}", "w", node, legal)]
+                out += [(f"n|{k}", "s", node, marks) for k in keys(core)] + [(f"c|{core}", "w", node, marks)]
             elif kind == "acronym":
-                out.append((f"a|{core}", "w", node, legal))
+                out.append((f"a|{core}", "w", node, marks))
             elif kind == "person" and len(words) > 1:
-                out += [(k, r, node, legal) for k, r in _person(words)]
-        yield pd.DataFrame(out, columns=["key", "role", "node", "legal"]).drop_duplicates()
+                out += [(k, r, node, marks) for k, r in _person(words)]
+        yield pd.DataFrame(out, columns=["key", "role", "node", "marks"]).drop_duplicates()
 
 
 def _person(words: list[str]) -> Iterator[tuple[str, str]]:
@@ -74,11 +74,21 @@ def _person(words: list[str]) -> Iterator[tuple[str, str]]:
                     yield f"x|{k}|l{w[-1]}", "n"
 
 
+def _compatible(a: str, b: str) -> bool:
+    """No kind of mark is given on both sides without one in common."""
+    x, y = a.split(",") if a else [], b.split(",") if b else []
+    for kind in ("l:", "p:"):
+        p, q = {m for m in x if m.startswith(kind)}, {m for m in y if m.startswith(kind)}
+        if p and q and p.isdisjoint(q):
+            return False
+    return True
+
+
 def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidate pairs of nodes (kind|trade|words) whose words align and whose legal forms, where given, agree."""
+    """Candidate pairs of nodes (kind|trade|words) whose words align and whose legal forms and places, where given, agree."""
     for batch in batches:
         keep = []
-        for a, b, role, la, lb in zip(*(batch[c] for c in ("a", "b", "role", "legal_a", "legal_b"))):
+        for a, b, role, ma, mb in zip(*(batch[c] for c in ("a", "b", "role", "marks_a", "marks_b"))):
             ka, ta, wa = a.split("|", 2)
             kb, tb, wb = b.split("|", 2)
             x, y = wa.split(" "), wb.split(" ")
@@ -87,8 +97,7 @@ def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             elif role == "n":
                 keep.append(any(pair_cost(x[i], y[j]) in (0.0, 1.0) and short_for(x[1 - i], y[1 - j]) for i in (0, 1) for j in (0, 1)))
             elif ka == "org":
-                legal = not la or not lb or not set(la.split(",")).isdisjoint(lb.split(","))
-                keep.append(legal and (ta == tb or not ta or not tb) and align(["".join(x)], ["".join(y)]) is not None)
+                keep.append(_compatible(ma, mb) and (ta == tb or not ta or not tb) and align(["".join(x)], ["".join(y)]) is not None)
             else:
                 keep.append(align(x, y) is not None)
         yield batch[keep]
@@ -110,17 +119,17 @@ def linked(names: DataFrame) -> DataFrame:
     Null and blank names are left out; a name no other means is a group of its own; repeated rows count once.
     """
     distinct = names.select(F.col("name").cast("string").alias("name")).where("trim(name) <> ''").distinct()
-    parts = distinct.mapInPandas(_parts, "name string, kind string, trade string, words string, legal string, saint boolean")
+    parts = distinct.mapInPandas(_parts, "name string, kind string, trade string, words string, marks array<string>, saint boolean")
     named = cut(parts.withColumn("node", F.when(F.col("kind") == "none", F.concat(F.lit("none||"), "name")).otherwise(F.concat_ws("|", "kind", "trade", "words"))))
-    forms = F.array_join(F.array_sort(F.collect_set(F.nullif("legal", F.lit("")))), ",")
-    nodes = named.groupBy("node", "kind", "trade", "words").agg(forms.alias("legal"), F.max("saint").alias("saint"))
-    index = cut(nodes.where("kind <> 'none'").mapInPandas(_index, "key string, role string, node string, legal string"))
+    every = named.select("node", F.explode("marks").alias("m")).distinct().groupBy("node").agg(F.array_join(F.array_sort(F.collect_list("m")), ",").alias("marks"))
+    nodes = named.groupBy("node", "kind", "trade", "words").agg(F.max("saint").alias("saint")).join(every, "node", "left").fillna("", ["marks"])
+    index = cut(nodes.where("kind <> 'none'").mapInPandas(_index, "key string, role string, node string, marks string"))
 
-    side = lambda role, n: index.where(role).select("key", "role", F.col("node").alias(n), F.col("legal").alias(f"legal_{n}"))
+    side = lambda role, n: index.where(role).select("key", "role", F.col("node").alias(n), F.col("marks").alias(f"marks_{n}"))
     same = side("role = 's'", "a").join(side("role = 's'", "b").drop("role"), "key").where("a < b")
     weak = side("role in ('n', 'w')", "a").join(side("role = 't'", "b").drop("role"), "key").where("a <> b")
     candidates = same.unionByName(weak).drop("key").distinct()
-    pairs = cut(candidates.mapInPandas(_agree, "role string, a string, legal_a string, b string, legal_b string"))
+    pairs = cut(candidates.mapInPandas(_agree, "role string, a string, marks_a string, b string, marks_b string"))
 
     strong = components(pairs.where("role = 's'").select("a", "b"))
     groups = nodes.select("node").distinct().join(strong, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))

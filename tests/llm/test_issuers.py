@@ -61,6 +61,17 @@ def test_variants_are_linked(spark):
     assert name_pairs(linked(df.limit(0))).count() == 0
 
 
+def test_marks_keep_groups_apart(spark):
+    names = ["Glimeririst Treuhand AG, 5554 Grünbüel", "Glimeririst Treuhand AG", "Glimerarist Treuhand AG, 3861 Oberwil", "Alorum Pharma AG", "Alorun Pharma GmbH", "Alorun Pharma", "Dr. med. Ladina Zerul", "Dina Zerul", "Zerul, L.", "Luzia Zerulo"]
+    by = {}
+    for r in linked(spark.createDataFrame([(n,) for n in names], "name string")).collect():
+        by.setdefault(r.entity, set()).add(r.name)
+    sets = sorted(map(sorted, by.values()))
+    assert ["Glimeririst Treuhand AG", "Glimeririst Treuhand AG, 5554 Grünbüel"] in sets and ["Glimerarist Treuhand AG, 3861 Oberwil"] in sets
+    assert ["Alorum Pharma AG"] in sets and ["Alorun Pharma", "Alorun Pharma GmbH"] in sets
+    assert ["Dina Zerul", "Dr. med. Ladina Zerul", "Zerul, L."] in sets and ["Luzia Zerulo"] in sets
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(1)
     edges = [(f"n{rng.randint(0, 60):02d}", f"n{rng.randint(0, 60):02d}") for _ in range(45)] + [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(30)]
