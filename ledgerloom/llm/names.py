@@ -205,7 +205,7 @@ def glued_trade(token: str, dotted: bool = False) -> tuple[str, str, int] | None
             return token[: -len(w)], w, 0
     for w in _BY_LENGTH:
         if len(w) > 5:
-            for size in (len(w), len(w) - 1, len(w) + 1, len(w) + 2):
+            for size in (len(w), len(w) - 1, len(w) + 1, len(w) - 2, len(w) + 2):
                 rest, end = token[:-size], token[-size:]
                 if len(rest) > 3 and end[0] == w[0] and apart(end, w, 1) == 1:
                     return rest, w, 1

@@ -85,29 +85,35 @@ def _compatible(a: str, b: str) -> bool:
 
 
 def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidate pairs of nodes (kind|trade|words) whose words align and whose legal forms and places, where given, agree."""
+    """Candidate pairs of nodes (kind|trade|words) whose words align and whose legal forms and places, where given,
+    agree, with the cost of the alignment."""
     for batch in batches:
-        keep = []
-        for a, b, role, ma, mb in zip(*(batch[c] for c in ("a", "b", "role", "marks_a", "marks_b"))):
-            ka, ta, wa = a.split("|", 2)
-            kb, tb, wb = b.split("|", 2)
-            x, y = wa.split(" "), wb.split(" ")
-            if "acronym" in (ka, kb):
-                keep.append(role == "w")
-            elif role == "n":
-                keep.append(any(pair_cost(x[i], y[j]) in (0.0, 1.0) and short_for(x[1 - i], y[1 - j]) for i in (0, 1) for j in (0, 1)))
-            elif ka == "org":
-                keep.append(_compatible(ma, mb) and (ta == tb or not ta or not tb) and align(["".join(x)], ["".join(y)]) is not None)
-            else:
-                keep.append(align(x, y) is not None)
-        yield batch[keep]
+        costs = [_cost(*x) for x in zip(*(batch[c] for c in ("a", "b", "role", "marks_a", "marks_b")))]
+        out = batch.assign(cost=pd.array(costs, dtype="Float64"))
+        yield out[out["cost"].notna()]
+
+
+def _cost(a: str, b: str, role: str, marks_a: str, marks_b: str) -> float | None:
+    ka, ta, wa = a.split("|", 2)
+    kb, tb, wb = b.split("|", 2)
+    x, y = wa.split(" "), wb.split(" ")
+    if "acronym" in (ka, kb):
+        return 0.0 if role == "w" else None
+    if role == "n":
+        found = [c for i in (0, 1) for j in (0, 1) if (c := pair_cost(x[i], y[j])) in (0.0, 1.0) and short_for(x[1 - i], y[1 - j])]
+        return min(found, default=None)
+    if ka == "org":
+        ok = _compatible(marks_a, marks_b) and (ta == tb or not ta or not tb)
+        return align(["".join(x)], ["".join(y)]) if ok else None
+    return align(x, y)
 
 
 def _joined(groups: DataFrame, pairs: DataFrame, role: str) -> DataFrame:
-    """(node, comp) after groups whose weak forms fit one other group only have joined it."""
-    wish = pairs.where(F.col("role") == role).select(F.col("a").alias("weak"), F.col("b").alias("node")).join(groups, "node")
+    """(node, comp) after groups whose weak forms fit one other group best have joined it."""
+    wish = pairs.where(F.col("role") == role).select(F.col("a").alias("weak"), F.col("b").alias("node"), "cost").join(groups, "node")
     ask = wish.join(groups.select(F.col("node").alias("weak"), F.col("comp").alias("from")), "weak").where("comp <> from")
-    sole = ask.groupBy("from").agg(F.min("comp").alias("to"), F.max("comp").alias("other")).where("to = other").select("from", "to")
+    best = ask.groupBy("from").agg(F.min("cost").alias("cost"))
+    sole = ask.join(best, ["from", "cost"]).groupBy("from").agg(F.min("comp").alias("to"), F.max("comp").alias("other")).where("to = other").select("from", "to")
     back = sole.select(F.col("from").alias("to"), F.col("to").alias("from"))
     sole = sole.join(back.withColumn("_mutual", F.lit(True)), ["from", "to"], "left").where("_mutual is null or from > to")  # of two that ask for each other one stays
     return groups.join(sole.select(F.col("from").alias("comp"), "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
@@ -129,7 +135,7 @@ def linked(names: DataFrame) -> DataFrame:
     same = side("role = 's'", "a").join(side("role = 's'", "b").drop("role"), "key").where("a < b")
     weak = side("role in ('n', 'w')", "a").join(side("role = 't'", "b").drop("role"), "key").where("a <> b")
     candidates = same.unionByName(weak).drop("key").distinct()
-    pairs = cut(candidates.mapInPandas(_agree, "role string, a string, marks_a string, b string, marks_b string"))
+    pairs = cut(candidates.mapInPandas(_agree, "role string, a string, marks_a string, b string, marks_b string, cost double"))
 
     strong = components(pairs.where("role = 's'").select("a", "b"))
     groups = nodes.select("node").distinct().join(strong, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
