@@ -25,8 +25,8 @@ WORDS = {
     "asshole assholes bastard bastards scumbag moron morons moronic motherfucker dickhead wanker cunt bitch whore slut douchebag jackass dumbass shithead idiots imbecile arsehole twat halfwit "
     "cretin cretins cretine abruti abrutis abrutie salaud salauds salope connard connards connasse imbeciles encule enculee batard ordure enfoire enfoires fdp pute debile crevard bouffon trouduc "
     "stronzo stronza stronzi idiota idioti cretino cretina cretini imbecille imbecilli coglione coglioni bastardo bastardi puttana troia merdoso deficiente",
-    "WEAKINSULT": "null affe affen schwein schweine sau saeue ochse esel dreck stueck dumm strohdumm doof bloed haesslich hirnlos hirnlose hirnloser verlogen verlogene widerlich abschaum luder pack ratte ratten wertlos wertloses wertloser wertlose hirn scheisse nichtsnutz versager mutter vergessen abgegeben "
-    "worthless ugly stupid pathetic waste shit dumb brainless trash garbage pig pigs rat rats filthy loser scum piece "
+    "WEAKINSULT": "null affe affen schwein schweine sau saeue ochse esel dreck stueck dumm strohdumm doof bloed haesslich hirnlos hirnlose hirnloser verlogen verlogene widerlich abschaum luder pack ratte ratten wertlos wertloses wertloser wertlose korrupt korrupte korruptes korrupter hirn scheisse nichtsnutz versager mutter vergessen abgegeben "
+    "worthless ugly stupid pathetic corrupt waste shit dumb brainless trash garbage pig pigs rat rats filthy loser scum piece "
     "porc porcs merde con cons nul nulle laid moche stupide sale bande vermine minable "
     "stupido stupida schifoso schifosa merda porco porci maiale maiali",
     "COMMAND": "friss verpiss sonstwohin vaffanculo",
@@ -47,6 +47,8 @@ WORDS = {
     "I": "ich mich mir wir uns i me my we je j me moi mon nous io mi mio",
     "WHO": "welcher welche solche solcher dieser diese quel quelle quels whoever which these ces questi typisch solange",
     "PERSON": "tante frau mann typ kerl dame weib tussi alte alter chef chefin mitarbeiter mitarbeiterin beamter beamte sachbearbeiter sachbearbeiterin lady guy woman man clerk idiotin femme type bonhomme mec dame signora tizio tipo donna uomo",
+    "BE": "seid sind bist are etes es sei siete",
+    "BEAST": "affe affen schwein schweine sau saeue ratte ratten esel ochse ochsen hund hunde parasiten ungeziefer abschaum pack pig pigs rat rats dog dogs scum vermin porc porcs chien chiens maiale maiali porco porci ratti bestie",
     "NOT": "nicht kein keine keinen keiner not never isn no pas jamais non mai nessun",
     "REPORT": "beschimpft beschimpfung beschimpfungen bedroht bedrohung beleidigt beleidigung beleidigungen gemeldet protokolliert angezeigt strafanzeige opfer erkennen praevention vorfall nannte sagte zitat reported complaint insulted threatened victim victims awareness recognise recognize prevention quoted signale insulte insultes menaces victime victimes plainte haine segnalato insultato minacciato vittima vittime denuncia odio",
     "NEUTRAL": "kurs cours corso beratung schaedlingsbekaempfung kammerjaeger pest derattizzazione tierarzt veterinaire veterinary veterinario kastration sterilisation screening gynaekologie ginecologica gynecologie urologie sexologie sexologist sexology therapie konsultation consultation visita dorffest lesung theater ausstellung museum medizin medizinisch* verhuetung schwangerschaft education aufklaerung dachstock desinfestazione deratisation labor",
@@ -81,6 +83,7 @@ PATTERNS = (
     ("insult", "PERSON ~5 WEAKINSULT ~3 WEAKINSULT", 1.0),
     ("insult", "WEAKINSULT ~9 YOU ~2 WEAKINSULT", 1.2),
     ("insult", "WEAKINSULT ~4 YOU", 0.6),
+    ("insult", "YOU ~1 BE ~5 BEAST", 1.1),
     ("insult", "COMMAND", 1.1),
     ("threat", "VIOLENT", 0.8),
     ("threat", "VIOLENT ~4 VIOLENT", 1.1),
@@ -151,7 +154,7 @@ class Lexicon:
         parts = {p for entries in self.phrases.values() for words, _ in entries for p in words if len(p) > 3}
         self.hidden: dict[tuple[str, str, int], list[str]] = {}
         self.squeezed: dict[str, str] = {}
-        for w in sorted(strong | parts, key=lambda w: (w not in strong, w)):
+        for w in sorted(strong | parts, key=lambda w: (w not in strong, not self.words.get(w, 0) & _BIT["INSULT"], w)):
             self.hidden.setdefault((w[0], w[-1], len(w)), []).append(w)
             self.squeezed.setdefault(squeezed(w), w)
         self.near: dict[str, str] = {}
@@ -162,6 +165,15 @@ class Lexicon:
                     self.near.setdefault(w[:i] + w[i + 1 :], w)
                     if i + 1 < len(w):
                         self.near.setdefault(w[:i] + w[i + 1] + w[i] + w[i + 2 :], w)
+        commands = {p for words, bit in (e for es in self.phrases.values() for e in es) if bit == _BIT["COMMAND"] for p in words if len(p) > 6}
+        for w in sorted(commands):
+            for i in range(len(w)):
+                self.near.setdefault(w[:i] + "?" + w[i + 1 :], w)
+                self.near.setdefault(w[:i] + w[i + 1 :], w)
+        for w in sorted(strong):
+            if len(w) > 5 and not self.words[w] & _TYPED:
+                for i in range(1, len(w) - 1):
+                    self.near.setdefault(w[:i] + w[i + 1] + w[i] + w[i + 2 :], w)
         self.written: dict[str, str] = {}
         self.cache: dict[str, int] = {}
 
@@ -204,11 +216,11 @@ class Lexicon:
             return word
         if _TRIPLE.search(word) and squeezed(word) in self.squeezed:
             return self.squeezed[squeezed(word)]
+        if len(word) > 5 and word in self.near:
+            return self.near[word]
         if len(word) > 6:
             if squeezed(word) != word and squeezed(word) in self.squeezed and self.words.get(self.squeezed[squeezed(word)], 0) & _TYPED:
                 return self.squeezed[squeezed(word)]
-            if word in self.near:
-                return self.near[word]
             for i in range(len(word)):
                 if (w := self.near.get(word[:i] + "?" + word[i + 1 :])) or (w := word[:i] + word[i + 1 :]) in self.words and self.words[w] & _TYPED and len(w) > 6:
                     return w

@@ -108,10 +108,19 @@ def doubtful_runs(plain: str) -> list[tuple[str, str]]:
     return list(dict.fromkeys((r, c) for r in _LETTERS.findall(plain) if not r.isascii() and (c := consistent_run(r)) and c != r))
 
 
-def asked_words(consistent: str) -> list[str]:
-    """The words of which one must be known for a run to be repaired: itself, or without an initial glued to it."""
+_CAPITAL = re.compile(r"(?<=[^\W\d_])(?=[A-ZÄÖÜÉÈÀ][^\W\d_A-ZÄÖÜÉÈÀ])")
+
+
+def readings(consistent: str) -> list[list[str]]:
+    """Words of which all of one list must be known for a run to be repaired: the run itself, the run without an
+    initial glued to it, or the parts of words glued together."""
     word = consistent.lower()
-    return [word, word[1:]] if len(word) > 5 else [word]
+    parts = [p.lower() for p in _CAPITAL.split(consistent)]
+    return [[word]] + ([[word[1:]]] if len(word) > 5 else []) + ([parts] if len(parts) > 1 else [])
+
+
+def _is_known(consistent: str, known: set[str]) -> bool:
+    return any(known.issuperset(r) for r in readings(consistent))
 
 
 def words(text: Column) -> Column:
@@ -134,7 +143,7 @@ def repaired(rows: DataFrame, text_col: str = "text", out: str = "konsistent") -
     def first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             plain = [plain_form(t) for t in batch[c_text]]
-            runs = [[w for _, c in doubtful_runs(p) for w in asked_words(c)] for p in plain]
+            runs = [[w for _, c in doubtful_runs(p) for r in readings(c) for w in r] for p in plain]
             yield batch.assign(**{c_plain: plain, c_runs: runs})
 
     def second_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,7 +151,7 @@ def repaired(rows: DataFrame, text_col: str = "text", out: str = "konsistent") -
             fixed = []
             for plain, known in zip(batch[c_plain], batch["known"]):
                 ok = set(known)
-                swap = {r: c for r, c in doubtful_runs(plain) if not ok.isdisjoint(asked_words(c))}
+                swap = {r: c for r, c in doubtful_runs(plain) if _is_known(c, ok)}
                 fixed.append(_LETTERS.sub(lambda m, swap=swap: swap.get(m[0], m[0]), plain))
             yield pd.DataFrame({c_plain: batch[c_plain], c_fixed: fixed})
 

@@ -48,7 +48,7 @@ COMMON = set(
     "steuerverzeichnis depot bank saeule sozialvers.-nr ahv-nummer nr nummer abzug alv nbu bvg jahr januar februar maerz april mai juni juli august september oktober november dezember arbeitnehmer/in person versicherte name kontoinhaber zugunsten "
     "brutto netto lohn steuer salaire interets net montant date periode_von dossier beleg".split()
 )
-STREETS = "strasse|straße|str|gasse|gässli|gaessli|weg|platz|rain|quai|allee|matte|acker|halde|steig|ring|hof|dorf|grund|weiher|feld|berg|park|graben|ufer|brücke|bruecke|tor|markt|wiese|garten|hang|hügel|bühl|promenade|winkel|stieg|wald|bach|gasschen|gässchen|zelg|rüti|moos|au|egg|boden|hub|loh|hofstatt|terrasse"
+STREETS = "strasse|straße|str|gasse|gässli|gaessli|weg|platz|rain|quai|allee|matte|acker|halde|steig|ring|hof|dorf|grund|weiher|feld|berg|park|graben|ufer|brücke|bruecke|tor|markt|wiese|garten|hang|hügel|bühl|promenade|winkel|stieg|wald|bach|gässchen|zelg|rüti|moos|hofstatt|terrasse"
 AREA_CODES = set("021 022 024 026 027 031 032 033 034 041 043 044 052 055 056 058 061 062 071 074 075 076 077 078 079 081 091 051 086 080 084 090".split())
 
 _SUSPICIOUS = re.compile(SUSPICIOUS)
@@ -70,10 +70,10 @@ _STREET = re.compile(
     r"(?<![\w])(?:(?P<name>(?:(?:Obere[rs]?|Untere[rs]?|Alte[rs]?|Neue[rs]?|Hintere[rs]?|Vordere[rs]?|Äussere[rs]?|Innere[rs]?|Mittlere[rs]?|Grosse[rs]?|Kleine[rs]?|St\.|Sankt) )?"
     rf"(?:[A-ZÄÖÜÉÈ][\w'’-]*?(?:{STREETS})\.?|(?:{'|'.join(s.capitalize() for s in STREETS.split('|'))})\.?))"
     r"|(?P<fore>(?:Rue|Route|Chemin|Avenue|Ave\.|Av\.|Place|Quai|Impasse|Allée|Boulevard|Bd\.|Via|Vicolo|Piazza|Corso|Viale|Strada|Am|Im|An der|An den|Auf der|Auf dem|In der|Bei der|Beim|Zum|Zur|Unter der)(?: (?:de la|de l'|des|du|de|della|del|dei|la|le|les|d'|l'|al|alla))?(?: ?[A-ZÄÖÜÉÈ][\w'’-]+){1,2}))"
-    r",? (?P<no>\d{1,4} ?[a-zA-Z]?)(?![\w.'])(?!/\d)",
+    r",? (?P<no>\d{1,3} ?[a-zA-Z]?)(?![\w.'])(?!/\d)",
     re.U,
 )
-_STREET_UPPER = re.compile(rf"(?<!\w)[A-ZÄÖÜ][A-ZÄÖÜ'-]*(?:{STREETS.upper()})\.? (?P<no>\d{{1,4}}[A-Za-z]?)(?![\w.'])")
+_STREET_UPPER = re.compile(rf"(?<!\w)[A-ZÄÖÜ][A-ZÄÖÜ'-]*(?:{STREETS.upper()})\.? (?P<no>\d{{1,3}}[A-Za-z]?)(?![\w.'])")
 _POSTCODE = re.compile(r"(?<![\w.'/+-])(?:(?P<land>CH|FL|D|A|F|I)[- ]{1,2})?(?P<code>[1-9]\d{3}) ?(?P<place>[A-ZÄÖÜ][a-zäöüéèâ]+(?:[- ][A-ZÄÖÜ][a-zäöüéèâ]+)?|[A-ZÄÖÜ]{4,})(?!\w)")
 _PLACE_END = re.compile(r"(?:ikon|wil|wyl|bueel|büel|buel|bühl|dorf|hofen|lingen|ingen|matt|stetten|berg|burg|bach|au|ach|thal|tal|egg|feld|kirch|brugg|brücken|furt|ried|see|münster|fingen|hausen|heim|nau|ens|ans|ier|eux|ge|zig|zürich|bern|basel|genf|lausanne|luzern|chur|zug|lugano|locarno|thun|biel)$", re.I)
 _FIRST_PLACE = re.compile(r"(?:ikon|wil|wyl|bueel|büel|dorf|hofen|lingen|matt|stetten)$", re.I)
