@@ -194,17 +194,24 @@ class Finder:
             while j < len(places) and places[j][0] - places[j - 1][0] <= reach:
                 j += 1
             under = {s + d for _, s in places[k:j] for d in range(PIECE)}
-            if len(under) >= need and self._near(item, places[k:j], words, ends, reach):
+            if len(under) >= need and self._near(item, places[k:j], under, words, ends, reach):
                 return True
             k = j
         return False
 
-    def _near(self, item: Item, places: list[tuple[int, int]], words: list[str], ends: list[int], reach: int) -> bool:
+    def _near(self, item: Item, places: list[tuple[int, int]], under: set[int], words: list[str], ends: list[int], reach: int) -> bool:
+        # k errors leave at most 3k right words of a window outside pieces
+        covered = [0]
+        for i in range(len(item.words)):
+            covered.append(covered[-1] + (i in under))
+        likely = [(a, b, errors) for a, b, errors in item.windows() if covered[b] - covered[a] >= b - a - 4 * errors]
+        if not likely:
+            return False
         lo = bisect_right(ends, max(0, places[0][0] - reach))
         hi = bisect_right(ends, places[-1][0] + reach) + 1
         for start in range(lo, hi, max(1, 6 * len(item.words))):  # long stretches in overlapping parts
             part = self._words(words[start : start + 8 * len(item.words)], item)
-            for a, b, errors in item.windows():
+            for a, b, errors in likely:
                 if myers(item.words[a:b], part) <= errors:
                     if has_passage(item.words, part):
                         return True
