@@ -135,9 +135,9 @@ def same_amount_elsewhere(t):
 @query("r4_12_issuer_in_text", "SELECT d.doc_id, r.ref_id FROM documents d JOIN aussteller_referenz r ON contains(d.text, r.kanonischer_name)")
 def issuer_in_text(t):
     refs = t("aussteller_referenz").select("ref_id", "kanonischer_name")  # a fixed list
-    first = F.element_at(F.split("kanonischer_name", " "), 1)
-    words = t("documents").where("text is not null").select("doc_id", "text", F.explode(F.array_distinct(F.split("text", "[\\s.,;:!?()]+"))).alias("w"))
-    return words.join(refs.withColumn("w", first), "w").where(F.col("text").contains(F.col("kanonischer_name"))).select("doc_id", "ref_id").distinct()
+    second = F.element_at(F.split("kanonischer_name", " "), 2)  # a whole word wherever the name stands in a text
+    words = t("documents").where("text is not null").select("doc_id", "text", F.explode(F.array_distinct(F.split("text", "[^\\p{L}\\p{N}]+"))).alias("w"))
+    return words.join(refs.withColumn("w", second), "w").where(F.col("text").contains(F.col("kanonischer_name"))).select("doc_id", "ref_id").distinct()
 
 
 @query(
