@@ -223,3 +223,50 @@ def readability(line: Column) -> Column:
     return letters / F.greatest(F.length(line), F.lit(1)) + words * 0.1
 
 
+
+
+def label_spans(words: DataFrame, doc: Sequence[str], order: str, labels: DataFrame, label: str, most: int = 4, rise: float = 5.0) -> DataFrame:
+    """Where labels stand: in one word, or in up to ``most`` consecutive words whose tops differ by ``rise`` at most."""
+    w = W.partitionBy(*doc).orderBy(order)
+    tops = words.select(*doc, F.col(order).alias("start"), *[F.lead("top", i).over(w).alias(f"_t{i}") if i else F.col("top").alias("_t0") for i in range(most)])
+    level = F.array(*[F.col(f"_t{i}") for i in range(most)])
+    runs = windows(words, doc, order, most=most).join(tops.select(*doc, "start", level.alias("_tops")), [*doc, "start"])
+    near = F.slice("_tops", F.lit(1), F.col("size"))
+    flat = runs.where(F.array_max(near) - F.array_min(near) <= rise).withColumn("_key", normalized(F.col("window")))
+    asked = labels.select(label, normalized(F.col(label)).alias("_key")).distinct()
+    return flat.join(asked, "_key").select(*doc, "start", "size", label)
+
+
+def below_header(cell_rows: DataFrame, page: Sequence[str], header: Column, total: Column, value: Column, *, rows_below: int = 7, slack: float = 25.0) -> DataFrame:
+    """Values in a total row up to ``rows_below`` rows under a header cell, in the cell that spans the header's middle.
+
+    Header cells are listed under each row number they may serve, so the join is an equi-join on (page, row).
+    """
+    mid = (F.col("cell_x0") + F.col("cell_x1")) / 2
+    heads = cell_rows.where(header).select(*page, F.explode(F.sequence(F.col("row_no") + 1, F.col("row_no") + rows_below)).alias("row_no"), F.col("row_no").alias("_h"), F.col("cell").alias("header"), mid.alias("_m"))
+    totals = cell_rows.where(total).select(*page, "row_no").distinct()
+    cells_of = cell_rows.join(totals, [*page, "row_no"], "left_semi").where(value)
+    hit = cells_of.join(heads, [*page, "row_no"]).where(F.col("_m").between(F.col("cell_x0") - slack, F.col("cell_x1") + slack))
+    first = hit.groupBy(*page, "_h", "header").agg(F.min(F.struct("row_no", F.abs(mid - F.col("_m")).alias("d"), F.col("cell").alias("v"))).alias("b"))
+    return first.select(*page, F.col("_h").alias("header_row"), "header", F.col("b.row_no").alias("row_no"), F.col("b.v").alias("value"))
+
+
+def sums_up_to(amounts: DataFrame, doc: Sequence[str], order: Sequence[str], value: str, tolerance: float = 0.01) -> DataFrame:
+    """Amounts that are the sum of all amounts before them in their document."""
+    before = F.sum(value).over(W.partitionBy(*doc).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    return amounts.withColumn("before", before).where(F.abs(F.col("before") - F.col(value)) <= tolerance)
+
+
+def span_minimum(tokens: DataFrame, spans: DataFrame, doc: str, order: str, text: str, score: str, width: int = 64) -> DataFrame:
+    """The least score of the tokens under each span of characters.
+
+    Token offsets are running sums of lengths; tokens and spans meet by bands of ``width`` characters.
+    """
+    w = W.partitionBy(doc).orderBy(order)
+    ends = F.sum(F.length(text)).over(w.rowsBetween(W.unboundedPreceding, 0))
+    placed = tokens.select(doc, F.col(score).alias("_s"), (ends - F.length(text)).alias("_a"), ends.alias("_e")).where("_e > _a")
+    t = placed.withColumn("_band", F.explode(F.sequence(F.floor(F.col("_a") / width), F.floor((F.col("_e") - 1) / width))))
+    s = spans.withColumn("_band", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
+    hit = s.join(t, [doc, "_band"]).where("_a < end and _e > start")
+    keys = [c for c in spans.columns]
+    return hit.groupBy(*keys).agg(F.min("_s").alias("least"), F.countDistinct("_a").alias("tokens"))

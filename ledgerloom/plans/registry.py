@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import boxes, copies, ledger, records, scalars, streams
+from ledgerloom.plans import boxes, copies, ledger, more, records, scalars, streams
 
 MODULES = (copies,)
-CATALOGS = (scalars.catalog, boxes.catalog, ledger.catalog, records.catalog, streams.catalog)
+CATALOGS = (scalars.catalog, boxes.catalog, ledger.catalog, records.catalog, more.catalog, streams.catalog)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

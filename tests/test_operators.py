@@ -166,3 +166,21 @@ def test_phrases_do_not_overlap(spark):
     words = spark.createDataFrame([("d", i, w) for i, w in enumerate("Muster AG Muster AG Bern Muster".split())], "d string, n int, text string")
     names = spark.createDataFrame([("Muster AG",), ("Muster AG Bern",), ("AG Muster",)], "p string")
     assert rows(R.phrases(words, names, ["d"], "n", "p", 3), "start", "window") == [(0, "Muster AG"), (2, "Muster AG Bern")]
+
+
+def test_label_spans_headers_and_sums(spark):
+    data = [("a", 1, 1, 10.0, 0.0, 30.0, 9.0, "Brutto"), ("a", 1, 2, 34.0, 0.0, 60.0, 9.0, "Lohn"), ("a", 1, 3, 10.0, 30.0, 30.0, 39.0, "Lohn"), ("a", 1, 4, 10.0, 60.0, 30.0, 69.0, "Total"), ("a", 1, 5, 50.0, 60.0, 70.0, 69.0, "9.00")]
+    df = spark.createDataFrame(data, WORDS)
+    labels = spark.createDataFrame([("Brutto Lohn",), ("Lohn Lohn",), ("Total",)], "label string")
+    assert rows(O.label_spans(df, ["d"], "word_id", labels, "label"), "start", "size", "label") == [(1, 2, "Brutto Lohn"), (4, 1, "Total")]
+    cells = O.cells(O.gap_rows(df, ["d", "page"]), ["d", "page", "row_no"])
+    found = O.below_header(cells, ["d", "page"], F.col("cell").startswith("Brutto"), F.col("cell") == "Total", F.col("cell").rlike("^\\d"))
+    assert rows(found, "header", "value") == [("Brutto Lohn", "9.00")]
+    amounts = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 3.0), ("a", 3, 5.0), ("a", 4, 5.0)], "d string, n int, v double")
+    assert rows(O.sums_up_to(amounts, ["d"], ["n"], "v"), "n") == [(3,)]
+
+
+def test_least_score_under_spans(spark):
+    tokens = spark.createDataFrame([("a", 0, "abc", 0.9), ("a", 1, "de", 0.2), ("a", 2, "fgh", 0.5)], "d string, n int, w string, p double")
+    spans = spark.createDataFrame([("a", 0, 3), ("a", 2, 4), ("a", 5, 8)], "d string, start int, end int")
+    assert rows(O.span_minimum(tokens, spans, "d", "n", "w", "p", width=2), "start", "least", "tokens") == [(0, 0.9, 1), (2, 0.2, 2), (5, 0.5, 1)]
