@@ -16,15 +16,15 @@ def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[str], out: s
 
 
 def kept_or_next(rows: DataFrame, group: Sequence[str], order: Sequence[str], given: str, out: str = "pos_new") -> DataFrame:
-    """A given number stays; a row without one gets the next after the greatest seen before it.
+    """A given number stays and raises the counter of its group; a row without one takes the counter's next number.
 
-    The running maximum of the given numbers starts a stretch; rows without a number count on within it.
+    The counter after a row is the number n of open rows so far plus the greatest (given - n at that row) so far, or
+    plus 0: two running windows instead of a fold.
     """
-    w = W.partitionBy(*group).orderBy(*order)
-    seen = F.coalesce(F.max(given).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
-    stretch = rows.withColumn("_max", seen).withColumn("_new", F.col(given).isNull().cast("int"))
-    counted = F.sum("_new").over(W.partitionBy(*group, "_max").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return stretch.withColumn(out, F.coalesce(F.col(given), F.col("_max") + counted).cast("int")).drop("_max", "_new")
+    w = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    counted = rows.withColumn("_n", F.sum(F.col(given).isNull().cast("int")).over(w))
+    raised = F.greatest(F.coalesce(F.max(F.col(given) - F.col("_n")).over(w), F.lit(0)), F.lit(0))
+    return counted.withColumn(out, F.coalesce(F.col(given), F.col("_n") + raised).cast("int")).drop("_n")
 
 
 def lowest_free(rows: DataFrame, group: Sequence[str], order: Sequence[str], given: str, out: str = "pos_new") -> DataFrame:

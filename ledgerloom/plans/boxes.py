@@ -101,7 +101,13 @@ def word_windows(t):
     return runs.groupBy("size").agg(F.count("*").alias("n"), F.countDistinct("window").alias("verschieden"))
 
 
-@query("r3_08_nearest_to_label")
+@query(
+    "r3_08_nearest_to_label",
+    f"""WITH l AS (SELECT * FROM tagged_words WHERE regexp_matches(text, '^(Bruttolohn|Nettolohn|Bruttoertrag|Spendentotal|Schuldzinsen)$')), v AS (SELECT * FROM tagged_words WHERE regexp_matches(text, '{_AMOUNT}')),
+    p AS (SELECT l.dokument_id, l.eingelesen_am, l.page, l.text AS label, v.text AS value, row_number() OVER (PARTITION BY l.dokument_id, l.eingelesen_am, l.page, l.text ORDER BY abs(v.top - l.top), abs(v.x0 - l.x0), v.text) AS n FROM l JOIN v ON l.dokument_id = v.dokument_id AND l.eingelesen_am = v.eingelesen_am AND l.page = v.page
+    WHERE (abs(l.top - v.top) <= 5 AND l.x1 <= v.x0 + 5) OR (v.top - l.top > 0 AND v.top - l.top <= 30 AND least(l.x1, v.x1) - greatest(l.x0, v.x0) >= least(l.x1 - l.x0, v.x1 - v.x0) * 0.3))
+    SELECT dokument_id, page, label, value FROM p WHERE n = 1""",
+)
 def nearest_to_label(t):
     words = t("tagged_words")
     labels = words.where(F.col("text").rlike("^(Bruttolohn|Nettolohn|Bruttoertrag|Spendentotal|Schuldzinsen)$")).withColumn("label", F.col("text"))
@@ -192,7 +198,7 @@ def sections(t):
     return O.sections(t("tagged_words"), DOC, ["tag_id"], F.col("text").rlike("^(Saldo|Brutto|Netto|Schuld|Total)"), "abschnitt").select("word_id", "abschnitt")
 
 
-@query("r3_21_merged_objects")
+@query("r3_21_merged_objects", "SELECT dossier_id, belegtyp, count(DISTINCT feld)::INT AS felder FROM field_rows WHERE wert_decimal IS NOT NULL GROUP BY 1, 2")
 def merged_objects(t):
     rows = t("field_rows").where("wert_decimal is not null")
     merged = O.merged_objects(rows, ["dossier_id", "belegtyp"], "feld", "wert_decimal", "dokument_id")

@@ -423,13 +423,26 @@ def numbered(t):
     return P.numbered(t("position_store"), ["dokument_id", "zielwert"], ["id"]).select("id", "pos_new")
 
 
-@query("r6_01_kept_or_next")
+_GIVEN = "WITH r AS (SELECT id, dokument_id, zielwert, CASE WHEN status = 'geprueft' THEN pos END AS given FROM position_store)"
+
+
+@query(
+    "r6_01_kept_or_next",
+    _GIVEN + """, n AS (SELECT *, sum((given IS NULL)::INT) OVER (PARTITION BY dokument_id, zielwert ORDER BY id ROWS UNBOUNDED PRECEDING) AS n FROM r)
+    SELECT id, given, coalesce(given, n + greatest(coalesce(max(given - n) OVER (PARTITION BY dokument_id, zielwert ORDER BY id ROWS UNBOUNDED PRECEDING), 0), 0))::INT AS pos_new FROM n""",
+)
 def kept_or_next(t):
     rows = t("position_store").withColumn("given", F.when(F.col("status") == "geprueft", F.col("pos")))
     return P.kept_or_next(rows, ["dokument_id", "zielwert"], ["id"], "given").select("id", "given", "pos_new")
 
 
-@query("r6_02_lowest_free")
+@query(
+    "r6_02_lowest_free",
+    _GIVEN + """, u AS (SELECT DISTINCT dokument_id, given AS u FROM r WHERE given IS NOT NULL), o AS (SELECT id, dokument_id, row_number() OVER (PARTITION BY dokument_id ORDER BY id) AS n FROM r WHERE given IS NULL),
+    c AS (SELECT dokument_id, unnest(generate_series(1, k)) AS u FROM (SELECT dokument_id, count(*) + coalesce(max(given), 0) AS k FROM r GROUP BY 1)),
+    f AS (SELECT dokument_id, u, row_number() OVER (PARTITION BY dokument_id ORDER BY u) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.dokument_id = c.dokument_id AND u.u = c.u))
+    SELECT id, given, given AS pos_new FROM r WHERE given IS NOT NULL UNION ALL SELECT o.id, NULL, f.u::INT FROM o JOIN f USING (dokument_id, n)""",
+)
 def lowest_free(t):
     rows = t("position_store").withColumn("given", F.when(F.col("status") == "geprueft", F.col("pos")))
     return P.lowest_free(rows, ["dokument_id"], ["id"], "given").select("id", "given", "pos_new")
@@ -469,7 +482,10 @@ def duplicates_marked(t):
     return P.duplicates_marked(t("position_store"), ["aussteller", "label", "betrag"], "dokument_id").select("id", "also_in")
 
 
-@query("r6_09_free_names")
+@query(
+    "r6_09_free_names",
+    "SELECT id, CASE WHEN k = 1 THEN zielwert ELSE zielwert || '-' || k END AS free_name FROM (SELECT p.id, p.zielwert, row_number() OVER (PARTITION BY p.zielwert ORDER BY p.id) + (a.zielwert IS NOT NULL)::INT AS k FROM position_store p LEFT JOIN (SELECT DISTINCT zielwert FROM abgleich) a ON a.zielwert = p.zielwert)",
+)
 def free_names(t):
     rows = t("position_store").select("id", F.col("zielwert").alias("wunsch"))
     existing = t("abgleich").select(F.col("zielwert").alias("name")).distinct()

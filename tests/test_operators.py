@@ -102,16 +102,16 @@ def test_positions_against_plain_python(spark):
         for h, i, x in data:
             if h != g:
                 continue
+            top = top + 1 if x is None else max(top, x)
             if x is None:
-                top += 1
                 want_next[g, i] = top
                 n = next(k for k in range(1, 99) if k not in used)
                 used.add(n)
                 want_free[g, i] = n
             else:
                 want_next[g, i] = want_free[g, i] = x
-                top = max(top, x)
     assert {(r.g, r.i): r.pos_new for r in P.lowest_free(df, ["g"], ["i"], "given").collect()} == want_free
+    assert {(r.g, r.i): r.pos_new for r in P.kept_or_next(df, ["g"], ["i"], "given").collect()} == want_next
     plain = spark.createDataFrame([("a", 1, None), ("a", 2, 5), ("a", 3, None), ("a", 4, None), ("b", 1, 2)], "g string, i int, given int")
     assert rows(P.kept_or_next(plain, ["g"], ["i"], "given"), "g", "i", "pos_new") == [("a", 1, 1), ("a", 2, 5), ("a", 3, 6), ("a", 4, 7), ("b", 1, 2)]
 
