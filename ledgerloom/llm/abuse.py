@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -340,11 +340,11 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Every sentence of a text is scored, however long it is; rows are neither shuffled nor dropped.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer()
         for batch in batches:
-            got = [scorer.score(t if isinstance(t, str) else None) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "abuse_score": [s for s, _ in got], "abuse_kind": [k for _, k in got]})
+            got = [scorer.score(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([k for _, k in got], pa.string())], names=["doc_id", "abuse_score", "abuse_kind"])
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInPandas(run, "doc_id bigint, abuse_score double, abuse_kind string")
+    return picked.mapInArrow(run, "doc_id bigint, abuse_score double, abuse_kind string")

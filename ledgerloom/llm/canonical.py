@@ -8,12 +8,13 @@ often their entry occurs, and values with no candidate are reported with -1.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.chars import appended
 from ledgerloom.llm.names import Deletes, fold_name, parse, weighted
 
 #: Entries that may be sent to the workers at once; a larger list is looked up in blocks of this size.
@@ -142,13 +143,11 @@ def matched(
         listed += [(named[key], s) for key, words in synonyms.items() if key in named for s in words.split("|")]
     held = spark.sparkContext.broadcast((listed, weight))
     of = {"issuer": Issuers, "label": Labels}[kind]
-    schema = rows.schema
-
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, seen = of(*held.value), {}
         for batch in batches:
             refs = []
-            for text in batch[value]:
+            for text in batch.column(batch.schema.get_field_index(value)).to_pylist():
                 if not isinstance(text, str):
                     refs.append(-1)
                     continue
@@ -158,7 +157,7 @@ def matched(
                         seen.clear()
                     ref = seen[text] = lookup.find(text)
                 refs.append(ref)
-            yield batch.assign(**{out: pd.array(refs, dtype="int64")})
+            yield appended(batch, out, pa.array(refs, pa.int64()))
 
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return rows.mapInPandas(look, f"{columns}, `{out}` bigint")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(look, f"{columns}, `{out}` bigint")

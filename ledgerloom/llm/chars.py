@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pyarrow as pa
+
 # Letters of other scripts and the Latin letters they look like.
 CYRILLIC = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
@@ -76,3 +78,8 @@ def free_name(base: str, taken: list[str]) -> str:
     while base.lower() in used:
         base = "_" + base
     return base
+
+
+def appended(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    """The batch with one more column; the others stay as they are, whatever their types and nulls."""
+    return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])

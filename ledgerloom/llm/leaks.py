@@ -12,7 +12,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -236,13 +236,13 @@ def leaked(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_co
         block = [(r.i, r.t) for r in (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)).collect()]
         held = spark.sparkContext.broadcast(block)
 
-        def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+        def search(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             finder = Finder(held.value)
             for batch in batches:
-                found = [(d, i) for d, t in zip(batch["doc_id"], batch["text"]) for i in finder.find(t)]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id"]).astype("int64")
+                found = [(d, i) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i in finder.find(t)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["doc_id", "item_id"])
 
-        part = picked.mapInPandas(search, "doc_id bigint, item_id bigint")
+        part = picked.mapInArrow(search, "doc_id bigint, item_id bigint")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint")

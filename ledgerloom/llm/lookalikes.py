@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.chars import APOSTROPHES, BLANKS, INVISIBLE, LOOKALIKES, free_name
+from ledgerloom.llm.chars import APOSTROPHES, BLANKS, INVISIBLE, LOOKALIKES, appended, free_name
 
 #: A character that may have to change; ordinary letters and signs with a look of their own are outside.
 SUSPICIOUS = (
@@ -140,30 +140,30 @@ def repaired(rows: DataFrame, text_col: str = "text", out: str = "konsistent") -
     c_text, c_plain, c_runs, c_fixed, c_word = (free_name(n, [*rows.columns, out]) for n in ("_text", "_plain", "_runs", "_fixed", "_word"))
     text = F.col(text_col).cast("string")
 
-    def first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first_pass(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            plain = [plain_form(t) for t in batch[c_text]]
+            plain = [plain_form(t) for t in batch.column(batch.schema.get_field_index(c_text)).to_pylist()]
             runs = [[w for _, c in doubtful_runs(p) for r in readings(c) for w in r] for p in plain]
-            yield batch.assign(**{c_plain: plain, c_runs: runs})
+            yield appended(appended(batch, c_plain, pa.array(plain, pa.string())), c_runs, pa.array(runs, pa.list_(pa.string())))
 
-    def second_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def second_pass(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fixed = []
-            for plain, known in zip(batch[c_plain], batch["known"]):
+            for plain, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ok = set(known)
                 swap = {r: c for r, c in doubtful_runs(plain) if _is_known(c, ok)}
                 fixed.append(_LETTERS.sub(lambda m, swap=swap: swap.get(m[0], m[0]), plain))
-            yield pd.DataFrame({c_plain: batch[c_plain], c_fixed: fixed})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fixed, pa.string())], names=[c_plain, c_fixed])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     suspicious = rows.withColumn(c_text, text).where(F.col(c_text).rlike(SUSPICIOUS))
-    first = suspicious.mapInPandas(first_pass, f"{schema}, {c_text} string, {c_plain} string, {c_runs} array<string>")
+    first = suspicious.mapInArrow(first_pass, f"{schema}, {c_text} string, {c_plain} string, {c_runs} array<string>")
     clean = rows.select(text.alias("t")).where(~F.col("t").rlike(SUSPICIOUS))
     vocabulary = clean.select(F.explode(words(F.col("t"))).alias(c_word)).distinct()
     doubtful = first.where(F.size(c_runs) > 0)
     asked = doubtful.select(c_plain, F.explode(c_runs).alias(c_word)).distinct()
     known = asked.join(vocabulary, c_word, "left_semi").groupBy(c_plain).agg(F.collect_set(c_word).alias("known"))
-    fixed = known.mapInPandas(second_pass, f"{c_plain} string, {c_fixed} string")
+    fixed = known.select(c_plain, "known").mapInArrow(second_pass, f"{c_plain} string, {c_fixed} string")
     mended = doubtful.join(fixed, c_plain, "left").withColumn(out, F.coalesce(c_fixed, c_plain))
     plain = first.where(F.size(c_runs) == 0).withColumn(out, F.col(c_plain))
     both = plain.select(*rows.columns, c_text, out).unionByName(mended.select(*rows.columns, c_text, out))

@@ -23,10 +23,10 @@ def test_sentences():
 
 
 def test_table(spark):
-    rows = [(i, t, "x") for i, t in enumerate(YES + NO)] + [(99, "wort " * 50_000 + YES[0], "x"), (0, YES[0], "x")]
+    rows = [(i, t, "x") for i, t in enumerate(YES + NO)] + [(99, "wort " * 50_000 + YES[0], "x"), (0, YES[0], "x"), (None, NO[0], None), (2**60 + 1, NO[1], None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, abuse_score string")
     out = scored(df).collect()
-    assert len(out) == len(rows)
+    assert len(out) == len(rows) and {None, 2**60 + 1} < {r.doc_id for r in out}
     assert {r.doc_id for r in out if r.abuse_score >= THRESHOLD} == set(range(len(YES))) | {99}
     assert scored(df.limit(0)).count() == 0
 

@@ -54,10 +54,10 @@ def test_edges_must_be_right():
 
 def test_on_tables(spark):
     docs = spark.createDataFrame(
-        [(1, None, ""), (2, "", ""), (3, ITEM, ""), (3, ITEM, ""), (4, "nichts", ""), (5, "wort " * 30_000 + ITEM, ""), (6, (ITEM + " . ") * 3, "")],
+        [(1, None, ""), (2, "", ""), (3, ITEM, ""), (3, ITEM, ""), (4, "nichts", ""), (5, "wort " * 30_000 + ITEM, ""), (6, (ITEM + " . ") * 3, ""), (None, "nichts", None), (2**60 + 1, ITEM, None)],
         "doc_id long, text string, item_id string",
     )
     items = spark.createDataFrame([(7, ITEM), (8, None), (9, ""), (7, ITEM)], "item_id long, text string")
-    assert sorted(map(tuple, leaked(docs, items).collect())) == [(3, 7), (5, 7), (6, 7)]
+    assert sorted(map(tuple, leaked(docs, items).collect())) == [(3, 7), (5, 7), (6, 7), (2**60 + 1, 7)]
     assert leaked(docs, items.limit(0)).count() == 0
     assert leaked(docs.limit(0), items).count() == 0

@@ -39,3 +39,14 @@ def test_repair_needs_the_word_in_the_corpus(spark):
 
 def test_empty_table(spark):
     assert repaired(spark.createDataFrame([], "id int, text string")).count() == 0
+
+
+def test_other_columns_keep_types_and_nulls(spark):
+    df = spark.createDataFrame([(2**60 + 1, "5​", {"a": 1}, [1.5]), (None, "6​", None, None)], "id long, text string, m map<string,int>, xs array<double>")
+    out = sorted(repaired(df).collect(), key=lambda r: r.konsistent)
+    assert [(r.id, r.konsistent, r.m, r.xs) for r in out] == [(2**60 + 1, "5", {"a": 1}, [1.5]), (None, "6", None, None)]
+
+
+def test_glued_words_and_initials(spark):
+    df = spark.createDataFrame([(1, "Christoph Muster"), (2, "ChristophMuѕter"), (3, "cMuѕter"), (4, "gmuѕter")], "id long, text string")
+    assert sorted((r.id, r.konsistent) for r in repaired(df).collect()) == [(2, "ChristophMuster"), (3, "cMuster"), (4, "gmuster")]
