@@ -4,7 +4,10 @@ Both sides are reduced to the newest row of each key (partial aggregation first,
 third of all rows never meets in one task), spread over hash buckets of the key and sorted by key there.
 A bucket is cut after each row at which a rolling hash of the last keys meets a condition, so an inserted
 or lost row moves only the cuts next to it. Chunks whose fingerprint the other side has too are dropped by
-an anti-join; only rows of the other chunks are joined and compared field by field.
+an anti-join on (bucket, fingerprint); only rows of the other chunks meet by key and are compared field by field.
+
+Both sides are one table that is partitioned by bucket once. Cutting, fingerprints, the anti-join and the final
+meeting by key are windows and aggregates within a bucket, so no row is shuffled a second time for any of them.
 """
 
 from __future__ import annotations
@@ -65,28 +68,36 @@ def newest(df: DataFrame, key: Column, fields: Sequence[Field], newest_by: Colum
     return rows.groupBy("key").agg(F.max("r").alias("r")).select("key", F.col("r.v").alias("v"))
 
 
-def chunks(rows: DataFrame, fields: Sequence[Field], *, buckets: int, mean_rows: int, window: int = 3) -> DataFrame:
-    """(bucket, chunk, n, fp1, fp2, rows): key-sorted rows of each bucket, cut where the rolling hash says."""
-    stable = [_stable(f, F.col(f"v.f{i}")) for i, f in enumerate(fields)]
-    filled = [F.coalesce(c, F.lit("\u0000")) for c in stable]
-    rows = rows.select(
+def chunked(rows: DataFrame, fields: Sequence[Field], *, buckets: int, mean_rows: int, window: int = 3) -> DataFrame:
+    """(side, key, v, bucket, chunk, n, fp1, fp2): every row with its chunk and the chunk's fingerprint.
+
+    ``rows`` are (side, key, v), a row a side and key. A bucket's rows of a side, sorted by key, are cut where the
+    rolling hash of ``window`` keys is a multiple of ``mean_rows``; a fingerprint is two independent 64-bit hashes
+    over a chunk's rows and their number.
+    """
+    stable = [F.coalesce(_stable(f, F.col(f"v.f{i}")), F.lit("\u0000")) for i, f in enumerate(fields)]
+    hashed = rows.select(
         F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"),
+        "side",
         "key",
         "v",
-        F.xxhash64("key", *filled).alias("h1"),
-        F.xxhash64(F.lit("second"), *filled, "key").alias("h2"),
+        F.xxhash64("key", *stable).alias("h1"),
+        F.xxhash64(F.lit("second"), *stable, "key").alias("h2"),
     ).repartition("bucket")
-    order = W.partitionBy("bucket").orderBy("key")
+    order = W.partitionBy("bucket", "side").orderBy("key")
     rolling = F.xxhash64(*[F.lag("key", i).over(order) for i in range(1, window)], "key")
-    ends = rows.withColumn("ends", (F.pmod(rolling, F.lit(mean_rows)) == 0).cast("int"))
+    ends = hashed.withColumn("ends", (F.pmod(rolling, F.lit(mean_rows)) == 0).cast("int"))
     before = order.rowsBetween(W.unboundedPreceding, -1)
     cut = ends.withColumn("chunk", F.coalesce(F.sum("ends").over(before), F.lit(0)))
-    return cut.groupBy("bucket", "chunk").agg(
-        F.count("*").alias("n"),
-        F.bit_xor("h1").alias("fp1"),
-        F.bit_xor("h2").alias("fp2"),
-        F.collect_list(F.struct("key", "v")).alias("rows"),
-    )
+    whole = W.partitionBy("bucket", "side", "chunk")
+    return cut.select("side", "key", "v", "bucket", "chunk", F.count("*").over(whole).alias("n"), F.bit_xor("h1").over(whole).alias("fp1"), F.bit_xor("h2").over(whole).alias("fp2"))
+
+
+def unmatched(chunks: DataFrame) -> DataFrame:
+    """The rows of chunks that the other side has no equal of: an anti-join on (bucket, fingerprint) in place."""
+    equal = W.partitionBy("bucket", "fp1", "fp2", "n")
+    sides = chunks.select("*", F.min("side").over(equal).alias("_first"), F.max("side").over(equal).alias("_last"))
+    return sides.where("_first = _last").drop("_first", "_last")
 
 
 def diff_copies(
@@ -110,14 +121,11 @@ def diff_copies(
     """
     spark = left.sparkSession
     buckets = buckets or 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    a, b = (
-        chunks(newest(df, key, fields, by), fields, buckets=buckets, mean_rows=mean_rows)
-        for df, key, fields, by in ((left, left_key, left_fields, left_newest), (right, right_key, right_fields, right_newest))
-    )
-    same = ["bucket", "fp1", "fp2", "n"]
-    a_rows = a.join(b.select(same), same, "left_anti").select("bucket", F.inline("rows")).withColumnRenamed("v", "a")
-    b_rows = b.join(a.select(same), same, "left_anti").select("bucket", F.inline("rows")).withColumnRenamed("v", "b")
-    both = a_rows.join(b_rows, ["bucket", "key"], "full_outer")
+    sides = ((0, left, left_key, left_fields, left_newest), (1, right, right_key, right_fields, right_newest))
+    rows = [newest(df, key, fields, by).select(F.lit(n).alias("side"), "key", "v") for n, df, key, fields, by in sides]
+    chunks = chunked(rows[0].unionByName(rows[1]), left_fields, buckets=buckets, mean_rows=mean_rows)
+    of = lambda n: F.max(F.when(F.col("side") == n, F.col("v")))
+    both = unmatched(chunks).groupBy("bucket", "key").agg(of(0).alias("a"), of(1).alias("b"))
     one_sided = F.when(F.col("b").isNull(), "nur_original").when(F.col("a").isNull(), "nur_kopie")
     changed = F.array_compact(
         F.array(*[F.when(_differs(f, F.col(f"a.f{i}"), F.col(f"b.f{i}")), F.lit(f.name)) for i, f in enumerate(left_fields)])
