@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.chars import APOSTROPHES, BLANKS, INVISIBLE, LOOKALIKES, appended, free_name
+from ledgerloom.session import cut
 
 #: A character that may have to change; ordinary letters and signs with a look of their own are outside.
 SUSPICIOUS = (
@@ -157,7 +158,7 @@ def repaired(rows: DataFrame, text_col: str = "text", out: str = "konsistent") -
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     suspicious = rows.withColumn(c_text, text).where(F.col(c_text).rlike(SUSPICIOUS))
-    first = suspicious.mapInArrow(first_pass, f"{schema}, {c_text} string, {c_plain} string, {c_runs} array<string>")
+    first = cut(suspicious.mapInArrow(first_pass, f"{schema}, {c_text} string, {c_plain} string, {c_runs} array<string>"))
     clean = rows.select(text.alias("t")).where(~F.col("t").rlike(SUSPICIOUS))
     vocabulary = clean.select(F.explode(words(F.col("t"))).alias(c_word)).distinct()
     doubtful = first.where(F.size(c_runs) > 0)
