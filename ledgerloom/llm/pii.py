@@ -63,6 +63,9 @@ _MAIL = re.compile(
 _PHONE = re.compile(
     r"(?<![\w.'/+-])(?:(?P<inter>(?:\+|00) ?(?:41|423|49|43|33|39) ?(?:\(0\) ?)?\(?\d{2}\)?)|(?P<nat>\(0\d{2}\)|0\d{2}))(?P<rest>(?:[ ./-]?\d{3}[ ./-]?\d{2}[ ./-]?\d{2}))(?![\d'])(?!\.\d)"
 )
+#: What any number of a person has, and any house number or postcode with a place: cheap tests before the patterns.
+_LONG_NUMBER = re.compile(r"\d[\d .()/-]{7,}\d|[A-Z]\d{7}")
+_HOUSE_OR_CODE = re.compile(r"[^\W\d_.’'-]\.?,? \d{1,3} ?[a-zA-Z]?(?![\w.'])|\d{4} ?[A-ZÄÖÜ]")
 _AHV = re.compile(r"(?<![\d.])756[ .-]{0,2}\d{4}[ .-]{0,2}\d{4}[ .-]{0,2}\d{2}(?![\d'])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])(?:(?P<ch>(?:CH|LI)\d{2}(?:[ -]?[0-9A-Z]){17})|(?P<other>(?:DE|AT|FR|IT|GB|NL|BE|ES|LU|PT)\d{2}(?:[ -]?[0-9A-Z]){11,27}))(?![A-Za-z0-9])", re.I)
 _PASSPORT = re.compile(r"(?<![\w-])[A-Z]\d{7}(?!\w)")
@@ -185,9 +188,9 @@ class Scanner:
         out: list[tuple[int, int, str, int]] = []
         if "@" in text or "at" in text and ("(at)" in text or "[at]" in text):
             self._mail(text, out)
-        digits = any(c in text for c in "0123456789")
-        if digits:
+        if _LONG_NUMBER.search(text):
             self._numbers(text, out)
+        if _HOUSE_OR_CODE.search(text):
             self._address(text, out)
         self._names(text, out, [(a, b) for a, b, kind, _ in out if kind == "email"])
         return out
