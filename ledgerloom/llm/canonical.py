@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.chars import appended
+from ledgerloom.llm.chars import free_name
 from ledgerloom.llm.names import Deletes, fold_name, parse, weighted
 
 #: Entries that may be sent to the workers at once; a larger list is looked up in blocks of this size.
@@ -61,18 +61,19 @@ class Labels:
         self.deletes = Deletes(self.exact, most=2)
         self.weight = weight
 
-    def find(self, text: str) -> int:
+    def best(self, text: str) -> tuple[float, int, int] | None:
+        """(cost, minus frequency, entry) of the best entry."""
         key = plain_label(text).replace(" ", "")
         if not key:
-            return -1
+            return None
         if key in self.exact:
-            return self.exact[key]
+            return 0.0, -self.weight.get(self.exact[key], 0), self.exact[key]
         most = _allowed(len(key))
         if not most:
-            return -1
+            return None
         near = [w for d, w in self.deletes.near(key, most) if d <= _allowed(min(len(w), len(key)))]
-        best = min(near, key=lambda w: (round(weighted(key, w), 3), -self.weight.get(self.exact[w], 0), w), default=None)
-        return self.exact[best] if best else -1
+        found = ((round(weighted(key, w), 3), -self.weight.get(self.exact[w], 0), self.exact[w]) for w in near)
+        return min(found, default=None)
 
 
 class Issuers:
@@ -89,24 +90,24 @@ class Issuers:
                 self.by_core.setdefault(name.words[0], []).append((ref, name.trade, tuple(name.words[1:])))
         self.deletes = Deletes(self.by_core)
 
-    def find(self, text: str) -> int:
+    def best(self, text: str) -> tuple[float, int, int] | None:
+        """(cost, minus frequency, entry) of the best entry."""
         whole = self.whole.get(plain_label(text))
         if whole is not None:
-            return whole
+            return -1.0, -self.weight.get(whole, 0), whole
         name = parse(text)
         if name.kind not in ("org", "person") or not name.words:
-            return -1
-        found = []
+            return None
         for word in name.words:
-            cores = self.deletes.near(word, 1 if len(word) > 4 else 0)
-            for edits, core in cores:
+            found = []
+            for _, core in self.deletes.near(word, 1 if len(word) > 4 else 0):
                 for ref, trade, rest in self.by_core[core]:
                     lone = not name.trade and len(self.by_core[core]) == 1 and name.kind == "org"
                     if (trade == name.trade or lone) and (not rest or set(rest) <= set(name.words)):
                         found.append((round(weighted(word, core), 3), -self.weight.get(ref, 0), ref))
             if found:
-                break
-        return min(found)[2] if found else -1
+                return min(found)
+        return None
 
 
 def matched(
@@ -122,42 +123,58 @@ def matched(
 ) -> DataFrame:
     """``rows`` with the id of the reference entry that ``value`` means in column ``out``, or -1 for none.
 
-    Null values are kept with -1; blank ones have none. The reference is read by the driver in blocks of
-    ``BLOCK`` entries, which bounds what each worker holds; the rows are never shuffled, so a value that a third
-    of them share makes no hot task. Other columns pass through
+    Null values are kept with -1; blank ones have none. The reference is looked up in blocks of ``BLOCK`` entries,
+    each of which goes to the workers by itself and improves on the one before, so what is sent is bounded whatever
+    the list's length; the rows are never shuffled, so a value that a third of them share makes no hot task. Other columns pass through
     untouched, but one called like ``out`` is replaced.
     """
-    spark = rows.sparkSession
     rows = rows.drop(out) if out != value else rows
     entries = reference.select(F.col(ref_id).cast("bigint").alias("r"), *[F.col(c).cast("string").alias(f"n{i}") for i, c in enumerate(ref_names)]).where("r is not null")
-    if entries.count() > BLOCK:
-        raise ValueError(f"more than {BLOCK} reference entries; split the list and union the results")
-    table = entries.orderBy("r").collect()
+    blocks = max(1, -(-entries.count() // BLOCK))
+    cost, rank = (free_name(n, [*rows.columns, out]) for n in ("_cost", "_rank"))
+    result = rows.select("*", F.lit(None).cast("double").alias(cost), F.lit(None).cast("bigint").alias(rank), F.lit(-1).cast("bigint").alias(out))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in result.schema)
+    for k in range(blocks):
+        table = (entries if blocks == 1 else entries.where(F.pmod(F.xxhash64("r"), F.lit(blocks)) == k)).orderBy("r").collect()
+        result = result.mapInArrow(_lookup(rows, table, value, kind, synonyms or {}, cost, rank, out), columns)
+    return result.drop(cost, rank)
+
+
+def _lookup(rows: DataFrame, table: list, value: str, kind: str, synonyms: dict[str, str], cost: str, rank: str, out: str):
+    """The mapping of batches by one block of the reference."""
+    spark = rows.sparkSession
     listed = [(r.r, t) for r in table for t in r[1:] if t]
     named = {t: r for r, t in reversed(listed)}
-    counted = rows.select(F.col(value).cast("string").alias("v")).join(F.broadcast(spark.createDataFrame([(t,) for t in named] or [("",)], "v string")), "v", "left_semi")
+    wanted = spark.createDataFrame([(t,) for t in named] or [("",)], "v string")  # at most a block
+    counted = rows.select(F.col(value).cast("string").alias("v")).join(F.broadcast(wanted), "v", "left_semi")
     weight: dict[int, int] = {}
     for r in counted.groupBy("v").count().collect():  # at most one row an entry
         weight[named.get(r.v, -1)] = weight.get(named.get(r.v, -1), 0) + r["count"]
-    if synonyms:
-        listed += [(named[key], s) for key, words in synonyms.items() if key in named for s in words.split("|")]
+    listed += [(named[key], s) for key, words in synonyms.items() if key in named for s in words.split("|")]
     held = spark.sparkContext.broadcast((listed, weight))
     of = {"issuer": Issuers, "label": Labels}[kind]
+
     def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, seen = of(*held.value), {}
         for batch in batches:
-            refs = []
-            for text in batch.column(batch.schema.get_field_index(value)).to_pylist():
-                if not isinstance(text, str):
-                    refs.append(-1)
-                    continue
-                ref = seen.get(text)
-                if ref is None:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    ref = seen[text] = lookup.find(text)
+            at = {n: i for i, n in enumerate(batch.schema.names)}
+            costs, ranks, refs = [], [], []
+            before = zip(*(batch.column(at[c]).to_pylist() for c in (value, cost, rank, out)))
+            for text, c, w, ref in before:
+                best = None
+                if isinstance(text, str):
+                    if text not in seen:
+                        if len(seen) > 500_000:
+                            seen.clear()
+                        seen[text] = lookup.best(text)
+                    best = seen[text]
+                if best is not None and (c is None or best < (c, w, ref)):
+                    c, w, ref = best
+                costs.append(c)
+                ranks.append(w)
                 refs.append(ref)
-            yield appended(batch, out, pa.array(refs, pa.int64()))
+            arrays = list(batch.columns)
+            arrays[at[cost]], arrays[at[rank]], arrays[at[out]] = pa.array(costs, pa.float64()), pa.array(ranks, pa.int64()), pa.array(refs, pa.int64())
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(look, f"{columns}, `{out}` bigint")
+    return look

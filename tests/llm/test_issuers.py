@@ -90,6 +90,17 @@ def test_components_against_union_find(spark):
     assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
 
 
+def test_reference_in_blocks(spark, monkeypatch):
+    from ledgerloom.llm import canonical
+
+    ref = spark.createDataFrame([(i, f"Firma{'abcdefghij'[i]}lorum Pharma AG") for i in range(10)], "ref_id long, n string")
+    typed = spark.createDataFrame([(i, f"firma{'abcdefghij'[i]}lorum pharma") for i in range(10)] + [(99, "Anders AG")], "i int, v string")
+    whole = {r.i: r.ref_found for r in matched(typed, ref, value="v", ref_id="ref_id", ref_names=["n"], kind="issuer").collect()}
+    monkeypatch.setattr(canonical, "BLOCK", 3)
+    parts = {r.i: r.ref_found for r in matched(typed, ref, value="v", ref_id="ref_id", ref_names=["n"], kind="issuer").collect()}
+    assert whole == parts == {**{i: i for i in range(10)}, 99: -1}
+
+
 def test_canonical_lookup(spark):
     rows = spark.createDataFrame(
         [(1, "Lohnausw. 2021", "k"), (2, "LOHNZETTEL", "k"), (3, "Mietvertrag", "k"), (4, None, "k"), (5, "", "k"), (6, "certficat de salaire", "k"), (6, "certficat de salaire", "k"), (7, "x" * 3000, "k")],
@@ -103,4 +114,4 @@ def test_canonical_lookup(spark):
     got = matched(typed, issuers, value="v", ref_id="ref_id", ref_names=["n"], kind="issuer")
     assert sorted((r.i, r.ref_found) for r in got.collect()) == [(1, 2), (2, 1), (3, -1), (4, 1)]
     assert matched(typed.limit(0), issuers.limit(0), value="v", ref_id="ref_id", ref_names=["n"], kind="issuer").count() == 0
-    assert Labels([], {}).find("Lohn") == -1
+    assert Labels([], {}).best("Lohn") is None
