@@ -130,13 +130,12 @@ def thousands_joined(t):
     r AS (SELECT dokument_id, tag_id AS start, 1 AS size, a AS win FROM w WHERE a IS NOT NULL UNION ALL SELECT dokument_id, tag_id, 2, a || ' ' || b FROM w WHERE b IS NOT NULL UNION ALL SELECT dokument_id, tag_id, 3, a || ' ' || b || ' ' || c FROM w WHERE c IS NOT NULL),
     k AS (SELECT dokument_id, {sql_norm('win')} AS k, size, start, win FROM r),
     m AS (SELECT dokument_id, k, arg_min(start, size * 100000000 + start) AS at, min(size * 100000000 + start) // 100000000 AS size FROM k WHERE k <> '' GROUP BY 1, 2),
-    v AS (SELECT row_id, dokument_id, {sql_norm('wert_raw').replace('chr(32)', "''")} AS k FROM field_rows WHERE feld IN ('bruttolohn_pos8', 'nettolohn_pos11', 'bruttoertrag'))
+    v AS (SELECT row_id, dokument_id, {sql_norm('wert_raw').replace('chr(32)', "''")} AS k FROM field_rows)
     SELECT v.row_id, m.at, m.size::BIGINT AS size FROM v LEFT JOIN m ON v.dokument_id = m.dokument_id AND v.k = m.k WHERE v.k <> ''""",
 )
 def located_values(t):
-    values = t("field_rows").where("feld in ('bruttolohn_pos8', 'nettolohn_pos11', 'bruttoertrag')").select("row_id", "dokument_id", "wert_raw")
-    words = t("tagged_words").withColumn("_doc", F.struct("dokument_id", "eingelesen_am"))
-    spans = O.windows(words, DOC, "tag_id", most=3).withColumn("_key", A.normalized(F.col("window"))).where("_key <> ''")
+    values = t("field_rows").select("row_id", "dokument_id", "wert_raw")
+    spans = O.windows(t("tagged_words"), DOC, "tag_id", most=3).withColumn("_key", A.normalized(F.col("window"))).where("_key <> ''")
     best = spans.groupBy("dokument_id", "_key").agg(F.min(F.struct("size", "start")).alias("hit"))
     asked = values.withColumn("_key", A.normalized(F.col("wert_raw"))).where("_key <> ''")
     return asked.join(best, ["dokument_id", "_key"], "left").select("row_id", F.col("hit.start").alias("at"), F.col("hit.size").cast("bigint").alias("size"))

@@ -222,9 +222,9 @@ def line_order(t):
     return lines.select("ziffer", F.row_number().over(W.orderBy(X.line_order(F.col("ziffer")), "ziffer")).cast("bigint").alias("rang"))
 
 
-@query("r2_30_ellipsis", "SELECT doc_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 59) || '…' ELSE text END AS anfang FROM documents WHERE source = 'mail' AND text IS NOT NULL")
+@query("r2_30_ellipsis", "SELECT doc_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 59) || '…' ELSE text END AS anfang FROM documents WHERE text IS NOT NULL")
 def ellipsis(t):
-    return t("documents").where("source = 'mail' and text is not null").select("doc_id", X.ellipsis(F.col("text"), 60).alias("anfang"))
+    return t("documents").where("text is not null").select("doc_id", X.ellipsis(F.col("text"), 60).alias("anfang"))
 
 
 @query("r2_31_unmasked_numbers", "SELECT count(*) AS n FROM field_rows WHERE snippet IS NOT NULL AND NOT regexp_matches(snippet, '[xX*#]') AND length(regexp_replace(snippet, '\\D', '', 'g')) >= 6")

@@ -39,11 +39,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends in files that survive an executor."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{_cuts(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _cuts(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/cuts-{spark.sparkContext.applicationId}"
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Removes the tables this application has cut; call it when no result built on them is read any more."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_cuts(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

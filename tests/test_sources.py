@@ -5,7 +5,7 @@ import json
 import pytest
 
 from ledgerloom.operators.scrub import scanned
-from ledgerloom.session import shared_dir
+from ledgerloom.session import clear_cuts, cut, shared_dir
 from ledgerloom.sources import readers as R
 from ledgerloom.sources import writers as W
 from ledgerloom.streaming import incremental as N
@@ -103,3 +103,13 @@ def test_incremental_runs_take_each_file_once(spark, tmp_path):
     assert sum(seen) == 3
     assert sorted((r.k, r.v) for r in N.current(spark, store, "k", "at").collect()) == [("a", "z"), ("b", "y")]
     assert shared_dir(spark)
+
+
+def test_cuts_are_cleared(spark):
+    import os
+
+    df = cut(spark.createDataFrame([(1,)], "n int"))
+    folder = os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+    assert df.count() == 1 and os.path.isdir(folder)
+    clear_cuts(spark)
+    assert not os.path.exists(os.path.dirname(folder))
