@@ -67,3 +67,19 @@ def state_counts(rows: DataFrame, key: Sequence[str], state: str, states: Sequen
 def longest_spelling(rows: DataFrame, key: Sequence[str], name: str) -> DataFrame:
     """The longest spelling of each key, of equally long ones the first, and how many spellings there are."""
     return rows.groupBy(*key).agg(F.max(F.struct(F.length(name).alias("n"), F.col(name).alias("v"))).alias("m"), F.countDistinct(name).alias("spellings")).select(*key, F.col("m.v").alias(name), "spellings")
+
+
+def sole_row(rows: DataFrame, key: Sequence[str], wanted: Column, value: str) -> DataFrame:
+    """The value of the one row of each key that is wanted; a finding and no value where none or several are."""
+    n = F.count_if(wanted)
+    state = F.when(n == 0, "fehlt").when(n > 1, "mehrdeutig")
+    return rows.groupBy(*key).agg(F.when(n == 1, F.max(F.when(wanted, F.col(value)))).alias(value), state.alias("befund"))
+
+
+def majority(rows: DataFrame, key: Sequence[str], column: str, votes: Sequence[tuple[Column, str]]) -> DataFrame:
+    """What a column means: each row votes by the first test that holds; the meaning with most votes, NULL on a tie."""
+    meaning = None
+    for test, label in votes:
+        meaning = F.when(test, label) if meaning is None else meaning.when(test, label)
+    counted = rows.withColumn("_m", meaning).where("_m is not null")
+    return strict_mode(counted.withColumnRenamed("_m", "bedeutung"), [*key, column], "bedeutung").select(*key, column, "bedeutung")

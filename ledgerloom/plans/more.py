@@ -13,6 +13,7 @@ from ledgerloom.functions import texts as X
 from ledgerloom.operators import relate as R
 from ledgerloom.operators import rules as Q
 from ledgerloom.operators import store as S
+from ledgerloom.operators import summarize as Z
 from ledgerloom.operators import words as O
 from ledgerloom.plans.boxes import _NUMBER, DOC, PAGE, ROW, _rows
 from ledgerloom.plans.catalog import Catalog
@@ -90,6 +91,24 @@ def sums_before(t):
     return O.sums_up_to(rows, ["dokument_id"], ["row_id"], "w").select("row_id")
 
 
+@query(
+    "r3_19_sole_year_rows",
+    "SELECT aussteller, person, zielwert, CASE WHEN sum((jahr = '2022')::INT) = 1 THEN max(CASE WHEN jahr = '2022' THEN betrag END) END AS betrag, CASE WHEN sum((jahr = '2022')::INT) = 0 THEN 'fehlt' WHEN sum((jahr = '2022')::INT) > 1 THEN 'mehrdeutig' END AS befund FROM position_store GROUP BY 1, 2, 3",
+)
+def sole_year_rows(t):
+    return Z.sole_row(t("position_store"), ["aussteller", "person", "zielwert"], F.col("jahr") == "2022", "betrag")
+
+
+@query(
+    "r3_19_column_meanings",
+    "WITH v AS (SELECT belegtyp, feld, CASE WHEN regexp_matches(wert_raw, '^\\d{1,2}\\.\\d{1,2}\\.\\d{4}$') THEN 'datum' WHEN regexp_matches(wert_raw, '^(19|20)\\d{2}$') THEN 'jahr' WHEN regexp_matches(wert_raw, '\\d[.,]\\d{2}$') THEN 'betrag' WHEN regexp_matches(wert_raw, '[a-z]') THEN 'text' END AS b FROM field_rows), c AS (SELECT belegtyp, feld, b, count(*) AS n FROM v WHERE b IS NOT NULL GROUP BY 1, 2, 3), m AS (SELECT belegtyp, feld, max(n) AS n FROM c GROUP BY 1, 2) SELECT belegtyp, feld, CASE WHEN count(*) = 1 THEN min(b) END AS bedeutung FROM c JOIN m USING (belegtyp, feld, n) GROUP BY 1, 2",
+)
+def column_meanings(t):
+    v = F.col("wert_raw")
+    votes = [(v.rlike("^\\d{1,2}\\.\\d{1,2}\\.\\d{4}$"), "datum"), (v.rlike("^(19|20)\\d{2}$"), "jahr"), (v.rlike("\\d[.,]\\d{2}$"), "betrag"), (v.rlike("[a-z]"), "text")]
+    return Z.majority(t("field_rows"), ["belegtyp"], "feld", votes)
+
+
 @query("r5_12_gap_quote", "SELECT belegtyp, round(sum((wert_raw IS NULL OR wert_raw = '' OR wert_raw LIKE 'manual_review%')::INT) / count(*), 6) AS lueckenquote FROM field_rows GROUP BY 1 HAVING count(*) > 0")
 def gap_quote(t):
     gap = F.col("wert_raw").isNull() | (F.col("wert_raw") == "") | F.col("wert_raw").startswith("manual_review")

@@ -184,3 +184,12 @@ def test_least_score_under_spans(spark):
     tokens = spark.createDataFrame([("a", 0, "abc", 0.9), ("a", 1, "de", 0.2), ("a", 2, "fgh", 0.5)], "d string, n int, w string, p double")
     spans = spark.createDataFrame([("a", 0, 3), ("a", 2, 4), ("a", 5, 8)], "d string, start int, end int")
     assert rows(O.span_minimum(tokens, spans, "d", "n", "w", "p", width=2), "start", "least", "tokens") == [(0, 0.9, 1), (2, 0.2, 2), (5, 0.5, 1)]
+
+
+def test_sole_rows_and_column_meanings(spark):
+    df = spark.createDataFrame([("a", "2022", "5"), ("a", "2021", "6"), ("b", "2022", "1"), ("b", "2022", "2"), ("c", "2020", "1")], "k string, y string, v string")
+    got = Z.sole_row(df, ["k"], F.col("y") == "2022", "v").collect()
+    assert sorted((r.k, r.v, r.befund) for r in got) == [("a", "5", None), ("b", None, "mehrdeutig"), ("c", None, "fehlt")]
+    votes = [(F.col("v") > "4", "gross"), (F.col("v") > "0", "klein")]
+    meant = Z.majority(df.withColumn("s", F.lit("x")), ["s"], "k", votes).collect()
+    assert sorted((r.k, r.bedeutung) for r in meant) == [("a", "gross"), ("b", "klein"), ("c", "klein")]
