@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.lookalikes import SUSPICIOUS, consistent_run, plain_form
-from ledgerloom.llm.names import LEGAL, NICKNAMES, SHORT_TRADES, TITLES, fold_name, glued_trade, trade_of
+from ledgerloom.llm.names import LEGAL, NICKNAMES, TITLES, fold_name, glued_trade, trade_of
 from ledgerloom.llm.weak import decide
 
 KINDS = ("email", "phone", "id_number", "address", "name")
