@@ -109,14 +109,24 @@ def _cost(a: str, b: str, role: str, marks_a: str, marks_b: str) -> float | None
 
 
 def _joined(groups: DataFrame, pairs: DataFrame, role: str) -> DataFrame:
-    """(node, comp) after groups whose weak forms fit one other group best have joined it."""
+    """(node, comp) after groups whose weak forms fit one other group best have joined it.
+
+    Groups that fit equally well count as one once they have joined each other, so joins go on until none is left;
+    what a group fits best is fixed before the first of them. The order of the joins does not change the result.
+    """
     wish = pairs.where(F.col("role") == role).select(F.col("a").alias("weak"), F.col("b").alias("node"), "cost").join(groups, "node")
     ask = wish.join(groups.select(F.col("node").alias("weak"), F.col("comp").alias("from")), "weak").where("comp <> from")
     best = ask.groupBy("from").agg(F.min("cost").alias("cost"))
-    sole = ask.join(best, ["from", "cost"]).groupBy("from").agg(F.min("comp").alias("to"), F.max("comp").alias("other")).where("to = other").select("from", "to")
-    back = sole.select(F.col("from").alias("to"), F.col("to").alias("from"))
-    sole = sole.join(back.withColumn("_mutual", F.lit(True)), ["from", "to"], "left").where("_mutual is null or from > to")  # of two that ask for each other one stays
-    return groups.join(sole.select(F.col("from").alias("comp"), "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    asked = cut(ask.join(best, ["from", "cost"]).select("from", F.col("comp").alias("to")).distinct())
+    labels = asked.select(F.col("from").alias("comp")).union(asked.select("to")).distinct().withColumn("label", F.col("comp"))
+    while True:
+        label = lambda c: labels.select(F.col("comp").alias(c), F.col("label").alias(f"{c}_label"))  # noqa: B023, E731
+        fits = asked.join(label("from"), "from").join(label("to"), "to").groupBy("from").agg(F.first("from_label").alias("a"), F.min("to_label").alias("b"), F.max("to_label").alias("other"))
+        sole = cut(fits.where("b = other and a <> b").select("a", "b"))
+        if sole.isEmpty():
+            return groups.join(labels, "comp", "left").select("node", F.coalesce("label", "comp").alias("comp"))
+        joined = components(sole).select(F.col("node").alias("label"), F.col("comp").alias("least"))
+        labels = cut(labels.join(joined, "label", "left").select("comp", F.coalesce("least", "label").alias("label")))
 
 
 def linked(names: DataFrame) -> DataFrame:

@@ -72,6 +72,16 @@ def test_marks_keep_groups_apart(spark):
     assert ["Dina Zerul", "Dr. med. Ladina Zerul", "Zerul, L."] in sets and ["Luzia Zerulo"] in sets
 
 
+def test_short_forms_with_several_targets_of_one_person(spark):
+    names = ["Hans Zerulin", "Hannes Zerulin", "Johannes Zerulin", "Chris Bardomi", "Christoph Bardomi", "Christian Bardomi"]
+    by = {}
+    for r in linked(spark.createDataFrame([(n,) for n in names], "name string")).collect():
+        by.setdefault(r.entity, set()).add(r.name)
+    sets = sorted(map(sorted, by.values()))
+    assert sorted(names[:3]) in sets
+    assert [["Chris Bardomi"], ["Christian Bardomi"], ["Christoph Bardomi"]] == [x for x in sets if "Bardomi" in x[0]]
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(1)
     edges = [(f"n{rng.randint(0, 60):02d}", f"n{rng.randint(0, 60):02d}") for _ in range(45)] + [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(30)]
