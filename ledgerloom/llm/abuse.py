@@ -3,8 +3,8 @@
 A lexicon transducer maps each word, however it is disguised, to classes with weights: insults, violence, groups,
 demeaning words, sexual words, targets, speakers, negation, reported speech, neutral trades. Pattern transducers
 over the classes, with bounded gaps, are composed with it; the best path through a sentence gives its score.
-Isolated words score little: a pattern needs a target, a group or a speaker, and negation, reported speech and
-professional contexts take weight away.
+Isolated words score little: a pattern needs a target, a group or a speaker. Negation, reported speech and
+professional contexts take weight from the paths they surround, not from others of the sentence.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ WORDS = {
     "BEAST": "affe affen schwein schweine sau saeue ratte ratten esel ochse ochsen hund hunde parasiten ungeziefer abschaum pack pig pigs rat rats dog dogs scum vermin porc porcs chien chiens maiale maiali porco porci ratti bestie",
     "NOT": "nicht kein keine keinen keiner not never isn no pas jamais non mai nessun",
     "REPORT": "beschimpft beschimpfung beschimpfungen bedroht bedrohung beleidigt beleidigung beleidigungen gemeldet protokolliert angezeigt strafanzeige opfer erkennen praevention vorfall nannte sagte zitat reported complaint insulted threatened victim victims awareness recognise recognize prevention quoted signale insulte insultes menaces victime victimes plainte haine segnalato insultato minacciato vittima vittime denuncia odio",
-    "NEUTRAL": "kurs cours corso beratung schaedlingsbekaempfung kammerjaeger pest derattizzazione tierarzt veterinaire veterinary veterinario kastration sterilisation screening gynaekologie ginecologica gynecologie urologie sexologie sexologist sexology therapie konsultation consultation visita dorffest lesung theater ausstellung museum medizin medizinisch* verhuetung schwangerschaft education aufklaerung dachstock desinfestazione deratisation labor",
+    "NEUTRAL": "kurs cours corso beratung schaedlingsbekaempfung kammerjaeger derattizzazione tierarzt veterinaire veterinary veterinario kastration sterilisation screening gynaekologie ginecologica gynecologie urologie sexologie sexologist sexology therapie konsultation consultation visita dorffest lesung theater ausstellung museum medizin medizinisch* verhuetung schwangerschaft education aufklaerung dachstock desinfestazione deratisation labor",
 }
 PHRASES = {
     "INSULT": "pezzo di merda|testa di cazzo|figlio di puttana|piece of shit|sack of shit|fils de pute|stueck dreck|stueck scheisse|waste of space",
@@ -66,7 +66,7 @@ PHRASES = {
     "WHO": "so ein|so eine|was fuer ein|bande de|what a|che razza|razza di",
     "EXPEL": "fluss tief genug|im blut|ins haus|an die wand|wiped out|locked up|be gassed|be shot|be hanged|send back|go back|back to the swamp|in their blood|get out|thrown out|les chasse|les enferme|dans le sang|sale race|a la mer|nel loro sangue|fuori i",
     "SEX": "ohne hoeschen|besorg es dir|besorge es dir|geiles luder|geile sau|lecke ich dich|leck ich dich|lecke dich|zieh dich aus|zieh dich nackt aus|mein schwanz|meinen schwanz|suck me|suck my|sucking me|nude pics|naked pics|cum on|spread your legs|get so hard|so hard reading|jerk off|ride me|photos nue|photo nue|je bande|me sucer|suce moi|ecarte les jambes|foto nuda|foto nude|apri le gambe",
-    "NEUTRAL": "haus fuer opfer|feiern ihr",
+    "NEUTRAL": "haus fuer opfer|feiern ihr|pest control",
 }
 
 # The patterns: classes in order, ~n for a gap of up to n words, and the weight of the whole.
@@ -105,11 +105,13 @@ PATTERNS = (
     ("sex", "I ~3 YOU ~4 SEXWEAK", 1.0),
     ("sex", "SEXWEAK ~3 I ~3 YOU", 1.0),
     ("sex", "YOU ~2 SEXWEAK ~2 SEXWEAK", 1.0),
-    ("", "NOT ~1 INSULT", -0.9),
-    ("", "NOT ~1 VIOLENT", -0.7),
-    ("", "REPORT", -0.9),
-    ("", "NEUTRAL", -0.9),
 )
+LESS = {"INSULT": 0.9, "VIOLENT": 0.7}  #: what a negation up to one word before takes away
+CONTEXT = 0.9  #: what reported speech or a professional context takes away
+REPORT_GAP, SAID_GAP, NEUTRAL_GAP, SEX_GAP = 8, 3, 8, 4  #: words between the context and the path
+SAID = frozenset("nannte sagte zitat quoted".split())
+AS = frozenset("als as comme come".split())
+THAT = frozenset("dass that que che wonach".split())  #: after a comma they go on with what was said
 HOT = ("INSULT", "WEAKINSULT", "COMMAND", "VIOLENT", "GROUP", "SEX", "SEXWEAK", "DEMEAN")
 THRESHOLD = 0.95
 
@@ -118,6 +120,12 @@ _BIT = {c: 1 << i for i, c in enumerate(_CLASSES)}
 _HOT = sum(_BIT[c] for c in HOT)
 _DISGUISED = sum(_BIT[c] for c in ("INSULT", "COMMAND", "SEX", "VIOLENT", "GROUP", "WEAKINSULT", "DEMEAN", "EXPEL", "SEXWEAK"))
 _TYPED = sum(_BIT[c] for c in ("INSULT", "COMMAND", "SEX", "GROUP"))
+_DIRECT = _BIT["YOU"] | _BIT["COMMAND"] | _BIT["WISH"]
+_LITERAL = _BIT["DEMEAN"] | _BIT["BEAST"]  #: words with a plain meaning too
+_FRAME = sum(_BIT[c] for c in ("YOU", "I", "WHO", "PERSON", "BE", "WISH", "GROUP"))
+_AROUND = _BIT["NOT"] | _BIT["REPORT"] | _BIT["NEUTRAL"]
+_BREAK = re.compile(r"[,:()]|\s[-–—]+\s")
+_QUOTE = re.compile(r"[\"«»„“”]")
 _TRIPLE = re.compile(r"(.)\1\1")
 _SENTENCE = re.compile(r"(?<=[.!?;])[\"'»)]*\s+(?=[^\W\d_])|\n+|;")
 _SPACED = re.compile(r"(?<![\w])(?:[^\W\d_][ .\-_*]{1,2}){2,}[^\W\d_](?![\w])")
@@ -282,21 +290,99 @@ class Grammar:
                 return False
         return bool(live)
 
-    def score(self, classes: list[int]) -> tuple[float, str]:
-        """(score, label) of a sentence: its heaviest pattern, less what context takes away."""
+    @staticmethod
+    def paths(steps: list[tuple[int, int]], classes: list[int]) -> Iterator[tuple[int, ...]]:
+        """The words of each path of a chain."""
+        first = steps[0][0]
+        for i, c in enumerate(classes):
+            if c & first:
+                live = [(i,)]
+                for bit, gap in steps[1:]:
+                    live = [(*p, j) for p in live for j in range(p[-1] + 1, min(len(classes), p[-1] + 2 + gap)) if classes[j] & bit]
+                yield from live
+
+    def score(self, classes: list[int], around: Around | None = None) -> tuple[float, str]:
+        """(score, label) of a sentence: its heaviest path, less what the context of that path takes away."""
         present = 0
         for c in classes:
             present |= c
-        best, label, less = 0.0, "", 0.0
+        best, label = 0.0, ""
         for name, steps, weight, need in self.chains:
-            if need & ~present:
+            if need & ~present or weight <= best:
                 continue
-            if weight < 0:
+            if around is None or not present & _AROUND:
                 if self.accepts(steps, classes):
-                    less += weight
-            elif weight > best and self.accepts(steps, classes):
-                best, label = weight, name
-        return max(0.0, best + less), label if best + less > 0 else ""
+                    best, label = weight, name
+                continue
+            for path in self.paths(steps, classes):
+                got = weight - around.less(steps, path)
+                if got > best:
+                    best, label = got, name
+                    if got == weight:
+                        break
+        return best, label
+
+
+class Around:
+    """What stands around the paths of a sentence: its words, their classes, clauses and quotation."""
+
+    def __init__(self, words: list[str], classes: list[int], breaks: list[str], quoted: list[bool]):
+        self.words, self.classes, self.quoted = words, classes, quoted
+        self.hard, self.comma, hard, comma = [], [], 0, 0  # breaks up to each word, without colons; commas only
+        for w, b in zip(words, breaks):
+            if b and w not in THAT:
+                hard += b != ":"
+                comma += b == ","
+            self.hard.append(hard)
+            self.comma.append(comma)
+        self.reports = [i for i, c in enumerate(classes) if c & _BIT["REPORT"]]
+        self.neutral = [i for i, c in enumerate(classes) if c & _BIT["NEUTRAL"]]
+        self.breaks = breaks
+
+    def less(self, steps: list[tuple[int, int]], path: tuple[int, ...]) -> float:
+        """What negation, reported speech and professional contexts take from a path."""
+        all_of, out = 0, 0.0
+        for bit, _ in steps:
+            all_of |= bit
+        for name, by in LESS.items():
+            if any(bit == _BIT[name] and any(self.classes[k] & _BIT["NOT"] for k in range(max(0, i - 2), i)) for (bit, _), i in zip(steps, path)):
+                out += by
+        if self.reports and any(self._reported(r, all_of, path) for r in self.reports):
+            out += CONTEXT
+        if self.neutral and any(self._plain(n, all_of, steps, path) for n in self.neutral):
+            out += CONTEXT
+        return out
+
+    def _reported(self, r: int, all_of: int, path: tuple[int, ...]) -> bool:
+        a, b = path[0], path[-1]
+        gap = a - r - 1 if r < a else r - b - 1  # negative within the path
+        if gap > REPORT_GAP:
+            return False
+        if not self.quoted[r] and all(self.quoted[i] for i in path):
+            return True
+        same = self.hard[min(a, r)] == self.hard[max(b, r)]
+        if any(self.words[k] in AS for k in range(max(0, b - 2), b)) and same:  # called an idiot
+            return True
+        if gap < 0:
+            return same and r not in path
+        said = r < a and gap < SAID_GAP and (self.words[r] in SAID or ":" in self.breaks[r + 1 : a + 1])
+        if all_of & _DIRECT:
+            return said and same
+        if said and self.hard[a] - self.hard[r] == self.comma[a] - self.comma[r] <= 1:
+            return True
+        return same and not self._stated(all_of, path)
+
+    def _stated(self, all_of: int, path: tuple[int, ...]) -> bool:
+        """Whether a path says of a group what it is."""
+        return bool(all_of & _BIT["GROUP"]) and any(self.classes[k] & _BIT["BE"] or self.words[k] in ("sont", "sono") for k in range(path[0] + 1, path[-1]))
+
+    def _plain(self, n: int, all_of: int, steps: list[tuple[int, int]], path: tuple[int, ...]) -> bool:
+        a, b = path[0], path[-1]
+        gap = a - n - 1 if n < a else n - b - 1
+        core = [self.classes[i] for (bit, _), i in zip(steps, path) if not bit & _FRAME]
+        if all_of & (_BIT["SEX"] | _BIT["SEXWEAK"]):
+            return not all_of & _BIT["YOU"] and gap <= (SEX_GAP if all_of & _BIT["I"] else NEUTRAL_GAP)
+        return all(c & _LITERAL for c in core) and gap <= NEUTRAL_GAP and not self._stated(all_of, path)
 
 
 class Scorer:
@@ -304,9 +390,26 @@ class Scorer:
         self.lexicon, self.grammar = Lexicon(), Grammar()
 
     def words(self, sentence: str) -> list[str]:
+        return _WORD.findall(self._joined(sentence))
+
+    @staticmethod
+    def _joined(sentence: str) -> str:
         if _SPACED.search(sentence):
             sentence = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), sentence)
-        return _WORD.findall(sentence)
+        return sentence
+
+    def around(self, sentence: str, words: list[str], classes: list[int]) -> Around:
+        """The context of the words of a sentence; an open quotation goes on to its end."""
+        breaks, quoted, at, inside = [], [], 0, False
+        text = self._joined(sentence)
+        for m in _WORD.finditer(text):
+            between = text[at : m.start()]
+            inside ^= len(_QUOTE.findall(between)) % 2 == 1
+            found = _BREAK.findall(between)
+            breaks.append(":" if ":" in found else "," if "," in found else "-" if found else "")
+            quoted.append(inside)
+            at = m.end()
+        return Around(words, classes, breaks, quoted)
 
     def sentences(self, text: str) -> list[tuple[str, float, str]]:
         """(sentence, score, label) of the sentences with a score."""
@@ -320,7 +423,8 @@ class Scorer:
                 hot |= of(w)
             if not hot & _HOT and not any(self.lexicon.undisguised(w) in self.lexicon.phrases for w in words):
                 continue
-            score, label = self.grammar.score(self.lexicon.classes(words))
+            classes = self.lexicon.classes(words)
+            score, label = self.grammar.score(classes, self.around(sentence, words, classes) if any(c & _AROUND for c in classes) else None)
             if score > 0:
                 out.append((sentence, score, label))
         return out

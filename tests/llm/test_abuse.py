@@ -22,6 +22,20 @@ def test_sentences():
     assert [t for t in NO if s.score(t)[0] >= THRESHOLD] == []
 
 
+def test_context_counts_for_its_own_path():
+    s = Scorer()
+    yes = [
+        "Sie Idiot, ich habe den Vorfall gemeldet.", "Die Moorländer sind Ungeziefer und eine Pest", "Ihr Idioten, der Kurs war wertlos", "Ich habe Sie gemeldet, Sie Idiot", "Visita du Arschloch theater",
+        "Sie sind kein Idiot, Sie Arschloch", "you bastard my complaint is still open", "Die Ostgrater sind Abschaum und wir sind die Opfer",
+    ]
+    no = [
+        "Der Kunde nannte mich einen dummen Idioten und ging.", 'Er sagte: "Du Idiot!"', "Der Kunde wurde als Idiot beschimpft, Vorfall gemeldet.", "Ostgrater wurden als Abschaum beschimpft.", "Sie wurden als Idiot beschimpft",
+        "Pest control for the immigrants hostel, rats in the cellar", "Ich habe gemeldet, dass er mich verprügelte.", "Migranten melden Ungeziefer, Kammerjäger bestellt", "Vorfall: «Ich bringe dich um», angezeigt am 3.4.",
+    ]
+    assert [t for t in yes if s.score(t)[0] < THRESHOLD] == []
+    assert [t for t in no if s.score(t)[0] >= THRESHOLD] == []
+
+
 def test_table(spark):
     rows = [(i, t, "x") for i, t in enumerate(YES + NO)] + [(99, "wort " * 50_000 + YES[0], "x"), (0, YES[0], "x"), (None, NO[0], None), (2**60 + 1, NO[1], None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, abuse_score string")
