@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -112,12 +113,11 @@ REPORT_GAP, SAID_GAP, NEUTRAL_GAP, SEX_GAP = 8, 3, 8, 4  #: words between the co
 SAID = frozenset("nannte sagte zitat quoted".split())
 AS = frozenset("als as comme come".split())
 THAT = frozenset("dass that que che wonach".split())  #: after a comma they go on with what was said
-HOT = ("INSULT", "WEAKINSULT", "COMMAND", "VIOLENT", "GROUP", "SEX", "SEXWEAK", "DEMEAN")
 THRESHOLD = 0.95
 
 _CLASSES = tuple(WORDS)
 _BIT = {c: 1 << i for i, c in enumerate(_CLASSES)}
-_HOT = sum(_BIT[c] for c in HOT)
+_NEEDS = {sum({_BIT[c] for c in text.split() if c in _BIT}) for _, text, _ in PATTERNS}  #: classes of each pattern
 _DISGUISED = sum(_BIT[c] for c in ("INSULT", "COMMAND", "SEX", "VIOLENT", "GROUP", "WEAKINSULT", "DEMEAN", "EXPEL", "SEXWEAK"))
 _TYPED = sum(_BIT[c] for c in ("INSULT", "COMMAND", "SEX", "GROUP"))
 _DIRECT = _BIT["YOU"] | _BIT["COMMAND"] | _BIT["WISH"]
@@ -127,7 +127,9 @@ _AROUND = _BIT["NOT"] | _BIT["REPORT"] | _BIT["NEUTRAL"]
 _BREAK = re.compile(r"[,:()]|\s[-–—]+\s")
 _QUOTE = re.compile(r"[\"«»„“”]")
 _TRIPLE = re.compile(r"(.)\1\1")
-_SENTENCE = re.compile(r"(?<=[.!?;])[\"'»)]*\s+(?=[^\W\d_])|\n+|;")
+_SENTENCE = re.compile(r"(?<=[.!?;])[\"'»)]*\s+(?=[^\W\d_])|(?<=[.!?;])[\"'»)]*\s*\n\s*|\n[^\S\n]*\n\s*|;")
+_LINE_END = re.compile(r"\r\n?|[\u2028\u2029\x0b\x0c\x85]")
+_HYPHEN = re.compile(r"(?<=[^\W\d_])[-\u00ad]\n[^\S\n]*(?=[^\W\d_])")
 _SPACED = re.compile(r"(?<![\w])(?:[^\W\d_][ .\-_*]{1,2}){2,}[^\W\d_](?![\w])")
 _WORD = re.compile(r"[^\W_]+(?:[*#@$!€][\w*#@$!€]*[\w*#])?|[\w@$€*]+", re.U)
 _LEET = str.maketrans("013457@$€!|", "oieastasei" + "l")
@@ -347,12 +349,16 @@ class Around:
         for name, by in LESS.items():
             if any(bit == _BIT[name] and any(self.classes[k] & _BIT["NOT"] for k in range(max(0, i - 2), i)) for (bit, _), i in zip(steps, path)):
                 out += by
-        if self.reports and any(self._reported(r, all_of, path) for r in self.reports):
+        if self.reports and any(self._reported(r, all_of, path) for r in self._near(self.reports, path, REPORT_GAP)):
             out += CONTEXT
-        if self.neutral and any(self._plain(n, all_of, steps, path) for n in self.neutral):
+        if self.neutral and any(self._plain(n, all_of, steps, path) for n in self._near(self.neutral, path, NEUTRAL_GAP)):
             out += CONTEXT
         return out
 
+    @staticmethod
+    def _near(at: list[int], path: tuple[int, ...], gap: int) -> list[int]:
+        return at[bisect_left(at, path[0] - gap - 1) : bisect_left(at, path[-1] + gap + 2)]
+
     def _reported(self, r: int, all_of: int, path: tuple[int, ...]) -> bool:
         a, b = path[0], path[-1]
         gap = a - r - 1 if r < a else r - b - 1  # negative within the path
@@ -414,14 +420,15 @@ class Scorer:
     def sentences(self, text: str) -> list[tuple[str, float, str]]:
         """(sentence, score, label) of the sentences with a score."""
         out, of = [], self.lexicon.of
-        for sentence in _SENTENCE.split(_umlaut(text)):
+        text = _LINE_END.sub("\n", _umlaut(text))
+        for sentence in _SENTENCE.split(_HYPHEN.sub("", text) if "\n" in text else text):
             if not sentence:
                 continue
             words = self.words(sentence)
             hot = 0
             for w in words:
                 hot |= of(w)
-            if not hot & _HOT and not any(self.lexicon.undisguised(w) in self.lexicon.phrases for w in words):
+            if all(need & ~hot for need in _NEEDS) and not any(self.lexicon.undisguised(w) in self.lexicon.phrases for w in words):
                 continue
             classes = self.lexicon.classes(words)
             score, label = self.grammar.score(classes, self.around(sentence, words, classes) if any(c & _AROUND for c in classes) else None)

@@ -36,6 +36,17 @@ def test_context_counts_for_its_own_path():
     assert [t for t in no if s.score(t)[0] >= THRESHOLD] == []
 
 
+def test_lines_and_animals():
+    s = Scorer()
+    yes = [
+        "Du bist ein\nArschloch", "Die Moorländer sind\r\nUngeziefer", "Wenn das so bleibt, werde ich euch\nalle abstechen", "Halt die\nFresse", "Du bist ein Arsch-\nloch",
+        "Ihr seid Hunde", "Sie sind ein Hund",
+    ]
+    no = ["Bericht an Sie\n\nIdiot", "Das gilt für Sie.\nIdiot ist ein Roman", "Sie sind mit dem Hund beim Tierarzt gewesen"]
+    assert [t for t in yes if s.score(t)[0] < THRESHOLD] == []
+    assert [t for t in no if s.score(t)[0] >= THRESHOLD] == []
+
+
 def test_table(spark):
     rows = [(i, t, "x") for i, t in enumerate(YES + NO)] + [(99, "wort " * 50_000 + YES[0], "x"), (0, YES[0], "x"), (None, NO[0], None), (2**60 + 1, NO[1], None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, abuse_score string")
