@@ -3,7 +3,8 @@
 Pigeonhole: a passage of 15 words with one word wrong, or of n words with n/8 wrong, keeps a run of four right
 words at least, so every run of four words of an item is a piece; pieces are found exactly, all at once, in the
 document without blanks and punctuation. Where pieces lie together, Myers' bit-parallel distance over words
-verifies the passage within its budget, and an alignment confirms that it begins and ends with right words.
+verifies the passage within its budget, and an alignment confirms that it begins and ends with right words. Where
+blanks are lost or put in, the stream without blanks is segmented into the item's words first.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ class Item:
         self.words = words_of(text)
         self.vocabulary = set(self.words)
         self.chars = sum(map(len, self.words))
+        self.sizes = sorted({len(w) for w in self.vocabulary})
 
     def windows(self) -> Iterator[tuple[int, int, int]]:
         """(start, end, errors allowed) of windows one of which lies in any passage within the budget."""
@@ -168,6 +170,50 @@ class Finder:
                 i += 1
         return out
 
+    def _segmented(self, stream: str, edges: set[int], sure: set[tuple[int, int]], lo: int, hi: int, item: Item) -> list[str]:
+        """The words of a stretch of the stream, whatever blanks it had: cheapest cover by words of the item, those
+        under pieces first, and by strange runs, which blanks (``edges``) cut."""
+        best: list[tuple[float, int, bool]] = [(0.0, lo, True)] + [(1e9, lo, True)] * (hi - lo)  # cost, begin of the last word, whether the item has it
+        for a in range(lo, hi):
+            cost, _, known = best[a - lo]
+            strange = cost + 0.3 + (1.0 if known or a in edges else 0.0)
+            if strange < best[a + 1 - lo][0]:
+                best[a + 1 - lo] = (strange, a, False)
+            for size in item.sizes:
+                b = a + size
+                if b > hi:
+                    break
+                if stream[a:b] in item.vocabulary:
+                    more = 0.0 if (a, b) in sure else 0.02 + ((a not in edges) + (b not in edges)) * (1.0 if size < 4 else 0.1)
+                    if cost + more < best[b - lo][0]:
+                        best[b - lo] = (cost + more, a, True)
+        out: list[str] = []
+        run: list[int] = []  # bounds of a strange run, from its end
+        mean = max(1.0, item.chars / len(item.words))
+
+        def close() -> None:
+            if run:
+                cuts = [run[0], *(x for x in range(run[0] - 1, run[-1], -1) if x in edges), run[-1]]
+                size = run[0] - run[-1]
+                if len(cuts) > 2 and size < 2 * (len(cuts) - 1) or len(cuts) == 2 and size > 4 * mean:  # letters apart, or words without blanks
+                    n = max(1, round(size / mean))
+                    out.extend([""] * n)
+                else:
+                    out.extend(stream[x:y] for y, x in zip(cuts, cuts[1:]))
+                run.clear()
+
+        b = hi
+        while b > lo:
+            _, a, known = best[b - lo]
+            if known:
+                close()
+                out.append(stream[a:b])
+            else:
+                run[:] = [run[0] if run else b, a]
+            b = a
+        close()
+        return out[::-1]
+
     def find(self, text: str) -> list[int]:
         if not self.any or not text:
             return []
@@ -183,9 +229,9 @@ class Finder:
         for w in words:
             total += len(w)
             ends.append(total)
-        return sorted(self.items[n].item_id for n, places in hits.items() if self._verified(self.items[n], places, words, ends))
+        return sorted(self.items[n].item_id for n, places in hits.items() if self._verified(self.items[n], places, words, ends, stream))
 
-    def _verified(self, item: Item, places: list[tuple[int, int]], words: list[str], ends: list[int]) -> bool:
+    def _verified(self, item: Item, places: list[tuple[int, int]], words: list[str], ends: list[int], stream: str) -> bool:
         places.sort()
         reach, need = item.chars + 40, min(SEED_WORDS, len(item.words))
         k = 0
@@ -194,12 +240,12 @@ class Finder:
             while j < len(places) and places[j][0] - places[j - 1][0] <= reach:
                 j += 1
             under = {s + d for _, s in places[k:j] for d in range(PIECE)}
-            if len(under) >= need and self._near(item, places[k:j], under, words, ends, reach):
+            if len(under) >= need and self._near(item, places[k:j], under, words, ends, reach, stream):
                 return True
             k = j
         return False
 
-    def _near(self, item: Item, places: list[tuple[int, int]], under: set[int], words: list[str], ends: list[int], reach: int) -> bool:
+    def _near(self, item: Item, places: list[tuple[int, int]], under: set[int], words: list[str], ends: list[int], reach: int, stream: str) -> bool:
         # k errors leave at most 3k right words of a window outside pieces
         covered = [0]
         for i in range(len(item.words)):
@@ -210,12 +256,25 @@ class Finder:
         lo = bisect_right(ends, max(0, places[0][0] - reach))
         hi = bisect_right(ends, places[-1][0] + reach) + 1
         for start in range(lo, hi, max(1, 6 * len(item.words))):  # long stretches in overlapping parts
-            part = self._words(words[start : start + 8 * len(item.words)], item)
-            for a, b, errors in likely:
-                if myers(item.words[a:b], part) <= errors:
-                    if has_passage(item.words, part):
-                        return True
-                    break
+            if self._holds(item, self._words(words[start : start + 8 * len(item.words)], item), likely):
+                return True
+        edges, sure = {0, *ends}, set()
+        for at, first in places:
+            for w in item.words[first : first + PIECE]:
+                sure.add((at, at + len(w)))
+                at += len(w)
+        first, last = max(0, places[0][0] - reach), min(len(stream), places[-1][0] + 2 * reach)
+        for start in range(first, last, 6 * item.chars):
+            part = self._segmented(stream, edges, sure, start, min(last, start + 8 * item.chars), item)
+            if self._holds(item, part, likely):
+                return True
+        return False
+
+    @staticmethod
+    def _holds(item: Item, part: list[str], likely: list[tuple[int, int, int]]) -> bool:
+        for a, b, errors in likely:
+            if myers(item.words[a:b], part) <= errors:
+                return has_passage(item.words, part)
         return False
 
 

@@ -45,6 +45,25 @@ def test_passages():
     assert found(" ".join(dropped))
 
 
+def test_spacing_does_not_matter():
+    words = ITEM.split()
+    part = words[4:19]
+    assert found("vorher " + "".join(part) + " nachher")
+    assert found("vorher" + "".join(part) + "nachher")
+    assert found(" ".join(" ".join(w) for w in part))
+    assert found("x " * 300 + " ".join(" ".join(w) for w in part) + " y" * 300)
+    assert found(" ".join("".join(part[i : i + 3]) for i in range(0, 15, 3)))
+    assert not found("vorher " + "".join(words[4:18]) + " nachher")
+    assert not found(" ".join(" ".join(w) for w in words[4:18]))
+    two = [*part[:5], "ganz", *part[6:10], "neu", *part[11:]]
+    assert not found("".join(two)) and not found(" ".join(" ".join(w) for w in two))
+    item = "wir geben die information in der filiale zu jeder zeit und rueck fragen gehen an das amt in bern"
+    finder = Finder([(7, item)])
+    text = item.replace("information", "in formation").split(" ", 1)[1]
+    short = " ".join(text.split()[:16]).replace("jeder", "keiner")
+    assert finder.find(text) == [7] and finder.find(short) == [7]
+
+
 def test_edges_must_be_right():
     item = [str(i) for i in range(30)]
     assert has_passage(item, item[5:20])
