@@ -60,6 +60,7 @@ _MAIL = re.compile(
     r"(?P<local>[\w.+%-]+)(?:(?P<at> ?@ ?)|(?P<written> ?[\[(] ?at ?[\])] ?))(?P<domain>[\w-]+(?:(?:\.| ?[\[(] ?(?:dot|punkt) ?[\])] ?)[\w-]+)*(?:\.| ?[\[(] ?(?:dot|punkt) ?[\])] ?)[^\W\d_]{2,})",
     re.I,
 )
+_WRITTEN_AT = re.compile(r"[\[(] ?at ?[\])]", re.I)  #: as in _MAIL
 _PHONE = re.compile(
     r"(?<![\w.'/+-])(?:(?P<inter>(?:\+|00) ?(?:41|423|49|43|33|39) ?(?:\(0\) ?)?\(?\d{2}\)?)|(?P<nat>\(0\d{2}\)|0\d{2}))(?P<rest>(?:[ ./-]?\d{3}[ ./-]?\d{2}[ ./-]?\d{2}))(?![\d'])(?!\.\d)"
 )
@@ -76,7 +77,7 @@ _STREET = re.compile(
     r",? (?P<no>\d{1,3} ?[a-zA-Z]?)(?![\w.'])(?!/\d)",
     re.U,
 )
-_STREET_UPPER = re.compile(rf"(?<!\w)[A-ZÄÖÜ][A-ZÄÖÜ'-]*(?:{STREETS.upper()})\.? (?P<no>\d{{1,3}}[A-Za-z]?)(?![\w.'])")
+_STREET_UPPER = re.compile(rf"(?<!\w)(?P<name>[A-ZÄÖÜ][A-ZÄÖÜ'-]*(?:{STREETS.upper()})\.?),? (?P<no>\d{{1,3}} ?[A-Za-z]?)(?![\w.'])(?!/\d)")
 _POSTCODE = re.compile(r"(?<![\w.'/+-])(?:(?P<land>CH|FL|D|A|F|I)[- ]{1,2})?(?P<code>[1-9]\d{3}) ?(?P<place>[A-ZÄÖÜ][a-zäöüéèâ]+(?:[- ][A-ZÄÖÜ][a-zäöüéèâ]+)?|[A-ZÄÖÜ]{4,})(?!\w)")
 _PLACE_END = re.compile(r"(?:ikon|wil|wyl|bueel|büel|buel|bühl|dorf|hofen|lingen|ingen|matt|stetten|berg|burg|bach|au|ach|thal|tal|egg|feld|kirch|brugg|brücken|furt|ried|see|münster|fingen|hausen|heim|nau|ens|ans|ier|eux|ge|zig|zürich|bern|basel|genf|lausanne|luzern|chur|zug|lugano|locarno|thun|biel)$", re.I)
 _FIRST_PLACE = re.compile(r"(?:ikon|wil|wyl|bueel|büel|dorf|hofen|lingen|matt|stetten)$", re.I)
@@ -186,7 +187,7 @@ class Scanner:
     def spans(self, text: str) -> list[tuple[int, int, str, int]]:
         """(start, end, kind, votes) of the candidates in a cleaned text."""
         out: list[tuple[int, int, str, int]] = []
-        if "@" in text or "at" in text and ("(at)" in text or "[at]" in text):
+        if "@" in text or ("(" in text or "[" in text) and _WRITTEN_AT.search(text):
             self._mail(text, out)
         if _LONG_NUMBER.search(text):
             self._numbers(text, out)
@@ -239,8 +240,8 @@ class Scanner:
 
     def _address(self, text: str, out: list) -> None:
         streets = [(m.start(), m.end()) for m in _STREET.finditer(text) if not _STOP_STREET(m)]
-        if not streets and text.isupper():
-            streets = [(m.start(), m.end()) for m in _STREET_UPPER.finditer(text)]
+        mixed = [*streets]
+        streets += [(m.start(), m.end()) for m in _STREET_UPPER.finditer(text) if not _STOP_STREET(m) and not any(a < m.end() and m.start() < b for a, b in mixed)]
         places = []
         for m in _POSTCODE.finditer(text):
             place = fold_name(m["place"])

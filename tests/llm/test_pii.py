@@ -26,6 +26,13 @@ def test_candidates():
     assert ("name", "JakobRöthisberg") in kinds("Name JakobRöthisberg")
 
 
+def test_upper_case_streets_and_written_separators():
+    assert ("address", "BAHNHOFSTRASSE 12") in kinds("Rechnung an\nBAHNHOFSTRASSE 12")
+    assert {("address", "BAHNHOFSTRASSE 12"), ("address", "Mühlegasse 2")} <= kinds("Mühlegasse 2, früher BAHNHOFSTRASSE 12")
+    assert ("email", "anna.muster (AT) firma.ch") in kinds("Kontakt anna.muster (AT) firma.ch")
+    assert ("email", "anna [ at ] firma.ch") in kinds("Kontakt anna [ at ] firma.ch")
+
+
 def test_no_candidates():
     for text in ("IBAN CHxx xxxx xxxx xxxx 7270", "Police-Nr. 476.799.23.50", "Valor 9090970 ISIN CH1295731309", "MWST CHE-611.531.876 Satz 8.1 %", "Menge 26 Stk. @ 4.10 Artikel 072-2539", "Liegenschaft Sägeplatz Parzelle 4701", "2021 Steuerausweis 2912"):
         assert not kinds(text), text
