@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,9 +59,24 @@ def unaccented(col: Column) -> Column:
     return F.translate(col, _ACCENTED, _PLAIN)
 
 
+# Letters of other scripts that look like Latin ones.
+_LOOKS, _LATIN = "аеорсухіѕјһАВЕКМНОРСТУХІЅЈουνιρακΑΒΕΖΗΙΚΜΝΟΡΤΥΧ‘’ʼ´｀", "aeopcyxisjhABEKMHOPCTYXISJouvipakABEZHIKMNOPTYX" + "'" * 5
+
+
+def _forms() -> tuple[str, str]:
+    """Full-width characters, accented Latin letters and look-alikes, and the plain character of each."""
+    wide = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | dict(zip(_LOOKS, _LATIN))
+    for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))):
+        plain = unicodedata.normalize("NFD", c)[0]
+        if plain != c and plain.isascii():
+            wide[c] = plain
+    return "".join(wide), "".join(wide.values())
+
+
 def name_tokens(col: Column) -> Column:
-    """The words of a name without case and accents, distinct and sorted."""
-    words = F.split(F.lower(unaccented(F.coalesce(col, F.lit("")))), "[\\s\\u00A0\\u202F\\u2009,]+")
+    """The words of a name without case, accents, character forms and what is invisible, distinct and sorted."""
+    plain = F.translate(F.regexp_replace(F.coalesce(col, F.lit("")), "[\\p{Mn}\\p{Cf}]", ""), *_forms())
+    words = F.split(F.lower(plain), "[\\s\\p{Z},]+")
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: w != "")))
 
 

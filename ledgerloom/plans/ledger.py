@@ -175,7 +175,7 @@ def phrases(t):
 )
 def members_named(t):
     members = t("family").select("dossier_id", "member_id", X.name_tokens(F.concat_ws(" ", "first_name", "last_name")).alias("mt"))
-    fields = t("field_rows").where("feld like '%name' and wert_raw is not null").where(F.col("wert_raw").rlike("^[\\x20-\\x7eäöüéèêÄÖÜÉíÍ]+$"))
+    fields = t("field_rows").where("feld like '%name' and wert_raw is not null")  # the SQL leaves names with other characters out
     sets = fields.select("dossier_id", "row_id", X.name_tokens(F.col("wert_raw")).alias("st"))
     return R.contained(sets, members, ["dossier_id"], ["row_id"], "st", "mt", "member_id").select("row_id", "member_id")
 
@@ -314,7 +314,7 @@ def sum_per_person(t):
     docs = t("field_rows").where("belegtyp = 'kk_praemienbescheinigung'").groupBy("dokument_id").agg(
         F.max(F.when(F.col("feld") == "versicherte_person_name", F.col("wert_raw"))).alias("p"), F.max(F.when(F.col("feld") == "praemie_kvg_total", F.col("wert_decimal").try_cast("double"))).alias("b")
     )
-    named = docs.where(F.col("p").rlike("^[\\x20-\\x7eäöüéèÄÖÜÉíÍ]+$"))
+    named = docs.where("p is not null and p <> ''")  # the SQL leaves names with other characters out
     return named.groupBy(F.array_join(X.name_tokens(F.col("p")), " ").alias("person")).agg(F.round(F.sum("b"), 2).alias("praemie"), F.count("*").alias("n"))
 
 

@@ -193,3 +193,15 @@ def test_sole_rows_and_column_meanings(spark):
     votes = [(F.col("v") > "4", "gross"), (F.col("v") > "0", "klein")]
     meant = Z.majority(df.withColumn("s", F.lit("x")), ["s"], "k", votes).collect()
     assert sorted((r.k, r.bedeutung) for r in meant) == [("a", "gross"), ("b", "klein"), ("c", "klein")]
+
+
+def test_names_of_any_character_form(spark):
+    from ledgerloom.plans.ledger import members_named, sum_per_person
+
+    names = ["Zoë\u00a0D’Arçon", "Zoe\u0308 D'Arc\u0327on", "Ｚｏë D'Arçon", "D'Ar\u200bçon, Z\u043eë", "Zoë Anders"]
+    rows = [(i, f"k{i}", "d", "kk_praemienbescheinigung", "versicherte_person_name", n, None) for i, n in enumerate(names)]
+    rows += [(10 + i, f"k{i}", "d", "kk_praemienbescheinigung", "praemie_kvg_total", "", "10.50") for i in range(5)]
+    fields = spark.createDataFrame(rows, "row_id long, dokument_id string, dossier_id string, belegtyp string, feld string, wert_raw string, wert_decimal string")
+    tables = {"field_rows": fields, "family": spark.createDataFrame([("d", 1, "Zoë", "D'Arçon")], "dossier_id string, member_id long, first_name string, last_name string")}
+    assert sorted(r.row_id for r in members_named(tables.get).collect()) == [0, 1, 2, 3]
+    assert {tuple(r) for r in sum_per_person(tables.get).collect()} == {("d'arcon zoe", 42.0, 4), ("anders zoe", 10.5, 1)}
