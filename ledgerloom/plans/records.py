@@ -133,7 +133,7 @@ SELECT doc_id, CASE WHEN greatest(s0, s1, s2, s3) = 0 THEN 'unknown' WHEN (s0 =
 @query("r9_01_typed", _TYPED)
 def typed(t):
     docs = t("documents").where("text is not null").select("doc_id", "text")
-    return E.typed(docs, "text", _TYPES, head=30).select("doc_id", "typ", F.col("treffer").cast("bigint").alias("treffer"))
+    return E.typed(docs, "text", _TYPES, head=200).select("doc_id", "typ", F.col("treffer").cast("bigint").alias("treffer"))
 
 
 @query("r9_02_constrained", "SELECT d.doc_id, CASE WHEN list_contains(a.l, d.belegtyp) THEN d.belegtyp ELSE a.l[1] END AS typ FROM documents d JOIN (SELECT dossier_id, list_sort(list(DISTINCT belegtyp)) AS l FROM field_rows GROUP BY 1) a USING (dossier_id)")

@@ -205,3 +205,10 @@ def test_names_of_any_character_form(spark):
     tables = {"field_rows": fields, "family": spark.createDataFrame([("d", 1, "Zoë", "D'Arçon")], "dossier_id string, member_id long, first_name string, last_name string")}
     assert sorted(r.row_id for r in members_named(tables.get).collect()) == [0, 1, 2, 3]
     assert {tuple(r) for r in sum_per_person(tables.get).collect()} == {("d'arcon zoe", 42.0, 4), ("anders zoe", 10.5, 1)}
+
+
+def test_types_from_two_hundred_words(spark):
+    from ledgerloom.plans.records import typed
+
+    docs = spark.createDataFrame([(1, "Spende " + "wort " * 40 + "Bruttolohn Nettolohn"), (2, "Spende " + "wort " * 220 + "Bruttolohn Nettolohn")], "doc_id long, text string")
+    assert {tuple(r) for r in typed({"documents": docs}.get).collect()} == {(1, "lohn", 2), (2, "spende", 1)}
