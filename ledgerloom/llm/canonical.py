@@ -23,21 +23,22 @@ BLOCK = 50_000
 # What receipts of each type are called, besides the names of the reference list.
 SYNONYMS = {
     "lohnausweis": "lohnausweis|lohnausw|lohn ausweis|lohnzettel|jahreslohnausweis|lohn rente ausweis|lohnabrechnung|rentenbescheinigung|rentenausweis|lohnbescheinigung|certificat de salaire|attestation de salaire|salary certificate|salary statement|certificato di salario",
-    "bank_zinsausweis": "bank zinsausweis|zinsausweis|zinsausweiss|zinsausweis bank|bank zins ausweis|kontozinsen|zinsbescheinigung konto|zinsbescheinigung|bankauszug zinsen|kontoauszug zinsen|zinsabschluss|attestation d interets|bank interest statement|attestazione interessi",
+    "bank_zinsausweis": "bank zinsausweis|zinsausweis|zinsausweis bank|bank zins ausweis|kontozinsen|zinsbescheinigung konto|zinsbescheinigung|bankauszug zinsen|kontoauszug zinsen|zinsabschluss|attestation d interets|bank interest statement|attestazione interessi",
     "kk_praemienbescheinigung": "kk praemienbescheinigung|kk praemien|kk bescheinig|kk bescheinigung|krankenkasse praemien|krankenkassenpraemie|krankenkassenpraemien|praemienbescheinigung kk|praemienbescheinigung krankenkasse|praemienbescheinigung|praemienausweis kvg vvg|praemienausweis|attestation de primes maladie|primes maladie|health insurance premiums|premi cassa malati",
     "saeule_3a": "saeule 3a|saeule3a|3 saeule a|3a|3a einzahlung|vorsorge 3a bescheinigung|vorsorge 3a|dritte saeule|pilier 3a|3e pilier a|troisieme pilier a|pillar 3a|pilastro 3a",
-    "wertschriftenverzeichnis": "wertschriftenverzeichnis|wertschrftenverzeichnis|wertschr verz|wertschriften|depotauszug|wv depot|steuerverzeichnis depot|steuerverzeichnis|depotverzeichnis|etat des titres|releve de titres|securities statement|elenco dei titoli",
-    "spenden": "spenden|spende|spendn|spendenbestaetigung|spendenquittung|zuwendung gemeinnuetzig|zuwendung|zuwendungsbescheinigung|vergabung|don|dons|attestation de don|donation|donazione",
-    "berufsauslagen": "berufsauslagen|berufsauslgen|berufs auslagen|berufskosten|weiterbildung|weiterbildungskosten|kurskosten beruflich|kurskosten|gewinnungskosten|frais professionnels|professional expenses|spese professionali",
-    "kinderbetreuung": "kinderbetreuung|kinderbetreung|kinder betreuung|kita|krippe|kinderkrippe|hort tagesfamilie|hort|tagesfamilie|betreuungskosten|garde d enfants|frais de garde|childcare|custodia bambini",
+    "wertschriftenverzeichnis": "wertschriftenverzeichnis|wertschr verz|wertschriften|depotauszug|wv depot|steuerverzeichnis depot|steuerverzeichnis|depotverzeichnis|etat des titres|releve de titres|securities statement|elenco dei titoli",
+    "spenden": "spenden|spende|spendenbestaetigung|spendenquittung|zuwendung gemeinnuetzig|zuwendung|zuwendungsbescheinigung|vergabung|don|dons|attestation de don|donation|donazione",
+    "berufsauslagen": "berufsauslagen|berufs auslagen|berufskosten|weiterbildung|weiterbildungskosten|kurskosten beruflich|kurskosten|gewinnungskosten|frais professionnels|professional expenses|spese professionali",
+    "kinderbetreuung": "kinderbetreuung|kinder betreuung|kita|krippe|kinderkrippe|hort tagesfamilie|hort|tagesfamilie|betreuungskosten|garde d enfants|frais de garde|childcare|custodia bambini",
     "hypothek_zinsbestaetigung": "hypothek zinsbestaetigung|hypothek|hypothekarzins|hypothekarzinsen|hypothekenzins|hypothekenzinsen|hypo zinsen|schuldzinsen hypothek|schuldzinsen|zinsbest hypothek|zinsbestaetigung hypothek|interets hypothecaires|mortgage interest|interessi ipotecari",
-    "liegenschaftsunterhalt": "liegenschaftsunterhalt|liegenschaftunterhalt|liegenschaftsunterh|unterhalt liegenschaft|hausunterhalt|lu haus|renovation haus|renovation|rechnung unterhalt|entretien d immeuble|property maintenance|manutenzione immobile",
-    "krankheitskosten": "krankheitskosten|krankheitkosten|krankheits kosten|arztkosten|arztrechnung|zahnarzt|zahnarztrechnung|apotheke arzt|apotheke|rueckforderungsbeleg|frais medicaux|medical expenses|spese mediche",
+    "liegenschaftsunterhalt": "liegenschaftsunterhalt|liegenschafts unterhalt|liegenschaftsunterh|unterhalt liegenschaft|hausunterhalt|lu haus|renovation haus|renovation|rechnung unterhalt|entretien d immeuble|property maintenance|manutenzione immobile",
+    "krankheitskosten": "krankheitskosten|krankheits kosten|arztkosten|arztrechnung|zahnarzt|zahnarztrechnung|apotheke arzt|apotheke|rueckforderungsbeleg|frais medicaux|medical expenses|spese mediche",
     "freizuegigkeitskonto": "freizuegigkeitskonto|freizuegigkeitskto|freizuegigkeit|fz konto|fzk|freizuegigkeitsguthaben|libre passage|compte de libre passage|vested benefits account|libero passaggio",
 }
 
 _YEAR = re.compile(r"\b(19|20)\d\d\b")
 _MARKS = re.compile(r"[^a-z0-9]+")
+_LINKING_S = re.compile(r"(?<=[a-z]{4})s (?=[a-z]{4})")  #: between the parts of a compound, often left out
 
 
 def plain_label(text: str) -> str:
@@ -52,11 +53,11 @@ def _allowed(size: int) -> int:
 class Labels:
     """Lookup of labels: equal words first, then the same letters, then within the edits their length allows."""
 
-    def __init__(self, entries: list[tuple[int, str]], weight: dict[int, int]):
+    def __init__(self, entries: list[tuple[int, str, bool]], weight: dict[int, int]):
         self.exact: dict[str, int] = {}
-        for ref, label in entries:
-            key = plain_label(label).replace(" ", "")
-            if key and (key not in self.exact or weight.get(ref, 0) > weight.get(self.exact[key], 0)):
+        for ref, label in ((r, form) for r, t, _ in entries for form in {plain_label(t), _LINKING_S.sub("", plain_label(t))}):
+            key = label.replace(" ", "")
+            if key and (key not in self.exact or (-weight.get(ref, 0), ref) < (-weight.get(self.exact[key], 0), self.exact[key])):
                 self.exact[key] = ref
         self.deletes = Deletes(self.exact, most=2)
         self.weight = weight
@@ -77,39 +78,62 @@ class Labels:
 
 
 class Issuers:
-    """Lookup of issuers: the coined word within one edit, in the same line of business."""
+    """Lookup of issuers: the coined word within one edit, in the same line of business.
 
-    def __init__(self, entries: list[tuple[int, str]], weight: dict[int, int]):
+    An entry comes with whether no other entry of the whole reference has its coined word: a value without a line of
+    business means it only then.
+    """
+
+    def __init__(self, entries: list[tuple[int, str, bool]], weight: dict[int, int]):
         self.weight = weight
-        self.by_core: dict[str, list[tuple[int, str, tuple[str, ...]]]] = {}
+        self.by_core: dict[str, list[tuple[int, str, tuple[str, ...], bool]]] = {}
         self.whole: dict[str, int] = {}
-        for ref, text in entries:
-            name = parse(text)
-            self.whole.setdefault(plain_label(text), ref)
+        for ref, text, sole in entries:
+            name, key = parse(text), plain_label(text)
+            if key not in self.whole or (-weight.get(ref, 0), ref) < (-weight.get(self.whole[key], 0), self.whole[key]):
+                self.whole[key] = ref
             if name.words:
-                self.by_core.setdefault(name.words[0], []).append((ref, name.trade, tuple(name.words[1:])))
+                self.by_core.setdefault(name.words[0], []).append((ref, name.trade, tuple(name.words[1:]), sole))
         self.deletes = Deletes(self.by_core)
 
     def best(self, text: str) -> tuple[float, int, int] | None:
-        """(cost, minus frequency, entry) of the best entry."""
+        """(cost, minus frequency, entry) of the best entry; an earlier word of the value goes before a later one."""
         whole = self.whole.get(plain_label(text))
         if whole is not None:
             return -1.0, -self.weight.get(whole, 0), whole
         name = parse(text)
         if name.kind not in ("org", "person") or not name.words:
             return None
-        for word in name.words:
+        for place, word in enumerate(name.words):
             found = []
             for _, core in self.deletes.near(word, 1 if len(word) > 4 else 0):
-                for ref, trade, rest in self.by_core[core]:
-                    lone = not name.trade and len(self.by_core[core]) == 1 and name.kind == "org"
+                for ref, trade, rest, sole in self.by_core[core]:
+                    lone = not name.trade and name.kind == "org"
+                    if lone and not sole:  # one of several: none of them, nor a farther one
+                        found.append((10 * place + round(weighted(word, core), 3), 0, -1))
+                        lone = False
                     if (trade == name.trade or lone) and (not rest or set(rest) <= set(name.words)):
-                        found.append((round(weighted(word, core), 3), -self.weight.get(ref, 0), ref))
+                        found.append((10 * place + round(weighted(word, core), 3), -self.weight.get(ref, 0), ref))
             if found:
                 return min(found)
         return None
 
 
+def _cores(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(entry, text) -> with the coined word of the text."""
+    for batch in batches:
+        cores = [(parse(t).words or [""])[0] for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cores, pa.string())], names=["r", "t", "core"])
+
+
+def _with_soles(entries: DataFrame, kind: str) -> DataFrame:
+    """(r, t, sole): the texts of the reference, and whether no other one of the whole reference has its coined word."""
+    if kind != "issuer":
+        return entries.withColumn("sole", F.lit(False))
+    cored = entries.mapInArrow(_cores, "r bigint, t string, core string")
+    return cored.join(cored.groupBy("core").agg((F.count("*") == 1).alias("sole")), "core").select("r", "t", "sole")
+
+
 def matched(
     rows: DataFrame,
     reference: DataFrame,
@@ -125,17 +149,18 @@ def matched(
 
     Null values are kept with -1; blank ones have none. The reference is looked up in blocks of ``BLOCK`` entries,
     each of which goes to the workers by itself and improves on the one before, so what is sent is bounded whatever
-    the list's length; the rows are never shuffled, so a value that a third of them share makes no hot task. Other columns pass through
+    the list's length and the answers are those of one block; the rows are never shuffled, so a value that a third of them share makes no hot task. Other columns pass through
     untouched, but one called like ``out`` is replaced.
     """
     rows = rows.drop(out) if out != value else rows
-    entries = reference.select(F.col(ref_id).cast("bigint").alias("r"), *[F.col(c).cast("string").alias(f"n{i}") for i, c in enumerate(ref_names)]).where("r is not null")
-    blocks = max(1, -(-entries.count() // BLOCK))
+    texts = F.explode(F.array(*[F.col(c).cast("string") for c in ref_names]))
+    entries = _with_soles(reference.select(F.col(ref_id).cast("bigint").alias("r"), texts.alias("t")).where("r is not null and t <> ''").distinct(), kind)
+    blocks = max(1, -(-reference.count() // BLOCK))
     cost, rank = (free_name(n, [*rows.columns, out]) for n in ("_cost", "_rank"))
     result = rows.select("*", F.lit(None).cast("double").alias(cost), F.lit(None).cast("bigint").alias(rank), F.lit(-1).cast("bigint").alias(out))
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in result.schema)
     for k in range(blocks):
-        table = (entries if blocks == 1 else entries.where(F.pmod(F.xxhash64("r"), F.lit(blocks)) == k)).orderBy("r").collect()
+        table = (entries if blocks == 1 else entries.where(F.pmod(F.xxhash64("r"), F.lit(blocks)) == k)).orderBy("r", "t").collect()
         result = result.mapInArrow(_lookup(rows, table, value, kind, synonyms or {}, cost, rank, out), columns)
     return result.drop(cost, rank)
 
@@ -143,14 +168,17 @@ def matched(
 def _lookup(rows: DataFrame, table: list, value: str, kind: str, synonyms: dict[str, str], cost: str, rank: str, out: str):
     """The mapping of batches by one block of the reference."""
     spark = rows.sparkSession
-    listed = [(r.r, t) for r in table for t in r[1:] if t]
-    named = {t: r for r, t in reversed(listed)}
+    listed = [(r.r, r.t, r.sole) for r in table]
+    named: dict[str, list[int]] = {}
+    for ref, t, _ in listed:
+        named.setdefault(t, []).append(ref)
     wanted = spark.createDataFrame([(t,) for t in named] or [("",)], "v string")  # at most a block
     counted = rows.select(F.col(value).cast("string").alias("v")).join(F.broadcast(wanted), "v", "left_semi")
     weight: dict[int, int] = {}
     for r in counted.groupBy("v").count().collect():  # at most one row an entry
-        weight[named.get(r.v, -1)] = weight.get(named.get(r.v, -1), 0) + r["count"]
-    listed += [(named[key], s) for key, words in synonyms.items() if key in named for s in words.split("|")]
+        for ref in named.get(r.v, ()):
+            weight[ref] = weight.get(ref, 0) + r["count"]
+    listed += [(ref, s, False) for key, words in synonyms.items() for ref in named.get(key, ()) for s in words.split("|")]
     held = spark.sparkContext.broadcast((listed, weight))
     of = {"issuer": Issuers, "label": Labels}[kind]
 

@@ -111,6 +111,37 @@ def test_reference_in_blocks(spark, monkeypatch):
     assert whole == parts == {**{i: i for i in range(10)}, 99: -1}
 
 
+def test_answers_do_not_depend_on_blocks(spark, monkeypatch):
+    from ledgerloom.llm import canonical
+
+    names = ["Brenner AG", "Brenner Treuhand AG", "Brenner Pharma AG", "Talgrund Werke AG", "Talgrund Sol Werke AG", "Solbach Garage", "Brener Optik"]
+    ref = spark.createDataFrame([*enumerate(names), (7, "Solbach Garage"), (8, None), (9, "")], "ref_id long, n string")
+    typed = ["Brener", "Brenner", "brenner pharma", "Talgrund Werke", "Solbach Talgrund Werke", "Solbach", "Solbch Garage", "Talgrund", "Brenr Optik", "Brenner Optik", "Solbach Garage", "x", ""]
+    rows = spark.createDataFrame(list(enumerate(typed)) + [(99, None)], "i int, v string")
+    got = []
+    for size in (50_000, 7, 2, 1):
+        monkeypatch.setattr(canonical, "BLOCK", size)
+        got.append({r.i: r.ref_found for r in matched(rows, ref, value="v", ref_id="ref_id", ref_names=["n"], kind="issuer").collect()})
+    assert got[0] == got[1] == got[2] == got[3]
+    assert got[0][2] == 2 and got[0][3] == 3 and got[0][7] == got[0][1] == -1 and got[0][0] == 6  # the sole one with that coined word
+    labels = spark.createDataFrame([(1, "lohnausweis", "Lohnausweis"), (2, "spenden", "Spende"), (3, "sponden", "Spende")], "ref_id long, a string, b string")
+    values = spark.createDataFrame([(i, v) for i, v in enumerate(["lohnausweiss", "spende", "spendn", "spnden", "Lohnzettel", "spenden"])], "i int, v string")
+    got = []
+    for size in (50_000, 2, 1):
+        monkeypatch.setattr(canonical, "BLOCK", size)
+        got.append({r.i: r.ref_found for r in matched(values, labels, value="v", ref_id="ref_id", ref_names=["a", "b"], kind="label", synonyms=SYNONYMS).collect()})
+    assert got[0] == got[1] == got[2] and got[0][0] == got[0][4] == 1
+
+
+def test_misspellings_come_by_edits():
+    labels = Labels([(i, s, False) for i, words in enumerate(SYNONYMS.values()) for s in words.split("|")], {})
+    keys = list(SYNONYMS)
+    for typed, key in (("Zinsausweiss", "bank_zinsausweis"), ("Wertschrftenverzeichnis", "wertschriftenverzeichnis"), ("Spendn", "spenden"), ("Berufsauslgen", "berufsauslagen"), ("Kinderbetreung", "kinderbetreuung"), ("Krankheitkosten", "krankheitskosten"), ("Liegenschaftunterhalt", "liegenschaftsunterhalt")):
+        assert typed.lower() not in SYNONYMS[key].split("|")
+        cost, _, ref = labels.best(typed)
+        assert keys[ref] == key and (cost > 0 or typed in ("Krankheitkosten", "Liegenschaftunterhalt"))  # those lack a linking s only
+
+
 def test_canonical_lookup(spark):
     rows = spark.createDataFrame(
         [(1, "Lohnausw. 2021", "k"), (2, "LOHNZETTEL", "k"), (3, "Mietvertrag", "k"), (4, None, "k"), (5, "", "k"), (6, "certficat de salaire", "k"), (6, "certficat de salaire", "k"), (7, "x" * 3000, "k")],
