@@ -1,9 +1,11 @@
 """One consistent form for text that looks the same but is written with different characters.
 
 Invisible characters, exotic blanks, apostrophes, hyphens, full-width and mathematical forms, ligatures and
-decomposed letters have one plain form each. Letters of another script are script-aware: a run of letters that
-mixes scripts, or consists of look-alikes only, is read in the script it would be consistent in, and repaired
-only if the corpus has that word in its clean text.
+decomposed letters have one plain form each. Letters of another script are script-aware: the dominant script of a
+token is that of its letters that look like no letter of another one; where it has none, that of the text decides. In
+a token that mixes scripts the others' look-alikes are substituted, if the corpus has the resulting word in its clean
+texts. A token in one script is left alone, unless it is made of look-alikes only and stands with digits or in a text
+of the other script; one without any such context is left alone if a text of its own script has the word.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ SUSPICIOUS = (
     "\\u2030\\u2039\\u203A\\u2044\\u2070-\\u209C\\u20A0-\\u20BF\\u2116\\u2122\\u2150-\\u215F\\u2190-\\u22FF\\u2460-\\u27BF]"
 )
 
-_BACK: dict[str, str] = {}
-for _foreign, _latin in LOOKALIKES.items():
-    _BACK.setdefault(_latin, _foreign)
+_BACK: dict[tuple[str, str], str] = {}  #: (script, Latin letter) -> its look-alike
+for _other, _plain_letter in LOOKALIKES.items():
+    _BACK.setdefault((unicodedata.name(_other).split(" ")[0], _plain_letter), _other)
+_LATIN_LOOKS = {letter for _, letter in _BACK}
+SALTS = 32  #: parts into which rows of one text are spread
 
 _QUOTED = re.compile("(?:(?<=^)|(?<=[\\s(«]))‘[^‘’]*’(?=$|[\\s).,;:!?»])")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -82,46 +86,110 @@ def script(c: str) -> str:
     return unicodedata.name(c, "?").split(" ")[0]
 
 
-def consistent_run(run: str) -> str | None:
-    """The form in one script of a run of letters that mixes scripts or is all look-alikes; None if it has none."""
-    scripts: dict[str, int] = {}
-    for c in run:
-        s = script(c)
-        scripts[s] = scripts.get(s, 0) + 1
-    if set(scripts) == {"LATIN"}:
+def _latin(run: str) -> str | None:
+    """The run with look-alikes of Latin letters made Latin; None if other letters are left."""
+    out = "".join(LOOKALIKES.get(c, c) for c in run)
+    return out if all(script(c) == "LATIN" for c in out) else None
+
+
+def _foreign(run: str, to: str) -> str | None:
+    """The run with Latin letters made their look-alikes of script ``to``; None if others are left."""
+    out = "".join(_BACK.get((to, c), c) for c in run)
+    return out if all(script(c) == to for c in out) else None
+
+
+def scripts(text: str) -> dict[str, int]:
+    """How many letters of each script a text has that look like no letter of another script."""
+    out: dict[str, int] = {}
+    for c in text:
+        if c.isalpha() and c not in LOOKALIKES and c not in _LATIN_LOOKS:
+            s = script(c)
+            out[s] = out.get(s, 0) + 1
+    return out
+
+
+def _most(counts: dict[str, int]) -> str | None:
+    """The dominant script; Latin before others of as many letters."""
+    return max(counts, key=lambda s: (counts[s], s == "LATIN", s), default=None)
+
+
+def consistent_run(run: str, around: str | None = None) -> str | None:
+    """The form in its dominant script of a run of letters that mixes scripts; None for one that does not.
+
+    ``around`` is the dominant script of what stands around it, for a run all of whose letters are look-alikes.
+    """
+    found = {script(c) for c in run}
+    if len(found) < 2:
         return None
-    latin = "".join(LOOKALIKES.get(c, c) for c in run)
-    if all(script(c) == "LATIN" for c in latin):
-        return latin
-    if len(scripts) > 1:  # a foreign word with Latin letters in it
-        main = max(scripts, key=lambda s: (scripts[s], s))
-        if main != "LATIN":
-            back = "".join(_BACK.get(c, c) if script(c) == "LATIN" else c for c in run)
-            if all(script(c) == main for c in back):
-                return back
-    return None
-
-
-def doubtful_runs(plain: str) -> list[tuple[str, str]]:
-    """(run, consistent form) of the runs of letters in another script that could be repaired."""
+    main = _most(scripts(run)) or around or "LATIN"
+    return _latin(run) if main == "LATIN" else _foreign(run, main)
+
+
+ALONE = "\x00"  #: marks a word that is asked for among the words of texts in its own script
+
+
+def doubtful_runs(plain: str) -> list[tuple[str, str, bool]]:
+    """(run, consistent form, without context) of the runs of letters that could be repaired.
+
+    Without context: neither the token nor the text tells the script.
+    """
     if plain.isascii():
         return []
-    return list(dict.fromkeys((r, c) for r in _LETTERS.findall(plain) if not r.isascii() and (c := consistent_run(r)) and c != r))
+    out, whole = {}, None
+    for token in plain.split():
+        if token.isascii():
+            continue
+        here = None
+        for run in _LETTERS.findall(token):
+            if run.isascii() or (found := {script(c) for c in run}) == {"LATIN"}:
+                continue
+            if here is None:
+                here = _most(scripts(token))
+            if whole is None:
+                whole = _most(scripts(plain)) or ""
+            around = here or whole or None
+            if len(found) > 1:
+                form, alone = consistent_run(run, around), False
+            elif all(c in LOOKALIKES for c in run):
+                mixed = around == "LATIN" or any(script(c) == "LATIN" for c in plain if c.isalpha()) or any(c.isdigit() for c in token)
+                form, alone = (None if around not in (None, "LATIN") else _latin(run)), around is None and not mixed
+            else:
+                continue
+            if form and form != run:
+                out[run] = (form, alone)
+    return [(run, form, alone) for run, (form, alone) in out.items()]
+
+
+def own_words(text: str, plain: str) -> list[str]:
+    """Words a text with letters of other scripts adds to the vocabulary: all of one without doubt, and the look-alike
+    words of one in another script, marked."""
+    if plain.isascii() or _most(scripts(plain)) in (None, "LATIN"):
+        return []
+    runs = [r for r in _LETTERS.findall(plain) if not r.isascii()]
+    marked = [ALONE + r.lower() for r in runs if all(c in LOOKALIKES for c in r)]
+    return marked + ([r.lower() for r in runs] if plain == text and not doubtful_runs(plain) else [])
 
 
 _CAPITAL = re.compile(r"(?<=[^\W\d_])(?=[A-ZÄÖÜÉÈÀ][^\W\d_A-ZÄÖÜÉÈÀ])")
 
 
 def readings(consistent: str) -> list[list[str]]:
-    """Words of which all of one list must be known for a run to be repaired: the run itself, the run without an
-    initial glued to it, or the parts of words glued together."""
+    """Words of which all of one list must be known for a run to be repaired: the run itself, the parts of words glued
+    together, or an initial and the name it is glued to."""
     word = consistent.lower()
     parts = [p.lower() for p in _CAPITAL.split(consistent)]
-    return [[word]] + ([[word[1:]]] if len(word) > 5 else []) + ([parts] if len(parts) > 1 else [])
+    return [[word]] + ([parts] if len(parts) > 1 else []) + ([[word[0], word[1:]]] if len(word) > 5 else [])
+
+
+def _is_known(run: str, consistent: str, alone: bool, known: set[str]) -> bool:
+    return not (alone and ALONE + run.lower() in known) and any(known.issuperset(r) for r in readings(consistent))
 
 
-def _is_known(consistent: str, known: set[str]) -> bool:
-    return any(known.issuperset(r) for r in readings(consistent))
+def repairs(plain: str, known: set[str]) -> dict[str, str]:
+    """What to substitute in a text, by what is known of the words asked for; of those without context all or none."""
+    runs = doubtful_runs(plain)
+    sure = all(_is_known(*x, known) for x in runs if x[2])
+    return {r: c for r, c, alone in runs if (sure if alone else _is_known(r, c, alone, known))}
 
 
 def words(text: Column) -> Column:
@@ -138,34 +206,41 @@ def repaired(rows: DataFrame, text_col: str = "text", out: str = "konsistent") -
     untouched, but one called like ``out`` is replaced.
     """
     rows = rows.drop(out) if out in rows.columns and out != text_col else rows
-    c_text, c_plain, c_runs, c_fixed, c_word = (free_name(n, [*rows.columns, out]) for n in ("_text", "_plain", "_runs", "_fixed", "_word"))
+    c_text, c_plain, c_runs, c_own, c_fixed, c_word, c_salt = (free_name(n, [*rows.columns, out]) for n in ("_text", "_plain", "_runs", "_own", "_fixed", "_word", "_salt"))
     text = F.col(text_col).cast("string")
 
     def first_pass(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            plain = [plain_form(t) for t in batch.column(batch.schema.get_field_index(c_text)).to_pylist()]
-            runs = [[w for _, c in doubtful_runs(p) for r in readings(c) for w in r] for p in plain]
-            yield appended(appended(batch, c_plain, pa.array(plain, pa.string())), c_runs, pa.array(runs, pa.list_(pa.string())))
+            texts = batch.column(batch.schema.get_field_index(c_text)).to_pylist()
+            plain = [plain_form(t) for t in texts]
+            runs = [[w for r, c, alone in doubtful_runs(p) for w in [*(w for ws in readings(c) for w in ws), *([ALONE + r.lower()] if alone else [])]] for p in plain]
+            own = [own_words(t, p) for t, p in zip(texts, plain)]
+            for name, values, kind in ((c_plain, plain, pa.string()), (c_runs, runs, pa.list_(pa.string())), (c_own, own, pa.list_(pa.string()))):
+                batch = appended(batch, name, pa.array(values, kind))
+            yield batch
 
     def second_pass(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fixed = []
             for plain, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ok = set(known)
-                swap = {r: c for r, c in doubtful_runs(plain) if _is_known(c, ok)}
+                swap = repairs(plain, ok)
                 fixed.append(_LETTERS.sub(lambda m, swap=swap: swap.get(m[0], m[0]), plain))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fixed, pa.string())], names=[c_plain, c_fixed])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     suspicious = rows.withColumn(c_text, text).where(F.col(c_text).rlike(SUSPICIOUS))
-    first = cut(suspicious.mapInArrow(first_pass, f"{schema}, {c_text} string, {c_plain} string, {c_runs} array<string>"))
+    first = cut(suspicious.mapInArrow(first_pass, f"{schema}, {c_text} string, {c_plain} string, {c_runs} array<string>, {c_own} array<string>"))
     clean = rows.select(text.alias("t")).where(~F.col("t").rlike(SUSPICIOUS))
-    vocabulary = clean.select(F.explode(words(F.col("t"))).alias(c_word)).distinct()
+    vocabulary = clean.select(F.explode(words(F.col("t"))).alias(c_word)).unionByName(first.select(F.explode(c_own).alias(c_word))).distinct()
     doubtful = first.where(F.size(c_runs) > 0)
     asked = doubtful.select(c_plain, F.explode(c_runs).alias(c_word)).distinct()
     known = asked.join(vocabulary, c_word, "left_semi").groupBy(c_plain).agg(F.collect_set(c_word).alias("known"))
     fixed = known.select(c_plain, "known").mapInArrow(second_pass, f"{c_plain} string, {c_fixed} string")
-    mended = doubtful.join(fixed, c_plain, "left").withColumn(out, F.coalesce(c_fixed, c_plain))
+    # a text that many rows have is spread over SALTS parts, each with its own copy of the repaired form
+    salted = doubtful.withColumn(c_salt, F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    spread = fixed.withColumn(c_salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    mended = salted.join(spread, [c_plain, c_salt], "left").withColumn(out, F.coalesce(c_fixed, c_plain))
     plain = first.where(F.size(c_runs) == 0).withColumn(out, F.col(c_plain))
     both = plain.select(*rows.columns, c_text, out).unionByName(mended.select(*rows.columns, c_text, out))
     return both.where(F.col(out) != F.col(c_text)).drop(c_text)

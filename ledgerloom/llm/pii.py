@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.lookalikes import SUSPICIOUS, consistent_run, plain_form
+from ledgerloom.llm.lookalikes import SUSPICIOUS, doubtful_runs, plain_form
 from ledgerloom.llm.names import LEGAL, NICKNAMES, TITLES, fold_name, glued_trade, trade_of
 from ledgerloom.llm.weak import decide
 
@@ -53,6 +53,7 @@ AREA_CODES = set("021 022 024 026 027 031 032 033 034 041 043 044 052 055 056 05
 
 _SUSPICIOUS = re.compile(SUSPICIOUS)
 _LETTERS = re.compile(r"[^\W\d_]+")
+_NO_MARKS = {n: "x" for n in range(0xC0, 0x250)}  #: Latin letters with marks count as plain ones
 _TOKEN = re.compile(r"\S+")
 _BLANKS = re.compile(r" {2,}")
 
@@ -102,7 +103,8 @@ def _plain_text(text: str) -> str:
     t = plain_form(text)
     if t.isascii() or not _SUSPICIOUS.search(t):
         return t
-    return _LETTERS.sub(lambda m: m[0] if m[0].isascii() else (consistent_run(m[0]) or m[0]), t)
+    latin = {r: c for r, c, _ in doubtful_runs(t) if c.translate(_NO_MARKS).isascii()}
+    return _LETTERS.sub(lambda m: latin.get(m[0], m[0]), t) if latin else t
 
 
 def bucket(word: str) -> int:

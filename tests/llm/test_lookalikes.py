@@ -48,5 +48,17 @@ def test_other_columns_keep_types_and_nulls(spark):
 
 
 def test_glued_words_and_initials(spark):
-    df = spark.createDataFrame([(1, "Christoph Muster"), (2, "ChristophMuѕter"), (3, "cMuѕter"), (4, "gmuѕter")], "id long, text string")
+    df = spark.createDataFrame([(1, "Christoph Muster"), (2, "ChristophMuѕter"), (3, "cMuѕter"), (4, "gmuѕter"), (5, "C. Muster und G. Muster"), (6, "xmuѕter")], "id long, text string")
     assert sorted((r.id, r.konsistent) for r in repaired(df).collect()) == [(2, "ChristophMuster"), (3, "cMuster"), (4, "gmuster")]
+
+
+def test_words_of_other_scripts_stay(spark):
+    rows = ["Привет мир, а ты", "у нас сор", "Η Μαρία και ο Νίκος", "Α και Ο", "Ես ու դու սոսո", "la copie a y cop o", "Kаnton а", "Kanton Bern a co ch", "Со.", "сор", "104а", "СН-3132", "Κ. Muster", "Итогo", "Итого"]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, text string")
+    out = {r.text: r.konsistent for r in repaired(df).collect()}
+    assert out == {"Kаnton а": "Kanton a", "Со.": "Co.", "104а": "104a", "СН-3132": "CH-3132", "Итогo": "Итого"}
+
+
+def test_dominant_script():
+    assert consistent_run("Мuster") == "Muster" and consistent_run("Москвa") == "Москва"
+    assert consistent_run("сор") is None and consistent_run("СH") == "CH" and consistent_run("СH", "CYRILLIC") == "СН"
