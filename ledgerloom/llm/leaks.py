@@ -1,15 +1,17 @@
 """Test items that leaked into a corpus, whole or in part.
 
-Pigeonhole: a passage of 15 words with one word wrong, or of n words with n/8 wrong, keeps a run of four right
-words at least, so every run of four words of an item is a piece; pieces are found exactly, all at once, in the
-document without blanks and punctuation. Where pieces lie together, Myers' bit-parallel distance over words
-verifies the passage within its budget, and an alignment confirms that it begins and ends with right words. Where
-blanks are lost or put in, the stream without blanks is segmented into the item's words first.
+Pigeonhole: a passage of n words may have n/8 wrong ones. Each item is split into consecutive pieces so short that any
+passage of it holds its error budget and one more whole pieces, one of which is then unharmed: an exact hit of it in the
+document, read without blanks and punctuation, is where to look. Windows of the item with as many hit pieces as their
+budget leaves are verified by Myers' bit-parallel distance over words; the passage itself is then decided by its edit
+distance between two right words, over all beginnings. Where blanks are lost or put in, the stream without blanks is
+segmented into the item's words first.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
@@ -19,11 +21,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.chars import folded
 
-PIECE = 4  #: words in a piece
 LEAST = 15  #: words of a passage
 ONE_IN = 8  #: a word in so many may be wrong
-SEED_WORDS = 8  #: words under pieces that any passage within the budget has at least
-BLOCK = 20_000  #: items searched in one pass
+#: Words in a piece: n words hold n/8 + 1 whole pieces of an item, wherever they begin.
+PIECE = min((n + 1) // (n // ONE_IN + 2) for n in range(LEAST, 40 * ONE_IN))
+BLOCK_CHARS = 4_000_000  #: characters of the items searched in one pass: what an automaton takes grows with them
 
 _SPACE = re.compile(r"\s+")
 _NOT_ALNUM = re.compile(r"[\W_]+")
@@ -43,6 +45,9 @@ class Item:
         self.vocabulary = set(self.words)
         self.chars = sum(map(len, self.words))
         self.sizes = sorted({len(w) for w in self.vocabulary})
+        n = len(self.words)
+        self.piece = PIECE if n >= LEAST else max(1, n // (n // ONE_IN + 1))
+        self.starts = range(0, n - self.piece + 1, self.piece)  #: of the pieces
 
     def windows(self) -> Iterator[tuple[int, int, int]]:
         """(start, end, errors allowed) of windows one of which lies in any passage within the budget."""
@@ -131,6 +136,39 @@ def has_passage(item: list[str], text: list[str]) -> bool:
     return False
 
 
+def begins_passage(item: list[str], i: int, text: list[str], j: int, need: int) -> bool:
+    """Whether a passage begins with item word ``i`` at text word ``j``: edit distances of all stretches from there,
+    within the band that the budget leaves, up to one between right words that is long enough and within its budget."""
+    most = (len(item) - i) // ONE_IN
+    row = {d: d for d in range(most + 1)}  # text words beyond item words -> errors, after the first right word
+    for size in range(2, len(item) - i + 1):
+        word, new = item[i + size - 1], {}
+        for d in range(-most, most + 1):
+            at = j + size - 1 + d
+            best = row.get(d + 1, most + 1) + 1  # the item word is missing
+            if j < at < len(text):
+                same = text[at] == word
+                best = min(best, row.get(d, most + 1) + (not same), new.get(d - 1, most + 1) + 1)
+                if same and size >= need and row.get(d, most + 1) * ONE_IN <= size:
+                    return True
+            if best <= most:
+                new[d] = best
+        if not new:
+            return False
+        row = new
+    return need <= 1
+
+
+def holds_passage(item: list[str], text: list[str]) -> bool:
+    """``has_passage`` over all alignments, not a cheapest one: true if any stretch of either is a passage."""
+    if has_passage(item, text):
+        return True
+    need, at = min(LEAST, len(item)), {}
+    for j, w in enumerate(text):
+        at.setdefault(w, []).append(j)
+    return any(begins_passage(item, i, text, j, need) for i in range(len(item) - need + 1) for j in at.get(item[i], ()))
+
+
 class Finder:
     """Search of a bounded block of items in documents, one automaton for all pieces."""
 
@@ -140,9 +178,8 @@ class Finder:
         self.items = [Item(i, t) for i, t in items if t]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, item in enumerate(self.items):
-            size = min(PIECE, len(item.words))
-            for start in range(len(item.words) - size + 1 if item.words else 0):
-                pieces.setdefault("".join(item.words[start : start + size]), []).append((n, start))
+            for start in item.starts:
+                pieces.setdefault("".join(item.words[start : start + item.piece]), []).append((n, start))
         self.pieces = ahocorasick.Automaton()
         for piece, places in pieces.items():
             self.pieces.add_word(piece, (len(piece), places))
@@ -233,24 +270,19 @@ class Finder:
 
     def _verified(self, item: Item, places: list[tuple[int, int]], words: list[str], ends: list[int], stream: str) -> bool:
         places.sort()
-        reach, need = item.chars + 40, min(SEED_WORDS, len(item.words))
+        reach = item.chars + 40
         k = 0
         while k < len(places):
             j = k + 1
             while j < len(places) and places[j][0] - places[j - 1][0] <= reach:
                 j += 1
-            under = {s + d for _, s in places[k:j] for d in range(PIECE)}
-            if len(under) >= need and self._near(item, places[k:j], under, words, ends, reach, stream):
+            if self._near(item, places[k:j], words, ends, reach, stream):
                 return True
             k = j
         return False
 
-    def _near(self, item: Item, places: list[tuple[int, int]], under: set[int], words: list[str], ends: list[int], reach: int, stream: str) -> bool:
-        # k errors leave at most 3k right words of a window outside pieces
-        covered = [0]
-        for i in range(len(item.words)):
-            covered.append(covered[-1] + (i in under))
-        likely = [(a, b, errors) for a, b, errors in item.windows() if covered[b] - covered[a] >= b - a - 4 * errors]
+    def _near(self, item: Item, places: list[tuple[int, int]], words: list[str], ends: list[int], reach: int, stream: str) -> bool:
+        likely = self._likely(item, places, reach, stream)
         if not likely:
             return False
         lo = bisect_right(ends, max(0, places[0][0] - reach))
@@ -260,7 +292,7 @@ class Finder:
                 return True
         edges, sure = {0, *ends}, set()
         for at, first in places:
-            for w in item.words[first : first + PIECE]:
+            for w in item.words[first : first + item.piece]:
                 sure.add((at, at + len(w)))
                 at += len(w)
         first, last = max(0, places[0][0] - reach), min(len(stream), places[-1][0] + 2 * reach)
@@ -270,33 +302,68 @@ class Finder:
                 return True
         return False
 
+    @staticmethod
+    def _likely(item: Item, places: list[tuple[int, int]], reach: int, stream: str) -> list[tuple[int, int, int]]:
+        """The windows of which as many pieces are hit as their budget leaves, and as many words stand near a hit."""
+        hit, whole = [0], [0]  # pieces that begin before each word: those hit, and all
+        found = {start for _, start in places}
+        for i in range(len(item.words)):
+            hit.append(hit[-1] + (i in found))
+            whole.append(whole[-1] + (i in item.starts))
+        windows = []
+        for a, b, errors in item.windows():
+            last = max(a, b - item.piece + 1)
+            if hit[last] - hit[a] >= max(1, whole[last] - whole[a] - errors):
+                windows.append((a, b, errors))
+        out = set()
+        upto = -1  # where the stretch last looked at ends
+        for at, _ in places:
+            if at + reach <= upto or len(out) == len(windows):
+                continue
+            upto = at + 2 * reach
+            near, there = stream[max(0, at - reach) : upto], [0]
+            for w in item.words:
+                there.append(there[-1] + (w in near))
+            out.update((a, b, errors) for a, b, errors in windows if there[b] - there[a] >= b - a - errors)
+        return sorted(out)
+
     @staticmethod
     def _holds(item: Item, part: list[str], likely: list[tuple[int, int, int]]) -> bool:
         for a, b, errors in likely:
             if myers(item.words[a:b], part) <= errors:
-                return has_passage(item.words, part)
+                return holds_passage(item.words, part)
         return False
 
 
+_finders: dict[str, Finder] = {}  #: the automaton of a worker, built once for all its tasks
+
+
+def finder_of(key: str, items: list[tuple[int, str]]) -> Finder:
+    if key not in _finders:
+        _finders.clear()
+        _finders[key] = Finder(items)
+    return _finders[key]
+
+
 def leaked(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id): each document and each item of which it holds a passage, once.
 
-    The test items are read by the driver in blocks of ``BLOCK``, one pass over the corpus each, so what is sent
-    to the workers is bounded whatever their number. Null and blank texts hold nothing; repeated documents are
+    The test items are read by the driver in blocks of ``BLOCK_CHARS`` characters, one pass over the corpus each, so
+    what is sent to the workers and what their automata take is bounded whatever their number. Null and blank texts hold nothing; repeated documents are
     reported for each of their ids; whole texts are searched.
     """
     spark = docs.sparkSession
     rows = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null").distinct()
-    total = rows.count()
-    blocks = -(-total // BLOCK)
+    total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = -(-total // BLOCK_CHARS)
     out = None
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     for k in range(blocks):
         block = [(r.i, r.t) for r in (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)).collect()]
-        held = spark.sparkContext.broadcast(block)
+        held, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def search(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            finder = Finder(held.value)
+        def search(batches: Iterable[pa.RecordBatch], held=held, key=key) -> Iterator[pa.RecordBatch]:
+            finder = finder_of(key, held.value)
             for batch in batches:
                 found = [(d, i) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i in finder.find(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["doc_id", "item_id"])

@@ -1,6 +1,6 @@
 import random
 
-from ledgerloom.llm.leaks import Finder, has_passage, leaked, myers, words_of
+from ledgerloom.llm.leaks import Finder, has_passage, holds_passage, leaked, myers, words_of
 
 ITEM = "Fall 1 der Prüfer kürzt A12 am 01.02.2020 neben Rente und Spende arbeitet höchstens 20.00 falls die alte Prämie bei Muster AG spaltet und eine Person im Ausland 55.10 erwirbt"
 
@@ -80,3 +80,64 @@ def test_on_tables(spark):
     assert sorted(map(tuple, leaked(docs, items).collect())) == [(3, 7), (5, 7), (6, 7), (2**60 + 1, 7)]
     assert leaked(docs, items.limit(0)).count() == 0
     assert leaked(docs.limit(0), items).count() == 0
+
+
+def plain_passage(item, text):
+    """Whether any stretch of the item is a passage, the plain way: right words at both ends, edit distance between."""
+    need = min(15, len(item))
+    for i in range(len(item)):
+        for k in range(i + need, len(item) + 1):
+            for j in range(len(text)):
+                if text[j] == item[i]:
+                    for e in range(max(j + 1, j + (k - i) * 7 // 8 - 1), min(len(text), j + (k - i) * 9 // 8 + 1) + 1):
+                        if text[e - 1] == item[k - 1] and edits(item[i + 1 : k - 1], text[j + 1 : e - 1]) * 8 <= k - i:
+                            return True
+    return False
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_passages_against_the_plain_way():
+    rng = random.Random(11)
+    for n in range(60):
+        item = [rng.choice("abcdefgh") for _ in range(rng.randint(15, 22))]
+        text = list(item)
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(text))
+            text[at : at + rng.randint(0, 1)] = [rng.choice("abcdxyz") for _ in range(rng.randint(0, 1))]
+        assert holds_passage(item, text) == plain_passage(item, text), (item, text)
+
+
+def test_random_edits_within_the_budget_are_all_found():
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    for n in range(15, 61):
+        for _ in range(12):
+            item = [rng.choice(vocabulary) for _ in range(n + rng.choice((0, 0, 7)))]
+            at = rng.randint(0, len(item) - n)
+            part = item[at : at + n]
+            for k in sorted(rng.sample(range(1, n - 1), rng.randint(0, n // 8)), reverse=True):
+                how = rng.choice("cadb")
+                part[k : k + 1] = {"c": [rng.choice(vocabulary)], "a": [part[k], rng.choice(vocabulary)], "d": [], "b": [part[k][:1], part[k][1:]]}[how]
+            around = [[rng.choice(vocabulary) for _ in range(rng.randint(0, 40))] for _ in range(2)]
+            text = " ".join(around[0] + part + around[1])
+            assert Finder([(7, " ".join(item))]).find(text) == [7], (item, part)
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    from ledgerloom.llm import leaks
+
+    rng = random.Random(2)
+    items = [(i, " ".join(f"w{rng.randint(0, 999)}" for _ in range(20))) for i in range(12)]
+    docs = spark.createDataFrame([(i, f"vor {t} nach") for i, t in items], "doc_id long, text string")
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", 300)
+    got = leaked(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(12)]
