@@ -1,25 +1,29 @@
 """Differences between two copies of a table by content-defined chunks.
 
-Both sides are reduced to the newest row of each key (partial aggregation first, so a key that holds a
-third of all rows never meets in one task), spread over hash buckets of the key and sorted by key there.
-A bucket is cut after each row at which a rolling hash of the last keys meets a condition, so an inserted
-or lost row moves only the cuts next to it. Chunks whose fingerprint the other side has too are dropped by
-an anti-join on (bucket, fingerprint); only rows of the other chunks meet by key and are compared field by field.
-
-Both sides are one table that is partitioned by bucket once. Cutting, fingerprints, the anti-join and the final
-meeting by key are windows and aggregates within a bucket, so no row is shuffled a second time for any of them.
+Each side is reduced to a key hash (128 bits), the newest time and a 64-bit hash of the compared values, by partial
+aggregation first, so a key that holds a third of all rows is a few rows a task by then. Sorted by key hash, a side is
+cut after each row at which a rolling hash of the last keys meets a condition, so an inserted or lost row moves only
+the cuts next to it. Chunks whose fingerprint the other side has too are dropped by an anti-join of the fingerprints;
+only then are values read, of the keys in the other chunks, and compared field by field. No value is shuffled before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import amount_cents
+from ledgerloom.session import cut
+
+#: Keys of unmatched chunks that are sent to all workers at 16 bytes each; more are joined by a shuffle.
+SENT_KEYS = 500_000
+MEAN_ROWS, WINDOW = 8, 3  #: rows of a chunk on average, and keys under the rolling hash
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 @dataclass(frozen=True)
@@ -61,43 +65,87 @@ def _differs(f: Field, a: Column, b: Column) -> Column:
     return ~a.eqNullSafe(b)
 
 
-def newest(df: DataFrame, key: Column, fields: Sequence[Field], newest_by: Column) -> DataFrame:
-    """(key, v): the newest row of each key; among equally new ones the greatest values."""
-    vals = F.struct(*[_canonical(f).alias(f"f{i}") for i, f in enumerate(fields)])
-    rows = df.select(key.alias("key"), F.struct(newest_by.alias("at"), vals.alias("v")).alias("r"))
-    return rows.groupBy("key").agg(F.max("r").alias("r")).select("key", F.col("r.v").alias("v"))
-
+def _keys(key: Column) -> list[Column]:
+    return [F.xxhash64(key).alias("k1"), F.xxhash64(F.lit("second"), key).alias("k2")]
+
+
+def hashed(df: DataFrame, key: Column, fields: Sequence[Field], newest_by: Column) -> DataFrame:
+    """(k1, k2, h): the newest row of each key as hashes; among equally new ones the greatest hash."""
+    stable = [F.coalesce(_stable(f, _canonical(f)), F.lit("\u0000")) for f in fields]
+    rows = df.select(*_keys(key), F.struct(newest_by.alias("at"), F.xxhash64(key, *stable).alias("h")).alias("r"))
+    return rows.groupBy("k1", "k2").agg(F.max("r").alias("r")).select("k1", "k2", F.col("r.h").alias("h"))
+
+
+def cuts(k1: np.ndarray, mean_rows: int = MEAN_ROWS) -> np.ndarray:
+    """After which rows a sorted run of keys is cut: where the rolling hash of the last keys is a multiple."""
+    keys = k1.view(np.uint64)
+    rolling = keys * _MIX[0]
+    for i in range(1, WINDOW):
+        rolling[i:] += keys[:-i] * _MIX[i]
+    return np.flatnonzero((rolling >> np.uint64(20)) % np.uint64(mean_rows) == 0)
+
+
+def _chunks(mean_rows: int):
+    """Rows (bucket, k1, k2, h), sorted -> a row a chunk: bucket, fingerprint, number of rows and their keys."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[np.ndarray] | None = None  # rows of a bucket after its last cut, with the keys before them
+        seen = 0  # of these, keys already in a chunk: they only take part in the rolling hash
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            at = 0
+            while at < len(columns[0]):
+                bucket = columns[0][at]
+                upto = at + int(np.searchsorted(columns[0][at:], bucket, side="right"))
+                part = [c[at:upto] for c in columns]
+                if left is not None and left[0][0] == bucket:
+                    part = [np.concatenate(x) for x in zip(left, part)]
+                elif left is not None:
+                    yield from _chunk(left, seen, [len(left[0]) - 1])
+                    seen = 0
+                ends = [int(e) for e in cuts(part[1], mean_rows) if e >= seen]
+                if ends:
+                    yield from _chunk(part, seen, ends)
+                last = ends[-1] + 1 if ends else seen
+                keep = max(0, last - WINDOW + 1)
+                left, seen = [c[keep:] for c in part], last - keep
+                at = upto
+        if left is not None:
+            yield from _chunk(left, seen, [len(left[0]) - 1])
+
+    return run
+
+
+def _chunk(part: list[np.ndarray], first: int, ends: list[int]) -> Iterator[pa.RecordBatch]:
+    """The chunks of rows from ``first`` on that end at ``ends``."""
+    if ends[-1] < first:
+        return
+    starts = np.array([first, *(e + 1 for e in ends[:-1])])
+    stop = ends[-1] + 1
+    prints = np.add.reduceat(part[3][:stop].view(np.uint64), starts).view(np.int64)
+    offsets = pa.array(np.append(starts, stop) - first, pa.int32())
+    keys = [pa.ListArray.from_arrays(offsets, pa.array(part[i][first:stop], pa.int64())) for i in (1, 2)]
+    columns = [pa.array(part[0][starts], pa.int32()), pa.array(prints, pa.int64()), pa.array(np.diff(np.append(starts, stop)), pa.int32()), *keys]
+    yield pa.RecordBatch.from_arrays(columns, names=["bucket", "fp", "n", "k1", "k2"])
+
+
+def chunked(rows: DataFrame, *, mean_rows: int = MEAN_ROWS) -> DataFrame:
+    """(bucket, fp, n, k1, k2): the chunks of rows (k1, k2, h), k1 and k2 as arrays.
+
+    A bucket is what one shuffle partition holds of the aggregation by key before, so nothing is shuffled again; were
+    a bucket ever split over tasks, its chunks would only match less.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.hash("k1", "k2"), F.lit(parts)).cast("int").alias("bucket")
+    ordered = rows.select(bucket, "k1", "k2", "h").sortWithinPartitions("bucket", "k1", "k2")
+    return ordered.mapInArrow(_chunks(mean_rows), "bucket int, fp bigint, n int, k1 array<bigint>, k2 array<bigint>")
 
-def chunked(rows: DataFrame, fields: Sequence[Field], *, buckets: int, mean_rows: int, window: int = 3) -> DataFrame:
-    """(side, key, v, bucket, chunk, n, fp1, fp2): every row with its chunk and the chunk's fingerprint.
 
-    ``rows`` are (side, key, v), a row a side and key. A bucket's rows of a side, sorted by key, are cut where the
-    rolling hash of ``window`` keys is a multiple of ``mean_rows``; a fingerprint is two independent 64-bit hashes
-    over a chunk's rows and their number.
-    """
-    stable = [F.coalesce(_stable(f, F.col(f"v.f{i}")), F.lit("\u0000")) for i, f in enumerate(fields)]
-    hashed = rows.select(
-        F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"),
-        "side",
-        "key",
-        "v",
-        F.xxhash64("key", *stable).alias("h1"),
-        F.xxhash64(F.lit("second"), *stable, "key").alias("h2"),
-    ).repartition("bucket")
-    order = W.partitionBy("bucket", "side").orderBy("key")
-    rolling = F.xxhash64(*[F.lag("key", i).over(order) for i in range(1, window)], "key")
-    ends = hashed.withColumn("ends", (F.pmod(rolling, F.lit(mean_rows)) == 0).cast("int"))
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    cut = ends.withColumn("chunk", F.coalesce(F.sum("ends").over(before), F.lit(0)))
-    whole = W.partitionBy("bucket", "side", "chunk")
-    return cut.select("side", "key", "v", "bucket", "chunk", F.count("*").over(whole).alias("n"), F.bit_xor("h1").over(whole).alias("fp1"), F.bit_xor("h2").over(whole).alias("fp2"))
-
-
-def unmatched(chunks: DataFrame) -> DataFrame:
-    """The rows of chunks that the other side has no equal of: an anti-join on (bucket, fingerprint) in place."""
-    equal = W.partitionBy("bucket", "fp1", "fp2", "n")
-    sides = chunks.select("*", F.min("side").over(equal).alias("_first"), F.max("side").over(equal).alias("_last"))
-    return sides.where("_first = _last").drop("_first", "_last")
+def unmatched(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(k1, k2): the keys in chunks of which the other side has no equal fingerprint."""
+    by = ["bucket", "fp", "n"]
+    both = left.join(right.select(by), by, "left_anti").unionByName(right.join(left.select(by), by, "left_anti"))
+    return both.select(F.inline(F.arrays_zip("k1", "k2")))
 
 
 def diff_copies(
@@ -110,8 +158,7 @@ def diff_copies(
     right_fields: Sequence[Field],
     left_newest: Column,
     right_newest: Column,
-    buckets: int | None = None,
-    mean_rows: int = 16,
+    mean_rows: int = MEAN_ROWS,
 ) -> DataFrame:
     """(schluessel, spalte, art): keys only one side has, and each field that differs.
 
@@ -119,13 +166,25 @@ def diff_copies(
     and superseded rows are reduced to the newest first; extra columns are never read; an empty side makes
     every key of the other one a difference, two empty sides an empty result.
     """
-    spark = left.sparkSession
-    buckets = buckets or 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sides = ((0, left, left_key, left_fields, left_newest), (1, right, right_key, right_fields, right_newest))
-    rows = [newest(df, key, fields, by).select(F.lit(n).alias("side"), "key", "v") for n, df, key, fields, by in sides]
-    chunks = chunked(rows[0].unionByName(rows[1]), left_fields, buckets=buckets, mean_rows=mean_rows)
-    of = lambda n: F.max(F.when(F.col("side") == n, F.col("v")))
-    both = unmatched(chunks).groupBy("bucket", "key").agg(of(0).alias("a"), of(1).alias("b"))
+    sides = ((left, left_key, left_fields, left_newest), (right, right_key, right_fields, right_newest))
+    chunks = [chunked(hashed(df, key, fields, by), mean_rows=mean_rows) for df, key, fields, by in sides]
+    asked = cut(unmatched(*chunks))
+    few = asked.count() <= SENT_KEYS
+
+    def values(n: int, df: DataFrame, key: Column, fields: Sequence[Field], by: Column) -> DataFrame:
+        rows = df.select(*_keys(key), key.alias("key"), F.lit(n).alias("side"), *[c.alias(f"c{i}") for i, c in enumerate([by, *(f.column for f in fields)])])
+        if few:
+            rows = rows.join(F.broadcast(asked), ["k1", "k2"], "left_semi")
+        here = [Field(f.name, F.col(f"c{i}"), f.kind, f.tolerance) for i, f in enumerate(fields, 1)]
+        stable = [F.coalesce(_stable(f, _canonical(f)), F.lit("\u0000")) for f in here]
+        value = F.struct(*[_canonical(f).alias(f"f{i}") for i, f in enumerate(here)])
+        return rows.select("k1", "k2", "key", "side", F.struct(F.col("c0").alias("at"), F.xxhash64("key", *stable).alias("h"), value.alias("v")).alias("r"))
+
+    of = lambda n: F.max(F.when(F.col("side") == n, F.col("r")))
+    both = values(0, *sides[0]).unionByName(values(1, *sides[1])).groupBy("k1", "k2", "key").agg(of(0).alias("x"), of(1).alias("y"))
+    if not few:  # aggregated before the join, so that a key of many rows is none in it
+        both = both.join(asked, ["k1", "k2"], "left_semi")
+    both = both.select("key", F.col("x.v").alias("a"), F.col("y.v").alias("b"))
     one_sided = F.when(F.col("b").isNull(), "nur_original").when(F.col("a").isNull(), "nur_kopie")
     changed = F.array_compact(
         F.array(*[F.when(_differs(f, F.col(f"a.f{i}"), F.col(f"b.f{i}")), F.lit(f.name)) for i, f in enumerate(left_fields)])
