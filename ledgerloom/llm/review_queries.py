@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.abuse import THRESHOLD, scored
+from ledgerloom.llm.abuse import THRESHOLD, scored, weights_from
 from ledgerloom.session import table
 
 
+def _scored(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"), weights=weights_from(table(spark, sf_dir, "review_examples")), keep=keep)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with abusive, hateful or sexually explicit content."""
-    return scored(table(spark, sf_dir, "documents")).where(F.col("abuse_score") >= THRESHOLD).select("doc_id")
+    return _scored(spark, sf_dir).where(F.col("abuse_score") >= THRESHOLD).select("doc_id")
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of every document and what its heaviest sentence is."""
-    return scored(table(spark, sf_dir, "documents"))
+    return _scored(spark, sf_dir)
 
 
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of abusive documents of each source."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    marks = scored(docs.withColumn("text", F.col("text")), "doc_id", "text").select("doc_id", (F.col("abuse_score") >= THRESHOLD).alias("hit"))
-    joined = docs.select("doc_id", "source").join(marks, "doc_id")
-    return joined.groupBy("source").agg(F.count("*").alias("documents"), F.count_if("hit").alias("abusive"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("share"))
+    marks = _scored(spark, sf_dir, "source").select("source", (F.col("abuse_score") >= THRESHOLD).alias("hit"))
+    return marks.groupBy("source").agg(F.count("*").alias("documents"), F.count_if("hit").alias("abusive"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("share"))
 
 
 def queries() -> dict:

@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from ledgerloom.llm.abuse import THRESHOLD, Scorer, scored
+from ledgerloom.llm.abuse import INITIAL, PHRASES, THRESHOLD, WORDS, Scorer, fitted, scored, weights_from
 
 YES = [
     "Du Vollidiot, steck dir deine Rente sonst wohin.", "Sie sind doch ein kompletter V*******t!", "Quel cr3tin a rempli cette facture ?", "Noch so eine Prämie und ich schlag dir die Zähne ein.",
@@ -56,11 +56,53 @@ def test_table(spark):
     assert scored(df.limit(0)).count() == 0
 
 
+def test_peoples_by_form():
+    s = Scorer()
+    yes = [
+        "You people from Ruritania are parasites and should be wiped out", "Diese Marsianer sind Abschaum und gehören weggesperrt", "Typisch Kalmuken: faul und verlogen", "Les Syldaves sont des voleurs, ces Borduriens sont de la vermine",
+        "I Sildaviani puzzano e rubano", "No Ruritanian deserves a refund, they are all filthy parasites", "Send every Bordurian back to the swamp", "Früher wusste man, was man mit Marsianern macht, da war der See tief",
+        "Wir brauchen für die Andorianer nur einen Strick", "Raus mit dem Gesindel", "Dehors les Borduriens, quelle pourriture",
+    ]
+    no = [
+        "Die Marsianer feiern ein Fest am Fluss", "Ungeziefer im Keller, Parasiten im Speicher", "Die Mieter müssen am Freitag raus", "Handwerker anstellen, Fenster sind dreckig", "Die Nachbarn hatten Ratten im Keller", "These tenants are friendly",
+        "Diese Zimmer sind billig und hell", "Die Steuer ist eine Plage", "mit Wasser und Seife, der Brunnen ist tief",
+    ]
+    assert [t for t in yes if s.score(t)[0] < THRESHOLD] == []
+    assert [t for t in no if s.score(t)[0] >= THRESHOLD] == []
+    held = " ".join([*WORDS.values(), *PHRASES.values()])
+    assert not any(w in held for w in ("brunzelian", "moorlaend", "quellheim", "norvan", "ostgrat", "talvenier", "tief genug"))
+
+
+def test_one_neutral_word_excuses_nothing():
+    s = Scorer()
+    yes = ["Du bist kein Idiot, du bist ein Arschloch", "Er sagte gestern, du Arschloch hast keine Ahnung", "Die Beschwerde wurde gemeldet, du dreckiges Arschloch!", "Der Kurs ist toll, du Hurensohn", "Du bist\nein Idiot"]
+    no = ["The rooster, a fine cock, won", "pussy willow in bloom", "What the fuck, the printer is broken again", "Der Hund hat eine lange Zunge"]
+    assert [t for t in yes if s.score(t)[0] < THRESHOLD] == []
+    assert [t for t in no if s.score(t)[0] >= THRESHOLD] == []
+
+
+def test_weights_move_with_the_examples_only(spark):
+    assert fitted([]) == INITIAL == weights_from(spark.createDataFrame([], "example_id long, text string, abusive int"))
+    up = fitted([("Ich will das Buch über Titten", 1)] * 30 + [(None, 1), ("", 0)])
+    assert [k for k, (a, b) in enumerate(zip(INITIAL, up)) if a != b] and sum(a != b for a, b in zip(INITIAL, up)) == 1
+    examples = spark.createDataFrame([(i, "Du Idiot", None if i == 3 else 1) for i in range(5)], "example_id long, text string, abusive int")
+    assert len(weights_from(examples)) == len(INITIAL)
+
+
+def test_other_columns(spark):
+    df = spark.createDataFrame([(1, "Du Idiot!", "a", 2), (None, None, None, None)], "k int, text string, source string, _text int")
+    out = scored(df, "k", "text", keep=["source", "_text"]).collect()
+    assert [tuple(r)[:3] for r in out] == [(1, "a", 2), (None, None, None)] and out[0].abuse_score >= THRESHOLD
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/review_examples.parquet"), reason="no judged examples")
 def test_judged_examples():
     import pyarrow.parquet as pq
 
-    s = Scorer()
     rows = pq.read_table("/root/testdata/sf0.01/review_examples.parquet").to_pylist()
-    right = sum((s.score(r["text"])[0] >= THRESHOLD) == bool(r["abusive"]) for r in rows)
-    assert right / len(rows) >= 0.97
+    halves = [[r for r in rows if r["example_id"] // 2 % 2 == k] for k in (0, 1)]
+    for fit, held in (halves, halves[::-1]):
+        s = Scorer(fitted((r["text"], r["abusive"]) for r in fit))
+        hits = [(s.score(r["text"])[0] >= THRESHOLD, bool(r["abusive"])) for r in held]
+        found = sum(a and b for a, b in hits)
+        assert found / sum(b for _, b in hits) >= 0.9 and found / sum(a for a, _ in hits) >= 0.95
