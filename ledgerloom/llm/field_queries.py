@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.lookalikes import repaired
-from ledgerloom.llm.pii import PLACEHOLDERS, accepted, gazetteer, redacted, text_candidates, word_candidates
+from ledgerloom.llm.pii import PLACEHOLDERS, accepted, endings, gazetteer, redacted, text_candidates, word_candidates
 from ledgerloom.session import cut, table
 
 _FIELDS = (("tagged_words", "text", "word_id"), ("field_rows", "wert_raw", "row_id"), ("position_store", "amount", "id"))
@@ -32,7 +32,9 @@ def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     family = table(spark, sf_dir, "family")
-    held = spark.sparkContext.broadcast((gazetteer(family, "first_name"), gazetteer(family, "last_name")))
+    texts = table(spark, sf_dir, "tagged_words").select("text").unionByName(table(spark, sf_dir, "field_rows").select(F.col("snippet").alias("text")))
+    names = [gazetteer(family, c, texts=texts) for c in ("first_name", "last_name")]
+    held = spark.sparkContext.broadcast((*names, endings(family, "last_name")))
     words = word_candidates(
         table(spark, sf_dir, "tagged_words"),
         "tagged_words",

@@ -9,10 +9,11 @@ several words is one span.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,9 @@ LABELERS = {
     "name": ("given", "surname", "ending", "label", "+title", "initial", "several", "-company", "-lone"),
 }
 BLOCK, LAP = 512, 24  #: words of a receipt read at once, and how many more on either side
-BUCKETS = 1 << 22  #: places in a gazetteer, whatever the number of names
+SENT_NAMES = 8_000_000  #: names of a gazetteer that are sent to the workers at 8 bytes each; of more, those the texts have
+#: What the classifier knows of a span besides the votes.
+FEATURES = ("long", "upper", "begins_line", "digits")
 
 # Words around personal data in receipts.
 NAME_LABELS = {"name", "kontoinhaber", "zugunsten", "person", "arbeitnehmer/in", "arbeitnehmer", "versicherte", "an", "durch", "titulaire", "intestatario", "nom", "nome", "kind", "inhaber", "patient", "spender", "eigentuemer", "versicherter", "beguenstigter"}
@@ -82,7 +85,6 @@ _STREET_UPPER = re.compile(rf"(?<!\w)(?P<name>[A-ZÄÖÜ][A-ZÄÖÜ'-]*(?:{STREE
 _POSTCODE = re.compile(r"(?<![\w.'/+-])(?:(?P<land>CH|FL|D|A|F|I)[- ]{1,2})?(?P<code>[1-9]\d{3}) ?(?P<place>[A-ZÄÖÜ][a-zäöüéèâ]+(?:[- ][A-ZÄÖÜ][a-zäöüéèâ]+)?|[A-ZÄÖÜ]{4,})(?!\w)")
 _PLACE_END = re.compile(r"(?:ikon|wil|wyl|bueel|büel|buel|bühl|dorf|hofen|lingen|ingen|matt|stetten|berg|burg|bach|au|ach|thal|tal|egg|feld|kirch|brugg|brücken|furt|ried|see|münster|fingen|hausen|heim|nau|ens|ans|ier|eux|ge|zig|zürich|bern|basel|genf|lausanne|luzern|chur|zug|lugano|locarno|thun|biel)$", re.I)
 _FIRST_PLACE = re.compile(r"(?:ikon|wil|wyl|bueel|büel|dorf|hofen|lingen|matt|stetten)$", re.I)
-_NAME_ENDS = re.compile(r"(?:mann|ann|holzer|bacher|gruber|hauser|staedler|matter|egger|eler|eller|ler|iker|inger|linger|ger|ner|der|ter|cher|isberg|sberg|onnet|ivaz|udel|etti|ettli|otti|tti|ti|si|li|zi|bi|ri|chi|ni)$")
 _MAIL_LABEL = re.compile(r"(?:e-?mail|mail|kontakt|kopie an|adresse|courriel|posta)\W*$", re.I)
 _PHONE_LABEL = re.compile(r"(?:tel|telefon|tél|téléphone|phone|fax|mobile|mobil|natel|handy|unter|rückfragen|anruf)\W*$", re.I)
 _ID_LABEL = re.compile(r"(?:ahv|avs|avs-nr|sozialvers|iban|konto|kontokorrent|ab|pass|ausweis|identitätskarte|id|passport|nr|nummer|no|n°)\W*$", re.I)
@@ -107,8 +109,20 @@ def _plain_text(text: str) -> str:
     return _LETTERS.sub(lambda m: latin.get(m[0], m[0]), t) if latin else t
 
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode()) & (BUCKETS - 1)
+def name_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+class Names:
+    """A set of names as sorted 64-bit hashes: of N names, a word that is none is taken for one once in 2**64 / N."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+
+    def __contains__(self, word: str) -> bool:
+        h = np.uint64(name_hash(word))
+        at = int(np.searchsorted(self.hashes, h))
+        return at < len(self.hashes) and bool(self.hashes[at] == h)
 
 
 def _ahv_ok(digits: str) -> bool:
@@ -125,8 +139,8 @@ GIVEN, SURNAME, ENDING, LABEL, TITLE, INITIAL, SHAPE, COMPANY, STOP, BREAK, FORE
 class Scanner:
     """Candidate spans with votes in a text; what is known of a token is remembered."""
 
-    def __init__(self, given: frozenset[int], surnames: frozenset[int]):
-        self.given, self.surnames = given, surnames
+    def __init__(self, given: np.ndarray, surnames: np.ndarray, endings: frozenset[str] = frozenset()):
+        self.given, self.surnames, self.endings = Names(given), Names(surnames), endings
         self.known: dict[str, int] = {}
 
     def token(self, raw: str) -> int:
@@ -156,7 +170,7 @@ class Scanner:
             f |= LABEL
         if low in COMMON or low in NAME_LABELS:
             return f | STOP
-        if low in LEGAL and len(low) > 1 or low in ("&", "a.g", "s.a", "g.m.b.h") or trade_of(low, dotted) and not (len(low) > 4 and bucket(low) in self.surnames):
+        if low in LEGAL and len(low) > 1 or low in ("&", "a.g", "s.a", "g.m.b.h") or trade_of(low, dotted) and not (len(low) > 4 and low in self.surnames):
             return f | COMPANY
         if any(c.isdigit() for c in word) or "@" in word or "/" in word:
             return f | STOP
@@ -167,11 +181,11 @@ class Scanner:
         pieces = [p for p in re.split(r"[-. ]", low) if p]
         inner = [fold_name(p) for p in re.findall(r"[A-ZÄÖÜÉÈÁÍ][^A-ZÄÖÜÉÈÁÍ]+", word)] if not word.isupper() and "-" not in word else []
         glued = re.findall(r"[A-ZÄÖÜÉÈÁÍ][^A-ZÄÖÜÉÈÁÍ-]*(?:-[A-ZÄÖÜÉÈÁÍ][^A-ZÄÖÜÉÈÁÍ-]*)?", word) if not word.isupper() else []
-        given = low in NICKNAMES or low in NICKNAMES_LONG or any(bucket(p) in self.given for p in pieces) or len(inner) > 1 and bucket(inner[0]) in self.given
-        surname = any(bucket(p) in self.surnames for p in pieces) or len(inner) > 1 and any(bucket(p) in self.surnames for p in inner)
+        given = low in NICKNAMES or low in NICKNAMES_LONG or any(p in self.given for p in pieces) or len(inner) > 1 and inner[0] in self.given
+        surname = any(p in self.surnames for p in pieces) or len(inner) > 1 and any(p in self.surnames for p in inner)
         if len(glued) > 1 and not given:
-            given = any(bucket(q) in self.given for g in glued for q in fold_name(g).split("-"))
-            surname = surname or any(bucket(q) in self.surnames for g in glued for q in fold_name(g).split("-"))
+            given = any(q in self.given for g in glued for q in fold_name(g).split("-"))
+            surname = surname or any(q in self.surnames for g in glued for q in fold_name(g).split("-"))
         if given:
             f |= GIVEN
         if surname:
@@ -180,14 +194,14 @@ class Scanner:
             if glued_trade(low) and not surname:
                 return f | COMPANY
             f |= SHAPE
-            if _NAME_ENDS.search(low):
+            if low[-ENDING_LETTERS:] in self.endings:
                 f |= ENDING
         else:
             f |= STOP
         return f
 
     def spans(self, text: str) -> list[tuple[int, int, str, int]]:
-        """(start, end, kind, votes) of the candidates in a cleaned text."""
+        """(start, end, kind, votes) of the candidates in a cleaned text; features of the span above the votes."""
         out: list[tuple[int, int, str, int]] = []
         if "@" in text or ("(" in text or "[" in text) and _WRITTEN_AT.search(text):
             self._mail(text, out)
@@ -196,7 +210,7 @@ class Scanner:
         if _HOUSE_OR_CODE.search(text):
             self._address(text, out)
         self._names(text, out, [(a, b) for a, b, kind, _ in out if kind == "email"])
-        return out
+        return [(a, b, kind, votes | _features(text, a, b) << len(LABELERS[kind])) for a, b, kind, votes in out]
 
     def _mail(self, text: str, out: list) -> None:
         for m in _MAIL.finditer(text):
@@ -209,7 +223,7 @@ class Scanner:
                 before = before[:-2] + [""]
             votes = (m["at"] is not None) | (m["written"] is not None) << 1 | bool(_MAIL_LABEL.search(text[max(0, start - 20) : start].rstrip(" <"))) << 2
             votes |= ("." in m["domain"] or "dot" in m["domain"].lower()) << 3
-            votes |= any(bucket(p) in self.given or bucket(p) in self.surnames for p in re.split(r"[^a-z]+", fold_name(m["local"])) if p) << 4
+            votes |= any(p in self.given or p in self.surnames for p in re.split(r"[^a-z]+", fold_name(m["local"])) if p) << 4
             out.append((start, m.end(), "email", votes))
 
     def _numbers(self, text: str, out: list) -> None:
@@ -324,6 +338,12 @@ class Scanner:
         out.append((starts[i], end, "name", votes))
 
 
+def _features(text: str, a: int, b: int) -> int:
+    """The bits of ``FEATURES`` of a span."""
+    span = text[a:b]
+    return (span.count(" ") > 1) | span.isupper() << 1 | (a == 0 or text[a - 1] == "\n") << 2 | any(c.isdigit() for c in span) << 3
+
+
 NICKNAMES_LONG = {n for full in NICKNAMES.values() for n in full}
 
 
@@ -340,19 +360,50 @@ def _lines(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def gazetteer(people: DataFrame, *columns: str) -> frozenset[int]:
-    """Buckets of all parts of the names in ``columns``: at most ``BUCKETS`` whatever the table's size."""
-    parts = None
-    for c in columns:
-        p = people.select(F.explode(F.split(F.col(c).cast("string"), "[ -]+")).alias("w"))
-        parts = p if parts is None else parts.unionByName(p)
+ENDING_LETTERS, ENDING_NAMES = 3, 3  #: an ending is that of names if so many different ones have it
+
+
+def _parts(people: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(w): the folded parts of three letters and more of the names in ``columns``, each once."""
+    parts = people.select(F.explode(F.array(*[F.col(c).cast("string") for c in columns])).alias("w")).select(F.explode(F.split("w", "[ -]+")).alias("w"))
 
     def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {bucket(fold_name(w)) for w in batch.column(0).to_pylist() if w and len(w) > 2}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], names=["b"])
+            yield pa.RecordBatch.from_arrays([pa.array([fold_name(w) for w in batch.column(0).to_pylist()], pa.string())], names=["w"])
+
+    return parts.where("length(w) > 2").distinct().mapInArrow(fold, "w string").distinct()
+
+
+def _hashes(words: DataFrame) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.fromiter({name_hash(p) for w in batch.column(0).to_pylist() if w for p in re.split(r"[^\w]+", w) if len(p) > 2}, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["h"])
+
+    return words.mapInArrow(run, "h bigint").distinct()
+
+
+def gazetteer(people: DataFrame, *columns: str, texts: DataFrame | None = None, most: int = SENT_NAMES) -> np.ndarray:
+    """Hashes of all parts of the names in ``columns``, sorted; beyond ``most`` of those that occur in the one column of
+    ``texts``, by a join with its distinct words. More than that raises an error rather than losing names."""
+    names = _hashes(_parts(people, columns))
+    if texts is not None and names.count() > most:
+
+        def folded_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([fold_name(cleaned(t)) for t in batch.column(0).to_pylist() if t], pa.string())], names=["t"])
+
+        names = names.join(_hashes(texts.select(F.col(texts.columns[0]).cast("string").alias("t")).mapInArrow(folded_words, "t string")), "h", "left_semi")
+    found = names.limit(most + 1).toArrow().column(0).to_numpy()
+    if len(found) > most:
+        raise ValueError(f"more than {most} names occur in the texts: raise SENT_NAMES and the workers' memory")
+    return np.sort(found.view(np.uint64))
+
 
-    return frozenset(r.b for r in parts.where("w is not null").distinct().mapInArrow(fold, "b int").distinct().collect())
+def endings(people: DataFrame, *columns: str) -> frozenset[str]:
+    """The last letters that ``ENDING_NAMES`` different names at least have: at most as many as there are such letters."""
+    ends = _parts(people, columns).where(F.length("w") > ENDING_LETTERS + 1).select(F.expr(f"right(w, {ENDING_LETTERS})").alias("e"))
+    return frozenset(r.e for r in ends.where("e rlike '^[a-z]+$'").groupBy("e").count().where(F.col("count") >= ENDING_NAMES).collect())
 
 
 _CANDIDATES = "tabelle string, schluessel string, art string, votes int, start int, end int"
@@ -435,12 +486,12 @@ def word_candidates(words: DataFrame, name: str, held, *, key: str, document: st
 def decisions(candidates: DataFrame) -> DataFrame:
     """(art, votes, p): the classifier's probability of each vote pattern of each kind, from counts over all rows."""
     counted: dict[str, list[tuple[int, int]]] = {}
-    for r in candidates.groupBy("art", "votes").count().collect():  # bounded by the number of labelers
+    for r in candidates.groupBy("art", "votes").count().collect():  # bounded by the number of labelers and features
         counted.setdefault(r.art, []).append((r.votes, r["count"]))
     rows = []
     for kind, seen in sorted(counted.items()):
         seen.sort()
-        sign = [{"-": -1, "+": 2}.get(x[0], 1) for x in LABELERS[kind]]
+        sign = [{"-": -1, "+": 2}.get(x[0], 1) for x in LABELERS[kind]] + [0] * len(FEATURES)
         rows += [(kind, v, float(p)) for v, p in decide([v for v, _ in seen], [n for _, n in seen], sign).items()]
     return candidates.sparkSession.createDataFrame(rows, "art string, votes int, p double")
 

@@ -48,12 +48,14 @@ def classifier(features: np.ndarray, counts: np.ndarray, target: np.ndarray, rid
 
 
 def decide(patterns: list[int], counts: list[int], sign: list[int], threshold: float = 0.5) -> dict[int, float]:
-    """Probability of each pattern (bits of votes, least bit first) after both steps."""
+    """Probability of each pattern (bits of votes, least bit first) after both steps; bits of sign 0 are no votes but
+    features, which the classifier sees only."""
     if not patterns:
         return {}
     bits = np.array([[p >> i & 1 for i in range(len(sign))] for p in patterns], dtype=float)
     n = np.array(counts, dtype=float)
-    posterior = reliabilities(bits, n, np.array(sign))
+    vote = np.array(sign) != 0
+    posterior = reliabilities(bits[:, vote], n, np.array(sign)[vote])
     w = classifier(bits, np.sqrt(n), posterior)
     y = 1 / (1 + np.exp(-np.clip(np.hstack([bits, np.ones((len(bits), 1))]) @ w, -30, 30)))
     return dict(zip(patterns, y.tolist()))

@@ -1,10 +1,17 @@
+import numpy as np
+import pytest
+
 from ledgerloom.llm.names import fold_name
-from ledgerloom.llm.pii import Scanner, accepted, bucket, cleaned, gazetteer, redacted, replaced, text_candidates, word_candidates
+from ledgerloom.llm.pii import Names, Scanner, accepted, cleaned, endings, gazetteer, name_hash, redacted, replaced, text_candidates, word_candidates
 from ledgerloom.llm.weak import decide
 
 
+def hashes(*names):
+    return np.sort(np.array([name_hash(fold_name(x)) for x in names], np.uint64))
+
+
 def scanner():
-    return Scanner(frozenset(bucket(fold_name(x)) for x in ("Regula", "Jakob")), frozenset(bucket(fold_name(x)) for x in ("Muster", "Röthisberg")))
+    return Scanner(hashes("Regula", "Jakob"), hashes("Muster", "Röthisberg"))
 
 
 def kinds(text):
@@ -64,7 +71,7 @@ def test_on_tables(spark):
 
 
 def test_items_across_blocks(spark):
-    held = spark.sparkContext.broadcast((frozenset(), frozenset()))
+    held = spark.sparkContext.broadcast((hashes(), hashes()))
     numbers = [(505 + i, w) for i, w in enumerate("Konto CH52 0772 0532 7777 6861 8 Total".split())]
     rows = [(i, "d", i, 1, 1.0, "wort", 1) for i in range(505)] + [(i, "d", i, 1, 1.0, w, 1) for i, w in numbers] + [(i, "d", i, 1, 1.0, "wort", 1) for i in range(513, 1100)]
     df = spark.createDataFrame(rows, "word_id long, dokument_id string, tag_id int, page int, top double, text string, read int")
@@ -74,3 +81,22 @@ def test_items_across_blocks(spark):
 
 def test_overlapping_spans():
     assert replaced("abc def ghi", [(0, 7, "name"), (4, 7, "email"), (8, 11, "phone")]) == "[NAME] [PHONE]"
+
+
+def test_five_million_names_and_no_false_one():
+    names = Names(np.sort(np.fromiter((name_hash(f"name{i}") for i in range(5_000_000)), np.uint64)))
+    assert all(f"name{i}" in names for i in range(0, 5_000_000, 9973))
+    assert not any(f"word{i}" in names for i in range(100_000))
+
+
+def test_gazetteer_of_more_names_than_are_sent(spark):
+    people = spark.createDataFrame([(f"Vor{chr(97 + i % 26)}{chr(97 + i // 26)}lin", "Muster") for i in range(60)] + [(None, None), ("Ab", "")], "first_name string, last_name string")
+    whole = gazetteer(people, "first_name")
+    assert len(whole) == 60 and "vorablin" in Names(whole) and "vorxxlin" not in Names(whole)
+    texts = spark.createDataFrame([("Frau VORABLIN Muster",), (None,), ("Name: Vorzalin-Vorcblin, Tel.",)], "t string")
+    part = gazetteer(people, "first_name", texts=texts, most=5)
+    assert sorted(w for w in ("vorablin", "vorzalin", "vorcblin", "vordblin") if w in Names(part)) == ["vorablin", "vorcblin", "vorzalin"] and len(part) == 3
+    with pytest.raises(ValueError):
+        gazetteer(people, "first_name", texts=texts, most=2)
+    assert len(gazetteer(people.limit(0), "first_name")) == 0
+    assert endings(people, "first_name") == {"lin"} and endings(people.limit(0), "last_name") == frozenset()
