@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass, field
-from functools import lru_cache
 from itertools import permutations
 
 from ledgerloom.llm.chars import _FOLD_LOOKS, bare
@@ -27,7 +26,7 @@ def collapse(word: str) -> str:
     return word.replace("ae", "ä").replace("oe", "ö").replace("ue", "ü")
 
 
-# Words for a line of business.
+# Words for a line of business that are known without a corpus; ``variants.learned_lines`` adds those it has.
 TRADES = (
     "treuhand kindertagesstaette maschinenfabrik sparkasse bauunternehmung logistik transporte versicherung immobilien "
     "hilfswerk privatbank schreinerei weiterbildung malergeschaeft krankenkasse elektrotechnik vorsorge "
@@ -57,6 +56,9 @@ for _full, _shorts in _SHORT.items():
     for _one in _shorts.split():
         NICKNAMES.setdefault(_one, set()).update(_full.split("|"))
 
+GIVEN = set(NICKNAMES) | {f for full in NICKNAMES.values() for f in full}
+LONG = 9  #: letters from which a word may have two slips that do not change its sound
+
 _FORMS = (
     (re.compile(r"(?:&|\b(?:u|und|et)\b\.?) ?(?:co|cie)\b\.?"), " co "),
     (re.compile(r"\bg\. ?m\. ?b\. ?h\b\.?"), " gmbh "),
@@ -158,7 +160,6 @@ class Deletes:
         return sorted((d, w) for w in seen if (d := apart(word, w, most)) <= most)
 
 
-_trade_deletes = Deletes(TRADES)
 _legal_long = Deletes([w for w in LEGAL if len(w) > 7])
 
 
@@ -167,55 +168,75 @@ def _in_order(short: str, long: str) -> bool:
     return all(c in at for c in short)
 
 
-@lru_cache(200_000)
-def trade_of(token: str, dotted: bool) -> tuple[str, int] | None:
-    """(line of business, edits) a token names: whole, abbreviated or with one slip."""
-    if token in SHORT_TRADES:
-        return SHORT_TRADES[token], 0
-    if token in _TRADE_SET:
-        return token, 0
-    if dotted and len(token) > 1:
-        for test in (lambda w: w.startswith(token), lambda w: w[0] == token[0] and (len(token) > 2 or w[1] not in "aeiou" or token[1] in w[1:]) and _in_order(token, w)):
-            if hits := [w for w in TRADES if len(w) > len(token) and test(w)]:
-                return hits[0], 0
-    if len(token) > 4:
-        if near := _trade_deletes.near(token):
-            return near[0][1], near[0][0]
-    if dotted and len(token) > 3:  # an abbreviation with a slip
-        for w in TRADES:
-            if len(w) > len(token) + 1 and distance(token, w[: len(token)], 1) == 1:
-                return w, 1
-    return None
-
-
-_TRADE_SET = set(TRADES)
-
-
-@lru_cache(200_000)
-def glued_trade(token: str, dotted: bool = False) -> tuple[str, str, int] | None:
-    """(rest, line of business, edits) of a token that ends in one; after a dot also in an abbreviation of one."""
-    if dotted:
-        for size in range(min(12, len(token) - 5), 1, -1):
-            rest, end = token[:-size], token[-size:]
-            if (got := SHORT_TRADES.get(end)) or (got := next((w for w in TRADES if len(w) > size and w.startswith(end)), None)):
-                if size > 2 or rest[-1] not in "aeiou":
-                    return rest, got, 0
-    for w in _BY_LENGTH:
-        if token.endswith(w) and len(token) - len(w) > 3:
-            return token[: -len(w)], w, 0
-    for w in _BY_LENGTH:
-        if len(w) > 5:
-            for size in (len(w), len(w) - 1, len(w) + 1, len(w) - 2, len(w) + 2):
+class Lines:
+    """Words for lines of business, and what tokens mean by them."""
+
+    def __init__(self, words):
+        self.words = tuple(dict.fromkeys(words))
+        self.set = set(self.words)
+        self.deletes = Deletes(self.words)
+        self.by_length = sorted(self.words, key=lambda w: (-len(w), w))
+        self.of: dict[tuple[str, bool], tuple[str, int] | None] = {}
+        self.ends: dict[tuple[str, bool], tuple[str, str, int] | None] = {}
+
+    def trade_of(self, token: str, dotted: bool) -> tuple[str, int] | None:
+        """(line of business, edits) a token names: whole, abbreviated or with one slip."""
+        return _remembered(self.of, (token, dotted), self._trade_of)
+
+    def glued_trade(self, token: str, dotted: bool = False) -> tuple[str, str, int] | None:
+        """(rest, line of business, edits) of a token that ends in one; after a dot also in an abbreviation of one."""
+        return _remembered(self.ends, (token, dotted), self._glued_trade)
+
+    def _trade_of(self, token: str, dotted: bool) -> tuple[str, int] | None:
+        if token in SHORT_TRADES:
+            return SHORT_TRADES[token], 0
+        if token in self.set:
+            return token, 0
+        if dotted and len(token) > 1:
+            for test in (lambda w: w.startswith(token), lambda w: w[0] == token[0] and (len(token) > 2 or w[1] not in "aeiou" or token[1] in w[1:]) and _in_order(token, w)):
+                if hits := [w for w in self.words if len(w) > len(token) and test(w)]:
+                    return hits[0], 0
+        if len(token) > 4:
+            if near := self.deletes.near(token):
+                return near[0][1], near[0][0]
+        if dotted and len(token) > 3:  # an abbreviation with a slip
+            for w in self.words:
+                if len(w) > len(token) + 1 and distance(token, w[: len(token)], 1) == 1:
+                    return w, 1
+        return None
+
+    def _glued_trade(self, token: str, dotted: bool) -> tuple[str, str, int] | None:
+        if dotted:
+            for size in range(min(12, len(token) - 5), 1, -1):
                 rest, end = token[:-size], token[-size:]
-                if len(rest) > 3 and end[0] == w[0] and apart(end, w, 1) == 1:
-                    return rest, w, 1
-    for short, w in SHORT_TRADES.items():
-        if token.endswith(short) and len(token) - len(short) > 4:
-            return token[: -len(short)], w, 0
-    return None
-
-
-_BY_LENGTH = sorted(TRADES, key=lambda w: (-len(w), w))
+                if (got := SHORT_TRADES.get(end)) or (got := next((w for w in self.words if len(w) > size and w.startswith(end)), None)):
+                    if size > 2 or rest[-1] not in "aeiou":
+                        return rest, got, 0
+        for w in self.by_length:
+            if token.endswith(w) and len(token) - len(w) > 3:
+                return token[: -len(w)], w, 0
+        for w in self.by_length:
+            if len(w) > 5:
+                for size in (len(w), len(w) - 1, len(w) + 1, len(w) - 2, len(w) + 2):
+                    rest, end = token[:-size], token[-size:]
+                    if len(rest) > 3 and end[0] == w[0] and apart(end, w, 1) == 1:
+                        return rest, w, 1
+        for short, w in SHORT_TRADES.items():
+            if token.endswith(short) and len(token) - len(short) > 4:
+                return token[: -len(short)], w, 0
+        return None
+
+
+def _remembered(held: dict, key: tuple, of):
+    if key not in held:
+        if len(held) > 200_000:
+            held.clear()
+        held[key] = of(*key)
+    return held[key]
+
+
+KNOWN = Lines(TRADES)
+trade_of, glued_trade = KNOWN.trade_of, KNOWN.glued_trade
 
 
 def short_for(short: str, full: str) -> bool:
@@ -240,8 +261,9 @@ class Name:
     place: str = ""
 
 
-def parse(text: str | None) -> Name:
+def parse(text: str | None, lines: Lines = KNOWN) -> Name:
     """Parts of an issuer name as typed; '' as kind for blank text or one without a name."""
+    trade_of, glued_trade = lines.trade_of, lines.glued_trade
     if not text or not text.strip():
         return Name()
     s = fold_name(text)
@@ -301,6 +323,17 @@ def parse(text: str | None) -> Name:
     return Name("person", [w for w, _ in words])
 
 
+def business_words(text: str) -> list[str]:
+    """The undotted words of a name with a legal form, without that form, titles and places; none of other names."""
+    s = fold_name(text)
+    for pattern, by in _FORMS:
+        s = pattern.sub(by, s)
+    tokens = _TOKEN.findall(_SAINT.sub(" ", s).split(",")[0].replace("-", " "))
+    if not any(t.rstrip(".") in LEGAL for t in tokens):
+        return []
+    return [t for t in tokens if len(t) > 3 and t.isalpha() and t not in LEGAL and t not in TITLES and not _SURE_PLACE.search(t)]
+
+
 def initials(name: Name) -> str:
     """The letters an acronym of the organisation has; a compound ending in -bank or -kasse gives two."""
     t = name.trade
@@ -308,6 +341,17 @@ def initials(name: Name) -> str:
     return "".join(w[0] for w in name.words) + tail
 
 
+_SOUNDS = ((re.compile(r"(?<=[aeiouy])h"), ""), (re.compile("th"), "t"), (re.compile("ph|v"), "f"), (re.compile("ck|c(?=[^eih])"), "k"), (re.compile("y"), "i"), (re.compile("tz"), "z"), (re.compile(r"(.)\1+"), r"\1"))
+
+
+def sound(word: str) -> str:
+    """A folded word without what is written but not heard: doubled letters, a silent h, letters of one sound."""
+    w = collapse(word)
+    for pattern, by in _SOUNDS:
+        w = pattern.sub(by, w)
+    return w
+
+
 def pair_cost(a: str, b: str) -> float | None:
     """What it costs to take one word for the other: equal 0, a slip 1, an initial or abbreviation a half."""
     if a == b:
@@ -315,10 +359,14 @@ def pair_cost(a: str, b: str) -> float | None:
     short, long = sorted((a, b), key=len)
     if len(short) == 1:
         return 0.5 if long[0] == short else None
+    if len(short) == 2 and len(long) > 6 and long[0] == short[0] and any(long[i] == short[1] and long[i:] in GIVEN for i in range(3, len(long) - 2)):
+        return 0.5  # the initials of a double name
     if long == short + "er":
         return 0.5
     if len(short) >= 4 and apart(a, b, 1) == 1:
         return 1.0
+    if len(short) >= LONG and sound(a) == sound(b) and apart(a, b, 2) == 2:
+        return 2.0
     return None
 
 

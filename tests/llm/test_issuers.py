@@ -3,7 +3,7 @@ import random
 from ledgerloom.llm.canonical import SYNONYMS, Labels, matched
 from ledgerloom.llm.graph import components
 from ledgerloom.llm.names import Deletes, align, apart, deletions, distance, parse
-from ledgerloom.llm.variants import linked, name_pairs
+from ledgerloom.llm.variants import learned_lines, linked, name_pairs
 
 
 def slow(a, b):
@@ -82,6 +82,60 @@ def test_short_forms_with_several_targets_of_one_person(spark):
     assert [["Chris Bardomi"], ["Christian Bardomi"], ["Christoph Bardomi"]] == [x for x in sets if "Bardomi" in x[0]]
 
 
+def sets_of(spark, names):
+    by = {}
+    for r in linked(spark.createDataFrame([(n,) for n in names], "name string")).collect():
+        by.setdefault(r.entity, set()).add(r.name)
+    return sorted(map(sorted, by.values()))
+
+
+def test_order_sound_and_initials(spark):
+    names = ["Brenner Papeterie AG", "Papeterie Brenner", "Sonnental Apotheke", "Sonnentahll Apotheke", "Bühlaromund Pharma AG", "Bühlaprimund Pharma AG", "Hans-Peter Zerulin", "HP Zerulin", "H. P. Bardomi"]
+    assert sets_of(spark, names) == [["Brenner Papeterie AG", "Papeterie Brenner"], ["Bühlaprimund Pharma AG"], ["Bühlaromund Pharma AG"], ["H. P. Bardomi"], ["HP Zerulin", "Hans-Peter Zerulin"], ["Sonnentahll Apotheke", "Sonnental Apotheke"]]
+
+
+def test_lines_of_business_are_learned(spark, monkeypatch):
+    rng = random.Random(8)
+    coined = ["".join(rng.choice(("bar", "do", "mi", "lun", "tes", "vor", "kal", "ri")) for _ in range(4)).capitalize() for _ in range(60)]
+    names = [f"{c} Papeterie AG" for c in coined[:40]] + [f"{c} Kletterhalle GmbH" for c in coined[30:]] + [f"Müller {t} AG" for t in ("Papeterie", "Kletterhalle", "Garage", "Optik", "Hotel", "Verlag")]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    assert learned_lines(df) == ["kletterhalle", "papeterie"] and learned_lines(df.limit(0)) == []
+    one, two = f"{coined[35]} Papeterie AG", f"{coined[35]} Kletterhalle GmbH"
+    sets = sets_of(spark, [*names, f"Papeterie {coined[0]}", f"{coined[0]} Papetreie", f"{coined[59]}kletterhalle"])
+    assert [f"{coined[0]} Papeterie AG", f"{coined[0]} Papetreie", f"Papeterie {coined[0]}"] in sets
+    assert [f"{coined[59]} Kletterhalle GmbH", f"{coined[59]}kletterhalle"] in sets
+    assert not any(one in s and two in s for s in sets)
+
+
+def slip(rng, word):
+    i = rng.randrange(1, len(word) - 1)
+    return rng.choice((word[:i] + word[i + 1 :], word[:i] + word[i] + word[i:], word[: i - 1] + word[i] + word[i - 1] + word[i + 1 :], word[:i] + rng.choice("aeinrst") + word[i + 1 :]))
+
+
+def test_recall_on_held_out_spellings(spark):
+    """Entities and spellings made here, with lines of business and places no list has."""
+    rng = random.Random(21)
+    syllables = "ba de fi go hu ja ke li mo nu pa re si to vu wa xe zi kra plo stri gna".split()
+    lines = ["Papeterie", "Kletterhalle", "Imkerei", "Seilbahnen"]
+    truth, names = {}, []
+    for n in range(160):
+        core = "".join(rng.choice(syllables) for _ in range(5)).capitalize()
+        line = lines[n % 4]
+        forms = [f"{core} {line} AG", f"{core.upper()} {line.upper()} AG", f"{core}-{line}", f"{line} {core} AG", f"AG {core} {line}", f"{core} {line} A.G., 8400 Winterthur", f"{slip(rng, core.lower()).capitalize()} {line}", f"{core} {slip(rng, line.lower())} AG", f"{core}{line.lower()} AG"]
+        truth[n] = forms
+        names += forms
+    of = {r.name: r.entity for r in linked(spark.createDataFrame([(x,) for x in names], "name string")).collect()}
+    linked_pairs = sum(of[a] == of[b] for forms in truth.values() for i, a in enumerate(forms) for b in forms[:i])
+    all_pairs = sum(len(f) * (len(f) - 1) // 2 for f in truth.values())
+    entity = {x: n for n, forms in truth.items() for x in forms}
+    groups = {}
+    for x, e in of.items():
+        groups.setdefault(e, []).append(entity[x])
+    wrong = sum(g[i] != g[j] for g in groups.values() for i in range(len(g)) for j in range(i))
+    print("recall", linked_pairs / all_pairs, "wrong", wrong)
+    assert linked_pairs / all_pairs >= 0.9 and wrong <= 0.01 * linked_pairs
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(1)
     edges = [(f"n{rng.randint(0, 60):02d}", f"n{rng.randint(0, 60):02d}") for _ in range(45)] + [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(30)]
