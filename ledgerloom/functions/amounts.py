@@ -50,25 +50,25 @@ def normalized(col: Column) -> Column:
     return F.lower(F.trim(s))
 
 
-#: Printed marks that mean "no amount".
+# Printed marks that mean "no amount".
 NO_AMOUNT = ("", "-", "–", "—", "–.–", "-.-", ".--", ".—")
 
 
 def strict_amount(col: Column) -> Column:
-    """STRUCT<value DECIMAL(18,2), status>: status is null, ok or garbage.
+    """STRUCT<value DECIMAL(38,2), status>: status is null, ok or garbage.
 
-    The strict reading of a Swiss amount: one leading currency mark, a trailing dash for missing cents, a comma is
-    the decimal sign unless a dot follows it, dots between groups of three digits are thousands, at most two
-    decimals. A value with anything else in it is garbage, never a guess.
+    The strict reading of a Swiss amount: one leading currency mark with or without its dot, one or two dashes for
+    missing cents, a comma is the decimal sign unless there is a dot too, dots between groups of three digits alone are
+    thousands, at most two decimals. A value with anything else in it is garbage, never a guess.
     """
     s = F.regexp_replace(plain_digits(F.coalesce(col, F.lit(""))), "[ \\u00A0\\u202F\\u2009\\t\\n\\r]", "")
-    s = F.regexp_replace(s, "(?i)^(?:CHF|SFr\\.|Fr\\.|EUR|USD)", "")
-    n = F.regexp_replace(F.regexp_replace(s, "\\.(?:--|-|–)$", ""), "['\\u2018\\u2019\\u02BC]", "")
-    n = F.replace(F.regexp_replace(n, ",(?=[^.]*\\.)", ""), F.lit(","), F.lit("."))
-    n = F.regexp_replace(n, "(?<=^[+-]?[1-9]\\d{0,2}(?:\\.\\d{3}){0,5})\\.(?=(?:\\d{3}\\.)*\\d{3}$)", "")
+    s = F.regexp_replace(s, "(?i)^(?:CHF|Fr\\.?|SFr\\.?|EUR|USD)", "")
+    n = F.regexp_replace(F.regexp_replace(s, "\\.[-–—]{1,2}$", ""), "['\\u2018\\u2019\\u02BC]", "")
+    n = F.when(n.contains("."), F.replace(n, F.lit(","), F.lit(""))).otherwise(F.replace(n, F.lit(","), F.lit(".")))
+    n = F.when(n.rlike("^[+-]?[1-9]\\d{0,2}(\\.\\d{3})+$"), F.replace(n, F.lit("."), F.lit(""))).otherwise(n)
     good = n.rlike("^[+-]?\\d+(\\.\\d{1,2})?$")
     status = F.when(s.isin(*NO_AMOUNT), "null").when(good, "ok").otherwise("garbage")
-    return F.struct(F.when(good, n.try_cast("decimal(18,2)")).alias("value"), status.alias("status"))
+    return F.struct(F.when(good, n.try_cast("decimal(38,2)")).alias("value"), status.alias("status"))
 
 
 def cell_amount(col: Column) -> Column:
@@ -158,3 +158,35 @@ def ibans_in(col: Column) -> Column:
 def currencies_in(col: Column) -> Column:
     """The currency codes in a text, distinct and sorted."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(col, F.lit("\\b(CHF|EUR|USD|GBP|JPY)\\b"), F.lit(1))))
+
+
+def _number(text: Column) -> Column:
+    return F.when(text.rlike("^[+-]?(\\d+(\\.\\d*)?|\\.\\d+)$"), text.try_cast("double"))
+
+
+def comma_amount(col: Column) -> Column:
+    """Apostrophes dropped, commas as dots; NULL for anything that is then no number."""
+    return _number(F.replace(F.replace(F.nullif(col, F.lit("null")), F.lit("'"), F.lit("")), F.lit(","), F.lit(".")))
+
+
+def dot_thousands_amount(col: Column) -> Column:
+    """With comma and dot, the dot is for thousands; with a comma alone it is the decimal sign."""
+    s = F.replace(col, F.lit("'"), F.lit(""))
+    both = F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    return _number(F.when(s.contains(",") & s.contains("."), both).otherwise(F.replace(s, F.lit(","), F.lit("."))))
+
+
+def percent_amount(col: Column) -> Column:
+    """Apostrophes, blanks and per-cent signs dropped, commas as dots."""
+    return _number(F.replace(F.regexp_replace(F.coalesce(col, F.lit("")), "['’ %]", ""), F.lit(","), F.lit(".")))
+
+
+def is_zero(col: Column) -> Column:
+    """Whether a printed amount is zero, a dash for missing cents included."""
+    s = F.replace(F.regexp_replace(F.coalesce(col, F.lit("")), "['’ ]", ""), F.lit(","), F.lit("."))
+    return F.coalesce(_number(F.regexp_replace(s, "\\.[-—–]$", ".00")) == 0, F.lit(False))
+
+
+def plain_amount(col: Column) -> Column:
+    """Digits and a dot after apostrophes and blanks are dropped; nothing else is read."""
+    return _number(F.regexp_replace(F.trim(F.coalesce(col, F.lit(""))), "[' ]", ""))

@@ -63,7 +63,7 @@ def unaccented(col: Column) -> Column:
 _LOOKS, _LATIN = "аеорсухіѕјһАВЕКМНОРСТУХІЅЈουνιρακΑΒΕΖΗΙΚΜΝΟΡΤΥΧ‘’ʼ´｀", "aeopcyxisjhABEKMHOPCTYXISJouvipakABEZHIKMNOPTYX" + "'" * 5
 
 
-def _forms() -> tuple[str, str]:
+def name_forms() -> tuple[str, str]:
     """Full-width characters, accented Latin letters and look-alikes, and the plain character of each."""
     wide = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | dict(zip(_LOOKS, _LATIN))
     for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))):
@@ -75,7 +75,7 @@ def _forms() -> tuple[str, str]:
 
 def name_tokens(col: Column) -> Column:
     """The words of a name without case, accents, character forms and what is invisible, distinct and sorted."""
-    plain = F.translate(F.regexp_replace(F.coalesce(col, F.lit("")), "[\\p{Mn}\\p{Cf}]", ""), *_forms())
+    plain = F.translate(F.regexp_replace(F.coalesce(col, F.lit("")), "[\\p{Mn}\\p{Cf}]", ""), *name_forms())
     words = F.split(F.lower(plain), "[\\s\\p{Z},]+")
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: w != "")))
 

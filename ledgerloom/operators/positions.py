@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.scale import numbered_globally
+from ledgerloom.operators.scale import numbered_globally, salted
 
 
 def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "pos_new") -> DataFrame:
@@ -47,15 +47,20 @@ def lowest_free(rows: DataFrame, group: Sequence[str], order: Sequence[str], giv
 def next_ids(rows: DataFrame, existing: DataFrame, id_col: str, prefix: str, width: int, order: Sequence[str]) -> DataFrame:
     """New ids after the greatest existing number, never reused; the offset is one aggregated value, the running
     number comes from range partitions."""
-    top = existing.agg(F.coalesce(F.max(F.substring(id_col, len(prefix) + 1, 20).try_cast("bigint")), F.lit(0)).alias("_top"))
+    top = existing.agg(F.max(F.substring(id_col, len(prefix) + 1, 20).try_cast("bigint"))).first()[0] or 0
     numbers = numbered_globally(rows, order, "_n")
-    return numbers.crossJoin(F.broadcast(top)).withColumn(id_col, F.concat(F.lit(prefix), F.lpad((F.col("_top") + F.col("_n")).cast("string"), width, "0"))).drop("_top", "_n")
+    return numbers.withColumn(id_col, F.concat(F.lit(prefix), F.lpad((F.col("_n") + F.lit(top)).cast("string"), width, "0"))).drop("_n")
 
 
 def duplicates_marked(rows: DataFrame, key: Sequence[str], source: str) -> DataFrame:
-    """Rows with the other sources that hold the same key; every row stays."""
-    sets = rows.groupBy(*key).agg(F.array_sort(F.collect_set(source)).alias("_all")).where(F.size("_all") > 1)
-    return rows.join(sets, list(key), "left").withColumn("also_in", F.array_join(F.array_except(F.coalesce("_all", F.array()), F.array(F.col(source))), ", ")).drop("_all")
+    """Rows with the first source that holds the same key and the number of other ones; every row stays.
+
+    Both are aggregates: a key that many sources hold is no list, and its rows are spread over the parts of
+    ``salted``.
+    """
+    distinct = rows.groupBy(*key, source).agg(F.count("*"))
+    several = distinct.groupBy(*key).agg(F.min(source).alias("first_source"), (F.count(source) - 1).alias("others")).where("others > 0")
+    return salted(rows, several, list(key), "left").withColumn("others", F.coalesce("others", F.lit(0)))
 
 
 def free_names(rows: DataFrame, wish: str, existing: DataFrame, name: str, order: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.scale import salted
 from ledgerloom.operators.words import windows
 
 
@@ -89,11 +90,18 @@ def covered(items: DataFrame, stock: DataFrame, keys: Sequence[str], order: str)
 
 
 def contained(sets: DataFrame, items: DataFrame, owner: Sequence[str], set_key: Sequence[str], tokens: str, item_tokens: str, item: str) -> DataFrame:
-    """Items all of whose tokens are in a set of the same owner, by counting shared tokens: set containment as an
-    equi-join on (owner, token)."""
-    a = sets.select(*owner, *set_key, F.explode(tokens).alias("_t")).distinct()
-    b = items.select(*owner, item, F.size(item_tokens).alias("_n"), F.explode(item_tokens).alias("_t")).distinct()
-    return a.join(b, [*owner, "_t"]).groupBy(*owner, *set_key, item, "_n").agg(F.countDistinct("_t").alias("_k")).where("_k = _n").drop("_n", "_k")
+    """Items all of whose tokens are in a set of the same owner, each pair once.
+
+    An item is looked for under the token of it that fewest sets of its owner have; sets that have that token are
+    tested whole. A token in a third of all sets thus meets only items that have no rarer one.
+    """
+    a = sets.select(*owner, *set_key, F.array_distinct(tokens).alias("_set")).withColumn("_t", F.explode("_set"))
+    n = a.groupBy(*owner, "_t").agg(F.count("*").alias("_n"))
+    each = items.select(*owner, item, F.array_distinct(item_tokens).alias("_need")).withColumn("_t", F.explode("_need"))
+    found = each.join(n, [*owner, "_t"], "left").groupBy(*owner, item, "_need").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_t")).alias("_r"))
+    rare = found.where("_r.n > 0").select(*owner, item, "_need", F.col("_r._t").alias("_t"))
+    hit = salted(a, rare, [*owner, "_t"]).where(F.size(F.array_except("_need", "_set")) == 0)
+    return hit.select(*owner, *set_key, item).distinct()
 
 
 def phrases(words: DataFrame, dictionary: DataFrame, doc: Sequence[str], order: str, phrase: str, most: int) -> DataFrame:

@@ -83,3 +83,13 @@ def recomputed(capital: Column, rate: Column, days: Column, base: int = 360) ->
     """Interest on a capital at a yearly rate in per cent over days, in decimals so that half a cent rounds up."""
     exact = capital.cast("decimal(18,2)") * rate.cast("decimal(8,4)") * days.cast("decimal(6,0)")
     return F.round(exact / F.lit(100 * base).cast("decimal(8,0)"), 2).cast("double")
+
+
+def dispatched(rows: DataFrame, key: Sequence[str], typ: str, by_type: dict[str, Sequence[Check]], arithmetic: dict[str, Sequence[Check]] | None = None, skip_arithmetic: bool = False) -> DataFrame:
+    """(key, code, severity): the checks of each row's type, without those between amounts if they are skipped; a type
+    without checks has no findings."""
+    found = []
+    for name in sorted({*by_type, *(arithmetic or {})}):
+        checks = [*by_type.get(name, ()), *(() if skip_arithmetic else (arithmetic or {}).get(name, ()))]
+        found += [F.when((F.col(typ) == name) & F.coalesce(c.broken, F.lit(False)), F.struct(F.lit(c.code).alias("code"), F.lit(c.severity).alias("severity"))) for c in checks]
+    return rows.select(*key, F.inline(F.array_compact(F.array(*found))))

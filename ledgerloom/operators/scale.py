@@ -31,3 +31,13 @@ def running_totals(rows: DataFrame, order: Sequence[str], sums: dict[str, str])
 def numbered_globally(rows: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     """A running number from 1 over all rows in ``order``."""
     return running_totals(rows.withColumn("_one", F.lit(1)), order, {out: "_one"}).drop("_one")
+
+
+SALTS = 32  #: parts into which the rows of one key are spread
+
+
+def salted(rows: DataFrame, few: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``few``, which has one row a key or a small number: rows of a key are spread over ``SALTS``
+    parts by the task that reads them, each part with its own copy of the rows of ``few``."""
+    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).join(spread, [*keys, "_salt"], how).drop("_salt")

@@ -79,3 +79,70 @@ def spread_match(words: DataFrame, doc: Sequence[str], order: str, text: str, sh
     for i, s in enumerate(shapes):
         test = test & F.col(f"_w{i}").rlike(f"^(?:{s})$")
     return cols.where(test).select(*doc, F.col(order).alias("start"), F.lit(category).alias("category"), F.lit(len(shapes)).alias("words"))
+
+
+#: What counts as personal data when texts are shared: spaced and glued forms, and what a reader misread.
+DETECTORS = {
+    "iban": "(?<![A-Za-z0-9])((?:CH|LI|ch|li)[0-9]{2}[ 0-9]{15,30})(?![0-9])",
+    "ahv": "(?<![0-9.])(756[. ]{0,3}[0-9]{4}[. ]{0,3}[0-9]{4}[. ]{0,3}[0-9]{2})(?![0-9])",
+    "phone": "(?<![0-9.])((?:\\+41|0041)[ .-]?[0-9]{2}[ .-]?[0-9]{3}[ .-]?[0-9]{2}[ .-]?[0-9]{2}|0[0-9]{2}[ .-][0-9]{3}[ .-][0-9]{2}[ .-][0-9]{2})(?![0-9])",
+    "misread_phone": "(?<![0-9A-Za-z])(0[0-9OIl]{2}[ .-][0-9OIl]{3}[ .-][0-9OIl]{2}[ .-][0-9OIl]{2})(?![0-9A-Za-z])",
+    "email": "(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,})",
+    "place": "(?<![0-9A-Za-z.'-])((?:CH-|FL-)?[1-9][0-9]{3} ?[A-ZÄÖÜ][a-zäöü]{1,}(?:ikon|wil|büel|dorf|hofen|lingen|matt|stetten))(?![a-zäöü])",
+    "account": "(?<![0-9A-Za-z.-])([0-9]{2,3}-[0-9]{3,6}[-.][0-9]{1,3})(?![0-9A-Za-z-])",
+    "domain": "(?<![A-Za-z0-9@.-])(www\\.[A-Za-z0-9-]+\\.[a-z]{2,})",
+}
+# What anonymised texts hold in place of personal data.
+PLACEHOLDERS = ("044-000-00-00", "044 000 00 00", "anon@example.com")
+
+
+def suppressed(category: Column, match: Column) -> Column:
+    """Whether a match is a placeholder: check digits 00, nothing but zeros after 756, six zeros in a phone number,
+    masked, or one of the fixed ones."""
+    digits = F.regexp_replace(match, "[^0-9]", "")
+    zeros = F.length(F.regexp_replace(digits, "[^0]", ""))
+    return (
+        match.isin(*PLACEHOLDERS)
+        | (is_placeholder(match) & (digits != ""))
+        | match.rlike("[xX*]{3}")
+        | ((category == "iban") & (F.substring(digits, 1, 2) == "00"))
+        | ((category == "ahv") & digits.rlike("^7560+$"))
+        | ((category == "phone") & (F.length(digits) >= 9) & (zeros >= 6))
+        | ((category == "email") & F.lower(match).rlike("@(example[.]|beispiel[.])"))
+    )
+
+
+def detected(rows: DataFrame, key: Sequence[str], text: str, detectors: dict[str, str] | None = None) -> DataFrame:
+    """(key, category, hash8) of every match that is no placeholder; the report has a hash, never the match."""
+
+    def of(category: str, pattern: str) -> Column:
+        matches = F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)), lambda m: F.trim(m))
+        real = F.filter(matches, lambda m: ~suppressed(F.lit(category), m))
+        return F.transform(real, lambda m: F.struct(F.lit(category).alias("category"), F.substring(F.sha2(m, 256), 1, 8).alias("hash8")))
+
+    found = [of(k, p) for k, p in (detectors or DETECTORS).items()]
+    return rows.where(F.col(text).isNotNull()).select(*key, F.inline(F.flatten(F.array(*found))))
+
+
+def placeholders_in(rows: DataFrame, text: str, detectors: dict[str, str] | None = None) -> DataFrame:
+    """(category, held) of every match: whether it is a placeholder and so held back from reports."""
+
+    def of(category: str, pattern: str) -> Column:
+        matches = F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)), lambda m: F.trim(m))
+        return F.transform(matches, lambda m: F.struct(F.lit(category).alias("category"), suppressed(F.lit(category), m).alias("held")))
+
+    return rows.where(F.col(text).isNotNull()).select(F.inline(F.flatten(F.array(*[of(k, p) for k, p in (detectors or DETECTORS).items()]))))
+
+
+def leaks(spark, folder: str, detectors: dict[str, str] | None = None) -> DataFrame:
+    """(path, line, category, hash8): personal data in the text files below a folder, line by line."""
+    files = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    lines = files.select("path", F.posexplode(F.split("value", "\\r?\\n")).alias("line", "text"))
+    return detected(lines.withColumn("line", F.col("line") + 1), ["path", "line"], "text", detectors)
+
+
+def verified_clean(spark, folder: str, detectors: dict[str, str] | None = None) -> None:
+    """Raises with the number of leaks by category if a folder to be shared has any."""
+    found = {r.category: r["count"] for r in leaks(spark, folder, detectors).groupBy("category").count().collect()}
+    if found:
+        raise ValueError(f"personal data in {folder}: {dict(sorted(found.items()))}")

@@ -92,3 +92,54 @@ def first_rows(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) ->
     """The rows of each key that are not the one to keep, by order."""
     w = W.partitionBy(*key).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(w)).where("_n > 1").drop("_n")
+
+
+def correction_states(confirmed: Column, self_entered: Column, value: Column, struck: Column, withdrawn: Column) -> Column:
+    """withdrawn, struck, confirmed or open: a value is confirmed if ticked off, or typed in by a person, and neither
+    struck nor withdrawn."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    typed = yes(self_entered) & (F.trim(F.coalesce(value, F.lit(""))) != "")
+    return F.when(yes(withdrawn), "withdrawn").when(yes(struck), "struck").when(yes(confirmed) | typed, "confirmed").otherwise("open")
+
+
+def struck(version: DataFrame, keys: DataFrame, key: Sequence[str], state: str, at: Column, to: str = "gestrichen") -> tuple[DataFrame, DataFrame]:
+    """(new version, journal): the rows of ``keys`` set aside; the journal has what they were, so it can be undone."""
+    hit = version.join(keys.select(*key, F.lit(True).alias("_hit")).distinct(), list(key), "left")
+    change = F.coalesce("_hit", F.lit(False)) & ~F.col(state).eqNullSafe(F.lit(to))
+    journal = hit.where(change).select(*key, F.lit("strike").alias("was"), F.col(state).alias("vorher"), F.lit(to).alias("nachher"), at.alias("zeitpunkt"))
+    return hit.withColumn(state, F.when(change, F.lit(to)).otherwise(F.col(state))).select(*version.columns), journal
+
+
+def restored(version: DataFrame, journal: DataFrame, keys: DataFrame, key: Sequence[str], state: str, at: Column) -> tuple[DataFrame, DataFrame]:
+    """(new version, journal entries): the rows of ``keys`` as they were before their newest strike that still stands."""
+    last = journal.groupBy(*key).agg(F.max(F.struct("zeitpunkt", "was", "vorher", "nachher")).alias("_j"))
+    back = last.join(keys.select(*key).distinct(), list(key), "left_semi").where("_j.was = 'strike'")
+    hit = version.join(back, list(key), "left")
+    change = F.col("_j").isNotNull() & F.col(state).eqNullSafe(F.col("_j.nachher"))
+    entries = hit.where(change).select(*key, F.lit("restore").alias("was"), F.col(state).alias("vorher"), F.col("_j.vorher").alias("nachher"), at.alias("zeitpunkt"))
+    return hit.withColumn(state, F.when(change, F.col("_j.vorher")).otherwise(F.col(state))).select(*version.columns), entries
+
+
+def loaded_once(rows: DataFrame, path: str) -> int:
+    """Writes ``rows`` as the first version of a store and returns their number; a store with rows, or another number of
+    rows read back than were given, is an error."""
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) and not spark.read.parquet(path).isEmpty():
+        raise ValueError(f"{path} holds a store already")
+    given = rows.count()
+    rows.write.mode("overwrite").parquet(path)
+    stored = spark.read.parquet(path).count()
+    if stored != given:
+        raise RuntimeError(f"{given} rows given, {stored} stored")
+    return stored
+
+
+def reextracted(version: DataFrame, fresh: DataFrame, key: Sequence[str], document: str, values: Sequence[str], stamp: str) -> DataFrame:
+    """The version with the rows of each document in ``fresh`` replaced; a fresh row with the values it had before
+    carries its old stamp over."""
+    kept = version.join(fresh.select(document).distinct(), document, "left_anti")
+    before = version.select(*key, *[F.col(v).alias(f"_{v}") for v in values], F.col(stamp).alias("_stamp"))
+    same = reduce(lambda a, b: a & b, [F.col(v).eqNullSafe(F.col(f"_{v}")) for v in values])
+    carried = fresh.join(before, list(key), "left").withColumn(stamp, F.when(same & F.col("_stamp").isNotNull(), F.col("_stamp")).otherwise(F.col(stamp)))
+    return kept.unionByName(carried.select(*version.columns))

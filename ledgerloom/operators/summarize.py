@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.scale import running_totals
@@ -24,10 +24,24 @@ def strict_mode(rows: DataFrame, key: Sequence[str], value: str) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, key: Sequence[str], value: str) -> DataFrame:
-    """The element at n div 2 of the sorted values of each key, by rank instead of a collected list."""
-    w = W.partitionBy(*key).orderBy(value)
-    ranked = rows.where(F.col(value).isNotNull()).select(*key, value, (F.row_number().over(w) - 1).alias("i"), F.count("*").over(W.partitionBy(*key)).alias("n"))
-    return ranked.where("i = n div 2").select(*key, F.col(value).alias("median"), "n")
+    """The element at n div 2 of the sorted values of each key.
+
+    Values are counted first, and the counts summed up over range partitions: a key with most of the rows is many rows
+    of many tasks, never one sorted list.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_c"))
+    sums = running_totals(counts, [*key, value], {"_upto": "_c"})
+    whole = sums.groupBy(*key).agg(F.sum("_c").alias("n"), F.min(F.col("_upto") - F.col("_c")).alias("_before"))
+    whole = whole.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "n", "_before")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
+    at = sums.join(whole, reduce(lambda a, b: a & b, same)).withColumn("_i", F.col("_upto") - F.col("_before"))
+    return at.where("_i > n div 2 and _i - _c <= n div 2").select(*key, F.col(value).alias("median"), "n")
+
+
+def pivoted(rows: DataFrame, key: Sequence[str], column: str, names: dict[str, str], rest: str = "andere") -> DataFrame:
+    """Counts of the values of ``names`` in a column each, and of all other ones in ``rest``: no row is left out."""
+    counts = [F.count_if(F.col(column) == v).alias(n) for v, n in names.items()]
+    return rows.groupBy(*key).agg(*counts, F.count_if(~F.coalesce(F.col(column).isin(*names), F.lit(False))).alias(rest))
 
 
 def auroc(rows: DataFrame, score: str, label: str) -> DataFrame:

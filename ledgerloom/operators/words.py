@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import normalized
+from ledgerloom.session import cut
 
 
 def dense_tags(words: DataFrame, doc: Sequence[str], order: str, text: str = "text", out: str = "tag") -> DataFrame:
@@ -196,10 +197,12 @@ def single_value(rows: DataFrame, key: Sequence[str], value: str, as_of: str) ->
 
 
 def merged_objects(rows: DataFrame, key: Sequence[str], attribute: str, value: str, source: str) -> DataFrame:
-    """One line a key: every attribute with all its observed values, each with its sources."""
-    seen = rows.groupBy(*key, attribute, value).agg(F.array_sort(F.collect_set(source)).alias("sources"))
-    per = seen.groupBy(*key, attribute).agg(F.sort_array(F.collect_list(F.struct(F.col(value).alias("value"), "sources"))).alias("values"))
-    return per.groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(attribute), F.col("values"))))).alias("attributes"))
+    """One line an observed value of an attribute of a key: in how many sources it is, the first of them, and how many
+    values the attribute has. Long, not nested: an object that most documents speak of is many rows."""
+    seen = rows.groupBy(*key, attribute, value, source).agg(F.count("*").alias("_c"))
+    values = seen.groupBy(*key, attribute, value).agg(F.count("*").alias("sources"), F.min(source).alias("first_source"))
+    n = values.groupBy(*key, attribute).agg(F.count("*").alias("values"))
+    return values.join(n, [*key, attribute])
 
 
 def better_lines(left: DataFrame, right: DataFrame, page: Sequence[str], *, score: Column, close: float = 5.0) -> DataFrame:
@@ -216,6 +219,17 @@ def better_lines(left: DataFrame, right: DataFrame, page: Sequence[str], *, scor
     return both.drop("used").unionByName(only_a).unionByName(only_b)
 
 
+def merged_readings(lines: DataFrame, page: Sequence[str], reading: str, *, score: Column, close: float = 5.0) -> DataFrame:
+    """All readings of each page merged one after the other, in the order of ``reading``."""
+    rank = F.dense_rank().over(W.partitionBy(*page).orderBy(reading))
+    each = lines.select(*page, reading).distinct().withColumn("_n", rank)
+    ranked = lines.join(each, [*page, reading]).select(*page, "y", "line", "_n")
+    merged = ranked.where("_n = 1").drop("_n")
+    for n in range(2, (each.agg(F.max("_n")).first()[0] or 1) + 1):
+        merged = cut(better_lines(merged, ranked.where(F.col("_n") == n).drop("_n"), page, score=score, close=close))
+    return merged
+
+
 def readability(line: Column) -> Column:
     """The share of letters and digits in a line, weighed by the number of words of three letters and more."""
     letters = F.length(F.regexp_replace(line, "[^\\p{L}\\p{N}]", ""))

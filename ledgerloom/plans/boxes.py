@@ -197,11 +197,10 @@ def sections(t):
     return O.sections(t("tagged_words"), DOC, ["tag_id"], F.col("text").rlike("^(Saldo|Brutto|Netto|Schuld|Total)"), "abschnitt").select("word_id", "abschnitt")
 
 
-@query("r3_21_merged_objects", "SELECT dossier_id, belegtyp, count(DISTINCT feld)::INT AS felder FROM field_rows WHERE wert_decimal IS NOT NULL GROUP BY 1, 2")
+@query("r3_21_merged_objects", "WITH v AS (SELECT dossier_id, belegtyp, feld, wert_decimal, count(DISTINCT dokument_id) AS sources, min(dokument_id) AS first_source FROM field_rows WHERE wert_decimal IS NOT NULL GROUP BY 1, 2, 3, 4) SELECT *, count(*) OVER (PARTITION BY dossier_id, belegtyp, feld) AS values FROM v")
 def merged_objects(t):
     rows = t("field_rows").where("wert_decimal is not null")
-    merged = O.merged_objects(rows, ["dossier_id", "belegtyp"], "feld", "wert_decimal", "dokument_id")
-    return merged.select("dossier_id", "belegtyp", F.size("attributes").alias("felder"))
+    return O.merged_objects(rows, ["dossier_id", "belegtyp"], "feld", "wert_decimal", "dokument_id")
 
 
 @query(
@@ -227,8 +226,4 @@ def repeated_labels(t):
 def better_readings(t):
     parts = F.sort_array(F.collect_list(F.struct("x0", "word_id", "text")))
     lines = _rows(t).groupBy(*ROW).agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("line"), F.round(F.avg("top"), 1).alias("y"))
-    first = lines.groupBy("dokument_id").agg(F.min("eingelesen_am").alias("a"), F.max("eingelesen_am").alias("b")).where("a <> b")
-    both = lines.join(first, "dokument_id")
-    left = both.where("eingelesen_am = a").select("dokument_id", "page", "y", "line")
-    right = both.where("eingelesen_am = b").select("dokument_id", "page", "y", "line")
-    return O.better_lines(left, right, ["dokument_id", "page"], score=O.readability(F.col("line")))
+    return O.merged_readings(lines, ["dokument_id", "page"], "eingelesen_am", score=O.readability(F.col("line")))

@@ -11,6 +11,7 @@ from ledgerloom.operators import relate as R
 from ledgerloom.operators import store as S
 from ledgerloom.operators import summarize as Z
 from ledgerloom.plans.catalog import Catalog
+from ledgerloom.plans.scalars import sql_name_tokens
 
 catalog = Catalog()
 query = catalog.query
@@ -169,13 +170,13 @@ def phrases(t):
 
 @query(
     "r4_15_members_named",
-    """WITH m AS (SELECT dossier_id, member_id, list_distinct(list_filter(regexp_split_to_array(lower(strip_accents(first_name || ' ' || last_name)), '[\\s,]+'), lambda w: w <> '')) AS t FROM family),
-    f AS (SELECT dossier_id, row_id, list_distinct(list_filter(regexp_split_to_array(lower(strip_accents(wert_raw)), '[\\s,]+'), lambda w: w <> '')) AS t FROM field_rows WHERE feld LIKE '%name' AND wert_raw IS NOT NULL AND regexp_matches(wert_raw, '^[\\x20-\\x7eäöüéèêÄÖÜÉíÍ]+$'))
+    f"""WITH m AS (SELECT dossier_id, member_id, {sql_name_tokens("concat_ws(' ', first_name, last_name)")} AS t FROM family),
+    f AS (SELECT dossier_id, row_id, {sql_name_tokens("wert_raw")} AS t FROM field_rows WHERE feld LIKE '%name' AND wert_raw IS NOT NULL)
     SELECT f.row_id, m.member_id FROM f JOIN m ON f.dossier_id = m.dossier_id AND list_has_all(f.t, m.t)""",
 )
 def members_named(t):
     members = t("family").select("dossier_id", "member_id", X.name_tokens(F.concat_ws(" ", "first_name", "last_name")).alias("mt"))
-    fields = t("field_rows").where("feld like '%name' and wert_raw is not null")  # the SQL leaves names with other characters out
+    fields = t("field_rows").where("feld like '%name' and wert_raw is not null")
     sets = fields.select("dossier_id", "row_id", X.name_tokens(F.col("wert_raw")).alias("st"))
     return R.contained(sets, members, ["dossier_id"], ["row_id"], "st", "mt", "member_id").select("row_id", "member_id")
 
@@ -237,11 +238,9 @@ def type_summary(t):
     return t("field_rows").groupBy("belegtyp").agg(F.countDistinct("dokument_id").alias("dokumente"), F.count("*").alias("zeilen"), F.round(F.avg("konfidenz"), 6).alias("konfidenz"))
 
 
-@query("r5_01_person_pivot", "SELECT zielwert, sum(CASE WHEN person = 'mann' THEN 1 ELSE 0 END)::BIGINT AS mann, sum(CASE WHEN person = 'frau' THEN 1 ELSE 0 END)::BIGINT AS frau, sum(CASE WHEN person = '' THEN 1 ELSE 0 END)::BIGINT AS leer FROM position_store GROUP BY 1")
+@query("r5_01_person_pivot", "SELECT zielwert, sum(CASE WHEN person = 'mann' THEN 1 ELSE 0 END)::BIGINT AS mann, sum(CASE WHEN person = 'frau' THEN 1 ELSE 0 END)::BIGINT AS frau, sum(CASE WHEN person = '' THEN 1 ELSE 0 END)::BIGINT AS leer, sum(CASE WHEN person IN ('mann', 'frau', '') THEN 0 ELSE 1 END)::BIGINT AS andere FROM position_store GROUP BY 1")
 def person_pivot(t):
-    pivoted = t("position_store").where("person in ('mann', 'frau', '')").groupBy("zielwert").pivot("person", ["mann", "frau", ""]).count()
-    all_of = t("position_store").select("zielwert").distinct().join(pivoted.withColumnRenamed("", "leer"), "zielwert", "left")
-    return all_of.select("zielwert", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("mann", "frau", "leer")])
+    return Z.pivoted(t("position_store"), ["zielwert"], "person", {"mann": "mann", "frau": "frau", "": "leer"})
 
 
 @query("r5_02_reasons", "SELECT coalesce(nullif(grund, ''), 'ohne') AS grund, zustand, count(*) AS n FROM abgleich GROUP BY 1, 2")
@@ -307,14 +306,14 @@ def coverage(t):
 
 @query(
     "r5_10_sum_per_person",
-    """WITH n AS (SELECT dokument_id, max(CASE WHEN feld = 'versicherte_person_name' THEN wert_raw END) AS p, max(CASE WHEN feld = 'praemie_kvg_total' THEN TRY_CAST(wert_decimal AS DOUBLE) END) AS b FROM field_rows WHERE belegtyp = 'kk_praemienbescheinigung' GROUP BY 1)
-    SELECT array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(strip_accents(p)), '[\\s,]+'), lambda w: w <> ''))), ' ') AS person, round(sum(b), 2) AS praemie, count(*) AS n FROM n WHERE regexp_matches(p, '^[\\x20-\\x7eäöüéèÄÖÜÉíÍ]+$') GROUP BY 1""",
+    f"""WITH n AS (SELECT dokument_id, max(CASE WHEN feld = 'versicherte_person_name' THEN wert_raw END) AS p, max(CASE WHEN feld = 'praemie_kvg_total' THEN TRY_CAST(wert_decimal AS DOUBLE) END) AS b FROM field_rows WHERE belegtyp = 'kk_praemienbescheinigung' GROUP BY 1)
+    SELECT array_to_string({sql_name_tokens("p")}, ' ') AS person, round(sum(b), 2) AS praemie, count(*) AS n FROM n WHERE p <> '' GROUP BY 1""",
 )
 def sum_per_person(t):
     docs = t("field_rows").where("belegtyp = 'kk_praemienbescheinigung'").groupBy("dokument_id").agg(
         F.max(F.when(F.col("feld") == "versicherte_person_name", F.col("wert_raw"))).alias("p"), F.max(F.when(F.col("feld") == "praemie_kvg_total", F.col("wert_decimal").try_cast("double"))).alias("b")
     )
-    named = docs.where("p is not null and p <> ''")  # the SQL leaves names with other characters out
+    named = docs.where("p is not null and p <> ''")
     return named.groupBy(F.array_join(X.name_tokens(F.col("p")), " ").alias("person")).agg(F.round(F.sum("b"), 2).alias("praemie"), F.count("*").alias("n"))
 
 
@@ -476,10 +475,10 @@ def word_before(t):
 
 @query(
     "r6_08_duplicates_marked",
-    "SELECT p.id, coalesce(array_to_string(list_filter(s.q, lambda x: x <> p.dokument_id), ', '), '') AS also_in FROM position_store p LEFT JOIN (SELECT aussteller, label, betrag, list_sort(list(DISTINCT dokument_id)) AS q FROM position_store GROUP BY 1, 2, 3 HAVING count(DISTINCT dokument_id) > 1) s USING (aussteller, label, betrag)",
+    "SELECT p.id, s.first_source, coalesce(s.n - 1, 0) AS others FROM position_store p LEFT JOIN (SELECT aussteller, label, betrag, min(dokument_id) AS first_source, count(DISTINCT dokument_id) AS n FROM position_store GROUP BY 1, 2, 3 HAVING count(DISTINCT dokument_id) > 1) s USING (aussteller, label, betrag)",
 )
 def duplicates_marked(t):
-    return P.duplicates_marked(t("position_store"), ["aussteller", "label", "betrag"], "dokument_id").select("id", "also_in")
+    return P.duplicates_marked(t("position_store"), ["aussteller", "label", "betrag"], "dokument_id").select("id", "first_source", "others")
 
 
 @query(
@@ -506,9 +505,9 @@ def most_common(t):
     return t("position_store").groupBy("aussteller").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "aussteller").limit(20)
 
 
-@query("r7_04_first_words", "SELECT doc_id, array_to_string(list_slice(regexp_split_to_array(trim(text, ' '), ' +'), 1, 20), ' ') AS anfang FROM documents WHERE text IS NOT NULL")
+@query("r7_04_first_words", "SELECT doc_id, array_to_string(list_slice(regexp_split_to_array(trim(text, ' '), ' +'), 1, 200), ' ') AS anfang FROM documents WHERE text IS NOT NULL")
 def first_words(t):
-    return t("documents").where("text is not null").select("doc_id", F.array_join(F.slice(F.split(F.trim("text"), " +"), 1, 20), " ").alias("anfang"))
+    return t("documents").where("text is not null").select("doc_id", F.array_join(F.slice(F.split(F.trim("text"), " +"), 1, 200), " ").alias("anfang"))
 
 
 @query("r7_05_union_of_sources", "SELECT quelle, count(*) AS n, count(DISTINCT dokument_id) AS dokumente FROM (SELECT 'feld' AS quelle, dokument_id FROM field_rows UNION ALL SELECT 'ablage', dokument_id FROM position_store UNION ALL SELECT 'lohn', dokument_id FROM lohnausweis) GROUP BY 1")
@@ -517,9 +516,9 @@ def union_of_sources(t):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("quelle").agg(F.count("*").alias("n"), F.countDistinct("dokument_id").alias("dokumente"))
 
 
-@query("r7_06_orphans", "SELECT DISTINCT beleg FROM abgleich WHERE beleg NOT IN (SELECT dokument FROM position_store)")
+@query("r7_06_orphans", "SELECT DISTINCT dokument FROM position_store WHERE dokument NOT IN (SELECT beleg FROM abgleich)")
 def orphans(t):
-    return R.without(t("abgleich").select("beleg").distinct(), t("position_store").select(F.col("dokument").alias("beleg")), ["beleg"])
+    return R.without(t("position_store").select("dokument").distinct(), t("abgleich").select(F.col("beleg").alias("dokument")), ["dokument"])
 
 
 @query("r7_06_difference", "SELECT dokument_id, feld FROM field_rows EXCEPT ALL SELECT dokument_id, feld FROM field_rows_kopie")

@@ -11,6 +11,7 @@ from ledgerloom.operators import relate as R
 from ledgerloom.operators import rules as Q
 from ledgerloom.operators import scrub as C
 from ledgerloom.operators import store as S
+from ledgerloom.operators import summarize as Z
 from ledgerloom.plans.catalog import Catalog
 
 catalog = Catalog()
@@ -38,10 +39,11 @@ def vanished_checked(t):
     return S.vanished(t("position_store"), after, ["dokument", "zielwert", "pos"], F.col("status") == "geprueft").select("dokument", "zielwert", "pos").distinct()
 
 
-@query("r8_03_into_closed", "SELECT id FROM position_store WHERE status = 'vorschlag' AND (dokument_id, zielwert) IN (SELECT dokument_id, zielwert FROM position_store WHERE status = 'geprueft')")
+@query("r8_03_into_closed", "SELECT id FROM position_store WHERE status = 'vorschlag' AND (dokument, zielwert) IN (SELECT beleg, zielwert FROM abgleich WHERE zustand = 'stimmt')")
 def into_closed(t):
     p = t("position_store")
-    return S.into_closed(p.where("status = 'vorschlag'"), p.where("status = 'geprueft'"), ["dokument_id", "zielwert"]).select("id")
+    closed = t("abgleich").where("zustand = 'stimmt'").select(F.col("beleg").alias("dokument"), "zielwert")
+    return S.into_closed(p.where("status = 'vorschlag'"), closed, ["dokument", "zielwert"]).select("id")
 
 
 @query("r8_04_latest_state", "SELECT beleg, zielwert, pos, arg_max(zustand, geaendert_am) AS zustand, count(*) AS entries FROM abgleich GROUP BY 1, 2, 3")
@@ -123,7 +125,7 @@ def _hits_sql(c: str, p: str) -> str:
     return f"len(list_distinct(list_transform(regexp_extract_all({c}, '{p}'), lambda m: lower(m))))"
 
 
-_TYPED = "WITH h AS (SELECT doc_id, text, array_to_string(list_slice(regexp_split_to_array(text, '\\s+'), 1, 30), ' ') AS kopf FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, " + ", ".join(
+_TYPED = "WITH h AS (SELECT doc_id, text, array_to_string(list_slice(regexp_split_to_array(text, '\\s+'), 1, 200), ' ') AS kopf FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, " + ", ".join(
     f"{_hits_sql('kopf', p)} AS h{i}, {_hits_sql('text', p)} AS g{i}" for i, p in enumerate(_TYPES.values())
 ) + " FROM h), z AS (SELECT doc_id, " + ", ".join(f"CASE WHEN greatest(h0, h1, h2, h3) = 0 THEN g{i} ELSE h{i} END AS s{i}" for i in range(4)) + """ FROM s)
 SELECT doc_id, CASE WHEN greatest(s0, s1, s2, s3) = 0 THEN 'unknown' WHEN (s0 = greatest(s0, s1, s2, s3))::INT + (s1 = greatest(s0, s1, s2, s3))::INT + (s2 = greatest(s0, s1, s2, s3))::INT + (s3 = greatest(s0, s1, s2, s3))::INT > 1 THEN 'multiple'
@@ -314,10 +316,9 @@ def counts_before_after(t):
     return j.select("feld", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
 
 
-@query("r12_03_breakdown", "SELECT jahr, sum((herkunft = 'label')::INT)::BIGINT AS label, sum((herkunft = 'modell')::INT)::BIGINT AS modell, sum((herkunft = 'geometrie')::INT)::BIGINT AS geometrie, sum((herkunft = 'mensch')::INT)::BIGINT AS mensch FROM position_store GROUP BY 1")
+@query("r12_03_breakdown", "SELECT jahr, sum((herkunft = 'label')::INT)::BIGINT AS label, sum((herkunft = 'modell')::INT)::BIGINT AS modell, sum((herkunft = 'geometrie')::INT)::BIGINT AS geometrie, sum((herkunft = 'mensch')::INT)::BIGINT AS mensch, sum((herkunft NOT IN ('label', 'modell', 'geometrie', 'mensch'))::INT)::BIGINT AS andere FROM position_store GROUP BY 1")
 def breakdown(t):
-    pivoted = t("position_store").groupBy("jahr").pivot("herkunft", ["label", "modell", "geometrie", "mensch"]).count()
-    return pivoted.select("jahr", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("label", "modell", "geometrie", "mensch")])
+    return Z.pivoted(t("position_store"), ["jahr"], "herkunft", {c: c for c in ("label", "modell", "geometrie", "mensch")})
 
 
 # --- scrubbing ---------------------------------------------------------------------------------------------------
@@ -373,9 +374,9 @@ def markers(t):
     return C.stable_markers(t("family"), "last_name", "P")
 
 
-@query("r13_10_stale_outputs", "SELECT DISTINCT dokument_id FROM field_rows_kopie WHERE dokument_id NOT IN (SELECT dokument_id FROM field_rows)")
+@query("r13_10_stale_outputs", "SELECT DISTINCT dokument_id, feld FROM field_rows_kopie k WHERE NOT EXISTS (SELECT 1 FROM field_rows f WHERE f.dokument_id = k.dokument_id AND f.feld = k.feld)")
 def stale_outputs(t):
-    return R.without(t("field_rows_kopie").select("dokument_id").distinct(), t("field_rows"), ["dokument_id"])
+    return R.without(t("field_rows_kopie").select("dokument_id", "feld").distinct(), t("field_rows"), ["dokument_id", "feld"])
 
 
 # --- composites --------------------------------------------------------------------------------------------------
@@ -430,7 +431,7 @@ def store_overview(t):
     return t("position_store").cube("status", "herkunft").agg(F.count("*").alias("n"), F.count_if(F.col("betrag") == "").alias("ohne_betrag"))
 
 
-@query("r17_22_family_name_in_employer", "SELECT DISTINCT f.row_id FROM field_rows f JOIN family m ON f.dossier_id = m.dossier_id AND list_contains(regexp_split_to_array(f.wert_raw, '[ ,]+'), m.last_name) WHERE f.feld = 'arbeitgeber'")
+@query("r17_22_family_name_in_field", "SELECT DISTINCT f.row_id FROM field_rows f JOIN family m ON f.dossier_id = m.dossier_id AND list_contains(regexp_split_to_array(f.wert_raw, '[ ,]+'), m.last_name) WHERE f.wert_raw IS NOT NULL")
 def family_name_in_employer(t):
-    words = t("field_rows").where("feld = 'arbeitgeber'").select("dossier_id", "row_id", F.explode(F.split("wert_raw", "[ ,]+")).alias("last_name"))
+    words = t("field_rows").where("wert_raw is not null").select("dossier_id", "row_id", F.explode(F.split("wert_raw", "[ ,]+")).alias("last_name"))
     return words.join(t("family").select("dossier_id", "last_name").distinct(), ["dossier_id", "last_name"]).select("row_id").distinct()

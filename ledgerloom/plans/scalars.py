@@ -29,16 +29,23 @@ def sql_norm(c: str) -> str:
     return f"lower(trim(regexp_replace({sql_digits(f'coalesce({c}, chr(32))')}, '{_NORM}', '', 'g'), ' '))"
 
 
+def sql_name_tokens(c: str) -> str:
+    """``name_tokens`` in SQL."""
+    wide, plain = X.name_forms()
+    folded = f"translate(regexp_replace(coalesce({c}, ''), '[\\p{{Mn}}\\p{{Cf}}]', '', 'g'), '{wide}', '{plain.replace(chr(39), chr(39) * 2)}')"
+    return f"list_sort(list_distinct(list_filter(regexp_split_to_array(lower({folded}), '[\\s\\p{{Z}},]+'), lambda w: w <> '')))"
+
+
 def sql_strict(source: str, keys: str, c: str) -> str:
     """A chain of steps that ends in (keys, status, value)."""
     return f"""WITH s0 AS (SELECT {keys}, {sql_digits(f"coalesce({c}, '')")} AS s FROM {source}),
-s1 AS (SELECT {keys}, regexp_replace(regexp_replace(s, '[ \\x{{00A0}}\\x{{202F}}\\x{{2009}}\\t\\n\\r]', '', 'g'), '(?i)^(?:CHF|SFr\\.|Fr\\.|EUR|USD)', '') AS s FROM s0),
-s2 AS (SELECT {keys}, s, regexp_replace(s, '\\.(?:--|-|–)$', '') AS b FROM s1),
+s1 AS (SELECT {keys}, regexp_replace(regexp_replace(s, '[ \\x{{00A0}}\\x{{202F}}\\x{{2009}}\\t\\n\\r]', '', 'g'), '(?i)^(?:CHF|Fr\\.?|SFr\\.?|EUR|USD)', '') AS s FROM s0),
+s2 AS (SELECT {keys}, s, regexp_replace(s, '\\.[-–—]{{1,2}}$', '') AS b FROM s1),
 s3 AS (SELECT {keys}, s, b, regexp_replace(b, '{_APOS}', '', 'g') AS n FROM s2),
 s4 AS (SELECT {keys}, s, b, CASE WHEN NOT contains(n, ',') THEN n WHEN contains(n, '.') THEN replace(n, ',', '') ELSE replace(n, ',', '.') END AS n FROM s3),
 s5 AS (SELECT {keys}, s, b, CASE WHEN regexp_matches(n, '^[+-]?[1-9]\\d{{0,2}}(\\.\\d{{3}})+$') THEN replace(n, '.', '') ELSE n END AS n FROM s4),
 s6 AS (SELECT {keys}, s IN ('', '-', '–', '—', '–.–', '-.-', '.--', '.—') AS none, NOT regexp_matches(b, '[^\\d.,''\\x{{2018}}\\x{{2019}}\\x{{02BC}}+-]') AND regexp_matches(n, '^[+-]?\\d+(\\.\\d{{1,2}})?$') AS good, n FROM s5),
-amounts AS (SELECT {keys}, CASE WHEN none THEN 'null' WHEN good THEN 'ok' ELSE 'garbage' END AS status, CAST(CASE WHEN NOT none AND good THEN TRY_CAST(n AS DECIMAL(18,2)) END AS DOUBLE) AS value FROM s6)
+amounts AS (SELECT {keys}, CASE WHEN none THEN 'null' WHEN good THEN 'ok' ELSE 'garbage' END AS status, CAST(CASE WHEN NOT none AND good THEN TRY_CAST(n AS DECIMAL(38,2)) END AS DOUBLE) AS value FROM s6)
 """
 
 
@@ -76,7 +83,7 @@ def dates(t):
     """WITH c AS (SELECT word_id, trim(text, ' ') AS t FROM tagged_words),
     d AS (SELECT word_id, t, regexp_replace(t, '(?i)^(?:CHF|Fr\\.)\\s*', '') AS s FROM c WHERE NOT regexp_matches(t, '^(19|20)\\d\\d$|^2100$') AND NOT contains(t, '%') AND NOT regexp_matches(t, '^\\d{1,2}\\.\\d{1,2}\\.(\\d{4})?$')),
     e AS (SELECT word_id, regexp_replace(s, '(\\d)\\s+(\\d)', '\\1\\2', 'g') AS s FROM d WHERE regexp_matches(s, '^[+-]?\\d[\\d.,''’]*(?:[-–]{1,2})?$')),
-    f AS (SELECT word_id, regexp_replace(regexp_replace(s, '\\.(?:--|-|–)$', ''), '[''’]', '', 'g') AS n FROM e),
+    f AS (SELECT word_id, regexp_replace(regexp_replace(s, '\\.[-–—]{1,2}$', ''), '[''’]', '', 'g') AS n FROM e),
     g AS (SELECT word_id, CASE WHEN NOT contains(n, ',') THEN n WHEN contains(n, '.') THEN replace(n, ',', '') ELSE replace(n, ',', '.') END AS n FROM f),
     h AS (SELECT word_id, CASE WHEN regexp_matches(n, '^[+-]?[1-9]\\d{0,2}(\\.\\d{3})+$') THEN replace(n, '.', '') ELSE n END AS n FROM g)
     SELECT word_id, CAST(TRY_CAST(n AS DECIMAL(18,2)) AS DOUBLE) AS betrag FROM h WHERE regexp_matches(n, '^[+-]?\\d+(\\.\\d{1,2})?$')""",

@@ -27,10 +27,12 @@ def local_session(cpus: str = "8", app: str = "ledgerloom") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the cluster names none."""
+    """The folder that all executors share; an own one in a local session that names none, an error on a cluster."""
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
     path = os.path.join(tempfile.gettempdir(), "ledgerloom-shared")
     os.makedirs(path, exist_ok=True)
     spark.conf.set(CHECKPOINT_CONF, path)

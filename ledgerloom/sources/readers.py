@@ -42,12 +42,10 @@ def unreadable(documents: DataFrame) -> DataFrame:
 
 def results(spark: SparkSession, path: str) -> DataFrame:
     """Result entries; a missing or broken file yields no rows."""
-    try:
-        return spark.read.schema(RESULT_ENTRY).option("multiLine", True).json(path).where("pdf_name is not null")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], RESULT_ENTRY)
-        raise
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at):
+        return spark.createDataFrame([], RESULT_ENTRY)
+    return spark.read.schema(RESULT_ENTRY).option("multiLine", True).json(path).where("pdf_name is not null")
 
 
 def fields_of(entries: DataFrame) -> DataFrame:
@@ -79,7 +77,7 @@ def one_file(files: DataFrame, name: str) -> DataFrame:
 
 def dimension(spark: SparkSession, path: str, schema: str, most: int = 100_000) -> DataFrame:
     """A small rule table from JSON, or YAML where a reader for it is installed; fails on too many rows or bad ones."""
-    text = Path(path).read_text(encoding="utf-8")
+    text = spark.read.text(path, wholetext=True).first()[0]
     if path.endswith((".yaml", ".yml")):
         try:
             import yaml
@@ -105,3 +103,30 @@ def statement_accounts(texts: DataFrame, xml: str = "xml") -> DataFrame:
 def stamp(*cols: Column) -> Column:
     """A content stamp: equal for equal contents."""
     return F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("\u0001", *[F.coalesce(c.cast("string"), F.lit("\u0000")) for c in cols]), 256))
+
+
+def sqlite_table(spark: SparkSession, path: str, name: str, schema: str, parts: int = 8) -> DataFrame:
+    """A table of an SQLite file that all executors can reach, read by ranges of its row numbers; columns that an older
+    file lacks are NULL. An unknown table is an error when the plan is made."""
+    import sqlite3
+
+    if not name.isidentifier():
+        raise ValueError(f"{name!r} is no table name")
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as store:
+        low, high = store.execute(f"SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM {name}").fetchone()
+        held = {r[1] for r in store.execute(f"PRAGMA table_info({name})")}
+    target = spark.createDataFrame([], schema).schema
+    columns = [c if c in held else f"NULL AS {c}" for c in target.names]
+    step = max(1, -(-(high - low + 1) // parts))
+    ranges = spark.createDataFrame([(a, min(a + step, high + 1)) for a in range(low, high + 1, step)], "a bigint, b bigint").repartition(parts, "a")
+
+    def read(batches):
+        import pandas as pd
+
+        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as store:
+            for batch in batches:
+                for a, b in zip(batch["a"], batch["b"]):
+                    for chunk in pd.read_sql_query(f"SELECT {', '.join(columns)} FROM {name} WHERE rowid >= ? AND rowid < ?", store, params=(int(a), int(b)), chunksize=10_000):
+                        yield chunk
+
+    return ranges.mapInPandas(read, target)

@@ -82,3 +82,50 @@ def snapshots_compared(before: DataFrame, after: DataFrame, keys: Sequence[str])
 def run_log(rows: DataFrame, path: str, content: str, columns: Sequence[str]) -> None:
     """Appends events as JSON lines with a hash in place of the content."""
     rows.select(F.substring(F.sha2(F.col(content).cast("string"), 256), 1, 12).alias("hash"), *columns).write.mode("append").json(path)
+
+
+def replace_json(rows: DataFrame, path: str) -> None:
+    """JSON lines written beside ``path`` and then put in its place; what was there is kept as ``path.bak``, so a reader
+    finds the old or the new content, never half of it."""
+    spark = rows.sparkSession
+    new, old = f"{path}.new", f"{path}.bak"
+    rows.write.mode("overwrite").json(new)
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path_of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path_of(path)):
+        fs.delete(path_of(old), True)
+        fs.rename(path_of(path), path_of(old))
+    fs.rename(path_of(new), path_of(path))
+
+
+def snapshots(spark, path: str) -> DataFrame:
+    """(snapshot, rows, bytes) of the snapshots below a folder, oldest first."""
+    rows = spark.read.parquet(path).groupBy(F.col("snapshot").cast("string").alias("snapshot")).agg(F.count("*").alias("rows"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    sizes = files.select(F.regexp_extract("path", "snapshot=([^/]+)/", 1).alias("snapshot"), "length").groupBy("snapshot").agg(F.sum("length").alias("bytes"))
+    return rows.join(sizes, "snapshot").orderBy("snapshot")
+
+
+def ledger_csv(rows: DataFrame, path: str, columns: Sequence[str], amount: str) -> None:
+    """The ledger as CSV with its columns in order, without rows whose amount is missing or zero; an older one is kept."""
+    keep_old(rows, path)
+    rows.where(F.coalesce(F.col(amount).try_cast("double"), F.lit(0.0)) != 0).select(*columns).orderBy(*columns).write.option("header", True).csv(path)
+
+
+def ledger_lines(rows: DataFrame, form: str, line: str, label: str, amount: str) -> DataFrame:
+    """(form, line, rang, text): the ledger as lines of a text table: rows, then the subtotal of each line, then that of
+    the form. Ordered by form, line and rang; aggregated and rendered on the executors."""
+    from ledgerloom.functions.amounts import shown_amount
+
+    cell = lambda c: F.coalesce(F.regexp_replace(F.replace(c.cast("string"), F.lit("|"), F.lit("\\|")), "[\\r\\n]+", " "), F.lit(""))
+    b = F.col(amount).cast("decimal(18,2)")
+    each = rows.select(F.col(form).alias("form"), F.col(line).alias("line"), F.lit(0).alias("rang"), F.concat(F.lit("| "), cell(F.col(line)), F.lit(" | "), cell(F.col(label)), F.lit(" | "), F.coalesce(shown_amount(b), F.lit("")), F.lit(" |")).alias("text"))
+    sums = rows.groupBy(F.col(form).alias("form"), F.col(line).alias("line")).agg(F.sum(b).alias("s"))
+    lines = sums.select("form", "line", F.lit(1).alias("rang"), F.concat(F.lit("| "), cell(F.col("line")), F.lit(" | **Zwischentotal** | "), F.coalesce(shown_amount(F.col("s")), F.lit("")), F.lit(" |")).alias("text"))
+    whole = sums.groupBy("form").agg(F.sum("s").alias("s")).select("form", F.lit(None).cast("string").alias("line"), F.lit(2).alias("rang"), F.concat(F.lit("| | **Total** | "), F.coalesce(shown_amount(F.col("s")), F.lit("")), F.lit(" |")).alias("text"))
+    return each.unionByName(lines).unionByName(whole)
+
+
+def text_report(lines: DataFrame, order: Sequence[str], path: str) -> None:
+    """Lines of a report as text files in order."""
+    lines.orderBy(*order).select("text").write.mode("overwrite").text(path)
