@@ -105,6 +105,7 @@ def suppressed(category: Column, match: Column) -> Column:
         match.isin(*PLACEHOLDERS)
         | (is_placeholder(match) & (digits != ""))
         | match.rlike("[xX*]{3}")
+        | ((category == "misread_phone") & ~match.rlike("[OIl]"))
         | ((category == "iban") & (F.substring(digits, 1, 2) == "00"))
         | ((category == "ahv") & digits.rlike("^7560+$"))
         | ((category == "phone") & (F.length(digits) >= 9) & (zeros >= 6))
@@ -136,7 +137,7 @@ def placeholders_in(rows: DataFrame, text: str, detectors: dict[str, str] | None
 
 def leaks(spark, folder: str, detectors: dict[str, str] | None = None) -> DataFrame:
     """(path, line, category, hash8): personal data in the text files below a folder, line by line."""
-    files = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = files.select("path", F.posexplode(F.split("value", "\\r?\\n")).alias("line", "text"))
     return detected(lines.withColumn("line", F.col("line") + 1), ["path", "line"], "text", detectors)
 

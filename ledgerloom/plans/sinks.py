@@ -235,7 +235,7 @@ def _group_sql(pattern: str) -> str:
 
 
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
-_SUPPRESSED = f"""(m IN ('044-000-00-00', '044 000 00 00', 'anon@example.com') OR regexp_matches(m, '[xX*]{{3}}') OR regexp_matches({_DIGITS}, '^(0+|11+|22+|33+|44+|55+|66+|77+|88+|99+)$') OR (category = 'iban' AND substr({_DIGITS}, 1, 2) = '00') OR (category = 'ahv' AND regexp_matches({_DIGITS}, '^7560+$'))
+_SUPPRESSED = f"""(m IN ('044-000-00-00', '044 000 00 00', 'anon@example.com') OR regexp_matches(m, '[xX*]{{3}}') OR regexp_matches({_DIGITS}, '^(0+|11+|22+|33+|44+|55+|66+|77+|88+|99+)$') OR (category = 'misread_phone' AND NOT regexp_matches(m, '[OIl]')) OR (category = 'iban' AND substr({_DIGITS}, 1, 2) = '00') OR (category = 'ahv' AND regexp_matches({_DIGITS}, '^7560+$'))
  OR (category = 'phone' AND length({_DIGITS}) >= 9 AND length({_DIGITS}) - length(replace({_DIGITS}, '0', '')) >= 6) OR (category = 'email' AND regexp_matches(lower(m), '@(example[.]|beispiel[.])')))"""
 _MAIL = _group_sql(C.DETECTORS["email"])
 
