@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from ledgerloom.session import cut
 
 #: Keys of unmatched chunks that are sent to all workers at 16 bytes each; more are joined by a shuffle.
 SENT_KEYS = 500_000
-MEAN_ROWS, WINDOW = 8, 3  #: rows of a chunk on average, and keys under the rolling hash
+MEAN_ROWS, WINDOW = 4, 3  #: rows of a chunk on average, and keys under the rolling hash
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -65,14 +66,37 @@ def _differs(f: Field, a: Column, b: Column) -> Column:
     return ~a.eqNullSafe(b)
 
 
-def _keys(key: Column) -> list[Column]:
-    return [F.xxhash64(key).alias("k1"), F.xxhash64(F.lit("second"), key).alias("k2")]
+@dataclass(frozen=True)
+class Pair:
+    """Two copies of a table under one name, each with its key, its compared fields and what makes a row newer."""
+
+    name: str
+    left: DataFrame
+    right: DataFrame
+    left_key: Column
+    right_key: Column
+    left_fields: Sequence[Field]
+    right_fields: Sequence[Field]
+    left_newest: Column
+    right_newest: Column
+
+    @property
+    def sides(self) -> tuple:
+        return (self.left, self.left_key, self.left_fields, self.left_newest), (self.right, self.right_key, self.right_fields, self.right_newest)
+
+
+def _keys(name: str, key: Column) -> list[Column]:
+    return [F.xxhash64(F.lit(name), key).alias("k1"), F.xxhash64(F.lit("second"), F.lit(name), key).alias("k2")]
 
 
-def hashed(df: DataFrame, key: Column, fields: Sequence[Field], newest_by: Column) -> DataFrame:
-    """(k1, k2, h): the newest row of each key as hashes; among equally new ones the greatest hash."""
+def hashed(df: DataFrame, key: Column, fields: Sequence[Field], newest_by: Column, name: str = "") -> DataFrame:
+    """(k1, k2, r): each row as hashes: of its key, and r of its time and values."""
     stable = [F.coalesce(_stable(f, _canonical(f)), F.lit("\u0000")) for f in fields]
-    rows = df.select(*_keys(key), F.struct(newest_by.alias("at"), F.xxhash64(key, *stable).alias("h")).alias("r"))
+    return df.select(*_keys(name, key), F.struct(newest_by.alias("at"), F.xxhash64(key, *stable).alias("h")).alias("r"))
+
+
+def newest_hashes(rows: DataFrame) -> DataFrame:
+    """(k1, k2, h): the newest row of each key."""
     return rows.groupBy("k1", "k2").agg(F.max("r").alias("r")).select("k1", "k2", F.col("r.h").alias("h"))
 
 
@@ -148,48 +172,45 @@ def unmatched(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select(F.inline(F.arrays_zip("k1", "k2")))
 
 
-def diff_copies(
-    left: DataFrame,
-    right: DataFrame,
-    *,
-    left_key: Column,
-    right_key: Column,
-    left_fields: Sequence[Field],
-    right_fields: Sequence[Field],
-    left_newest: Column,
-    right_newest: Column,
-    mean_rows: int = MEAN_ROWS,
-) -> DataFrame:
-    """(schluessel, spalte, art): keys only one side has, and each field that differs.
-
-    Null or empty values are equal to each other and differ from zero; a NULL key is compared as ''. Repeated
-    and superseded rows are reduced to the newest first; extra columns are never read; an empty side makes
-    every key of the other one a difference, two empty sides an empty result.
+def diff_pairs(pairs: Sequence[Pair], *, mean_rows: int = MEAN_ROWS) -> DataFrame:
+    """(tabelle, schluessel, spalte, art): keys only one side of a pair has, and each field that differs.
+
+    Null or empty values are equal to each other and differ from zero; a NULL key is compared as ''. Repeated and
+    superseded rows are reduced to the newest first, one of equally new ones counts; extra columns are never read; an
+    empty side makes every key of the other one a difference, two empty sides an empty result. All pairs share one run
+    of chunks: the name of the pair is part of the key.
     """
-    sides = ((left, left_key, left_fields, left_newest), (right, right_key, right_fields, right_newest))
-    chunks = [chunked(hashed(df, key, fields, by), mean_rows=mean_rows) for df, key, fields, by in sides]
-    asked = cut(unmatched(*chunks))
+    rows = [reduce(DataFrame.unionByName, [hashed(df, key, fields, by, p.name) for p in pairs for df, key, fields, by in p.sides[n : n + 1]]) for n in (0, 1)]
+    asked = cut(unmatched(*[chunked(newest_hashes(r), mean_rows=mean_rows) for r in rows]))
     few = asked.count() <= SENT_KEYS
+    return reduce(DataFrame.unionByName, [_differences(p, asked, few) for p in pairs])
 
+
+def _differences(pair: Pair, asked: DataFrame, few: bool) -> DataFrame:
     def values(n: int, df: DataFrame, key: Column, fields: Sequence[Field], by: Column) -> DataFrame:
-        rows = df.select(*_keys(key), key.alias("key"), F.lit(n).alias("side"), *[c.alias(f"c{i}") for i, c in enumerate([by, *(f.column for f in fields)])])
+        rows = df.select(*_keys(pair.name, key), key.alias("key"), by.alias("at"), *[f.column.alias(f"c{i}") for i, f in enumerate(fields)])
         if few:
             rows = rows.join(F.broadcast(asked), ["k1", "k2"], "left_semi")
-        here = [Field(f.name, F.col(f"c{i}"), f.kind, f.tolerance) for i, f in enumerate(fields, 1)]
-        stable = [F.coalesce(_stable(f, _canonical(f)), F.lit("\u0000")) for f in here]
-        value = F.struct(*[_canonical(f).alias(f"f{i}") for i, f in enumerate(here)])
-        return rows.select("k1", "k2", "key", "side", F.struct(F.col("c0").alias("at"), F.xxhash64("key", *stable).alias("h"), value.alias("v")).alias("r"))
+        value = F.struct(*[_canonical(Field(f.name, F.col(f"c{i}"), f.kind, f.tolerance)).alias(f"f{i}") for i, f in enumerate(fields)])
+        return rows.select("k1", "k2", "key", F.lit(n).alias("side"), F.struct("at", value.alias("v")).alias("r"))
 
     of = lambda n: F.max(F.when(F.col("side") == n, F.col("r")))
-    both = values(0, *sides[0]).unionByName(values(1, *sides[1])).groupBy("k1", "k2", "key").agg(of(0).alias("x"), of(1).alias("y"))
-    if not few:  # aggregated before the join, so that a key of many rows is none in it
-        both = both.join(asked, ["k1", "k2"], "left_semi")
+    rows = values(0, *pair.sides[0]).unionByName(values(1, *pair.sides[1]))
+    if few:
+        both = rows.groupBy("key").agg(of(0).alias("x"), of(1).alias("y"))
+    else:  # aggregated before the join, so that a key of many rows is none in it
+        both = rows.groupBy("k1", "k2", "key").agg(of(0).alias("x"), of(1).alias("y")).join(asked, ["k1", "k2"], "left_semi")
     both = both.select("key", F.col("x.v").alias("a"), F.col("y.v").alias("b"))
     one_sided = F.when(F.col("b").isNull(), "nur_original").when(F.col("a").isNull(), "nur_kopie")
     changed = F.array_compact(
-        F.array(*[F.when(_differs(f, F.col(f"a.f{i}"), F.col(f"b.f{i}")), F.lit(f.name)) for i, f in enumerate(left_fields)])
+        F.array(*[F.when(_differs(f, F.col(f"a.f{i}"), F.col(f"b.f{i}")), F.lit(f.name)) for i, f in enumerate(pair.left_fields)])
     )
     found = F.when(one_sided.isNotNull(), F.array(F.struct(F.lit("").alias("spalte"), one_sided.alias("art")))).otherwise(
         F.transform(changed, lambda c: F.struct(c.alias("spalte"), F.lit("weicht_ab").alias("art")))
     )
-    return both.select(F.col("key").alias("schluessel"), F.inline(found))
+    return both.select(F.lit(pair.name).alias("tabelle"), F.col("key").alias("schluessel"), F.inline(found))
+
+
+def diff_copies(left: DataFrame, right: DataFrame, *, mean_rows: int = MEAN_ROWS, **columns) -> DataFrame:
+    """(schluessel, spalte, art) of ``diff_pairs`` for one pair; ``columns`` are the other arguments of ``Pair``."""
+    return diff_pairs([Pair("", left, right, **columns)], mean_rows=mean_rows).drop("tabelle")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.copydiff import Field, diff_copies
+from ledgerloom.operators.copydiff import Field, Pair, diff_pairs
 from ledgerloom.session import table
 
 
@@ -39,22 +37,11 @@ PAIRS = {"field_rows": _field_rows, "lohnausweis": _lohnausweis, "abgleich": _ab
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows missing on either side and fields that differ, for the three copied tables."""
-    parts = []
+    pairs, at = [], F.col("geaendert_am")
     for name, spec in PAIRS.items():
         keys, fields = spec()
-        at = F.col("geaendert_am")
-        part = diff_copies(
-            table(spark, sf_dir, name),
-            table(spark, sf_dir, f"{name}_kopie"),
-            left_key=_key(*keys),
-            right_key=_key(*keys),
-            left_fields=fields,
-            right_fields=fields,
-            left_newest=at,
-            right_newest=at,
-        )
-        parts.append(part.select(F.lit(name).alias("tabelle"), "schluessel", "spalte", "art"))
-    return reduce(DataFrame.unionByName, parts)
+        pairs.append(Pair(name, table(spark, sf_dir, name), table(spark, sf_dir, f"{name}_kopie"), _key(*keys), _key(*keys), fields, fields, at, at))
+    return diff_pairs(pairs)
 
 
 def _sql_amount(c: str) -> str:

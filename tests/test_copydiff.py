@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import copydiff
-from ledgerloom.operators.copydiff import Field, _chunks, chunked, cuts, diff_copies, hashed, unmatched
+from ledgerloom.operators.copydiff import Field, _chunks, chunked, cuts, diff_copies, hashed, newest_hashes, unmatched
 
 SCHEMA = "k string, amount string, conf double, state string, at int, v string, bucket int"
 
@@ -74,7 +74,7 @@ def test_few_keys_are_left_after_the_anti_join(spark):
     rows = [(f"k{i}", "1", 0.5, "x", 1, "", 0) for i in range(2000)]
     other = [r if i != 777 else ("k777", "2", *r[2:]) for i, r in enumerate(rows) if i != 1234]
     fields = [Field("amount", F.col("amount"), "amount")]
-    chunks = [chunked(hashed(spark.createDataFrame(x, SCHEMA), F.col("k"), fields, F.col("at"))) for x in (rows, other)]
+    chunks = [chunked(newest_hashes(hashed(spark.createDataFrame(x, SCHEMA), F.col("k"), fields, F.col("at")))) for x in (rows, other)]
     left = unmatched(*chunks)
     assert 2 <= left.count() < 200
     assert "LeftAnti" in left._jdf.queryExecution().toString()
