@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def plain_digits(col: Column) -> Column:
     return F.translate(col, _WIDE + "，．－＋‐‑−", _PLAIN + ",.-+---")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def amount_text(col: Column) -> Column:
     """The amount as ``[+-]digits[.digits]``; NULL where the text is no amount or empty.
 
@@ -31,12 +38,16 @@ def amount_text(col: Column) -> Column:
     s = F.regexp_replace(F.regexp_replace(plain_digits(col), BLANKS, ""), APOSTROPHES, "")
     s = F.regexp_replace(s, "(?i)^([+-]?)(?:CHF|SFr\\.?|Fr\\.?|EUR|USD)([+-]?)", "$1$2")
     s = F.regexp_replace(s, "(?<=\\d)[.,]?[-\\u2013\\u2014]{1,2}$", "")
-    s = (
-        F.when(s.rlike("^[+-]?\\d{1,3}(,\\d{3})+(\\.\\d+)?$"), F.regexp_replace(s, ",", ""))
-        .when(s.rlike("^[+-]?\\d{1,3}(\\.\\d{3})+,\\d{1,2}$"), F.regexp_replace(F.regexp_replace(s, "\\.", ""), ",", "."))
+    return bound(s, lambda s: bound(_decimal_dot(s), lambda n: F.when(n.rlike("^[+-]?(\\d{1,24}(\\.\\d*)?|\\.\\d+)$"), n)))
+
+
+def _decimal_dot(s: Column) -> Column:
+    return (
+        F.when(~s.contains(","), s)
+        .when(s.rlike("^[+-]?\\d{1,3}(,\\d{3})+(\\.\\d+)?$"), F.replace(s, F.lit(","), F.lit("")))
+        .when(s.rlike("^[+-]?\\d{1,3}(\\.\\d{3})+,\\d{1,2}$"), F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
         .otherwise(F.regexp_replace(s, ",(?=\\d{1,2}$)", "."))
     )
-    return F.when(s.rlike("^[+-]?(\\d{1,24}(\\.\\d*)?|\\.\\d+)$"), s)
 
 
 def amount_cents(col: Column) -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.amounts import amount_cents
+from ledgerloom.functions.amounts import amount_cents, bound
 from ledgerloom.session import cut
 
 #: Keys of unmatched chunks that are sent to all workers at 16 bytes each; more are joined by a shuffle.
@@ -41,9 +41,9 @@ def _canonical(f: Field) -> Column:
     """The value as text that is equal for equal values; NULL and '' are the same."""
     raw = f.column.cast("string")
     if f.kind == "amount":
-        cents = amount_cents(raw)
         text = F.lower(F.trim(raw))
-        return F.coalesce(F.when(cents == 0, F.lit("0.00")).otherwise(cents.cast("string")), F.when(text != "", F.concat(F.lit("t:"), text)))
+        other = F.when(text != "", F.concat(F.lit("t:"), text))
+        return bound(amount_cents(raw), lambda cents: F.when(cents == 0, F.lit("0.00")).when(cents.isNotNull(), cents.cast("string")).otherwise(other))
     if f.kind == "token":
         text = F.regexp_replace(F.lower(F.trim(raw)), "[ _]+", "_")
         return F.when(text != "", text)
