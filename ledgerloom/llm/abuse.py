@@ -566,6 +566,17 @@ def weights_from(examples: DataFrame, text_col: str = "text", judged_col: str =
     return fitted([(r[0], r[1]) for r in rows.select(F.col(text_col).cast("string"), F.col(judged_col).cast("int")).collect()])
 
 
+_scorers: dict[tuple, Scorer] = {}  #: of a worker: what it knows of words serves all its tasks
+
+
+def scorer_of(weights: list[float] | None) -> Scorer:
+    key = tuple(weights or INITIAL)
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(list(key))
+    return _scorers[key]
+
+
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, weights: list[float] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """(``id_col``, columns of ``keep``, abuse_score, abuse_kind) of every document; null, empty and blank texts score 0
     with kind ''.
@@ -578,7 +589,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, w
     names = [id_col, *keep, "abuse_score", "abuse_kind"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(weights)
+        scorer = scorer_of(weights)
         for batch in batches:
             got = [scorer.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([s for s, _ in got], pa.float64()), pa.array([k for _, k in got], pa.string())], names=names)

@@ -56,6 +56,7 @@ AREA_CODES = set("021 022 024 026 027 031 032 033 034 041 043 044 052 055 056 05
 
 _SUSPICIOUS = re.compile(SUSPICIOUS)
 _LETTERS = re.compile(r"[^\W\d_]+")
+_DIGIT = re.compile(r"\d")
 _NO_MARKS = {n: "x" for n in range(0xC0, 0x250)}  #: Latin letters with marks count as plain ones
 _TOKEN = re.compile(r"\S+")
 _BLANKS = re.compile(r" {2,}")
@@ -341,7 +342,7 @@ class Scanner:
 def _features(text: str, a: int, b: int) -> int:
     """The bits of ``FEATURES`` of a span."""
     span = text[a:b]
-    return (span.count(" ") > 1) | span.isupper() << 1 | (a == 0 or text[a - 1] == "\n") << 2 | any(c.isdigit() for c in span) << 3
+    return (span.count(" ") > 1) | span.isupper() << 1 | (a == 0 or text[a - 1] == "\n") << 2 | (_DIGIT.search(span) is not None) << 3
 
 
 NICKNAMES_LONG = {n for full in NICKNAMES.values() for n in full}
@@ -406,6 +407,21 @@ def endings(people: DataFrame, *columns: str) -> frozenset[str]:
     return frozenset(r.e for r in ends.where("e rlike '^[a-z]+$'").groupBy("e").count().where(F.col("count") >= ENDING_NAMES).collect())
 
 
+_scanners: dict[str, Scanner] = {}  #: of a worker: what it knows of tokens serves all its tasks
+
+
+def held_key(held) -> str:
+    """A name for a broadcast value: its number in the application."""
+    return str(held._jbroadcast.id())
+
+
+def scanner_of(key: str, held) -> Scanner:
+    if key not in _scanners:
+        _scanners.clear()
+        _scanners[key] = Scanner(*held.value)
+    return _scanners[key]
+
+
 _CANDIDATES = "tabelle string, schluessel string, art string, votes int, start int, end int"
 
 
@@ -418,8 +434,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def text_candidates(rows: DataFrame, name: str, key: str, text: str, held) -> DataFrame:
     """Candidates in a text column: one row a span, offsets in the cleaned text."""
 
+    key_of = held_key(held)
+
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(*held.value)
+        scanner = scanner_of(key_of, held)
         for batch in batches:
             out = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -452,8 +470,10 @@ def word_candidates(words: DataFrame, name: str, held, *, key: str, document: st
     grouped = spread.groupBy("d", "r", "block").agg(F.sort_array(F.collect_list("w")).alias("w"))
     flat = grouped.select("block", F.col("w.k").alias("k"), F.col("w.l").alias("l"), F.col("w.t").alias("t"), F.col("w.own").alias("own"))
 
+    key_of = held_key(held)
+
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(*held.value)
+        scanner = scanner_of(key_of, held)
         for batch in batches:
             out = []
             ends = batch.column(1).offsets.to_pylist()
