@@ -12,10 +12,12 @@ others of the sentence. The weights start from those below and are fitted to jud
 from __future__ import annotations
 
 import math
+import operator
 import re
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -178,6 +180,9 @@ _TYPED = sum(_BIT[c] for c in ("INSULT", "COMMAND", "SEX", "GROUP"))
 _NO_PEOPLE = _DISGUISED | sum(_BIT[c] for c in ("NEUTRAL", "REPORT", "PERSON", "BE", "MUST", "YOU", "I", "ANY", "WHO", "WHOEVER"))
 #: Endings of names of peoples in the four languages; capitalised words only.
 _PEOPLE = re.compile(r"[a-z]{2,}(?:er|ern|ers|ier|iern|iers|ese|esen|anen|aken|uken|olen|iten|ians?|eans?|ans|ais|ois|iens?|ains?|ani|esi|ini|ioti)$")
+#: Classes that only frame others: a sentence without any other class of a pattern has no path.
+_FRAMES = sum(_BIT[c] for c in ("YOU", "I", "WHO", "PERSON", "BE", "WISH", "PEOPLE", "ANY", "THEY", "MUST", "DOWITH", "WHOEVER", "TYPICAL", "VOCATIVE", "SEND", "OUT", "WATER"))
+_CORE = reduce(operator.or_, _NEEDS) & ~_FRAMES
 _PHRASED = 1 << len(_CLASSES)  #: a word that begins a phrase
 _DIRECT = _BIT["YOU"] | _BIT["COMMAND"] | _BIT["WISH"]
 _LITERAL = _BIT["DEMEAN"] | _BIT["BEAST"]  #: words with a plain meaning too
@@ -315,15 +320,16 @@ class Lexicon:
         """The bit of a word that has the form of a people's name."""
         return _BIT["PEOPLE"] if len(word) > 4 and raw[0].isupper() and _PEOPLE.search(word) and not self.of(word) & _NO_PEOPLE else 0
 
-    def classes(self, words: list[str], raws: list[str] | None = None) -> list[int]:
-        """Class bits of each word of a sentence, phrases included."""
-        out = [self.of(w) | (self.people(r, w) if raws else 0) for w, r in zip(words, raws or words)]
-        words = [self.undisguised(w) for w in words]
-        for i, w in enumerate(words):
-            for parts, bit in self.phrases.get(w, ()):
-                if tuple(words[i : i + len(parts)]) == parts:
-                    out[i] |= bit
-        return out
+    def add_phrases(self, words: list[str], classes: list[int]) -> int:
+        """Adds the bits of phrases to those of the words they begin with; returns the bits added."""
+        plain, added = [self.undisguised(w) for w in words], 0
+        for i, c in enumerate(classes):
+            if c & _PHRASED:
+                for parts, bit in self.phrases.get(plain[i], ()):
+                    if tuple(plain[i : i + len(parts)]) == parts:
+                        classes[i] |= bit
+                        added |= bit
+        return added
 
 
 class Grammar:
@@ -508,14 +514,19 @@ class Scorer:
             if not sentence:
                 continue
             raws = _WORD.findall(self._joined(sentence))
-            hot, words = 0, []
+            hot, words, classes = 0, [], []
             for raw in raws:
                 word, bits = self.word(raw)
                 hot |= bits
                 words.append(word)
-            if not hot & _PHRASED and all(need & ~(hot | _BIT["VOCATIVE"]) for need in _NEEDS):
+                classes.append(bits)
+            if hot & _PHRASED:
+                hot |= self.lexicon.add_phrases(words, classes)
+            if not hot & _CORE:
+                continue
+            hot |= _BIT["VOCATIVE"]
+            if all(need & ~hot for need in _NEEDS):
                 continue
-            classes = self.lexicon.classes(words, raws)
             yield sentence, classes, self.around(sentence, words, classes)
 
     def sentences(self, text: str) -> list[tuple[str, float, str]]:
