@@ -23,6 +23,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
     links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _signature(links)
+    if not before[0]:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

@@ -168,13 +168,15 @@ def _joined(groups: DataFrame, pairs: DataFrame, role: str) -> DataFrame:
     ask = wish.join(groups.select(F.col("node").alias("weak"), F.col("comp").alias("from")), "weak").where("comp <> from")
     best = ask.groupBy("from").agg(F.min("cost").alias("cost"))
     asked = cut(ask.join(best, ["from", "cost"]).select("from", F.col("comp").alias("to")).distinct())
+    if asked.isEmpty():
+        return groups
     labels = asked.select(F.col("from").alias("comp")).union(asked.select("to")).distinct().withColumn("label", F.col("comp"))
     while True:
         label = lambda c: labels.select(F.col("comp").alias(c), F.col("label").alias(f"{c}_label"))  # noqa: B023, E731
         fits = asked.join(label("from"), "from").join(label("to"), "to").groupBy("from").agg(F.first("from_label").alias("a"), F.min("to_label").alias("b"), F.max("to_label").alias("other"))
         sole = cut(fits.where("b = other and a <> b").select("a", "b"))
         if sole.isEmpty():
-            return groups.join(labels, "comp", "left").select("node", F.coalesce("label", "comp").alias("comp"))
+            return cut(groups.join(labels, "comp", "left").select("node", F.coalesce("label", "comp").alias("comp")))
         joined = components(sole).select(F.col("node").alias("label"), F.col("comp").alias("least"))
         labels = cut(labels.join(joined, "label", "left").select("comp", F.coalesce("least", "label").alias("label")))
 
@@ -202,9 +204,9 @@ def linked(names: DataFrame) -> DataFrame:
     strong = components(pairs.where("role in ('s', 'o')").select("a", "b"))
     both_ways = pairs.where("role = 'e'")
     pairs = pairs.where("role <> 'e'").unionByName(both_ways).unionByName(both_ways.select("role", F.col("b").alias("a"), F.col("marks_b").alias("marks_a"), F.col("a").alias("b"), F.col("marks_a").alias("marks_b"), "cost"))
-    groups = nodes.select("node").distinct().join(strong, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    groups = cut(nodes.select("node").distinct().join(strong, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
     for role in ("n", "e", "w"):
-        groups = cut(_joined(groups, pairs, role))
+        groups = _joined(groups, pairs, role)
     return named.select("name", "node").join(groups.withColumnRenamed("comp", "entity"), "node").select("name", "entity")
 
 
