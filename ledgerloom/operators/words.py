@@ -116,6 +116,35 @@ def located(values: DataFrame, words: DataFrame, doc: str, order: str, *, value:
     return asked.join(best, [doc, "_key"], "left").select(*values.columns, F.col("hit.start").alias("at"), F.col("hit.size").alias("size"), F.col("hit.window").alias("window"))
 
 
+def value_windows(values: DataFrame, words: DataFrame, doc: str, reading: str, order: str, *, value: str, text: str = "text", most: int = 12) -> DataFrame:
+    """Each value with the smallest window of up to ``most`` words of its document that contains it after
+    normalisation, else the longest word of three letters and more, at least half as long, that stands in it; found is
+    forward, backward or none.
+
+    Windows are built of documents that are asked for only. A window meets a value of its document if the value begins
+    in its first word and ends in its last: the window that cannot lose a word at either side.
+    """
+    asked = values.withColumn("_v", normalized(F.col(value)))
+    each = asked.where("_v <> ''").select(doc, "_v").distinct()
+    here = words.join(each.select(doc).distinct(), doc, "left_semi").withColumn("_w", normalized(F.col(text))).where("_w <> ''")
+    w = W.partitionBy(doc, reading).orderBy(order)
+    wide = here.select(doc, F.col(order).alias("start"), "_w", F.concat_ws("", "_w", *[F.lead("_w", i).over(w) for i in range(1, most)]).alias("_all"), F.array(*[F.lead("_w", i).over(w) if i else F.col("_w") for i in range(most)]).alias("_words"))
+    # values meet words by the characters that they have in common where a value begins, not all with all of a document
+    gram = lambda c, at, n: F.substring(c, at, n)
+    begins = wide.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_w")))).withColumn("_g", F.explode(F.array_distinct(F.array(*[gram("_all", F.col("_at"), F.lit(n)) for n in (1, 2, 3)]))))
+    first = begins.join(each.withColumn("_g", gram("_v", 1, 3)), [doc, "_g"]).where(F.expr("startswith(substring(_all, _at), _v)"))
+    first = first.groupBy(doc, "_v", "start", "_words").agg(F.min("_at").alias("_at"))
+    ends = F.aggregate("_words", F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.length(F.coalesce(x, F.lit("")))))
+    size = F.size(F.filter(ends, lambda e: e < F.col("_at") - 1 + F.length("_v")))
+    hit = first.groupBy(doc, "_v").agg(F.min(F.struct(size.alias("size"), "start")).alias("_hit"))
+    inside = each.where(F.length("_v") >= 3).select(doc, "_v", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_v") - 2), lambda i: F.substring("_v", i, F.lit(3))))).alias("_g"))
+    long = here.where(F.length("_w") >= 3).select(doc, F.col(order).alias("start"), "_w", gram("_w", 1, 3).alias("_g"))
+    back = long.join(inside, [doc, "_g"]).where((F.length("_w") * 2 >= F.length("_v")) & F.expr("contains(_v, _w)")).groupBy(doc, "_v").agg(F.max(F.struct(F.length("_w").alias("n"), (-F.col("start")).alias("s"))).alias("_back"))
+    both = asked.join(hit, [doc, "_v"], "left").join(back, [doc, "_v"], "left")
+    found = F.when(F.col("_hit").isNotNull(), "forward").when(F.col("_back").isNotNull(), "backward").otherwise("none")
+    return both.select(*values.columns, found.alias("found"), F.coalesce(F.col("_hit.start"), -F.col("_back.s")).alias("start"), F.coalesce(F.col("_hit.size"), F.when(F.col("_back").isNotNull(), 1)).alias("size"))
+
+
 def holds(snippet: Column, value: Column) -> Column:
     """forward where the value stands in the snippet, backward where a long enough snippet stands in the value."""
     s, v = normalized(snippet), normalized(value)

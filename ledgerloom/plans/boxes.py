@@ -101,6 +101,23 @@ def word_windows(t):
     return runs.groupBy("size").agg(F.count("*").alias("n"), F.countDistinct("window").alias("verschieden"))
 
 
+_NORM_W = sql_norm("text").replace("chr(32)", "''")
+
+
+@query(
+    "r3_07_value_windows",
+    f"""WITH v AS (SELECT row_id, dokument_id, {sql_norm('wert_raw').replace('chr(32)', "''")} AS v FROM field_rows), w AS (SELECT dokument_id, eingelesen_am, tag_id, {_NORM_W} AS w FROM tagged_words WHERE {_NORM_W} <> ''),
+    a AS (SELECT *, concat_ws('', w, {', '.join(f'lead(w, {i}) OVER o' for i in range(1, 12))}) AS alle, [{', '.join(f"coalesce(lead(w, {i}) OVER o, '')" if i else 'w' for i in range(12))}] AS ws FROM w WINDOW o AS (PARTITION BY dokument_id, eingelesen_am ORDER BY tag_id)),
+    m AS (SELECT row_id, v, tag_id, w, ws, instr(alle, v) AS stelle FROM a JOIN v USING (dokument_id) WHERE v <> ''),
+    f AS (SELECT row_id, min((len(list_filter(range(1, 13), lambda k: k = 1 OR length(array_to_string(ws[1:k - 1], '')) < stelle - 1 + length(v))), tag_id)) AS hit FROM m WHERE stelle > 0 AND stelle <= length(w) GROUP BY 1),
+    b AS (SELECT row_id, max((length(w), -tag_id)) AS back FROM m WHERE length(w) >= 3 AND length(w) * 2 >= length(v) AND contains(v, w) GROUP BY 1)
+    SELECT row_id, CASE WHEN f.hit IS NOT NULL THEN 'forward' WHEN b.back IS NOT NULL THEN 'backward' ELSE 'none' END AS found, coalesce(f.hit[2], -b.back[2]) AS start, CAST(coalesce(f.hit[1], CASE WHEN b.back IS NOT NULL THEN 1 END) AS INT) AS size FROM v LEFT JOIN f USING (row_id) LEFT JOIN b USING (row_id)""",
+)
+def value_windows(t):
+    values = t("field_rows").select("row_id", "dokument_id", "wert_raw")
+    return O.value_windows(values, t("tagged_words"), "dokument_id", "eingelesen_am", "tag_id", value="wert_raw").select("row_id", "found", "start", "size")
+
+
 @query(
     "r3_08_nearest_to_label",
     f"""WITH l AS (SELECT * FROM tagged_words WHERE regexp_matches(text, '^(Bruttolohn|Nettolohn|Bruttoertrag|Spendentotal|Schuldzinsen)$')), v AS (SELECT * FROM tagged_words WHERE regexp_matches(text, '{_AMOUNT}')),

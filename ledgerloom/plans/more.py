@@ -15,14 +15,27 @@ from ledgerloom.operators import rules as Q
 from ledgerloom.operators import store as S
 from ledgerloom.operators import summarize as Z
 from ledgerloom.operators import words as O
-from ledgerloom.plans.boxes import _NUMBER, DOC, PAGE, ROW, _rows
+from ledgerloom.plans.boxes import _AMOUNT, _CELLS, _NUMBER, _ROWS, DOC, PAGE, ROW, _rows
 from ledgerloom.plans.catalog import Catalog
+from ledgerloom.plans.scalars import sql_norm
 
 catalog = Catalog()
 query = catalog.query
 
 
-@query("r2_07_row_amounts")
+_CELL_TEXTS = f"SELECT dokument_id, eingelesen_am, page, row_no, cell_no, string_agg(text, ' ' ORDER BY x0, word_id) AS cell, min(x0) AS cell_x0, max(x1) AS cell_x1 FROM ({_CELLS}) GROUP BY dokument_id, eingelesen_am, page, row_no, cell_no"
+
+
+@query(
+    "r2_07_row_amounts",
+    f"""WITH c AS (SELECT *, trim(cell, ' ') AS t FROM ({_CELL_TEXTS})),
+    d AS (SELECT *, regexp_replace(t, '(?i)^(?:CHF|Fr\\.)\\s*', '') AS s FROM c WHERE NOT regexp_matches(t, '^(19|20)\\d\\d$|^2100$') AND NOT contains(t, '%') AND NOT regexp_matches(t, '^\\d{{1,2}}\\.\\d{{1,2}}\\.(\\d{{4}})?$')),
+    e AS (SELECT * EXCLUDE (s), regexp_replace(regexp_replace(s, '(\\d)[°´`](\\d)', '\\1''\\2', 'g'), '(\\d)\\s+(\\d)', '\\1\\2', 'g') AS s FROM d),
+    f AS (SELECT *, regexp_replace(regexp_replace(s, '\\.[-–—]{{1,2}}$', ''), '[''’]', '', 'g') AS n FROM e WHERE regexp_matches(s, '^[+-]?\\d[\\d.,''’]*(?:[-–]{{1,2}})?$')),
+    g AS (SELECT * EXCLUDE (n), CASE WHEN NOT contains(n, ',') THEN n WHEN contains(n, '.') THEN replace(n, ',', '') ELSE replace(n, ',', '.') END AS n FROM f),
+    h AS (SELECT * EXCLUDE (n), CASE WHEN regexp_matches(n, '^[+-]?[1-9]\\d{{0,2}}(\\.\\d{{3}})+$') THEN replace(n, '.', '') ELSE n END AS n FROM g)
+    SELECT dokument_id, page, row_no, cell_no, CAST(TRY_CAST(n AS DECIMAL(38,2)) AS DOUBLE) AS betrag FROM h WHERE regexp_matches(n, '^[+-]?\\d+(\\.\\d{{1,2}})?$')""",
+)
 def row_amounts(t):
     cells = O.cells(_rows(t), ROW).withColumn("betrag", A.cell_amount(F.col("cell")).cast("double"))
     return cells.where("betrag is not null").select("dokument_id", "page", "row_no", "cell_no", "betrag")
@@ -72,13 +85,30 @@ def plausible_years(t):
     return t("position_store").groupBy("jahr").agg(F.count("*").alias("n")).select("jahr", "n", ok.alias("plausibel"))
 
 
-@query("r3_09_label_spans")
+@query(
+    "r3_09_label_spans",
+    f"""WITH w AS (SELECT *, {', '.join(f"lead(text, {i}) OVER o AS t{i}, lead(top, {i}) OVER o AS y{i}" for i in (1, 2, 3))} FROM tagged_words WINDOW o AS (PARTITION BY dokument_id, eingelesen_am ORDER BY tag_id)),
+    r AS (SELECT dokument_id, tag_id AS start, 1 AS size, text AS win, 0.0 AS rise FROM w WHERE text IS NOT NULL UNION ALL SELECT dokument_id, tag_id, 2, text || ' ' || t1, greatest(top, y1) - least(top, y1) FROM w WHERE t1 IS NOT NULL
+    UNION ALL SELECT dokument_id, tag_id, 3, concat_ws(' ', text, t1, t2), greatest(top, y1, y2) - least(top, y1, y2) FROM w WHERE t2 IS NOT NULL UNION ALL SELECT dokument_id, tag_id, 4, concat_ws(' ', text, t1, t2, t3), greatest(top, y1, y2, y3) - least(top, y1, y2, y3) FROM w WHERE t3 IS NOT NULL),
+    l AS (SELECT DISTINCT label, {sql_norm('label').replace('chr(32)', "''")} AS k FROM position_store)
+    SELECT r.dokument_id, r.start, r.size, l.label FROM r JOIN l ON l.k = {sql_norm('r.win').replace('chr(32)', "''")} WHERE rise <= 5.0""",
+)
 def label_spans(t):
     labels = t("position_store").select("label").distinct()
     return O.label_spans(t("tagged_words"), DOC, "tag_id", labels, "label").select("dokument_id", "start", "size", "label")
 
 
-@query("r3_13_below_headers")
+_FIT = _NUMBER.replace("'", "''")
+
+
+@query(
+    "r3_13_below_headers",
+    f"""WITH c AS ({_CELL_TEXTS}), h AS (SELECT dokument_id, eingelesen_am, page, row_no AS hr, cell AS header, (cell_x0 + cell_x1) / 2 AS m FROM c WHERE regexp_matches(cell, '(?i)brutto|steuerwert')),
+    t AS (SELECT DISTINCT dokument_id, eingelesen_am, page, row_no FROM c WHERE regexp_matches(cell, '(?i)total|netto')),
+    v AS (SELECT c.*, (cell_x0 + cell_x1) / 2 AS mid FROM c JOIN t USING (dokument_id, eingelesen_am, page, row_no) WHERE regexp_matches(cell, '{_FIT}')),
+    j AS (SELECT dokument_id, eingelesen_am, page, hr, header, v.row_no, abs(mid - m) AS d, v.cell FROM v JOIN h USING (dokument_id, eingelesen_am, page) WHERE v.row_no BETWEEN hr + 1 AND hr + 7 AND m BETWEEN cell_x0 - 25.0 AND cell_x1 + 25.0)
+    SELECT dokument_id, page, header, arg_min(cell, (row_no, d, cell)) AS value FROM j GROUP BY dokument_id, eingelesen_am, page, hr, header""",
+)
 def below_headers(t):
     cells = O.cells(_rows(t), ROW)
     found = O.below_header(cells, PAGE, F.col("cell").rlike("(?i)brutto|steuerwert"), F.col("cell").rlike("(?i)total|netto"), F.col("cell").rlike(_NUMBER))
@@ -179,7 +209,13 @@ def restored(t):
     return t("field_rows").join(k, ["dokument_id", "feld"], "left").select("row_id", F.coalesce(F.nullif("wert_raw", F.lit("")), "w").alias("wert"))
 
 
-@query("r9_08_amounts_without_label")
+@query(
+    "r9_08_amounts_without_label",
+    f"""WITH a AS (SELECT *, regexp_matches(text, '{_AMOUNT}') AS am FROM ({_ROWS})),
+    g AS (SELECT *, coalesce(sum(am::INT) OVER (PARTITION BY dokument_id, eingelesen_am, page, row_no ORDER BY x0, word_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM a),
+    l AS (SELECT dokument_id, page, row_no, coalesce(string_agg(CASE WHEN NOT am THEN text END, ' ' ORDER BY x0, word_id), '') AS label, max(CASE WHEN am THEN text END) AS amount FROM g GROUP BY dokument_id, eingelesen_am, page, row_no, grp HAVING max(CASE WHEN am THEN text END) IS NOT NULL)
+    SELECT * FROM l WHERE NOT regexp_matches(label, '(?i)steuer|ertrag|lohn|zins|saldo|total|betrag|kosten|prämien|beiträge|vorsorge|betreuung')""",
+)
 def amounts_without_label(t):
     left = O.label_left(_rows(t), ROW, F.col("text").rlike(_NUMBER))
     own = F.col("label").rlike("(?i)steuer|ertrag|lohn|zins|saldo|total|betrag|kosten|prämien|beiträge|vorsorge|betreuung")

@@ -13,6 +13,7 @@ from ledgerloom.operators import scrub as C
 from ledgerloom.operators import store as S
 from ledgerloom.operators import summarize as Z
 from ledgerloom.plans.catalog import Catalog
+from ledgerloom.plans.scalars import sql_spellings
 
 catalog = Catalog()
 query = catalog.query
@@ -293,7 +294,11 @@ def found_corrections(t):
     return t("abgleich").join(p, ["beleg", "zielwert", "pos"], "left").groupBy(F.coalesce("da", F.lit(False)).alias("gefunden")).agg(F.count("*").alias("n"))
 
 
-@query("r11_08_proof_in_words")
+@query(
+    "r11_08_proof_in_words",
+    f"""WITH f AS (SELECT id, dokument_id, unnest({sql_spellings('CAST(betrag AS DECIMAL(18,2))')}) AS form FROM position_store WHERE regexp_matches(betrag, '^\\d+(\\.\\d+)?$')),
+    w AS (SELECT DISTINCT dokument_id, regexp_replace(text, '^[(\\[]|[),;:\\]]$', '', 'g') AS form FROM tagged_words) SELECT id, count(*) AS belege FROM f JOIN w USING (dokument_id, form) GROUP BY 1""",
+)
 def proof_in_words(t):
     forms = t("position_store").where(F.col("betrag").rlike("^\\d+(\\.\\d+)?$")).select("id", "dokument_id", F.explode(A.spellings(F.col("betrag").try_cast("decimal(18,2)"))).alias("form"))
     tokens = t("tagged_words").select("dokument_id", F.regexp_replace("text", "^[(\\[]|[),;:\\]]$", "").alias("form")).distinct()

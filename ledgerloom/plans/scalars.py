@@ -118,7 +118,18 @@ def lenient_forms(t):
     return t("position_store").select("id", A.lenient(F.col("amount")).alias("form"))
 
 
-@query("r2_13_spellings")
+def sql_spellings(c: str) -> str:
+    """The list of ``spellings`` of a decimal in SQL."""
+    whole, cents = f"split_part(format('{{:,.2f}}', CAST({c} AS DOUBLE)), '.', 1)", f"split_part(format('{{:,.2f}}', CAST({c} AS DOUBLE)), '.', 2)"
+    forms = []
+    for sep in ("", "''", "’", " ", "."):
+        w = f"replace({whole}, ',', '{sep}')"
+        forms += [f"{w} || '{dot}' || {cents}" for dot in (".", ",") if dot != sep]
+        forms += [f"CASE WHEN {cents} = '00' THEN {w} || '{end}' END" for end in ("", ".-", ".--", ".–")]
+    return f"list_sort(list_distinct(list_filter([{', '.join(forms)}], lambda x: x IS NOT NULL)))"
+
+
+@query("r2_13_spellings", f"SELECT betrag, array_to_string({sql_spellings('CAST(betrag AS DECIMAL(18,2))')}, '|') AS formen FROM (SELECT DISTINCT betrag FROM position_store WHERE regexp_matches(betrag, '^\\d+(\\.\\d+)?$'))")
 def spellings(t):
     rows = t("position_store").where(F.col("betrag").rlike("^\\d+(\\.\\d+)?$")).select("betrag").distinct()
     return rows.select("betrag", F.array_join(A.spellings(F.col("betrag").try_cast("decimal(18,2)")), "|").alias("formen"))
