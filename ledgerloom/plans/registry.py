@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import boxes, chain, copies, ledger, more, records, scalars, sinks, streams
+from ledgerloom.plans import boxes, chain, copies, files, ledger, more, records, scalars, sinks, streams
 
 MODULES = (copies,)
-CATALOGS = (chain.catalog, sinks.catalog, scalars.catalog, boxes.catalog, ledger.catalog, records.catalog, more.catalog, streams.catalog)
+CATALOGS = (chain.catalog, sinks.catalog, files.catalog, scalars.catalog, boxes.catalog, ledger.catalog, records.catalog, more.catalog, streams.catalog)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
