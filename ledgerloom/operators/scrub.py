@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -47,16 +47,85 @@ def year_not_postcode(word: Column, following: Column) -> Column:
     return word.rlike("^(19|20)\\d{2}$") & ~F.coalesce(following.rlike("^[A-ZÄÖÜ][a-zäöü]+(ikon|wil|büel|dorf|hofen|lingen|matt|stetten)\\W*$"), F.lit(False))
 
 
+# The ways a name is written; f is the first name, l the last one, i the initial of the first.
+NAME_FORMS = (
+    "{f}", "{l}", "{f} {l}", "{l} {f}", "{l}, {f}", "Herr {f} {l}", "Frau {f} {l}", "Hr. {f} {l}", "Fr. {f} {l}",
+    "{i}. {l}", "{i} {l}", "{f}{l}", "{l}{f}", "{f}.{l}", "{l}.{f}", "{f}-{l}", "{l}-{f}",
+)
+# The ways a date of birth is written.
+DATE_FORMS = ("yyyy-MM-dd", "dd.MM.yyyy", "dd.MM.yy", "d.M.yyyy", "d.M.yy", "yyyyMMdd", "yyyy/MM/dd", "dd/MM/yyyy", "dd-MM-yyyy")
+
+
+def _longest_first(forms: Column) -> Column:
+    return F.array_sort(F.array_distinct(forms), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+
+
+def _name_parts(name: Column) -> Column:
+    """A name and, if it has several words, each of them with two letters and more."""
+    words = F.split(F.trim(name), "\\s+")
+    return F.when(F.size(words) > 1, F.concat(F.array(F.trim(name)), F.filter(words, lambda w: F.length(w) >= 2))).otherwise(F.array(F.trim(name)))
+
+
+def _formed(form: str, first: Column, last: Column) -> Column:
+    out = F.lit(form)
+    for mark, value in (("{f}", first), ("{l}", last), ("{i}", F.substring(first, 1, 1))):
+        out = F.replace(out, F.lit(mark), value) if mark in form else out
+    return out
+
+
 def name_variants(first: Column, last: Column) -> Column:
-    """The ways a name is written, longest first."""
-    f, ln = F.trim(first), F.trim(last)
-    initial = F.substring(f, 1, 1)
-    forms = [F.concat_ws(" ", f, ln), F.concat_ws(" ", ln, f), F.concat_ws(", ", ln, f), F.concat(initial, F.lit(". "), ln), F.concat(ln, F.lit(", "), initial, F.lit(".")), F.concat(f, ln), F.concat_ws(".", F.lower(f), F.lower(ln)), ln]
-    return F.array_sort(F.array_distinct(F.array(*forms)), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+    """The ways a name is written, also with each word of a name of several, longest first; NULL if a part is empty."""
+    pairs = F.flatten(F.transform(_name_parts(first), lambda f: F.transform(_name_parts(last), lambda ln: F.array(*[_formed(x, f, ln) for x in NAME_FORMS]))))
+    return F.when((F.trim(first) != "") & (F.trim(last) != ""), _longest_first(F.flatten(pairs)))
+
+
+def name_variant_pairs(first: Column, last: Column, other_first: Column, other_last: Column) -> Column:
+    """ARRAY<STRUCT<original, other>>: each way a name is written beside the same way of another name."""
+    form = lambda f, ln: F.array(*[F.struct(_formed(x, f, ln).alias("original"), _formed(x, other_first, other_last).alias("other")) for x in NAME_FORMS])
+    return F.array_distinct(F.flatten(F.flatten(F.transform(_name_parts(first), lambda f: F.transform(_name_parts(last), lambda ln: form(f, ln))))))
 
 
 def birth_date_variants(day: Column) -> Column:
-    return F.array_distinct(F.transform(F.array(*[F.lit(f) for f in ("dd.MM.yyyy", "d.M.yyyy", "dd.MM.yy", "yyyy-MM-dd", "dd/MM/yyyy", "ddMMyyyy", "yyyyMMdd")]), lambda f: F.when(f == "dd.MM.yyyy", F.date_format(day, "dd.MM.yyyy")).when(f == "d.M.yyyy", F.date_format(day, "d.M.yyyy")).when(f == "dd.MM.yy", F.date_format(day, "dd.MM.yy")).when(f == "yyyy-MM-dd", F.date_format(day, "yyyy-MM-dd")).when(f == "dd/MM/yyyy", F.date_format(day, "dd/MM/yyyy")).when(f == "ddMMyyyy", F.date_format(day, "ddMMyyyy")).otherwise(F.date_format(day, "yyyyMMdd"))))
+    """The ways a date is written, longest first."""
+    return F.when(day.isNotNull(), _longest_first(F.array(*[F.date_format(day, f) for f in DATE_FORMS])))
+
+
+# What stands in anonymised texts, and what it stands for, in the order of replacement.
+REPLACED = (
+    ("(?i)(geboren am|geb\\.?) ?[0-9]{1,2}\\.[0-9]{1,2}\\.[0-9]{4}", "$1 01.01.1900"),
+    ("756[0-9]{10}", "7560000000000"),
+    ("756[. ][0-9]{4}[. ][0-9]{4}[. ][0-9]{2}", "756.0000.0000.00"),
+    ("(?i)(?:CH|LI)[0-9]{2}(?:[ -]?[0-9A-Z]{4}){4}[ -]?[0-9A-Z]", "CH00 0000 0000 0000 0000 0"),
+    ("(?i)(Telefon|Telefax|Tel\\.?|Fax|Mobile|Mobil|Natel|Phone) ?(?:\\+41|0041|0)[0-9]{9}", "$1 044-000-00-00"),
+    ("(?:\\+41|0041) ?[0-9]{2} ?[0-9]{3} ?[0-9]{2} ?[0-9]{2}", "044 000 00 00"),
+    ("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "anon@example.com"),
+    ("[A-ZÄÖÜ][a-zäöü]+(?:strasse|gasse|weg|platz|quai) [0-9]{1,3}[a-z]?", "Musterstrasse 1"),
+    ("[13-9][0-9]{3} ?[A-ZÄÖÜ][a-zäöü]{2,}", "8000 Musterhausen"),
+)
+DATE_INSIDE = "[0-9]{1,2}\\.[0-9]{1,2}\\.[0-9]{4}"
+AMOUNT_INSIDE = "[0-9]{1,3}(?:['’][0-9]{3})+\\.[0-9]{2}|[0-9]+\\.[0-9]{2}"
+
+
+def between(text: Column, pattern: str, outside: Callable[[Column], Column], inside: Callable[[Column], Column]) -> Column:
+    """The text with the matches of a pattern and what stands between them changed each in its own way."""
+    parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.array_join(F.zip_with(parts, found, lambda p, m: F.concat(outside(p), F.coalesce(inside(m), F.lit("")))), "")
+
+
+def anonymised(text: Column, owner: Column) -> Column:
+    """A text with placeholders for personal data, in fixed order, and its amounts scaled by a factor of ``owner``; dates
+    and years stay as they are, and amounts keep their thousands signs."""
+    from ledgerloom.functions.amounts import shown_amount
+
+    out = text
+    for pattern, by in REPLACED:
+        out = F.regexp_replace(out, pattern, by)
+
+    def amount(m: Column) -> Column:
+        value = shown_amount(scaled(F.regexp_replace(m, "['’]", "").cast("double"), owner))
+        return F.when(m.rlike("['’]"), value).otherwise(F.replace(value, F.lit("'"), F.lit("")))
+
+    return between(out, DATE_INSIDE, lambda p: between(p, AMOUNT_INSIDE, lambda x: x, amount), lambda d: d)
 
 
 def stable_markers(names: DataFrame, name: str, prefix: str) -> DataFrame:

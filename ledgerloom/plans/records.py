@@ -354,10 +354,53 @@ def years_not_postcodes(t):
     return t("tagged_words").select("text", follow.alias("f")).where(C.year_not_postcode(F.col("text"), F.col("f"))).agg(F.count("*").alias("n"))
 
 
-@query("r13_04_name_variants", "SELECT count(*) AS n, count(DISTINCT v) AS verschieden FROM (SELECT member_id, unnest(list_distinct([first_name || ' ' || last_name, last_name || ' ' || first_name, last_name || ', ' || first_name, substr(first_name, 1, 1) || '. ' || last_name, last_name || ', ' || substr(first_name, 1, 1) || '.', first_name || last_name, lower(first_name) || '.' || lower(last_name), last_name])) AS v FROM family)")
+def _parts_sql(c: str) -> str:
+    words = f"regexp_split_to_array(trim({c}, ' '), '\\s+')"
+    return f"CASE WHEN len({words}) > 1 THEN list_concat([trim({c}, ' ')], list_filter({words}, lambda w: length(w) >= 2)) ELSE [trim({c}, ' ')] END"
+
+
+def _forms_sql() -> str:
+    out = []
+    for form in C.NAME_FORMS:
+        text = f"'{form}'"
+        for mark, value in (("{f}", "f"), ("{l}", "l"), ("{i}", "substr(f, 1, 1)")):
+            text = f"replace({text}, '{mark}', {value})" if mark in form else text
+        out.append(text)
+    return ", ".join(out)
+
+
+_VARIANTS = f"SELECT DISTINCT member_id, v FROM (SELECT member_id, unnest([{_forms_sql()}]) AS v FROM (SELECT member_id, f, unnest({_parts_sql('last_name')}) AS l FROM (SELECT member_id, last_name, unnest({_parts_sql('first_name')}) AS f FROM family WHERE trim(first_name, ' ') <> '' AND trim(last_name, ' ') <> '')))"
+
+
+@query("r13_04_name_variants", f"SELECT count(*) AS n, count(DISTINCT v) AS verschieden, sum(length(v))::BIGINT AS zeichen FROM ({_VARIANTS})")
 def name_variants(t):
     v = t("family").select("member_id", F.explode(C.name_variants(F.col("first_name"), F.col("last_name"))).alias("v"))
-    return v.agg(F.count("*").alias("n"), F.countDistinct("v").alias("verschieden"))
+    return v.agg(F.count("*").alias("n"), F.countDistinct("v").alias("verschieden"), F.sum(F.length("v")).alias("zeichen"))
+
+
+@query(
+    "r13_04_birth_dates",
+    "SELECT member_id, unnest(list_distinct([" + ", ".join(f"strftime(birth_date, '{f}')" for f in ("%Y-%m-%d", "%d.%m.%Y", "%d.%m.%y", "%-d.%-m.%Y", "%-d.%-m.%y", "%Y%m%d", "%Y/%m/%d", "%d/%m/%Y", "%d-%m-%Y")) + "])) AS v FROM family WHERE birth_date IS NOT NULL",
+)
+def birth_dates(t):
+    return t("family").select("member_id", F.explode(C.birth_date_variants(F.col("birth_date"))).alias("v"))
+
+
+def _anonymised_sql() -> str:
+    out = "snippet"
+    for pattern, by in C.REPLACED:
+        out = f"regexp_replace({out}, '{pattern}', '{by.replace('$1', chr(92) + '1')}', 'g')"
+    amount = C.AMOUNT_INSIDE.replace("'", "''")
+    factor = "(0.8 + (('0x' || substr(sha256(dokument_id), 1, 6))::INT::DOUBLE / 16777215.0) * (1.2 - 0.8))"
+    scaled = f"replace(format('{{:,.2f}}', round(CAST(regexp_replace(m, '[''’]', '', 'g') AS DOUBLE) * {factor}, 2)), ',', CASE WHEN regexp_matches(m, '[''’]') THEN chr(39) ELSE '' END)"
+    return f"""WITH a AS (SELECT row_id, dokument_id, {out} AS t FROM field_rows WHERE snippet IS NOT NULL), d AS (SELECT row_id, dokument_id, generate_subscripts(p, 1) AS i, unnest(p) AS teil, unnest(list_resize(regexp_extract_all(t, '{C.DATE_INSIDE}'), len(p))) AS datum FROM (SELECT *, string_split_regex(t, '{C.DATE_INSIDE}') AS p FROM a)),
+    e AS (SELECT row_id, dokument_id, i, datum, generate_subscripts(q, 1) AS j, unnest(q) AS stueck, unnest(list_resize(regexp_extract_all(teil, '{amount}'), len(q))) AS m FROM (SELECT *, string_split_regex(teil, '{amount}') AS q FROM d)),
+    f AS (SELECT row_id, i, max(datum) AS datum, string_agg(stueck || coalesce({scaled}, ''), '' ORDER BY j) AS s FROM e GROUP BY 1, 2) SELECT row_id, string_agg(s || coalesce(datum, ''), '' ORDER BY i) AS text FROM f GROUP BY 1"""
+
+
+@query("r13_06_anonymised", _anonymised_sql())
+def anonymised(t):
+    return t("field_rows").where("snippet is not null").select("row_id", C.anonymised(F.col("snippet"), F.col("dokument_id")).alias("text"))
 
 
 @query("r13_07_scaled_amounts", "SELECT row_id, round(TRY_CAST(wert_decimal AS DOUBLE) * (0.8 + (('0x' || substr(sha256(dokument_id), 1, 6))::INT::DOUBLE / 16777215.0) * (1.2 - 0.8)), 2) AS betrag FROM field_rows WHERE wert_decimal IS NOT NULL")

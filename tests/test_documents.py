@@ -183,3 +183,33 @@ def test_three_readings(spark):
     assert rows(out, "d", "line") == [("d", "Bruttolohn total"), ("d", "nur drei"), ("d", "nur zwei"), ("e", "allein")]
     seen = spark.createDataFrame([("k", "f", "1", "a"), ("k", "f", "1", "b"), ("k", "f", "1", "b"), ("k", "f", "2", "c")], "k string, f string, v string, s string")
     assert rows(O.merged_objects(seen, ["k"], "f", "v", "s"), "v", "sources", "first_source", "values") == [("1", 2, "a", 2), ("2", 1, "c", 2)]
+
+
+def test_name_and_date_variants(spark):
+    df = spark.createDataFrame([(1, "Hans Peter", "Muster"), (2, "", "Muster"), (3, None, "x")], "i int, f string, l string")
+    got = {r.i: r.v for r in df.select("i", C.name_variants(F.col("f"), F.col("l")).alias("v")).collect()}
+    assert {"Hans", "Peter", "Hans Peter", "Muster, Hans", "Herr Peter Muster", "H. Muster", "HansMuster", "Muster-Peter"} <= set(got[1]) and len(got[1]) == len(set(got[1]))
+    assert [len(x) for x in got[1]] == sorted((len(x) for x in got[1]), reverse=True) and got[2] is None and got[3] is None
+    pairs = df.where("i = 1").select(F.inline(C.name_variant_pairs(F.col("f"), F.col("l"), F.lit("Eva"), F.lit("Neu")))).collect()
+    assert ("Muster, Peter", "Neu, Eva") in [tuple(r) for r in pairs]
+    day = spark.createDataFrame([("1980-03-05",), (None,)], "d string").select(C.birth_date_variants(F.col("d").cast("date")).alias("v")).collect()
+    assert {"5.3.1980", "05.03.80", "19800305", "05-03-1980"} <= set(day[0].v) and len(day[0].v) == 9 and day[1].v is None
+
+
+def test_anonymised(spark):
+    texts = ["AHV 7561234567897 vom 31.12.2022 Total 1'234.50", "geboren am 05.03.1980", "Tel 0441234567", "Bahnhofstrasse 12, 8400 Winterthur", "a@b.ch 12.00 2024", "", None, "nur 31.12.2022", "5.00 6.00"]
+    df = spark.createDataFrame([(i, t, "d") for i, t in enumerate(texts)], "i int, t string, d string")
+    got = [r.a for r in df.orderBy("i").select(C.anonymised(F.col("t"), F.col("d")).alias("a")).collect()]
+    assert got[0].startswith("AHV 7560000000000 vom 31.12.2022 Total ") and "1'234.50" not in got[0]
+    assert got[1] == "geboren am 01.01.1900" and got[2] == "Tel 044-000-00-00" and got[3] == "Musterstrasse 1, 8000 Musterhausen"
+    assert got[4].startswith("anon@example.com ") and got[4].endswith(" 2024") and got[5] == "" and got[6] is None and got[7] == texts[7]
+    a, b = (float(x) for x in got[8].split(" "))
+    assert abs(b / a - 1.2) < 0.01 and a != 5.0
+
+
+def test_value_windows(spark):
+    words = ["Total", "CHF", "1", "234.50", "(1'234.50)", "Lohnausweis", "ab", "Müller"]
+    df = spark.createDataFrame([("d", 1, i, w) for i, w in enumerate(words)] + [("d", 1, 99, None), ("e", 1, 0, "x")], "d string, r int, n int, text string")
+    values = spark.createDataFrame([(1, "d", "1'234.50"), (2, "d", "Lohnausweis 2024"), (3, "d", "nichts"), (4, "d", None), (5, "x", "Total"), (6, "d", "CHF 1 234.50 (1"), (7, "d", "l")], "i int, d string, v string")
+    got = {r.i: (r.found, r.start, r.size) for r in O.value_windows(values, df, "d", "r", "n", value="v").collect()}
+    assert got == {1: ("forward", 4, 1), 2: ("backward", 5, 1), 3: ("none", None, None), 4: ("none", None, None), 5: ("none", None, None), 6: ("forward", 1, 4), 7: ("forward", 0, 1)}
