@@ -66,7 +66,10 @@ def _score_sql(c: str, pattern: str) -> str:
 
 
 def typed_sql(source: str, key: str, text: str) -> str:
-    """A chain of steps that ends in typed(key, text, typ, grund): ``classified`` in SQL."""
+    """A chain of steps that ends in typed(key, text, typ, grund): ``classified`` in SQL.
+
+    DuckDB's word boundary knows ASCII letters only, so letters of other scripts are made ones before titles are sought.
+    """
     types = list(K.TYPE_PATTERNS)
     heads = ", ".join(f"{_score_sql('kopf', p)} AS h{i}, {_score_sql('ganz', p)} AS g{i}" for i, p in enumerate(K.TYPE_PATTERNS.values()))
     at = {t: f"s{i}" for i, t in enumerate(types)}
@@ -76,7 +79,7 @@ def typed_sql(source: str, key: str, text: str) -> str:
     wins = "list_filter([" + ", ".join(f"CASE WHEN {s} = most AND most > 0 THEN '{t}' END" for t, s in at.items()) + "], lambda x: x IS NOT NULL)"
     iban = """len(list_filter(list_transform(regexp_extract_all(upper(kopf), '\\b(?:CH|LI)\\d{2}(?:[ -]?[0-9A-Z]){17}\\b'), lambda i: regexp_replace(i, '[ -]', '', 'g')), lambda i:
       length(i) = 21 AND NOT regexp_matches(i, '[X*]{3}') AND list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(substr(i, 5) || substr(i, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN CAST(c AS HUGEINT) ELSE CAST(ascii(c) - 55 AS HUGEINT) END)), lambda a, b: (a * CASE WHEN b > 9 THEN 100 ELSE 10 END + b) % 97) = 1)) > 0"""
-    return f"""t0 AS (SELECT {key}, {text} AS text, regexp_split_to_array(trim({_glyphs_sql(text)}, ' '), '\\s+') AS w FROM {source}),
+    return f"""t0 AS (SELECT {key}, {text} AS text, regexp_split_to_array(trim(regexp_replace({_glyphs_sql(text)}, '[\\p{{Cyrillic}}\\p{{Greek}}\\p{{Armenian}}]', 'x', 'g'), ' '), '\\s+') AS w FROM {source}),
 t1 AS (SELECT {key}, text, array_to_string(list_slice(w, 1, {K.HEAD_WORDS}), ' ') AS kopf, array_to_string(w, ' ') AS ganz FROM t0),
 t2 AS (SELECT {key}, text, kopf, {heads} FROM t1),
 t3 AS (SELECT {key}, text, kopf, {scores} FROM t2),

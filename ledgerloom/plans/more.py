@@ -30,7 +30,7 @@ _CELL_TEXTS = f"SELECT dokument_id, eingelesen_am, page, row_no, cell_no, string
     "r2_07_row_amounts",
     f"""WITH c AS (SELECT *, trim(cell, ' ') AS t FROM ({_CELL_TEXTS})),
     d AS (SELECT *, regexp_replace(t, '(?i)^(?:CHF|Fr\\.)\\s*', '') AS s FROM c WHERE NOT regexp_matches(t, '^(19|20)\\d\\d$|^2100$') AND NOT contains(t, '%') AND NOT regexp_matches(t, '^\\d{{1,2}}\\.\\d{{1,2}}\\.(\\d{{4}})?$')),
-    e AS (SELECT * EXCLUDE (s), regexp_replace(regexp_replace(s, '(\\d)[°´`](\\d)', '\\1''\\2', 'g'), '(\\d)\\s+(\\d)', '\\1\\2', 'g') AS s FROM d),
+    e AS (SELECT * EXCLUDE (s), regexp_replace(regexp_replace(regexp_replace(s, '(\\d)[°´`](\\d)', '\\1''\\2', 'g'), '(\\d)\\s+(\\d)', '\\1\\2', 'g'), '(\\d)\\s+(\\d)', '\\1\\2', 'g') AS s FROM d),
     f AS (SELECT *, regexp_replace(regexp_replace(s, '\\.[-–—]{{1,2}}$', ''), '[''’]', '', 'g') AS n FROM e WHERE regexp_matches(s, '^[+-]?\\d[\\d.,''’]*(?:[-–]{{1,2}})?$')),
     g AS (SELECT * EXCLUDE (n), CASE WHEN NOT contains(n, ',') THEN n WHEN contains(n, '.') THEN replace(n, ',', '') ELSE replace(n, ',', '.') END AS n FROM f),
     h AS (SELECT * EXCLUDE (n), CASE WHEN regexp_matches(n, '^[+-]?[1-9]\\d{{0,2}}(\\.\\d{{3}})+$') THEN replace(n, '.', '') ELSE n END AS n FROM g)
