@@ -41,23 +41,27 @@ def nearest_rows(words: DataFrame, page: Sequence[str], *, key: str, top: str =
     """Rows of a page by running means: a word joins the nearest row whose mean middle is closer than ``gap``, or
     with which it shares ``overlap`` of the lower height, each middle inside the other's box; else it begins one.
 
-    The means move with every word, so words are taken in order of ``top`` one page after the other.
+    The means move with every word, so words are taken in order of ``top`` one page after the other; a row above all
+    words to come is not looked at again, so the work grows with the words of a page and not with their square.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema)
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([top, key], kind="stable")
         rows: list[list[float]] = []  # mean top, mean bottom, mean middle, words
-        numbers = []
+        numbers, open_rows = [], []
         for a, b in zip(pdf[top].tolist(), pdf[bottom].tolist()):
             mid, best, near = (a + b) / 2, -1, float("inf")
-            for i, (ra, rb, rm, _) in enumerate(rows):
+            open_rows = [i for i in open_rows if rows[i][1] >= a or rows[i][2] > a - gap]
+            for i in open_rows:
+                ra, rb, rm, _ = rows[i]
                 shared = min(b, rb) - max(a, ra)
                 inside = shared >= overlap * min(b - a, rb - ra) and ra <= mid <= rb and a <= rm <= b
                 if (abs(mid - rm) < gap or inside) and abs(mid - rm) < near:
                     best, near = i, abs(mid - rm)
             if best < 0:
                 rows.append([a, b, mid, 1])
+                open_rows.append(len(rows) - 1)
                 numbers.append(len(rows) - 1)
                 continue
             row = rows[best]

@@ -46,8 +46,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_removed: set[str] = set()  #: folders that are deleted when the application ends
+
+
+def removed_at_end(spark: SparkSession, path: str) -> str:
+    """``path``, which is deleted when the driver ends."""
+    if path not in _removed:
+        _removed.add(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return path
+
+
 def _cuts(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/cuts-{spark.sparkContext.applicationId}"
+    return removed_at_end(spark, f"{shared_dir(spark).rstrip('/')}/cuts-{spark.sparkContext.applicationId}")
 
 
 def clear_cuts(spark: SparkSession) -> None:
@@ -55,6 +69,7 @@ def clear_cuts(spark: SparkSession) -> None:
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(_cuts(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _removed.discard(_cuts(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

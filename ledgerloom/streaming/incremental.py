@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.session import shared_dir
+from ledgerloom.session import removed_at_end, shared_dir
 
 
 def process_new(spark: SparkSession, source: str, schema, handle: Callable[[DataFrame, int], None], checkpoint: str, per_batch: int = 1000) -> None:
@@ -35,7 +35,9 @@ def current(spark: SparkSession, path: str, key: str, newest: str) -> DataFrame:
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; its parent is removed when the application ends."""
+    parent = removed_at_end(spark, f"{shared_dir(spark).rstrip('/')}/folders-{spark.sparkContext.applicationId}")
+    return f"{parent}/{name}-{uuid.uuid4().hex}"
 
 
 def tumbling(events: DataFrame, time: str, size: str, late: str | None = None) -> DataFrame:
