@@ -194,6 +194,18 @@ def detected(rows: DataFrame, key: Sequence[str], text: str, detectors: dict[str
     return rows.where(F.col(text).isNotNull()).select(*key, F.inline(F.flatten(F.array(*found))))
 
 
+def _unsuppressed(category: str) -> Callable[[Column], Column]:
+    return lambda m: ~suppressed(F.lit(category), F.trim(m))
+
+
+def holds_personal_data(text: Column, detectors: dict[str, str] | None = None) -> Column:
+    """Whether a text has a match that is no placeholder."""
+    out = F.lit(False)
+    for category, pattern in (detectors or DETECTORS).items():
+        out = out | F.exists(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), _unsuppressed(category))
+    return F.coalesce(out, F.lit(False))
+
+
 def placeholders_in(rows: DataFrame, text: str, detectors: dict[str, str] | None = None) -> DataFrame:
     """(category, held) of every match: whether it is a placeholder and so held back from reports."""
 

@@ -112,11 +112,12 @@ def windows(words: DataFrame, doc: Sequence[str], order: str, *, most: int, text
 def located(values: DataFrame, words: DataFrame, doc: str, order: str, *, value: str, text: str = "text", most: int = 3) -> DataFrame:
     """The first smallest window of words equal to each value after normalisation.
 
-    An equi-join on (document, normalised text): no window meets a value it does not equal.
+    An equi-join on (document, normalised text): no window meets a value it does not equal, and windows no value asks
+    for are dropped before they are grouped.
     """
     spans = windows(words, [doc], order, most=most, text=text).withColumn("_key", normalized(F.col("window"))).where("_key <> ''")
     asked = values.withColumn("_key", normalized(F.col(value))).where("_key <> ''")
-    best = spans.groupBy(doc, "_key").agg(F.min(F.struct("size", "start", "window")).alias("hit"))
+    best = spans.join(asked.select(doc, "_key").distinct(), [doc, "_key"], "left_semi").groupBy(doc, "_key").agg(F.min(F.struct("size", "start", "window")).alias("hit"))
     return asked.join(best, [doc, "_key"], "left").select(*values.columns, F.col("hit.start").alias("at"), F.col("hit.size").alias("size"), F.col("hit.window").alias("window"))
 
 

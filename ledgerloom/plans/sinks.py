@@ -262,6 +262,13 @@ def detected(t):
     return found.groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("hash8").alias("verschieden"))
 
 
+@query("r2_47_holds_personal_data", f"SELECT count(*) AS n, count(DISTINCT f.row_id) AS betroffen FROM (SELECT f.row_id, d.row_id AS hit FROM field_rows f LEFT JOIN (SELECT DISTINCT row_id FROM ({_each('snippet', 'field_rows', 'row_id')}) WHERE NOT {_SUPPRESSED}) d USING (row_id)) f WHERE hit IS NOT NULL")
+def holds_personal_data(t):
+    kinds = {k: p for k, p in C.DETECTORS.items() if k != "email"}
+    rows = t("field_rows").where(C.holds_personal_data(F.col("snippet"), kinds))
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("betroffen"))
+
+
 @query("r13_02_placeholders", f"SELECT category, count(*) AS n, sum({_SUPPRESSED}::INT)::BIGINT AS platzhalter FROM ({_each('snippet', 'field_rows', 'row_id')}) GROUP BY 1")
 def placeholders(t):
     kinds = {k: p for k, p in C.DETECTORS.items() if k != "email"}
