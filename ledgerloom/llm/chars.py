@@ -54,13 +54,15 @@ def _slow_fold(text: str) -> str:
     return "".join(c for c in t if not unicodedata.combining(c))
 
 
-def _fast_table() -> dict[str, str]:
-    """What ``_slow_fold`` makes of the characters most texts have, where that is ASCII or nothing."""
-    made = {chr(n): _slow_fold(chr(n)) for n in (*range(0x80, 0x250), *range(0x2000, 0x2070), 0x3000, 0xFEFF)}
-    return {c: t for c, t in made.items() if t.isascii()}
+class _Folds(dict):
+    """What ``_slow_fold`` makes of each character met so far: it looks at no neighbours, as marks are dropped."""
 
+    def __missing__(self, c: str) -> str:
+        self[c] = out = _slow_fold(c)
+        return out
 
-_FAST = _fast_table()
+
+_FOLDS = _Folds()
 _OTHER = re.compile(r"[^\x00-\x7f]")
 
 
@@ -68,8 +70,7 @@ def folded(text: str) -> str:
     """``bare`` without case, accents and look-alike letters: a form for matching, not for reading."""
     if text.isascii():
         return text.lower()
-    t = _OTHER.sub(lambda m: _FAST.get(m[0], m[0]), text.casefold())
-    return t if t.isascii() else _slow_fold(text)
+    return _OTHER.sub(lambda m: _FOLDS[m[0]], text.casefold())
 
 
 def free_name(base: str, taken: list[str]) -> str:

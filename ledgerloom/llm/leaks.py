@@ -27,13 +27,12 @@ ONE_IN = 8  #: a word in so many may be wrong
 PIECE = min((n + 1) // (n // ONE_IN + 2) for n in range(LEAST, 40 * ONE_IN))
 BLOCK_CHARS = 4_000_000  #: characters of the items searched in one pass: what an automaton takes grows with them
 
-_SPACE = re.compile(r"\s+")
 _NOT_ALNUM = re.compile(r"[\W_]+")
 
 
 def words_of(text: str) -> list[str]:
     """Words of letters and digits, without case, accents, punctuation and look-alikes."""
-    return [w for x in _SPACE.split(folded(text)) if (w := _NOT_ALNUM.sub("", x))]
+    return [w for x in folded(text).split() if (w := x if x.isalnum() else _NOT_ALNUM.sub("", x))]
 
 
 class Item:
@@ -48,6 +47,22 @@ class Item:
         n = len(self.words)
         self.piece = PIECE if n >= LEAST else max(1, n // (n // ONE_IN + 1))
         self.starts = range(0, n - self.piece + 1, self.piece)  #: of the pieces
+        self._needs: list[tuple[int, int, int, int, int, int]] | None = None
+
+    @property
+    def needs(self) -> list[tuple[int, int, int, int, int, int]]:
+        """(start, end, errors allowed, first piece, piece after the last, pieces to be hit) of each window."""
+        if self._needs is None:
+            self._needs, size = [], self.piece
+            for a, b, errors in self.windows():
+                first, after = -(-a // size), max(-(-a // size), min(len(self.starts), b // size))
+                self._needs.append((a, b, errors, first, after, max(1, after - first - errors)))
+            self.alone: dict[int, list[tuple[int, int, int]]] = {}  # windows for which one hit piece is enough
+            for a, b, errors, first, after, need in self._needs:
+                if need == 1:
+                    for k in range(first, after):
+                        self.alone.setdefault(k, []).append((a, b, errors))
+        return self._needs
 
     def windows(self) -> Iterator[tuple[int, int, int]]:
         """(start, end, errors allowed) of windows one of which lies in any passage within the budget."""
@@ -305,16 +320,16 @@ class Finder:
     @staticmethod
     def _likely(item: Item, places: list[tuple[int, int]], reach: int, stream: str) -> list[tuple[int, int, int]]:
         """The windows of which as many pieces are hit as their budget leaves, and as many words stand near a hit."""
-        hit, whole = [0], [0]  # pieces that begin before each word: those hit, and all
-        found = {start for _, start in places}
-        for i in range(len(item.words)):
-            hit.append(hit[-1] + (i in found))
-            whole.append(whole[-1] + (i in item.starts))
-        windows = []
-        for a, b, errors in item.windows():
-            last = max(a, b - item.piece + 1)
-            if hit[last] - hit[a] >= max(1, whole[last] - whole[a] - errors):
-                windows.append((a, b, errors))
+        needs, found = item.needs, {start // item.piece for _, start in places}
+        if len(found) == 1:
+            windows = item.alone.get(next(iter(found)), [])
+        else:
+            hit = [0]
+            for k in range(len(item.starts)):
+                hit.append(hit[-1] + (k in found))
+            windows = [(a, b, errors) for a, b, errors, first, after, need in needs if hit[after] - hit[first] >= need]
+        if not windows:
+            return []
         out = set()
         upto = -1  # where the stretch last looked at ends
         for at, _ in places:
