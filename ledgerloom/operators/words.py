@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions.amounts import normalized
 from ledgerloom.session import cut
@@ -121,33 +127,144 @@ def located(values: DataFrame, words: DataFrame, doc: str, order: str, *, value:
     return asked.join(best, [doc, "_key"], "left").select(*values.columns, F.col("hit.start").alias("at"), F.col("hit.size").alias("size"), F.col("hit.window").alias("window"))
 
 
+WINDOW_BLOCK = 4096  #: words of a reading that are searched at once
+FEW_VALUES = 64  #: up to so many values of a document are looked for one by one
+
+
+class _Document:
+    """The values asked of one document and the best places found so far, while its words pass by."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.begins: dict[str, list[str]] = {}  # values by their first six characters, shorter ones by three at most
+        self.values: dict[str, None] = {}
+        self.grams: dict[str, list[str]] | None = None  # values by any three characters of theirs
+        self.words: list[str] = []
+        self.starts: list = []
+        self.forward: dict[str, tuple] = {}  # size, start: the least counts, no start last
+        self.backward: dict[str, tuple] = {}  # letters, start negated: the greatest counts, no start last
+
+    def ask(self, values: list[str]) -> None:
+        for v in values:
+            if v and v not in self.values:
+                self.values[v] = None
+                self.begins.setdefault(v[:6] if len(v) >= 6 else v[:3], []).append(v)
+
+    def read(self, words: list[str], starts: list) -> None:
+        if self.values:
+            self.words += words
+            self.starts += starts
+            if len(self.words) >= WINDOW_BLOCK + self.most - 1:
+                self._search(len(self.words) - self.most + 1)
+
+    def end_reading(self) -> None:
+        if self.words:
+            self._search(len(self.words))
+
+    def place(self, value: str) -> tuple:
+        """found, start, size"""
+        hit, back = self.forward.get(value), self.backward.get(value)
+        behind = -back[2] if back and not back[1] else None
+        if hit:
+            return "forward", behind if hit[1] else hit[2], hit[0]
+        return ("backward", behind, 1) if back else ("none", None, None)
+
+    def _search(self, n: int) -> None:
+        """Windows that begin in the first ``n`` words held; those words are dropped."""
+        words, starts = self.words, self.starts
+        text, ends = "".join(words), list(accumulate(map(len, words)))
+        asked = self.values
+        if len(asked) > FEW_VALUES:  # those that share their beginning with the text
+            here = {text[i : i + k] for k in (1, 2, 3, 6) for i in range(len(text) - k + 1)}
+            asked = [v for g in self.begins.keys() & here for v in self.begins[g]]
+        for v in asked:
+            at = text.find(v)
+            while at >= 0 and (i := bisect_right(ends, at)) < n:
+                size = bisect_left(ends, at + len(v), i) - i + 1
+                if size <= self.most:
+                    place = (size, starts[i] is None, starts[i])
+                    if v not in self.forward or place < self.forward[v]:
+                        self.forward[v] = place
+                    if size == 1:
+                        break
+                at = text.find(v, ends[i])  # only the first place in a word counts
+        if self.grams is None:
+            self.grams = {}
+            for v in self.values:
+                for g in {v[i : i + 3] for i in range(len(v) - 2)}:
+                    self.grams.setdefault(g, []).append(v)
+        first: dict[str, tuple] = {}
+        for w, s in zip(words[:n], starts[:n]):
+            if w[:3] in self.grams and (w not in first or s is None):
+                first[w] = (len(w), s is None, None if s is None else -s)
+        for w, place in first.items():
+            for v in self.grams[w[:3]]:
+                if len(w) * 2 >= len(v) and (v not in self.backward or place > self.backward[v]) and w in v:
+                    self.backward[v] = place
+        del words[:n], starts[:n]
+
+
+_ASKED, _READ, _ANSWERED = 0, 1, 2  #: rows of a document in this order: its values, its words, its rows of values
+
+
+def _places(most: int):
+    """Of rows sorted by document, kind, reading and order the rows of values with found, start and size."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, before = _Document(most), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, kinds, readings, starts, texts, rows = batch.columns
+            kinds = kinds.to_numpy(zero_copy_only=False)
+            new_name, new_reading = (np.append(True, np.diff(pc.fill_null(c.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)) != 0) for c in (names, readings))
+            if before is not None:
+                new_name[0], new_reading[0] = not names[0].equals(before[0]), not readings[0].equals(before[1])
+            new_kind = np.append(True, np.diff(kinds) != 0)
+            cuts = [*np.flatnonzero(new_name | new_reading | new_kind | (np.arange(len(kinds)) == 0)).tolist(), len(kinds)]
+            orders, words, out = starts.to_pylist(), texts.to_pylist(), []
+            for a, b in zip(cuts, cuts[1:]):
+                if new_name[a]:
+                    seen = _Document(most)
+                elif new_reading[a] or kinds[a] != _READ:
+                    seen.end_reading()
+                if kinds[a] == _ASKED:
+                    seen.ask(words[a:b])
+                elif kinds[a] == _READ:
+                    seen.read(words[a:b], orders[a:b])
+                else:
+                    out += map(seen.place, words[a:b])
+            before = names[-1], readings[-1]
+            if out:
+                found, at, size = zip(*out)
+                answered = rows.filter(pa.array(kinds == _ANSWERED))
+                yield pa.RecordBatch.from_arrays([answered, pa.array(found, pa.string()), pa.array(at, starts.type), pa.array(size, pa.int32())], names=["_row", "found", "start", "size"])
+
+    return run
+
+
 def value_windows(values: DataFrame, words: DataFrame, doc: str, reading: str, order: str, *, value: str, text: str = "text", most: int = 12) -> DataFrame:
     """Each value with the smallest window of up to ``most`` words of its document that contains it after
     normalisation, else the longest word of three letters and more, at least half as long, that stands in it; found is
     forward, backward or none.
 
-    Windows are built of documents that are asked for only. A window meets a value of its document if the value begins
-    in its first word and ends in its last: the window that cannot lose a word at either side.
+    Words and values travel once, to the task of their document, which reads them in order: first the values, then the
+    words of each reading in blocks of ``WINDOW_BLOCK``, then the rows to answer. A window meets a value if the value
+    begins in its first word and ends in its last: the window that cannot lose a word at either side. Of words with the
+    same ``order`` in a reading the smaller text comes first. Memory is that of the distinct values of one document.
     """
-    asked = values.withColumn("_v", normalized(F.col(value)))
-    each = asked.where("_v <> ''").select(doc, "_v").distinct()
-    here = words.join(each.select(doc).distinct(), doc, "left_semi").withColumn("_w", normalized(F.col(text))).where("_w <> ''")
-    w = W.partitionBy(doc, reading).orderBy(order)
-    wide = here.select(doc, F.col(order).alias("start"), "_w", F.concat_ws("", "_w", *[F.lead("_w", i).over(w) for i in range(1, most)]).alias("_all"), F.array(*[F.lead("_w", i).over(w) if i else F.col("_w") for i in range(most)]).alias("_words"))
-    # values meet words by the characters that they have in common where a value begins, not all with all of a document
-    gram = lambda c, at, n: F.substring(c, at, n)
-    begins = wide.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_w")))).withColumn("_g", F.explode(F.array_distinct(F.array(*[gram("_all", F.col("_at"), F.lit(n)) for n in (1, 2, 3)]))))
-    first = begins.join(each.withColumn("_g", gram("_v", 1, 3)), [doc, "_g"]).where(F.expr("startswith(substring(_all, _at), _v)"))
-    first = first.groupBy(doc, "_v", "start", "_words").agg(F.min("_at").alias("_at"))
-    ends = F.aggregate("_words", F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.length(F.coalesce(x, F.lit("")))))
-    size = F.size(F.filter(ends, lambda e: e < F.col("_at") - 1 + F.length("_v")))
-    hit = first.groupBy(doc, "_v").agg(F.min(F.struct(size.alias("size"), "start")).alias("_hit"))
-    inside = each.where(F.length("_v") >= 3).select(doc, "_v", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_v") - 2), lambda i: F.substring("_v", i, F.lit(3))))).alias("_g"))
-    long = here.where(F.length("_w") >= 3).select(doc, F.col(order).alias("start"), "_w", gram("_w", 1, 3).alias("_g"))
-    back = long.join(inside, [doc, "_g"]).where((F.length("_w") * 2 >= F.length("_v")) & F.expr("contains(_v, _w)")).groupBy(doc, "_v").agg(F.max(F.struct(F.length("_w").alias("n"), (-F.col("start")).alias("s"))).alias("_back"))
-    both = asked.join(hit, [doc, "_v"], "left").join(back, [doc, "_v"], "left")
-    found = F.when(F.col("_hit").isNotNull(), "forward").when(F.col("_back").isNotNull(), "backward").otherwise("none")
-    return both.select(*values.columns, found.alias("found"), F.coalesce(F.col("_hit.start"), -F.col("_back.s")).alias("start"), F.coalesce(F.col("_hit.size"), F.when(F.col("_back").isNotNull(), 1)).alias("size"))
+    row, kind = F.struct(*values.columns), lambda k: F.lit(k).cast("byte")
+    reading_type, order_type = words.schema[reading].dataType, words.schema[order].dataType
+    row_type = values.select(row.alias("r")).schema["r"].dataType
+    named = values.where(F.col(doc).isNotNull()).select(F.col(doc).alias("_doc"), normalized(F.col(value)).alias("_text"), row.alias("_row"))
+    asked = named.withColumn("_kind", F.explode(F.when(F.col("_text") == "", F.array(kind(_ANSWERED))).otherwise(F.array(kind(_ASKED), kind(_ANSWERED)))))
+    asked = asked.select("_doc", "_kind", F.lit(None).cast(reading_type).alias("_reading"), F.lit(None).cast(order_type).alias("_order"), "_text", F.when(F.col("_kind") == _ANSWERED, F.col("_row")).alias("_row"))
+    read = words.where(F.col(doc).isNotNull()).select(F.col(doc).alias("_doc"), kind(_READ).alias("_kind"), F.col(reading).alias("_reading"), F.col(order).alias("_order"), normalized(F.col(text)).alias("_text"), F.lit(None).cast(row_type).alias("_row"))
+    rows = asked.unionByName(read.where("_text <> ''")).repartition("_doc").sortWithinPartitions("_doc", "_kind", "_reading", F.asc_nulls_last("_order"), "_text")
+    schema = T.StructType([T.StructField("_row", row_type), T.StructField("found", T.StringType()), T.StructField("start", order_type), T.StructField("size", T.IntegerType())])
+    answered = rows.mapInArrow(_places(most), schema).select("_row.*", "found", "start", "size")
+    nowhere = values.where(F.col(doc).isNull())
+    return answered.unionByName(nowhere.select("*", F.lit("none").alias("found"), F.lit(None).cast(order_type).alias("start"), F.lit(None).cast("int").alias("size")))
 
 
 def holds(snippet: Column, value: Column) -> Column:

@@ -1,3 +1,4 @@
+import random
 import sqlite3
 
 import pytest
@@ -213,3 +214,97 @@ def test_value_windows(spark):
     values = spark.createDataFrame([(1, "d", "1'234.50"), (2, "d", "Lohnausweis 2024"), (3, "d", "nichts"), (4, "d", None), (5, "x", "Total"), (6, "d", "CHF 1 234.50 (1"), (7, "d", "l")], "i int, d string, v string")
     got = {r.i: (r.found, r.start, r.size) for r in O.value_windows(values, df, "d", "r", "n", value="v").collect()}
     assert got == {1: ("forward", 4, 1), 2: ("backward", 5, 1), 3: ("none", None, None), 4: ("none", None, None), 5: ("none", None, None), 6: ("forward", 1, 4), 7: ("forward", 0, 1)}
+
+
+def shuffled_rows(df):
+    """Rows that all exchanges of the plan write when ``df`` is collected."""
+    df.collect()
+
+    def walk(plan):
+        if plan.nodeName().startswith("AdaptiveSparkPlan"):
+            return walk(plan.executedPlan())
+        if "QueryStage" in plan.nodeName():
+            return walk(plan.plan())
+        written = plan.metrics().get("shuffleRecordsWritten")
+        children = plan.children()
+        return (written.get().value() if written.isDefined() else 0) + sum(walk(children.apply(i)) for i in range(children.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_value_windows_shuffle_each_word_once(spark):
+    words = spark.createDataFrame([(f"d{d}", 1, i, f"Wort{i}{d}") for d in range(5) for i in range(40)], "d string, r int, n int, text string")
+    values = spark.createDataFrame([(d, f"d{d}", f"Wort7{d} Wort8{d}") for d in range(5)], "i int, d string, v string")
+    assert shuffled_rows(O.value_windows(values, words, "d", "r", "n", value="v")) <= words.count() + 2 * values.count()
+
+
+def plain_windows(values, words, most=12):
+    """``value_windows`` of texts as they stand, by trying every word with every value."""
+    last = lambda n: (n is None, n)
+    readings, out = {}, {}
+    for d, r, n, w in words:
+        readings.setdefault((d, r), []).append((n, w))
+    for i, d, v in values:
+        forward, backward = [], []
+        for (e, _), held in readings.items():
+            held = sorted(((n, w) for n, w in held if w), key=lambda x: (last(x[0]), x[1]))
+            for k, (n, w) in enumerate(held if e == d and d is not None and v else []):
+                run = [w for _, w in held[k : k + most]]
+                at = "".join(run).find(v)
+                if 0 <= at < len(w):
+                    forward.append((next(s for s in range(1, most + 1) if len("".join(run[:s])) >= at + len(v)), last(n)))
+                if len(w) >= 3 and len(w) * 2 >= len(v) and w in v:
+                    backward.append((-len(w), n is not None, n))
+        back = min(backward)[2] if backward else None
+        if forward:
+            size, (_, start) = min(forward)
+            out[i] = ("forward", back if start is None else start, size)
+        else:
+            out[i] = ("backward", back, 1) if backward else ("none", None, None)
+    return out
+
+
+def odd_documents(seed, documents, most_words, most_values):
+    r = random.Random(seed)
+    text = lambda n: "".join(r.choice("ab1é") for _ in range(r.randint(0, n)))
+    words, values = [], []
+    for d in [None, *documents]:
+        for reading in r.sample([None, 1, 2], r.randint(0, 3)):
+            order = r.sample(range(-5, 500), r.randint(0, most_words))
+            order[:1] = [None] * (r.random() < 0.3) or order[:1]
+            words += [(d, reading, n, text(4)) for n in order]
+        held = [w for e, _, _, w in words if e == d]
+        for _ in range(r.randint(1, most_values)):
+            k = r.randrange(len(held) + 1)
+            values.append((len(values), d, "".join(held[k : k + r.randint(1, 14)])[r.randint(0, 1) :] if r.random() < 0.6 else text(8)))
+    r.shuffle(words)
+    return values, words
+
+
+def test_value_windows_by_trying_all(spark):
+    values, words = odd_documents(3, [f"d{i}" for i in range(30)], 30, 20)
+    df, asked = spark.createDataFrame(words, "d string, r int, n int, text string"), spark.createDataFrame(values, "i int, d string, v string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # documents and readings end anywhere in a batch
+    try:
+        got = {r.i: (r.found, r.start, r.size) for r in O.value_windows(asked, df, "d", "r", "n", value="v").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == plain_windows(values, words)
+
+
+def test_value_windows_in_blocks(monkeypatch):
+    """Small blocks, values looked for one by one and by their beginnings: the same places."""
+    values, words = odd_documents(5, ["d"], 200, 120)
+    values = [v for v in values if v[1] == "d"]
+    want = plain_windows(values, words)
+    for block, few in ((1, 0), (5, 0), (16, 1000), (4096, 0)):
+        monkeypatch.setattr(O, "WINDOW_BLOCK", block)
+        monkeypatch.setattr(O, "FEW_VALUES", few)
+        seen = O._Document(12)
+        seen.ask([v for _, _, v in values])
+        for reading in (None, 1, 2):
+            held = sorted(((n is None, n, w) for d, r, n, w in words if (d, r) == ("d", reading) and w), key=lambda x: (x[0], x[1] or 0))
+            for k in range(0, len(held), 3):
+                seen.read([w for _, _, w in held[k : k + 3]], [n for _, n, _ in held[k : k + 3]])
+            seen.end_reading()
+        assert {i: seen.place(v) for i, _, v in values} == want
